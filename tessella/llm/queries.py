@@ -1,9 +1,13 @@
 """The queries of this subpackage and their SQL, for ``__spark_entry__``."""
 
+from tessella.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tessella.llm.near_dedup import op8_near_dedup
 
 QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
     "op8_near_dedup": op8_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": OP2_SQL,
+}
