@@ -2,9 +2,11 @@
 
 from tessella.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tessella.llm.near_dedup import op8_near_dedup
+from tessella.llm.packing import op5_packing
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_packing": op5_packing,
     "op8_near_dedup": op8_near_dedup,
 }
 
