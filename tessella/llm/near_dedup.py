@@ -32,7 +32,7 @@ from tessella.llm.common import Scratch, arrow_batches, documents, pick
 
 ROWS = 5
 MISS = 1e-6
-VALUES = 256
+VALUES = 512
 BLOCK = 512
 CHUNK = 64
 
@@ -168,12 +168,14 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     return labels
 
 
-def _residual(members: DataFrame, percent: int) -> DataFrame:
+def _residual(members: DataFrame, sketches: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs a, b of different components in the same bucket that the signatures do not rule out."""
     of = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("held"))
     top = of.groupBy("key").agg(F.max(F.struct("held", (-F.col("label")).alias("label"))).alias("top"), F.sum("held").alias("size"), F.count(F.lit(1)).alias("kinds"))
     top = top.filter("kinds > 1").select("key", (-F.col("top.label")).alias("major"), F.expr(f"1 + size div {BLOCK}").alias("blocks"))
-    mixed = members.join(top, "key")
+    mixed = scratch.save(members.join(top, "key"), "mixed")
+    sketches = scratch.save(sketches.join(mixed.select("rep").distinct(), "rep").dropDuplicates(["rep"]), "sketches")
+    mixed = mixed.join(sketches, "rep")
     own = mixed.withColumn("block", F.expr("pmod(xxhash64(rep), blocks)")).withColumn("query", F.lit(False))
     asked = mixed.filter("label <> major").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("query", F.lit(True))
 
@@ -230,8 +232,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = sig.filter("n > 0 and id is not null")
     classes = scratch.save(named.groupBy("hi", "lo", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = named.join(classes.withColumnRenamed("rep", "id"), ["hi", "lo", "n", "id"]).dropDuplicates(["hi", "lo", "n"])
-    rows = reps.select(F.col("id").alias("rep"), "n", "hi", "lo", "sketch", F.explode("keys").alias("key"))
+    reps = named.select("hi", "lo", "n", F.col("id").alias("rep"), "keys").join(classes, ["hi", "lo", "n", "rep"])
+    rows = reps.select("rep", "n", F.explode("keys").alias("key"))
     crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("hub")).filter("size > 1").select("key", "hub")
     members = scratch.save(rows.join(crowded, "key"), "members")
 
@@ -242,17 +244,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fits = F.expr(f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
     stars = scratch.save(partners(members.filter("hub.rep <> rep").filter(fits).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))), "stars")
 
-    ids = members.select(F.col("rep").alias("id"), "hi", "lo").distinct()
+    names = classes.select(F.col("rep").alias("id"), "hi", "lo")
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        want = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(ids, "id")
+        want = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(names, "id")
         return scratch.save(_full_sets(pick(base, want, ["id"]).select("id", "text", "hi", "lo"), size).dropDuplicates(["id"]), name)
 
     links = scratch.save(_confirm(stars, sets_of(stars, "star-sets"), percent), "star-links")
     scratch.drop("star-sets")
     labels = components(links, scratch, "first")
-    known = members.select("key", "rep", "n", "sketch").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    rest = scratch.save(partners(_residual(known, percent)), "residual")
+    known = members.select("key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    rest = scratch.save(partners(_residual(known, named.join(classes.withColumnRenamed("rep", "id"), ["hi", "lo", "n", "id"]).select(F.col("id").alias("rep"), "sketch"), scratch, percent)), "residual")
     more = scratch.save(_confirm(rest, sets_of(rest, "residual-sets"), percent), "residual-links")
     scratch.drop("residual-sets")
     if not more.isEmpty():
