@@ -4,11 +4,13 @@ from tessella.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tessella.llm.language_id import op1_language_id
 from tessella.llm.near_dedup import op8_near_dedup
 from tessella.llm.packing import op5_packing
+from tessella.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op8_near_dedup": op8_near_dedup,
 }
 
