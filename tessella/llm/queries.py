@@ -4,6 +4,7 @@ from tessella.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tessella.llm.language_id import op1_language_id
 from tessella.llm.near_dedup import op8_near_dedup
 from tessella.llm.packing import op5_packing
+from tessella.llm.suffix_dedup import op9_suffix_dedup
 from tessella.llm.toxicity import op6_toxicity
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op8_near_dedup": op8_near_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
