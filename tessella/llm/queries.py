@@ -1,6 +1,7 @@
 """The queries of this subpackage and their SQL, for ``__spark_entry__``."""
 
 from tessella.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from tessella.llm.fingerprints import op7_fingerprints
 from tessella.llm.language_id import op1_language_id
 from tessella.llm.near_dedup import op8_near_dedup
 from tessella.llm.packing import op5_packing
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_fingerprints": op7_fingerprints,
     "op8_near_dedup": op8_near_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
