@@ -3,6 +3,8 @@
 from tessella.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tessella.llm.fingerprints import op7_fingerprints
 from tessella.llm.language_id import op1_language_id
+from tessella.llm.line_dedup import OP4_SQL, op4_line_dedup
+from tessella.llm.mixing import OP3_SQL, op3_mixing
 from tessella.llm.near_dedup import op8_near_dedup
 from tessella.llm.packing import op5_packing
 from tessella.llm.suffix_dedup import op9_suffix_dedup
@@ -11,6 +13,8 @@ from tessella.llm.toxicity import op6_toxicity
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_mixing": op3_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
@@ -20,4 +24,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
+    "op3_mixing": OP3_SQL,
+    "op4_line_dedup": OP4_SQL,
 }
