@@ -7,6 +7,7 @@ from tessella.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tessella.llm.mixing import OP3_SQL, op3_mixing
 from tessella.llm.near_dedup import op8_near_dedup
 from tessella.llm.packing import op5_packing
+from tessella.llm.pii import op10_pii
 from tessella.llm.suffix_dedup import op9_suffix_dedup
 from tessella.llm.toxicity import op6_toxicity
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_fingerprints": op7_fingerprints,
     "op8_near_dedup": op8_near_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
