@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from tessella.llm import kernels as K
 from tessella.llm.common import Scratch, arrow_batches, documents, pick
 
-GRAM = 32
+#: Bytes of an anchor gram: long ones are rarely shared by documents that share no long string.
+GRAM = 192
 #: Bytes of a shard that are sorted at once, and runs of one anchor in one shard.
 SHARD_BYTES = 2_000_000
 RUNS = 1000
