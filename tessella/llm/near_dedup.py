@@ -76,9 +76,9 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int = ROWS, values:
                 keys = K.mix(keys + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                 some = (n > 0).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some))) * bands, pa.int32()), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(hi), pa.array(lo), lists, _binary(K.mix(sig).astype(np.uint8), some)], ["id", "n", "hi", "lo", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(hi), pa.array(lo), lists, _binary(K.mix(sig).astype(np.uint8), some), _binary(keys, some)], ["id", "n", "hi", "lo", "keys", "sketch", "bands"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, hi long, lo long, keys array<long>, sketch binary")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, hi long, lo long, keys array<long>, sketch binary, bands binary")
 
 
 def _full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -184,22 +184,26 @@ def _residual(members: DataFrame, sketches: DataFrame, scratch: Scratch, percent
         for batch in batches:
             found = ([], [])
             key, block, query, rep, n, label = (batch.column(k).to_pylist() for k in range(6))
-            sketch = batch.column(6)
+            sketch, bands = batch.column(6), batch.column(7)
             for i in range(len(batch)):
                 if group != (key[i], block[i]):
                     group, asked, stacked = (key[i], block[i]), [], None
                 own = np.frombuffer(sketch[i].as_buffer(), np.uint8)
                 if query[i]:
-                    asked.append((rep[i], n[i], label[i], own.copy()))
+                    asked.append((rep[i], n[i], label[i], own.copy(), np.frombuffer(bands[i].as_buffer(), np.int64).copy()))
                     continue
                 if not asked:
                     continue
                 if stacked is None:
                     stacked = tuple(np.array(x) for x in zip(*asked, strict=True))
-                r, m, c, s = stacked
+                r, m, c, s, theirs = stacked
                 size = s.shape[1]
                 need = percent / 100 - 3.5 * math.sqrt(percent / 100 * (1 - percent / 100) / size)
-                fit = (c != label[i]) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i]))
+                # A pair is taken in the first band that it shares, once.
+                mine = np.frombuffer(bands[i].as_buffer(), np.int64)
+                here = int(np.argmax(mine == key[i]))
+                fit = (c != label[i]) & ~(theirs[:, :here] == mine[:here]).any(axis=1)
+                fit &= (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i]))
                 if fit.any():
                     like = np.flatnonzero(fit)[(s[fit] == own).sum(axis=1) >= need * size]
                     for x in r[like].tolist():
@@ -207,7 +211,7 @@ def _residual(members: DataFrame, sketches: DataFrame, scratch: Scratch, percent
                         found[1].append(max(x, rep[i]))
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
 
-    columns = ("key", "block", "query", "rep", "n", "label", "sketch")
+    columns = ("key", "block", "query", "rep", "n", "label", "sketch", "bands")
     dealt = own.select(*columns).unionByName(asked.select(*columns)).repartition("key", "block").sortWithinPartitions("key", "block", F.col("query").desc())
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -254,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop("star-sets")
     labels = components(links, scratch, "first")
     known = members.select("key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    rest = scratch.save(partners(_residual(known, named.join(classes.withColumnRenamed("rep", "id"), ["hi", "lo", "n", "id"]).select(F.col("id").alias("rep"), "sketch"), scratch, percent)), "residual")
+    rest = scratch.save(partners(_residual(known, named.join(classes.withColumnRenamed("rep", "id"), ["hi", "lo", "n", "id"]).select(F.col("id").alias("rep"), "sketch", "bands"), scratch, percent)), "residual")
     more = scratch.save(_confirm(rest, sets_of(rest, "residual-sets"), percent), "residual-links")
     scratch.drop("residual-sets")
     if not more.isEmpty():
