@@ -1 +1,151 @@
-"""Queries."""
+"""Write-path and maintenance queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessella.functions import scoring as S
+from tessella.functions import text as T
+from tessella.model import DAY, MEM_SQL, NOW, memories, table
+from tessella.operators import maintain as M
+from tessella.operators.temporal import visible, visible_sql
+from tessella.plans.base import query
+from tessella.plans.recall import RET_SQL
+
+_CONV = f"cv AS (SELECT 'c' || conv_id::VARCHAR || '_' || turn::VARCHAR || '_' || role AS id, conv_id, turn, text, {T.tokens_sql('text')} AS t FROM conversations WHERE role <> 'system')"
+
+
+def _turns(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").filter("role <> 'system'")
+    return c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit("_"), F.col("role")).alias("id"), "conv_id", "turn", "text", T.tokens(F.col("text")).alias("tokens"))
+
+
+_PAIRS = f"{_CONV}, pr AS (SELECT a.id AS new_id, b.id AS old_id, a.conv_id = b.conv_id AND false AS same_key, b.turn AS old_turn, {T.jaccard_sql('a.t', 'b.t')} AS overlap FROM cv a JOIN cv b ON a.conv_id = b.conv_id AND a.turn > b.turn)"
+
+
+@query(f"WITH {_PAIRS}, bst AS (SELECT new_id, old_id, overlap, row_number() OVER (PARTITION BY new_id ORDER BY overlap DESC, old_turn, old_id DESC) AS n, lead(overlap) OVER (PARTITION BY new_id ORDER BY overlap DESC, old_turn, old_id DESC) AS rival FROM pr) SELECT new_id, CASE WHEN overlap >= 0.85 THEN 'NOOP' WHEN overlap >= 0.55 THEN CASE WHEN overlap - coalesce(rival, 0) < 0.05 THEN 'RELATE' ELSE 'INVALIDATE' END WHEN overlap >= 0.4 THEN 'RELATE' ELSE 'ADD' END AS op, CASE WHEN overlap >= 0.4 THEN old_id END AS target, round(overlap, 9) AS overlap FROM bst WHERE n = 1")
+def resolve_decisions(spark, sf_dir):
+    """What to do with each turn, seen against the earlier turns of its conversation (similarity taken as full)."""
+    t = _turns(spark, sf_dir)
+    a = t.select(F.col("id").alias("new_id"), "conv_id", F.col("turn").alias("t1"), F.col("tokens").alias("x"))
+    b = t.select(F.col("id").alias("old_id"), "conv_id", F.col("turn").alias("t2"), F.col("tokens").alias("y"))
+    p = a.join(b, "conv_id").filter("t1 > t2").select("new_id", "old_id", T.jaccard(F.col("x"), F.col("y")).alias("overlap"), F.lit(1.0).alias("sim"), F.lit(False).alias("same_key"), F.lit(False).alias("same_text"), F.col("t2").alias("old_rank"))
+    return M.decide(p).withColumn("overlap", F.round("overlap", 9))
+
+
+@query("WITH o AS (SELECT o_custkey, o_orderpriority, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS was FROM orders) SELECT o_orderkey, CASE WHEN was IS NULL THEN 'ADD' WHEN was = o_orderstatus THEN 'NOOP' ELSE 'INVALIDATE' END AS op FROM o")
+def resolve_keyed_claims(spark, sf_dir):
+    """Keyed claims folded in the order of their time: equal text is NOOP, another INVALIDATE."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, sf_dir, "orders").withColumn("was", F.lag("o_orderstatus").over(w))
+    return o.select("o_orderkey", F.when(F.col("was").isNull(), "ADD").when(F.col("was") == F.col("o_orderstatus"), "NOOP").otherwise("INVALIDATE").alias("op"))
+
+
+_NUM = "list_sort(list_distinct(regexp_extract_all({}, '\\d+(?:\\.\\d+)?')))"
+_POL = "CASE WHEN regexp_matches({0}, '" + M.NEGATIVE.replace("'", "''") + "') THEN -1 WHEN regexp_matches({0}, '" + M.POSITIVE.replace("'", "''") + "') THEN 1 ELSE 0 END"
+_LATE = "regexp_matches(a.text, '" + M.TEMPORAL + "')"
+
+
+@query(
+    f"""WITH {_CONV}, p AS (SELECT a.id AS a_id, b.id AS b_id, {T.jaccard_sql('a.t', 'b.t')} AS ov, {_LATE} AS late, len(a.t) AS na, len(b.t) AS nb, len(list_intersect(a.t, b.t)) AS k,
+  {_POL.format('a.text')} * {_POL.format('b.text')} = -1 AS opp, len({_NUM.format('a.text')}) > 0 AND len({_NUM.format('b.text')}) > 0 AND {_NUM.format('a.text')} <> {_NUM.format('b.text')} AS num FROM cv a JOIN cv b ON a.conv_id = b.conv_id AND a.turn > b.turn),
+i AS (SELECT *, CASE WHEN ov >= 0.82 THEN 0.25::DOUBLE + least(0.15::DOUBLE, ov - 0.82::DOUBLE) END AS s1, CASE WHEN ov >= 0.05 AND opp THEN CASE WHEN late THEN 0.88 ELSE 0.78 END END::DOUBLE AS s2, CASE WHEN ov >= 0.05 AND num THEN CASE WHEN late THEN 0.86 ELSE 0.74 END END::DOUBLE AS s3, CASE WHEN ov < 0.82 AND na > nb + 2 AND k::DOUBLE / greatest(nb, 1) >= 0.8 AND NOT (ov >= 0.05 AND (opp OR num)) THEN 0.42::DOUBLE END AS s4 FROM p)
+SELECT a_id, b_id, CASE WHEN s2 IS NOT NULL OR s3 IS NOT NULL THEN CASE WHEN late THEN 'obsolete' ELSE 'contradiction' END WHEN s4 IS NOT NULL THEN 'refinement' ELSE 'duplicate' END AS kind, round(greatest(coalesce(s1, 0), coalesce(s2, 0), coalesce(s3, 0), coalesce(s4, 0)), 4) AS severity FROM i WHERE s1 IS NOT NULL OR s2 IS NOT NULL OR s3 IS NOT NULL OR s4 IS NOT NULL"""
+)
+def conflict_pairs(spark, sf_dir):
+    """Contradictions, refinements and duplicates among the turns of each conversation."""
+    t = _turns(spark, sf_dir)
+    a = t.select("conv_id", F.col("turn").alias("t1"), F.col("id").alias("a_id"), F.col("text").alias("a_text"), F.col("tokens").alias("a_tokens"))
+    b = t.select("conv_id", F.col("turn").alias("t2"), F.col("id").alias("b_id"), F.col("text").alias("b_text"), F.col("tokens").alias("b_tokens"))
+    return M.conflicts(a.join(b, "conv_id").filter("t1 > t2"), floor=0.05)
+
+
+@query(f"WITH b AS (SELECT item_id, {T.tokens_sql('text')} AS t FROM benchmark), p AS (SELECT x.item_id AS new_id, y.item_id AS old_id, {T.jaccard_sql('x.t', 'y.t')} AS overlap FROM b x JOIN b y ON x.item_id <> y.item_id) SELECT new_id, old_id, round(overlap, 9) AS overlap FROM p QUALIFY overlap > 0 AND row_number() OVER (PARTITION BY new_id ORDER BY overlap DESC, old_id) <= 3")
+def evolve_links(spark, sf_dir):
+    """The three most related rows of every row."""
+    from pyspark.sql import Window
+
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), T.tokens(F.col("text")).alias("tokens"))
+    w = Window.partitionBy("new_id").orderBy(F.desc("overlap"), "old_id")
+    return M.candidates(b, b).withColumn("n", F.row_number().over(w)).filter("n <= 3").select("new_id", "old_id", F.round("overlap", 9).alias("overlap"))
+
+
+_CL = f"WITH RECURSIVE b AS (SELECT item_id, {T.tokens_sql('text')} AS t FROM benchmark), e AS (SELECT x.item_id AS src, y.item_id AS dst FROM b x JOIN b y ON x.item_id <> y.item_id WHERE {T.jaccard_sql('x.t', 'y.t')} >= 0.03), r AS (SELECT src AS id, src AS reach FROM e UNION SELECT r.id, e.dst FROM r JOIN e ON r.reach = e.src), cl AS (SELECT id, min(reach) AS cluster FROM r GROUP BY id)"
+
+
+@query(_CL + " SELECT id, cluster FROM cl")
+def consolidate_clusters(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), T.tokens(F.col("text")).alias("tokens"))
+    return M.clusters(b, 0.03)
+
+
+@query(_CL + ", m AS (SELECT cluster, unnest(t) AS token FROM cl JOIN b ON id = item_id), s AS (SELECT cluster, count(*) AS n FROM cl GROUP BY 1), k AS (SELECT cluster, token, count(*) AS k FROM m GROUP BY ALL), f AS (SELECT cluster, token, k, row_number() OVER (PARTITION BY cluster ORDER BY k DESC, token)::INTEGER AS position FROM k JOIN s USING (cluster) WHERE k >= greatest(2, n // 2 + 1)) SELECT * FROM f WHERE position <= 5")
+def common_tokens(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), T.tokens(F.col("text")).alias("tokens"))
+    return M.common_tokens(M.clusters(b, 0.03).join(b, "id"))
+
+
+@query(f"WITH {MEM_SQL} SELECT id, round({RET_SQL}, 9) AS retention FROM mem WHERE mtype IN ('working', 'episodic') AND NOT pinned AND {RET_SQL} < 0.05 AND {visible_sql()}")
+def archive_sweep(spark, sf_dir):
+    m = memories(spark, sf_dir, content=False).filter(F.col("mtype").isin("working", "episodic") & ~F.col("pinned") & visible())
+    return m.withColumn("retention", S.retention(F.col("last_access"), F.col("stability"))).filter("retention < 0.05").select("id", F.round("retention", 9).alias("retention"))
+
+
+@query(f"WITH {MEM_SQL}, t AS (SELECT subject_key, content FROM mem) SELECT subject_key, count(*) AS members, sum({T.estimate_tokens_sql('content')})::BIGINT AS before, max({T.estimate_tokens_sql('content')})::BIGINT AS after FROM t GROUP BY subject_key")
+def compaction_accounting(spark, sf_dir):
+    """Tokens of a subject's rows before and after keeping one."""
+    m = memories(spark, sf_dir).select("subject_key", T.estimate_tokens(F.col("content")).cast("long").alias("t"))
+    return m.groupBy("subject_key").agg(F.count(F.lit(1)).alias("members"), F.sum("t").alias("before"), F.max("t").alias("after"))
+
+
+@query(f"WITH {MEM_SQL} SELECT subject_key, bool_and(trusted) AS trusted, bool_or(pinned) AS pinned, max(stability) AS stability, round(min(confidence), 9) AS confidence FROM mem GROUP BY subject_key")
+def safety_inheritance(spark, sf_dir):
+    """What a digest or merge inherits from its members."""
+    m = memories(spark, sf_dir, content=False)
+    return m.groupBy("subject_key").agg(F.bool_and("trusted").alias("trusted"), F.bool_or("pinned").alias("pinned"), F.max("stability").alias("stability"), F.round(F.min("confidence"), 9).alias("confidence"))
+
+
+@query("WITH e AS (SELECT p_partkey AS id, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS n FROM part) SELECT id, min(id) OVER (PARTITION BY n) AS canonical_id, count(*) OVER (PARTITION BY n) AS members FROM e")
+def entity_canonicalize(spark, sf_dir):
+    return M.canonical_names(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+
+
+_DIFF = "WITH a AS (SELECT doc_id AS key, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 1), b AS (SELECT CASE WHEN doc_id % 10 = 2 THEN doc_id + 100000000 ELSE doc_id END AS key, sha256(CASE WHEN doc_id % 10 = 3 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 4), j AS (SELECT coalesce(a.key, b.key) AS key, a.h AS was, b.h AS now FROM a FULL JOIN b ON a.key = b.key), g AS (SELECT was FROM j WHERE now IS NULL GROUP BY was)"
+
+
+@query(_DIFF + " SELECT key, CASE WHEN j.was IS NULL AND g.was IS NOT NULL THEN 'renamed' WHEN j.was IS NULL THEN 'new' WHEN now IS NULL THEN 'missing' WHEN j.was <> now THEN 'changed' ELSE 'unchanged' END AS state FROM j LEFT JOIN g ON j.now = g.was")
+def import_diff(spark, sf_dir):
+    """What changed between two states of a source (the second is derived from the first)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    k = F.col("doc_id") % 10
+    a = d.filter(k != 1).select(F.col("doc_id").alias("key"), F.sha2("text", 256).alias("hash"))
+    b = d.filter(k != 4).select(F.when(k == 2, F.col("doc_id") + 100000000).otherwise(F.col("doc_id")).alias("key"), F.sha2(F.when(k == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("hash"))
+    return M.import_diff(a, b)
+
+
+@query(f"WITH {MEM_SQL} SELECT id, least(coalesce(valid_to, {NOW}::DOUBLE), {NOW}::DOUBLE) AS valid_to FROM mem WHERE subject_key IN ('subject_1', 'subject_2')")
+def close_validity(spark, sf_dir):
+    m = memories(spark, sf_dir, content=False).filter(F.col("subject_key").isin("subject_1", "subject_2"))
+    return m.select("id", F.least(F.coalesce("valid_to", F.lit(NOW)), F.lit(NOW)).alias("valid_to"))
+
+
+@query(f"WITH {MEM_SQL} SELECT id, 1 + greatest(0, floor(({NOW}::DOUBLE - valid_from) / 86400 / 30))::BIGINT AS version, stability FROM mem WHERE trusted AND NOT pinned")
+def correct_promote(spark, sf_dir):
+    """Successor versions of governed rows."""
+    m = memories(spark, sf_dir, content=False).filter("trusted and not pinned")
+    return m.select("id", (1 + F.greatest(F.lit(0), F.floor((F.lit(NOW) - F.col("valid_from")) / DAY / 30))).cast("long").alias("version"), "stability")
+
+
+@query("SELECT DISTINCT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def secure_erase(spark, sf_dir):
+    """What is left after erasing: an anti-join."""
+    gone = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id").join(gone, "doc_id", "left_anti").distinct()
+
+
+@query(f"WITH {MEM_SQL} SELECT id, CASE WHEN pinned THEN 'keep' WHEN {RET_SQL} < 0.1 THEN 'prune' ELSE 'keep' END AS action FROM mem")
+def prune(spark, sf_dir):
+    m = memories(spark, sf_dir, content=False)
+    return m.select("id", F.when(~F.col("pinned") & (S.retention(F.col("last_access"), F.col("stability")) < 0.1), "prune").otherwise("keep").alias("action"))

@@ -1 +1,135 @@
-"""Queries."""
+"""Text queries: tokens, terms, chunks, entities, pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessella.functions import text as T
+from tessella.model import table
+from tessella.operators import chunking as C
+from tessella.plans.base import query
+from tessella.plans.recall import hybrid
+
+
+@query(f"SELECT doc_id, len({T.tokens_sql('text')})::INTEGER AS tokens FROM documents")
+def tokenize_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).alias("tokens"))
+
+
+@query(f"SELECT doc_id, {T.estimate_tokens_sql('text')} AS tokens FROM documents")
+def estimate_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '([\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s])', 1))::INTEGER AS tokens FROM documents")
+def regex_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.regex_tokens(F.col("text")).alias("tokens"))
+
+
+_TERMS = "list_filter(string_split(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda t: t <> '')"
+
+
+@query(f"WITH u AS (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark), v AS (SELECT item_id, t FROM u UNION SELECT item_id, {T.stem_sql('t')} FROM u) SELECT item_id, count(*) AS terms FROM v GROUP BY item_id")
+def fts_terms(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.size(T.search_terms(F.col("text"))).cast("long").alias("terms"))
+    return b.filter("terms > 0")
+
+
+@query(f"WITH b AS (SELECT item_id, {T.tokens_sql('text')} AS t FROM benchmark) SELECT x.item_id AS a, y.item_id AS b, round({T.jaccard_sql('x.t', 'y.t')}, 9) AS jaccard FROM b x JOIN b y ON x.item_id < y.item_id WHERE {T.jaccard_sql('x.t', 'y.t')} >= 0.05")
+def jaccard_pairs(spark, sf_dir):
+    """Pairs of token sets with a similarity of 0.05 or more, by an inverted index: only pairs with a common token meet."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t"))
+    e = b.select("item_id", F.size("t").alias("n"), F.explode("t").alias("token"))
+    x, y = e.select(F.col("item_id").alias("a"), F.col("n").alias("na"), "token"), e.select(F.col("item_id").alias("b"), F.col("n").alias("nb"), "token")
+    both = x.join(y, "token").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
+    return both.select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard")).filter("jaccard >= 0.05").withColumn("jaccard", F.round("jaccard", 9))
+
+
+@query("SELECT page_id, sha256(t) AS digest, length(t) AS n_chars FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '(?is)<template\\b.*?</template\\s*>', ' ', 'g'), '(?is)<noscript\\b.*?</noscript\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM pages)")
+def html_text(spark, sf_dir):
+    """Visible text of all pages."""
+    p = table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("t"))
+    return p.select("page_id", F.sha2("t", 256).alias("digest"), F.length("t").cast("long").alias("n_chars"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '(?i)href=\"([^\"#]+)\"', 1))::INTEGER AS links FROM pages")
+def markdown_links(spark, sf_dir):
+    """Links of all pages."""
+    return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('(?i)href="([^"#]+)"'), F.lit(1))).alias("links"))
+
+
+# Patterns of payload signals.
+SIGNALS = {
+    "instruction_override": r"(?i)\b(?:ignore|disregard|forget|override|bypass)\s+(?:all\s+|any\s+|the\s+|previous\s+){0,3}(?:instructions?|rules?|prompts?|system\s+(?:messages?|prompts?))\b",
+    "privilege_impersonation": r"(?i)(?:^|\s|;)\s*(?:system|developer|assistant)\s*(?:message|prompt|instructions?)\s*[:\-]",
+    "secret_exfiltration": r"(?is)\b(?:reveal|exfiltrate|send|upload|export|print|display)\b.{0,96}?\b(?:secrets?|credentials?|passwords?|api[ _-]?keys?|tokens?|environment(?:\s+variables?)?|\.env)\b",
+    "concealed_action": r"(?i)\b(?:do\s+not|don't|never)\s+(?:tell|inform|mention|show|notify)\s+(?:the\s+)?(?:user|owner|operator)\b",
+    "deferred_instruction": r"(?is)\b(?:when|if)\s+(?:a\s+)?(?:later|future|next)\s+(?:session|agent|request)\b.{0,160}?\b(?:ignore|disregard|override)\b",
+    "attack_canary_marker": r"(?i)\batk_[a-z0-9_]*canary\b",
+}
+_SIG_SQL = ", ".join(f"regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') AS {n}" for n, p in SIGNALS.items())
+
+
+@query(f"WITH s AS (SELECT doc_id, {_SIG_SQL} FROM documents) SELECT *, {' OR '.join(SIGNALS)} AS quarantined FROM s")
+def payload_signals(spark, sf_dir):
+    """Signals of poisoned text and the quarantine that follows from any."""
+    d = table(spark, sf_dir, "documents").select("doc_id", *[F.col("text").rlike(p).alias(n) for n, p in SIGNALS.items()])
+    return d.withColumn("quarantined", F.expr(" or ".join(SIGNALS)))
+
+
+@query("SELECT item_id, list_count(list_filter(range(1, greatest(length(substr(text, 1, 512)) - 1, 1)), lambda i: true))::INTEGER AS trigrams, sha256(substr(lower(substr(text, 1, 512)), 1, 3)) AS first FROM benchmark")
+def trigram_counts(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.trigrams(F.col("text")).alias("t"))
+    return b.select("item_id", F.size("t").alias("trigrams"), F.sha2(F.col("t")[0], 256).alias("first"))
+
+
+@query("SELECT item_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '(^|\\s)\\p{P}', '\\1 ', 'g'), '\\p{P}(\\s|$)', ' \\1', 'g'), '\\s+', ' ', 'g'))) AS claim FROM benchmark")
+def claim_normalise(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", T.claim_text(F.col("text")).alias("claim"))
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    return C.chunk_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def regex_entities(spark, sf_dir):
+    return C.regex_entities(table(spark, sf_dir, "documents"))
+
+
+@query()
+def proximity_relations(spark, sf_dir):
+    return C.proximity_relations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def feature_hash_embed(spark, sf_dir):
+    return C.embed(table(spark, sf_dir, "benchmark"), "item_id")
+
+
+@query()
+def context_pack(spark, sf_dir):
+    """The best 40 candidates packed under a budget of 1,500 tokens."""
+    top = hybrid(spark, sf_dir).orderBy(F.desc(F.round("score", 6)), "id").limit(40)
+    c = top.select(F.lit("q").alias("query_id"), "id", F.col("content").alias("text"), "score", T.estimate_tokens(F.col("content")).alias("tokens"))
+    return C.pack_context(c, 1500)
+
+
+_SIGN = "(?:[A-Z]{4,})"
+
+
+@query("WITH e AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._]+@[a-z0-9.]+', 0))) AS name FROM documents) SELECT lower(name) AS entity, count(*) AS mentions, min(doc_id) AS first_doc FROM e GROUP BY 1")
+def entity_profiles(spark, sf_dir):
+    """How often each entity is mentioned, and first where."""
+    e = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9._]+@[a-z0-9.]+"), F.lit(0)))).alias("name"))
+    return e.groupBy(F.lower("name").alias("entity")).agg(F.count(F.lit(1)).alias("mentions"), F.min("doc_id").alias("first_doc"))
+
+
+@query("WITH e AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._]+@[a-z0-9.]+|[0-9][0-9.]{6,}[0-9]', 0))) AS name FROM documents), s AS (SELECT doc_id, name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY name) AS n FROM e) WHERE n <= 8) SELECT x.name AS a, y.name AS b, count(*) AS together FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.name < y.name GROUP BY ALL")
+def cooccurrence_edges(spark, sf_dir):
+    """Pairs of the (at most eight) entities of a document; pairs are made within the row, without a self-join."""
+    names = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9._]+@[a-z0-9.]+|[0-9][0-9.]{6,}[0-9]"), F.lit(0)))), 1, 8)
+    e = table(spark, sf_dir, "documents").select(names.alias("n")).filter("size(n) > 1")
+    pairs = F.flatten(F.transform("n", lambda a: F.transform(F.filter("n", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return e.select(F.inline(pairs)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
