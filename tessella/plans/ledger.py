@@ -1 +1,130 @@
-"""Queries."""
+"""Sync, receipts, savings, statistics and health."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessella.functions import scoring as S
+from tessella.model import DAY, MEM_SQL, NOW, memories, table
+from tessella.operators import receipts as R
+from tessella.operators import sync as Y
+from tessella.plans.base import query
+from tessella.plans.recall import RET_SQL
+
+
+def replicas(spark, sf_dir):
+    """Two states of the documents; the second has later clocks for some and other intervals."""
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def side(second: bool):
+        title = F.concat(F.lit("b" if second else "a"), d.cast("string"))
+        late = d % 3 == (0 if second else 1)
+        return docs.filter((d % 10 != 1) if second else (d % 10 != 2)).select(
+            d.alias("id"), title.alias("title"), F.sha2("text", 256).alias("content"), (d % 7 + (1 if second else 0)).alias("importance"),
+            F.when(late, F.lpad((d * 2 + (1 if second else 0)).cast("string"), 12, "0")).alias("hlc"), d.cast("double").alias("ingested_at"),
+            F.when(d % 4 == 0, d + (5.0 if second else 9.0)).alias("valid_to"), F.when(d % 8 == 0, d + (50.0 if second else 40.0)).alias("valid_to_recorded_at"),
+            F.when(d % 6 == 0, d + (1.0 if second else 2.0)).alias("expired_at"), (d % 20 + (1.5 if second else 1.0)).alias("stability"), (d % 9 + (0 if second else 2)).alias("access_count"),
+            (d * 10.0 + (3 if second else 1)).alias("last_access"), F.when(d % 5 == 0, d + (7.0 if second else 1.0)).alias("pinned_at"), F.when(d % 10 == 0, d + (2.0 if second else 9.0)).alias("unpinned_at"),
+        )
+
+    return side(False), side(True)
+
+
+def _side_sql(b: bool) -> str:
+    x = lambda p, q: q if b else p
+    return f"""SELECT doc_id AS id, '{x('a', 'b')}' || doc_id::VARCHAR AS title, sha256(text) AS content, doc_id % 7 + {x(0, 1)} AS importance, CASE WHEN doc_id % 3 = {x(1, 0)} THEN lpad((doc_id * 2 + {x(0, 1)})::VARCHAR, 12, '0') END AS hlc, doc_id::DOUBLE AS ingested_at,
+    CASE WHEN doc_id % 4 = 0 THEN doc_id + {x(9.0, 5.0)}::DOUBLE END AS valid_to, CASE WHEN doc_id % 8 = 0 THEN doc_id + {x(40.0, 50.0)}::DOUBLE END AS rec, CASE WHEN doc_id % 6 = 0 THEN doc_id + {x(2.0, 1.0)}::DOUBLE END AS expired_at, doc_id % 20 + {x(1.0, 1.5)}::DOUBLE AS stability,
+    doc_id % 9 + {x(2, 0)} AS access_count, doc_id * 10.0::DOUBLE + {x(1, 3)} AS last_access, CASE WHEN doc_id % 5 = 0 THEN doc_id + {x(1.0, 7.0)}::DOUBLE END AS pinned_at, CASE WHEN doc_id % 10 = 0 THEN doc_id + {x(9.0, 2.0)}::DOUBLE END AS unpinned_at FROM documents WHERE doc_id % 10 <> {x(2, 1)}"""
+
+
+_MERGED = f"""u AS ({_side_sql(False)} UNION ALL {_side_sql(True)}), v AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hlc IS NOT NULL DESC, coalesce(hlc, '') DESC, ingested_at DESC, sha256(title || chr(31) || content || chr(31) || importance::VARCHAR) DESC) AS n FROM u),
+e AS (SELECT id, valid_to, rec, row_number() OVER (PARTITION BY id ORDER BY valid_to, rec NULLS FIRST) AS n FROM u WHERE valid_to IS NOT NULL),
+g AS (SELECT id, min(expired_at) AS expired_at, max(stability) AS stability, max(access_count) AS access_count, max(last_access) AS last_access, max(pinned_at) AS p, max(unpinned_at) AS un FROM u GROUP BY id),
+mg AS (SELECT g.id, v.title, v.content, v.importance, e.valid_to, e.rec AS valid_to_recorded_at, g.expired_at, g.stability, g.access_count, g.last_access, p IS NOT NULL AND (un IS NULL OR p > un) AS pinned FROM g JOIN v ON g.id = v.id AND v.n = 1 LEFT JOIN e ON g.id = e.id AND e.n = 1)"""
+
+
+@query(f"WITH {_MERGED} SELECT * FROM mg")
+def crdt_merge(spark, sf_dir):
+    return Y.merge(*replicas(spark, sf_dir))
+
+
+@query(f"WITH {_MERGED} SELECT id, title FROM mg WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND quality = 0) AND NOT (id % 5 = 3 AND id IN (SELECT doc_id FROM labels WHERE toxic = 1))")
+def tombstone_antijoin(spark, sf_dir):
+    """Merged rows without those that a tombstone names, for all repositories or for their own."""
+    m = Y.merge(*replicas(spark, sf_dir)).withColumn("repo_id", (F.col("id") % 5).cast("string"))
+    t = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, None).otherwise(F.lit("3")).alias("repo_id"))
+    return Y.without_tombstones(m, t).select("id", "title")
+
+
+_CHAIN = "p AS (SELECT event_id, user_id, ts, sha256(event_id::VARCHAR || chr(31) || event_type || chr(31) || props) AS own FROM events), c AS (SELECT event_id, user_id, own, row_number() OVER w AS sequence, coalesce(lag(own) OVER w, 'genesis') AS before FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), h AS (SELECT *, sha256(before || chr(31) || own || chr(31) || sequence::VARCHAR) AS receipt_hash FROM c)"
+
+
+def _chain(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    return R.chain(ev, ["user_id"], ["event_id"], R.payload_hash(F.col("event_id").cast("string"), F.col("event_type"), F.col("props")))
+
+
+@query(f"WITH {_CHAIN} SELECT event_id, sequence, receipt_hash, lag(receipt_hash) OVER (PARTITION BY user_id ORDER BY event_id) AS prev_hash FROM h")
+def receipt_chain(spark, sf_dir):
+    return _chain(spark, sf_dir).select("event_id", "sequence", "receipt_hash", "prev_hash")
+
+
+@query("WITH g AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_id % 500 = 7) AS lost FROM events GROUP BY 1), k AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events), r AS (SELECT *, lag(s) OVER (PARTITION BY user_id ORDER BY event_id) AS last FROM k WHERE event_id % 500 <> 7) SELECT user_id, count(*) AS receipts, count(*) FILTER (WHERE s <> coalesce(last, 0) + 1) AS gaps, count(*) FILTER (WHERE s <> coalesce(last, 0) + 1) AS broken FROM r GROUP BY user_id")
+def receipt_chain_verify(spark, sf_dir):
+    """Chains from which some receipts were taken: the gaps and the links that they break."""
+    return R.verify(_chain(spark, sf_dir).filter("event_id % 500 <> 7"), ["user_id"])
+
+
+_SAV = "s AS (SELECT event_id, user_id, ts, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, floor(value)::BIGINT AS emitted FROM events), t AS (SELECT *, coalesce(k, 0) * 10 AS baseline FROM s)"
+
+
+def _usage(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "user_id", "ts", "event_type", F.floor("value").alias("emitted"), (F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)) * 10).alias("baseline"))
+
+
+@query(f"WITH {_SAV} SELECT event_type AS operation, count(*) AS receipts, sum(baseline)::BIGINT AS baseline, sum(emitted)::BIGINT AS emitted, sum(greatest(baseline - emitted, 0))::BIGINT AS saved, round(CASE WHEN sum(baseline) = 0 THEN 0 ELSE sum(greatest(baseline - emitted, 0))::DOUBLE / sum(baseline) END, 9) AS ratio FROM t WHERE event_type <> 'error' GROUP BY 1")
+def context_savings(spark, sf_dir):
+    u = _usage(spark, sf_dir).filter("event_type <> 'error'")
+    saved = F.sum(F.greatest(F.col("baseline") - F.col("emitted"), F.lit(0)))
+    g = u.groupBy(F.col("event_type").alias("operation")).agg(F.count(F.lit(1)).alias("receipts"), F.sum("baseline").alias("baseline"), F.sum("emitted").alias("emitted"), saved.alias("saved"))
+    return g.withColumn("ratio", F.round(F.when(F.col("baseline") == 0, 0.0).otherwise(F.col("saved") / F.col("baseline")), 9))
+
+
+@query(f"WITH {_SAV} SELECT CAST(ts AS DATE)::VARCHAR AS day, event_type AS operation, count(*) AS receipts, sum(greatest(baseline - emitted, 0))::BIGINT AS saved FROM t GROUP BY ALL")
+def savings_by_day(spark, sf_dir):
+    u = _usage(spark, sf_dir)
+    return u.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("operation")).agg(F.count(F.lit(1)).alias("receipts"), F.sum(F.greatest(F.col("baseline") - F.col("emitted"), F.lit(0))).alias("saved"))
+
+
+@query("WITH c AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'adaptive_context' WHEN 1 THEN 'recall' WHEN 2 THEN 'grounded_recall' WHEN 3 THEN 'proactive_context' ELSE 'remember' END AS op, CASE WHEN event_id % 2 = 0 THEN 'recall_context' ELSE '' END AS intent, CASE event_id % 4 WHEN 0 THEN 'retrieval' WHEN 1 THEN 'history_fallback' WHEN 2 THEN 'history_bypass' ELSE 'low_confidence_abstain' END AS mode FROM events), b AS (SELECT *, CASE WHEN op = 'adaptive_context' AND mode = 'retrieval' THEN 'history_retrieval' WHEN op = 'adaptive_context' THEN mode WHEN (op = 'recall' AND intent = 'recall_context') OR op IN ('grounded_recall', 'proactive_context') THEN 'packed_context' ELSE 'unclassified' END AS basis FROM c) SELECT basis, CASE WHEN basis = 'history_retrieval' THEN 'high' WHEN basis IN ('history_fallback', 'packed_context') THEN 'medium' WHEN basis IN ('history_bypass', 'low_confidence_abstain') THEN 'none' ELSE 'unknown' END AS confidence, basis IN ('history_retrieval', 'history_fallback', 'packed_context') AS eligible, count(*) AS n FROM b GROUP BY ALL")
+def savings_classify(spark, sf_dir):
+    pick = lambda i, *v: F.element_at(F.array(*map(F.lit, v)), (F.col("event_id") % i + 1).cast("int"))
+    e = table(spark, sf_dir, "events").select(pick(5, "adaptive_context", "recall", "grounded_recall", "proactive_context", "remember").alias("op"), pick(2, "recall_context", "").alias("intent"), pick(4, "retrieval", "history_fallback", "history_bypass", "low_confidence_abstain").alias("mode"))
+    return e.withColumns(R.classify(F.col("op"), F.col("intent"), F.col("mode"))).groupBy("basis", "confidence", "eligible").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {MEM_SQL} SELECT workspace_id, count(*) AS n, round(exp(-avg(greatest({NOW}::DOUBLE - coalesce(last_access, valid_from), 0) / 86400) / avg(stability)), 9) AS retention FROM mem GROUP BY workspace_id")
+def workspace_stats(spark, sf_dir):
+    """Counts and the retention of the average row (not the average retention: see health_overview)."""
+    age = F.greatest(F.lit(NOW) - F.coalesce("last_access", "valid_from"), F.lit(0.0)) / DAY
+    return memories(spark, sf_dir, content=False).groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.exp(-F.avg(age) / F.avg("stability")), 9).alias("retention"))
+
+
+@query(f"WITH {MEM_SQL}, r AS (SELECT *, {RET_SQL} AS r FROM mem) SELECT count(*) AS n, count(*) FILTER (WHERE r > 0.5) AS strong, count(*) FILTER (WHERE r > 0.2 AND r <= 0.5) AS fading, count(*) FILTER (WHERE r <= 0.2) AS weak, round(avg(r), 9) AS retention, count(*) FILTER (WHERE last_access IS NULL) AS never FROM r")
+def health_overview(spark, sf_dir):
+    m = memories(spark, sf_dir, content=False).withColumn("r", S.retention(F.col("last_access"), F.col("stability")))
+    r = F.col("r")
+    return m.agg(F.count(F.lit(1)).alias("n"), F.count_if(r > 0.5).alias("strong"), F.count_if((r > 0.2) & (r <= 0.5)).alias("fading"), F.count_if(r <= 0.2).alias("weak"), F.round(F.avg(r), 9).alias("retention"), F.count_if(F.col("last_access").isNull()).alias("never"))
+
+
+@query(f"WITH {MEM_SQL}, r AS (SELECT id, round({RET_SQL}, 9) AS retention, ({NOW}::DOUBLE - last_access) / 86400 AS age FROM mem) SELECT id, retention FROM r WHERE age >= 30 AND retention <= 0.1")
+def stale_finder(spark, sf_dir):
+    m = memories(spark, sf_dir, content=False).filter((F.lit(NOW) - F.col("last_access")) / DAY >= 30)
+    return m.select("id", F.round(S.retention(F.col("last_access"), F.col("stability")), 9).alias("retention")).filter("retention <= 0.1")
+
+
+@query("SELECT user_id, event_type, count(*) AS n, max(ts) AS last FROM events GROUP BY ALL")
+def interactions(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
