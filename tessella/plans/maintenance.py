@@ -48,18 +48,21 @@ _POL = "CASE WHEN regexp_matches({0}, '" + M.NEGATIVE.replace("'", "''") + "') T
 _LATE = "regexp_matches(a.text, '" + M.TEMPORAL + "')"
 
 
+_NEWER = "CASE item_id % 4 WHEN 0 THEN text || ' now 42' WHEN 1 THEN text WHEN 2 THEN text || ' it is not so' ELSE 'many more words with further detail appear here ' || substr(text, 1, 60) END"
+_OLDER = "CASE item_id % 4 WHEN 0 THEN text || ' 41' WHEN 2 THEN text || ' it always is' WHEN 3 THEN substr(text, 1, 60) ELSE text END"
+
+
 @query(
-    f"""WITH {_CONV}, p AS (SELECT a.id AS a_id, b.id AS b_id, {T.jaccard_sql('a.t', 'b.t')} AS ov, {_LATE} AS late, len(a.t) AS na, len(b.t) AS nb, len(list_intersect(a.t, b.t)) AS k,
-  {_POL.format('a.text')} * {_POL.format('b.text')} = -1 AS opp, len({_NUM.format('a.text')}) > 0 AND len({_NUM.format('b.text')}) > 0 AND {_NUM.format('a.text')} <> {_NUM.format('b.text')} AS num FROM cv a JOIN cv b ON a.conv_id = b.conv_id AND a.turn > b.turn),
-i AS (SELECT *, CASE WHEN ov >= 0.3 THEN 0.25::DOUBLE + least(0.15::DOUBLE, ov - 0.3::DOUBLE) END AS s1, CASE WHEN ov >= 0.05 AND opp THEN CASE WHEN late THEN 0.88 ELSE 0.78 END END::DOUBLE AS s2, CASE WHEN ov >= 0.05 AND num THEN CASE WHEN late THEN 0.86 ELSE 0.74 END END::DOUBLE AS s3, CASE WHEN ov < 0.3 AND na > nb + 2 AND k::DOUBLE / greatest(nb, 1) >= 0.8 AND NOT (ov >= 0.05 AND (opp OR num)) THEN 0.42::DOUBLE END AS s4 FROM p)
+    f"""WITH c AS (SELECT item_id, {_NEWER} AS x, {_OLDER} AS y FROM benchmark), a AS (SELECT item_id, x AS text, {T.tokens_sql('x')} AS t FROM c), b AS (SELECT item_id, y AS text, {T.tokens_sql('y')} AS t FROM c),
+p AS (SELECT a.item_id AS a_id, b.item_id AS b_id, {T.jaccard_sql('a.t', 'b.t')} AS ov, {_LATE} AS late, len(a.t) AS na, len(b.t) AS nb, len(list_intersect(a.t, b.t)) AS k,
+  {_POL.format('a.text')} * {_POL.format('b.text')} = -1 AS opp, len({_NUM.format('a.text')}) > 0 AND len({_NUM.format('b.text')}) > 0 AND {_NUM.format('a.text')} <> {_NUM.format('b.text')} AS num FROM a JOIN b ON a.item_id = b.item_id),
+i AS (SELECT *, CASE WHEN ov >= 0.82 THEN 0.25::DOUBLE + least(0.15::DOUBLE, ov - 0.82::DOUBLE) END AS s1, CASE WHEN ov >= 0.24 AND opp THEN CASE WHEN late THEN 0.88 ELSE 0.78 END END::DOUBLE AS s2, CASE WHEN ov >= 0.24 AND num THEN CASE WHEN late THEN 0.86 ELSE 0.74 END END::DOUBLE AS s3, CASE WHEN ov < 0.82 AND na > nb + 2 AND k::DOUBLE / greatest(nb, 1) >= 0.8 AND NOT (ov >= 0.24 AND (opp OR num)) THEN 0.42::DOUBLE END AS s4 FROM p)
 SELECT a_id, b_id, CASE WHEN s2 IS NOT NULL OR s3 IS NOT NULL THEN CASE WHEN late THEN 'obsolete' ELSE 'contradiction' END WHEN s4 IS NOT NULL THEN 'refinement' ELSE 'duplicate' END AS kind, round(greatest(coalesce(s1, 0), coalesce(s2, 0), coalesce(s3, 0), coalesce(s4, 0)), 4) AS severity FROM i WHERE s1 IS NOT NULL OR s2 IS NOT NULL OR s3 IS NOT NULL OR s4 IS NOT NULL"""
 )
 def conflict_pairs(spark, sf_dir):
-    """Contradictions, refinements and duplicates among the turns of each conversation."""
-    t = _turns(spark, sf_dir)
-    a = t.select("conv_id", F.col("turn").alias("t1"), F.col("id").alias("a_id"), F.col("text").alias("a_text"), F.col("tokens").alias("a_tokens"))
-    b = t.select("conv_id", F.col("turn").alias("t2"), F.col("id").alias("b_id"), F.col("text").alias("b_text"), F.col("tokens").alias("b_tokens"))
-    return M.conflicts(a.join(b, "conv_id").filter("t1 > t2"), floor=0.05, duplicate=0.3)
+    """Contradictions, refinements and duplicates between two states of every text (both derived from it)."""
+    c = table(spark, sf_dir, "benchmark").select("item_id", F.expr(_NEWER).alias("a_text"), F.expr(_OLDER).alias("b_text"))
+    return M.conflicts(c.select(F.col("item_id").alias("a_id"), F.col("item_id").alias("b_id"), "a_text", "b_text", T.tokens(F.col("a_text")).alias("a_tokens"), T.tokens(F.col("b_text")).alias("b_tokens")))
 
 
 @query(f"WITH b AS (SELECT item_id, {T.tokens_sql('text')} AS t FROM benchmark), p AS (SELECT x.item_id AS new_id, y.item_id AS old_id, {T.jaccard_sql('x.t', 'y.t')} AS overlap FROM b x JOIN b y ON x.item_id <> y.item_id) SELECT new_id, old_id, round(overlap, 9) AS overlap FROM p QUALIFY overlap > 0 AND row_number() OVER (PARTITION BY new_id ORDER BY overlap DESC, old_id) <= 3")
