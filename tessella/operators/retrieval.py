@@ -164,3 +164,35 @@ def recency_window(rows: DataFrame, budget: int, keys: list[str], tokens: str, *
     """The newest rows, without a gap, whose tokens together stay within the budget."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("spent", F.sum(tokens).over(w)).filter(F.col("spent") <= budget)
+
+
+def near_counts(vectors: DataFrame, threshold: float, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """id, links: how many other vectors have at least the given cosine; rows without any are left out.
+
+    The vectors fall into blocks, and each pair of blocks is one group: a row goes to as
+    many groups as there are blocks, and comes out of each as one count.  The work is
+    that of all pairs, which exactness takes, but the pairs never leave the task.
+    """
+    import pandas as pd
+
+    n = vectors.count()
+    blocks = max(1, -(-n // block))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).filter("v is not null")
+    rows = rows.withColumn("own", F.expr(f"cast(pmod(xxhash64(id), {blocks}) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select("id", "v", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
+        norm = np.linalg.norm(x, axis=1)
+        x = x / np.where(norm > 0, norm, 1)[:, None]
+        ids, own = pdf["id"].to_numpy(), pdf["own"].to_numpy()
+        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
+        left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
+        near = (x[left] @ x[right].T >= threshold) & (norm[left] > 0)[:, None] & (norm[right] > 0)[None, :]
+        near &= ids[left][:, None] != ids[right][None, :]
+        if a == b:
+            return pd.DataFrame({"id": ids[left], "links": near.sum(axis=1)})
+        return pd.DataFrame({"id": np.concatenate((ids[left], ids[right])), "links": np.concatenate((near.sum(axis=1), near.sum(axis=0)))})
+
+    found = rows.groupBy("a", "b").applyInPandas(count, "id long, links long")
+    return found.groupBy("id").agg(F.sum("links").alias("links")).filter("links > 0").withColumnRenamed("id", id_col)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import scoring as S
 from tessella.functions import text as T
 from tessella.model import BOOSTS, DAY, EVENT_KINDS, MEM_SQL, NOW, WEIGHTS, memories, table
+from tessella.operators import planning as P
 from tessella.operators import retrieval as R
 from tessella.operators.temporal import visible, visible_sql
 from tessella.plans.base import query
@@ -225,9 +226,10 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("id", "tm", F.row_number().over(Window.orderBy("tm", "id")).alias("position"))  # 30 rows
 
 
-@query("SELECT item_id, CASE WHEN regexp_matches(text, '\\b(class|function|method|module|import|def)\\b|\\w+\\(\\)|::') THEN 'code' WHEN regexp_matches(lower(text), '\\b(calls?|causes?|depends?|impact|path|related|relationship|why|between)\\b') THEN 'graph' WHEN regexp_matches(text, '\"[^\"]+\"|\\b[A-Z][A-Z0-9_]{2,}\\b') THEN 'lexical' ELSE 'balanced' END AS profile FROM benchmark")
+_RE = lambda p: p.replace("'", "''")
+
+
+@query(f"SELECT item_id, CASE WHEN regexp_matches(text, '{_RE(P.CODE)}') THEN 'code' WHEN regexp_matches(text, '{_RE(P.GRAPH)}') THEN 'graph' WHEN regexp_matches(text, '{_RE(P.LEXICAL)}') THEN 'lexical' ELSE 'balanced' END AS profile FROM benchmark")
 def profile_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The retrieval profile of each query by its cues: code before graph before lexical."""
-    t = F.col("text")
-    profile = F.when(t.rlike("\\b(class|function|method|module|import|def)\\b|\\w+\\(\\)|::"), "code").when(F.lower(t).rlike("\\b(calls?|causes?|depends?|impact|path|related|relationship|why|between)\\b"), "graph")
-    return table(spark, sf_dir, "benchmark").select("item_id", profile.when(t.rlike('"[^"]+"|\\b[A-Z][A-Z0-9_]{2,}\\b'), "lexical").otherwise("balanced").alias("profile"))
+    return table(spark, sf_dir, "benchmark").select("item_id", P.profile(F.col("text")).alias("profile"))
