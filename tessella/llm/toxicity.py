@@ -1,9 +1,10 @@
 """Toxicity scores: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Labelled texts (a bounded sample, dealt by a hash of the id) serve three purposes in
-turn: half of them give the lexicon, words and word beginnings that toxic texts use
-far more often than others; a third trains the trees on features that the lexicon has
-not seen; a sixth calibrates the trees' output to probabilities.  Features are
+Labelled texts (a bounded sample) are dealt by a hash of the id.  Each half gives a
+lexicon, words and word beginnings that toxic texts use far more often than others, and
+gets its features from the lexicon of the other half, which has not seen it.  Five
+sixths of these rows train the trees, one sixth calibrates their output to
+probabilities; new texts are read with the lexicon of both halves.  Features are
 densities of the learned and of a fixed lexicon, their nearness to second-person
 words, capitals, punctuation, and signs of obfuscation.
 """
@@ -272,8 +273,10 @@ def fit(train: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> Model:
     share = int((1 << 20) * min(1.0, sample / max(n, 1)))
     rows = train.filter(F.expr(f"pmod(xxhash64(id), {1 << 20}) < {share}")).withColumn("part", F.expr("cast(pmod(xxhash64(id, 7), 6) as int)"))
     rows = scratch.save(rows.select("text", F.col("toxic").cast("int").alias("toxic"), "part"), "toxicity-sample")
-    lex = learn_lexicon(rows.filter("part < 3"))
-    x, y, part = _features_of(rows.filter("part >= 3"), lex)
+    folds = [learn_lexicon(rows.filter(f"part % 2 = {k}")) for k in (1, 0)]
+    parts = [_features_of(rows.filter(f"part % 2 = {k}"), folds[k]) for k in (0, 1)]
+    x, y, part = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    lex = learn_lexicon(rows)
     grow = part < 5
     if len(set(y[grow].tolist())) < 2 or grow.sum() < 20:
         rate = float(y.mean()) if len(y) else 0.0
