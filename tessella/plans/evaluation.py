@@ -42,14 +42,14 @@ def precision_recall_f1(spark, sf_dir):
     return scores(spark, sf_dir).select("query_id", F.round("precision", 9).alias("precision"), F.round("f1", 9).alias("f1"))
 
 
-@query(f"WITH a AS (SELECT item_id, {T.tokens_sql('text')} AS t FROM benchmark), d AS (SELECT doc_id, {T.tokens_sql('text')} AS t FROM documents WHERE source = 'src3') SELECT item_id, round(max(len(list_intersect(a.t, d.t))::DOUBLE / len(a.t)), 9) AS recall FROM a, d WHERE len(a.t) > 0 GROUP BY item_id")
+@query(f"WITH a AS (SELECT item_id, {T.tokens_sql('text')} AS t FROM benchmark), d AS (SELECT doc_id, {T.tokens_sql('text')} AS t FROM documents) SELECT item_id, round(max(len(list_intersect(a.t, d.t))::DOUBLE / len(a.t)), 9) AS recall FROM a, d WHERE len(a.t) > 0 GROUP BY item_id")
 def answer_token_recall(spark, sf_dir):
-    """The best share of an answer's tokens that one document of a source holds.
+    """The best share of an answer's tokens that one document holds.
 
     Tokens meet in an inverted index; an answer without any match has recall 0.
     """
     a = table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t")).filter("size(t) > 0")
-    d = table(spark, sf_dir, "documents").filter("source = 'src3'").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
     hits = a.select("item_id", F.explode("t").alias("token")).join(d, "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("k")).groupBy("item_id").agg(F.max("k").alias("k"))
     return a.join(hits, "item_id", "left").select("item_id", F.round(F.coalesce("k", F.lit(0)) / F.size("t"), 9).alias("recall"))
 

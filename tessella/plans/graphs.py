@@ -50,14 +50,15 @@ def global_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.pagerank(edges(spark, sf_dir), rounds=32).withColumn("rank", F.round("rank", 9))
 
 
-_CHAIN = "SELECT DISTINCT l_orderkey AS src, l_suppkey AS dst FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09"
+_TREE = "SELECT 'c' || c_custkey::VARCHAR AS src, 'n' || c_nationkey::VARCHAR AS dst FROM customer UNION SELECT 's' || s_suppkey::VARCHAR, 'n' || s_nationkey::VARCHAR FROM supplier UNION SELECT 'n' || n_nationkey::VARCHAR, 'r' || n_regionkey::VARCHAR FROM nation"
 
 
-@query(f"WITH RECURSIVE e AS (SELECT 'o' || src::VARCHAR AS src, 's' || dst::VARCHAR AS dst FROM ({_CHAIN})), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS node, src AS reach FROM u UNION SELECT r.node, u.dst FROM r JOIN u ON r.reach = u.src) SELECT node, min(reach) AS component FROM r GROUP BY node")
+@query(f"WITH RECURSIVE e AS ({_TREE}), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS node, src AS reach FROM u UNION SELECT r.node, u.dst FROM r JOIN u ON r.reach = u.src) SELECT node, min(reach) AS component FROM r GROUP BY node")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of orders and suppliers joined by large, discounted lines."""
-    e = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.09").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
-    return G.components(e)
+    """Components of customers, suppliers, nations and regions."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    rows = [table(spark, sf_dir, t).select(name(p, a).alias("src"), name(q, b).alias("dst")) for t, p, a, q, b in (("customer", "c", "c_custkey", "n", "c_nationkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey"))]
+    return G.components(rows[0].unionByName(rows[1]).unionByName(rows[2]))
 
 
 _PATH = ["pc AS MATERIALIZED (SELECT src, dst, -ln(least(greatest(weight / (SELECT max(weight) FROM ed), 0.02::DOUBLE), 1.0::DOUBLE)) AS cost FROM un)", "b0 AS (SELECT 'Brand#11' AS node, 0.0::DOUBLE AS cost)"]
@@ -137,9 +138,6 @@ def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return small.select(F.inline(F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f).alias("value"), F.col("n").alias("k")) for f in names]))).groupBy("facet", "value").agg(F.sum("k").alias("n"))
 
 
-_MASS = "WITH o AS (SELECT n_regionkey AS community, n_nationkey AS node FROM nation)"
-
-
 @query("WITH t AS (SELECT cn.n_regionkey AS a, sn.n_regionkey AS b, count(*) AS edges, sum(l_discount) AS strength, count(DISTINCT l_orderkey) AS support FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey WHERE cn.n_regionkey <> sn.n_regionkey GROUP BY ALL), u AS (SELECT least(a, b) AS a, greatest(a, b) AS b, sum(edges) AS edges, sum(strength) AS strength, sum(support) AS support FROM t GROUP BY ALL) SELECT a, b, edges::BIGINT AS edges, round(0.6::DOUBLE * ln(1 + strength) + 0.25::DOUBLE * ln(1 + support) + 0.15::DOUBLE * ln(1 + edges), 6) AS raw FROM u")
 def community_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bridges between regions: trade from customers of one to suppliers of another."""

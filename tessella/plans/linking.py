@@ -28,14 +28,14 @@ def mention_join(spark, sf_dir):
     return w.filter(F.length("name") >= 8).join(_names(spark, sf_dir), "name")
 
 
-_PART = f"pt AS (SELECT p_partkey, {T.tokens_sql('p_name')} AS t FROM part WHERE p_size <= 2)"
+_PART = f"nm2 AS (SELECT min(p_partkey) AS id, p_name FROM part GROUP BY p_name), pt AS (SELECT id, {T.tokens_sql('p_name')} AS t FROM nm2)"
 
 
-@query(f"WITH {_PART} SELECT x.p_partkey AS new_id, y.p_partkey AS old_id, round({T.jaccard_sql('x.t', 'y.t')}, 9) AS overlap FROM pt x JOIN pt y ON x.p_partkey < y.p_partkey WHERE {T.jaccard_sql('x.t', 'y.t')} >= 0.6")
+@query(f"WITH {_PART} SELECT x.id AS new_id, y.id AS old_id, round({T.jaccard_sql('x.t', 'y.t')}, 9) AS overlap FROM pt x JOIN pt y ON x.id < y.id WHERE {T.jaccard_sql('x.t', 'y.t')} >= 0.3")
 def entity_blocking(spark, sf_dir):
-    """Entities of small parts whose names overlap by 0.6 or more, blocked by shared tokens."""
-    p = table(spark, sf_dir, "part").filter("p_size <= 2").select(F.col("p_partkey").alias("id"), T.tokens(F.col("p_name")).alias("tokens"))
-    return M.candidates(p, p).filter("new_id < old_id and overlap >= 0.6").withColumn("overlap", F.round("overlap", 9))
+    """Entities whose names overlap by 0.3 or more, blocked by shared tokens; equal names count once, by their least id."""
+    p = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id")).select("id", T.tokens(F.col("p_name")).alias("tokens"))
+    return M.candidates(p, p).filter("new_id < old_id and overlap >= 0.3").withColumn("overlap", F.round("overlap", 9))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(' find the parts named ' || (SELECT min(p_name) FROM part) || ' please', '\\b' || regexp_replace(p_name, '([^\\w\\s])', '\\\\\\1', 'g') || '\\b')")
@@ -48,17 +48,17 @@ def seed_entities(spark, sf_dir):
     return p.filter(inside)
 
 
-@query(f"WITH {MEM_SQL} SELECT m.repo_id AS entity, count(*) AS memories, round(sum(confidence), 6) AS score FROM mem m WHERE {visible_sql()} AND workspace_id = 'fr' GROUP BY 1")
+@query(f"WITH {MEM_SQL} SELECT m.repo_id AS entity, count(*) AS memories, round(sum(confidence), 6) AS score FROM mem m WHERE {visible_sql()} GROUP BY 1")
 def graph_arm_incidence(spark, sf_dir):
     """What a graph arm of one hop scores: the confidence that reaches each entity."""
-    m = memories(spark, sf_dir, content=False).filter(visible() & (F.col("workspace_id") == "fr"))
+    m = memories(spark, sf_dir, content=False).filter(visible())
     return m.groupBy(F.col("repo_id").alias("entity")).agg(F.count(F.lit(1)).alias("memories"), F.round(F.sum("confidence"), 6).alias("score"))
 
 
-@query("WITH n AS (SELECT l_suppkey AS symbol, l_orderkey AS caller, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS n FROM lineitem WHERE l_suppkey <= 50) SELECT symbol, caller, n::INTEGER AS position FROM n WHERE n <= 10")
+@query("WITH n AS (SELECT l_suppkey AS symbol, l_orderkey AS caller, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS n FROM lineitem) SELECT symbol, caller, n::INTEGER AS position FROM n WHERE n <= 10")
 def code_search_callers(spark, sf_dir):
     """Symbols with at most ten callers each, the strongest first."""
-    li = table(spark, sf_dir, "lineitem").filter("l_suppkey <= 50")
+    li = table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
     return li.select(F.col("l_suppkey").alias("symbol"), F.col("l_orderkey").alias("caller"), F.row_number().over(w).alias("position")).filter("position <= 10")
 

@@ -116,9 +116,6 @@ def context_pack(spark, sf_dir):
     return C.pack_context(c, 1500)
 
 
-_SIGN = "(?:[A-Z]{4,})"
-
-
 @query("WITH e AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._]+@[a-z0-9.]+', 0))) AS name FROM documents) SELECT lower(name) AS entity, count(*) AS mentions, min(doc_id) AS first_doc FROM e GROUP BY 1")
 def entity_profiles(spark, sf_dir):
     """How often each entity is mentioned, and first where."""
