@@ -9,11 +9,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-9
+DAMPING, ROUNDS = 0.85, 30
+#: Directed edges up to which a ranking is iterated within one task; above, every round is a join.
+SMALL = 500_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -54,6 +57,8 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, rounds: int = ROU
         return nodes.select("node", F.lit(0.0).alias("rank")).filter("false")
     base = start.withColumn("restart", F.lit(1.0 / n))
     base = cut(nodes.join(base, "node", "full").select("node", F.coalesce("restart", F.lit(0.0)).alias("restart")))
+    if walk.count() <= SMALL:
+        return _small_ranks(walk, base, rounds, damping)
     ranks = base.select("node", F.col("restart").alias("rank"))
     for k in range(1, rounds + 1):
         flow = ranks.join(walk, ranks["node"] == walk["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
@@ -63,6 +68,22 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, rounds: int = ROU
     return ranks
 
 
+def _small_ranks(walk: DataFrame, base: DataFrame, rounds: int, damping: float) -> DataFrame:
+    """The same rounds over a graph of bounded size, as sparse products in one task."""
+
+    def solve(steps: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        at = pd.Series(np.arange(len(start)), index=start["node"])
+        src, dst, share = at[steps["src"]].to_numpy(), at[steps["dst"]].to_numpy(), steps["share"].to_numpy()
+        restart = start["restart"].to_numpy()
+        rank = restart.copy()
+        for _ in range(rounds):
+            rank = (1 - damping) * restart + damping * np.bincount(dst, rank[src] * share, len(start))
+        return pd.DataFrame({"node": start["node"], "rank": rank})
+
+    one = lambda df: df.groupBy(F.lit(0).alias("all"))
+    return one(walk).cogroup(one(base)).applyInPandas(solve, "node string, rank double")
+
+
 def one_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """The seeds and their neighbours with the weight that reaches them."""
     both = undirected(clean(edges))

@@ -78,6 +78,9 @@ def test_graph(spark):
     assert {r["node"]: r["component"] for r in graph.components(e.filter("src <> 'x'")).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d"}
     ranks = {r["node"]: r["rank"] for r in graph.pagerank(e, spark.createDataFrame([("a",)], "node string")).collect()}
     assert sum(ranks.values()) == pytest.approx(1.0) and ranks["d"] == 0.0 and ranks["b"] > ranks["c"]
+    graph.SMALL, keep = 0, graph.SMALL
+    assert {r["node"]: r["rank"] for r in graph.pagerank(e, spark.createDataFrame([("a",)], "node string")).collect()} == pytest.approx(ranks)
+    graph.SMALL = keep
     path = {r["node"]: r["cost"] for r in graph.strongest_path(edges(spark, [("a", "b", 0.5), ("b", "c", 0.5), ("a", "c", 0.1)]), "a").collect()}
     assert path["c"] == pytest.approx(-math.log(0.25))
     assert {r["node"]: r["depth"] for r in graph.bfs(e, "a").collect()} == {"a": 0, "b": 1, "c": 2}
