@@ -26,12 +26,34 @@ KINDS = ("email", "iban", "date", "ip", "ssn", "phone", "card")
 
 # The patterns of candidates; what they find is checked before it is replaced.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-IBAN = r"\b[A-Z]{2}\d{2}(?: ?\d{4}){2,7}(?: ?\d{1,3})?\b"
+# Lengths of the IBANs of a country as registered; what follows one is another value.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "|".join(f"(?:{c.replace(' ', '|')})\\d{{2}}(?: ?\\d{{4}}){{{(n - 4) // 4}}}" + f"(?: ?\\d{{{n % 4}}})" * (n % 4 > 0) for n, c in IBAN_LENGTHS.items())
+# Other codes, and other lengths: the longest candidate.
+IBAN = rf"\b(?=[A-Z]{{2}}\d{{2}})(?:(?:{_KNOWN})\b|[A-Z]{{2}}\d{{2}}(?: ?\d{{4}}){{2,7}}(?: ?\d{{1,3}})?\b)"
 DATE = r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b|\b\d{1,2}\.\d{1,2}\.\d{4}\b"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
-PHONE = r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}\b|\b\d{3}[.-]\d{3}[.-]\d{4}\b"
 CARD = r"\b(?:\d{4}[ -]?){3}\d{4}\b|\b\d{4}[ -]?\d{6}[ -]?\d{5}\b|\b\d{13,19}\b"
+
+
+def _marks(least: int, most: int) -> str:
+    """So many digits and what is between them; a look-behind needs it without counted groups."""
+    one = r"[ .()-]{0,3}\d"
+    return one * least + f"(?:{one}" * (most - least) + ")?" * (most - least)
+
+
+# A number with a country code: +1 has ten digits; others have 7 to 15 with the code, as many groups as fit, but end
+# before another value, and before a year after eight digits, unless what is left would be too short.
+_STOP = rf"(?!{IP}|{DATE}|{SSN}|{CARD}|(?<=\+\d{{1,3}}[ .(-]{_marks(8, 14)} )(?:19|20)\d{{2}}(?!\d))"
+_SIZE = rf"(?!\d)(?<=\+{_marks(7, 15)})(?<=\+(?:\d{{1,3}}(?=[ .(-])|(?!\d{{1,3}}[ .(-])){_marks(7, 15)})"
+_BEGIN, _GROUP = r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?", r"\d{2,4}"
+_ABROAD = rf"\+1[ .-]?\(?\d{{3}}\)?[ .-]?\d{{3}}[ .-]?\d{{4}}(?!\d)|{_BEGIN}(?:[ .-]?{_STOP}{_GROUP}){{2,4}}{_SIZE}|{_BEGIN}(?:[ .-]?{_GROUP}){{2,4}}{_SIZE}"
+PHONE = rf"{_ABROAD}|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}\b|\b\d{{3}}[.-]\d{{3}}[.-]\d{{4}}\b"
 ANY = "|".join((EMAIL, IBAN, DATE, IP, SSN, PHONE, CARD))
 
 #: Days from 1900-01-01 to 2099-12-31.
@@ -201,7 +223,10 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, out_co
 
     E-mail addresses, IBANs (modulo 97), dates from 1900 to 2099, IPv4 addresses, social
     security numbers, telephone numbers (7 to 15 digits) and card numbers (Luhn) are
-    replaced if they pass their check; other text stays as it is, byte for byte.  Equal
+    replaced if they pass their check; other text stays as it is, byte for byte.  An
+    IBAN has the length of its country; a telephone number ends before an address, a
+    date, a card or a year that follows it (other groups of 2 to 4 digits right after a
+    number that is not of +1 are taken as part of it, up to 15 digits).  Equal
     values get equal pseudonyms under the same key, in whatever document.  A null text
     stays null, with counts of 0.  Rows, repeated ones too, and other columns stay as
     they are, but for columns with the names of the counts, which are replaced.

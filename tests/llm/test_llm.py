@@ -403,6 +403,21 @@ def test_pseudonyms(spark):
     assert out[7:] == [None, "", "plain"]
 
 
+def test_pseudonyms_of_neighbours(spark):
+    """A value that follows a number neither hides it nor changes its pseudonym."""
+    phones = ["+1 (826) 555-4081", "+44 20 7946 0958", "+33 1 23 45 67 89", "+49.30.123.45.67"]
+    nexts = [" 190.137.223.204", " 2024", " 2024-10-12", " 12.10.2024", " 123-45-6789", " 4111 1111 1111 1111", " 4111111111111111"]
+    ibans = ["BE68 5390 0754 7034", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00"]
+    texts = [*phones, *nexts, *ibans, *(p + n for p in phones for n in nexts), *(i + n for i in ibans for n in nexts), "+49 170 5555 2024", "+1 (826) 555-4081 22"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["text"]: r["new"] for r in pii.pseudonymise(df, out_col="new").collect()}
+    for first in (*phones, *ibans):
+        assert got[first] != first
+        for n in nexts:
+            assert got[first + n] == got[first] + got[n] and (n == " 2024" or got[n] != n)
+    assert got["+49 170 5555 2024"][:7] != "+49 170" and got["+1 (826) 555-4081 22"] == got["+1 (826) 555-4081"] + " 22"
+
+
 def test_permutations_are_permutations(spark):
     n = 271 * 270
     assert spark.range(n).select(pii.feistel(F.col("id"), 271, 270, "t", "k").alias("y")).filter(f"y >= 0 and y < {n}").distinct().count() == n
