@@ -6,13 +6,14 @@ multiset of lengths that fits one sequence.  The covering program
 
     minimise sum x_C   subject to   sum a(C, l) x_C >= n(l)
 
-is solved by multiplicative weights: each round prices the lengths, finds the most
-valuable configuration by dynamic programming over the capacity (unbounded knapsack)
-and lowers the prices of what it covers.  Any prices, divided by the value of their
-best configuration, are a feasible dual, which gives a lower bound on the sequences.
-The solution is rounded down to whole sequences, and what is left is packed
-best-fit-decreasing, by length classes rather than by items, so that the work on the
-driver depends on the capacity and not on the number of documents.
+is solved by multiplicative weights: each round prices the lengths and finds, by dynamic
+programming over the capacity (unbounded knapsack), the most valuable configuration that
+contains each length.  Those of nearly the best value are used, in whole sequences and at
+most half of what a length needs at a time, and the prices of what they cover fall.  Any
+prices, divided by the value of their best configuration, are a feasible dual, which gives
+a lower bound on the sequences.  Rounds go on until all but a small share of the tokens is
+covered; that rest is packed best-fit-decreasing, by length classes rather than by items,
+so that the work on the driver depends on the capacity and not on the number of documents.
 
 Pieces are numbered within their length by task (counts per task and length, summed
 over the tasks before), and a table of at most a few thousand classes maps a length
@@ -36,7 +37,10 @@ from tessella.llm import kernels as K
 from tessella.llm.common import Scratch, arrow_batches, documents
 
 CAPACITY = 2048
-ROUNDS = 200
+#: Configurations within this share of the best value are used in the same round.
+NEAR = 0.03
+#: The share of the tokens that is left to best fit.
+REST = 0.01
 #: Distinct chunks whose ids a worker keeps.
 CACHE = 1_000_000
 
@@ -191,6 +195,8 @@ class Plan:
 
     classes: list[tuple[int, tuple[tuple[int, int], ...]]] = field(default_factory=list)
     bound: float = 0.0
+    #: So many classes, the first ones, come from the linear program, the others from best fit.
+    solved: int = 0
 
     @property
     def sequences(self) -> int:
@@ -210,28 +216,42 @@ class Plan:
         return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def best_configuration(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """The most valuable multiset of lengths within the capacity, by dynamic programming."""
+def best_values(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
+    """For each room the value of its best multiset of lengths, and the length to take first (0: leave one token free)."""
+    worth = np.full(capacity + 1, -np.inf)
+    worth[lengths] = values
     best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
+    choice = [0] * (capacity + 1)
+    dense = 3 * len(lengths) > capacity
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     for c in range(1, capacity + 1):
-        k = np.searchsorted(lengths, c, "right")
         best[c] = best[c - 1]
-        if k:
-            worth = best[c - lengths[:k]] + values[:k]
-            i = int(np.argmax(worth))
-            if worth[i] > best[c] + 1e-15:
-                best[c], choice[c] = worth[i], i
-    out: dict[int, int] = {}
-    c = capacity
+        if k := upto[c]:
+            total = worth[1 : c + 1] + best[c - 1 :: -1] if dense else best[c - lengths[:k]] + values[:k]
+            i = int(np.argmax(total))
+            if total[i] > best[c] + 1e-15:
+                best[c], choice[c] = total[i], i + 1 if dense else int(lengths[i])
+    return best, choice
+
+
+def configuration(first: int, choice: list[int], lengths: np.ndarray, left: np.ndarray, capacity: int) -> dict[int, int]:
+    """The best configuration with the length ``first``, of what is left; the room of missing pieces goes to the longest that fit."""
+    out = {first: 1}
+    c = capacity - first
     while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            length = int(lengths[choice[c]])
+        if length := choice[c]:
             out[length] = out.get(length, 0) + 1
-            c -= length
-    return float(best[capacity]), out
+        c -= length or 1
+    out = {length: k for length, copies in out.items() if (k := min(copies, int(left[length])))}
+    room = capacity - sum(length * k for length, k in out.items())
+    while room and (upto := int(np.searchsorted(lengths, room, "right"))):
+        length = next((x for x in lengths[upto - 1 :: -1].tolist() if left[x] > out.get(x, 0)), 0)
+        if not length:
+            break
+        k = min(room // length, int(left[length]) - out.get(length, 0))
+        out[length] = out.get(length, 0) + k
+        room -= k * length
+    return out
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -268,42 +288,46 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[tup
     return [(n, c) for n, c in full] + [(n, c) for x in open_.values() for n, c in x]
 
 
-def plan(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> Plan:
-    """Sequences for pieces of the given lengths (length -> how many)."""
+def plan(counts: dict[int, int], capacity: int, rounds: int | None = None) -> Plan:
+    """Sequences for pieces of the given lengths (length -> how many); without a limit, rounds go on until REST is left."""
     demand = {k: n for k, n in counts.items() if n}
     if not demand:
         return Plan()
-    lengths = np.array(sorted(demand))
-    n = np.array([demand[x] for x in lengths.tolist()], float)
-    total = float((lengths * n).sum())
+    n = np.zeros(capacity + 1, np.int64)
+    n[list(demand)] = list(demand.values())
+    size = np.arange(capacity + 1)
+    total = int((size * n).sum())
     # A little more than proportional prices use long pieces first and keep short ones to fill gaps.
-    weight = (lengths / capacity) ** 1.05
-    covered = np.zeros(len(n))
-    amount: dict[tuple[tuple[int, int], ...], float] = {}
-    bound = total / capacity
-    for _ in range(rounds):
-        value, config = best_configuration(weight, lengths, capacity)
-        if value <= 0:
-            break
-        bound = max(bound, float((weight * n).sum()) / value)
-        at = np.searchsorted(lengths, list(config))
-        copies = np.array(list(config.values()))
-        step = float(((n[at] - covered[at]) / copies).min())
-        step = max(0.0, min(step, float((n[at] / copies).min()) / 2))
-        covered[at] += step * copies
-        key = tuple(sorted(config.items(), reverse=True))
-        amount[key] = amount.get(key, 0.0) + step
-        weight[at] *= np.exp(-0.5 * np.maximum(step, 1e-9) * copies / n[at])
-        weight[covered >= n - 1e-9] = 0.0
-    left = dict(demand)
-    out = Plan(bound=bound)
-    for config, x in sorted(amount.items(), key=lambda kv: (-kv[1], kv[0])):
-        many = min([int(x + 1e-9), *(left[k] // c for k, c in config)])
-        if many > 0:
-            out.classes.append((many, config))
-            for k, c in config:
-                left[k] -= many * c
-    out.classes += best_fit({k: v for k, v in left.items() if v}, capacity)
+    weight = (size / capacity) ** 1.05
+    left = n.copy()
+    amount: dict[tuple[tuple[int, int], ...], int] = {}
+    out = Plan(bound=total / capacity)
+    # A round covers at least one piece, so that this ends.
+    while (rounds is None or rounds > 0) and (size * left).sum() > REST * total:
+        rounds = None if rounds is None else rounds - 1
+        live = np.flatnonzero(left)
+        best, choice = best_values(weight[live], live, capacity)
+        top = float(best[capacity])
+        out.bound = max(out.bound, float((weight[live] * n[live]).sum()) / top)
+        values = weight[live] + best[capacity - live]
+        order = np.argsort(-values, kind="stable")
+        used = False
+        for first in live[order[values[order] >= (1 - NEAR) * top]].tolist():
+            if not left[first]:
+                continue
+            config = configuration(first, choice, live, left, capacity)
+            lengths, copies = np.array(list(config)), np.array(list(config.values()))
+            if used and (weight[lengths] * copies).sum() < (1 - NEAR) * top:
+                continue
+            used = True
+            many = max(1, min(int((left[lengths] // copies).min()), int((n[lengths] / copies).min() / 2)))
+            left[lengths] -= many * copies
+            weight[lengths] *= np.exp(-0.5 * many * copies / n[lengths])
+            key = tuple(sorted(config.items(), reverse=True))
+            amount[key] = amount.get(key, 0) + many
+    out.classes = [(many, config) for config, many in sorted(amount.items(), key=lambda kv: (-kv[1], kv[0]))]
+    out.solved = len(out.classes)
+    out.classes += best_fit({k: int(left[k]) for k in np.flatnonzero(left).tolist()}, capacity)
     return out
 
 

@@ -214,6 +214,25 @@ def test_plan_bounds():
     assert packing.plan({60: 10}, 100).bound == pytest.approx(10)  # better than 6, the tokens over the capacity
 
 
+@pytest.mark.parametrize("scale", [1, 20])
+def test_plan_of_many_lengths(scale):
+    """Some 2,000 lengths, many of them rare: the linear program places nearly all."""
+    rng = np.random.default_rng(1)
+    counts = Counter(np.minimum(rng.lognormal(6.3, 1.2, 20_000).astype(int) + 1, 2048).tolist())
+    counts.update(range(1, 2001))
+    counts = {k: n * scale for k, n in counts.items()}
+    p = packing.plan(counts, 2048)
+    used, solved = Counter(), Counter()
+    for i, (n, content) in enumerate(p.classes):
+        assert n > 0 and sum(k * c for k, c in content) <= 2048
+        for k, c in content:
+            used[k] += n * c
+            solved[k] += n * c * (i < p.solved)
+    assert len(counts) >= 2000 and used == counts and p.bound <= p.sequences <= 1.002 * p.bound + 1
+    tokens, pieces = (sum(k**e * n for k, n in solved.items()) / sum(k**e * n for k, n in counts.items()) for e in (1, 0))
+    assert tokens >= 0.99 and pieces >= 0.9
+
+
 # Suffix arrays
 
 
