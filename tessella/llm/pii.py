@@ -32,8 +32,8 @@ IBAN_LENGTHS = {
     23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
     28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
 }
-_KNOWN = "|".join(f"(?:{c.replace(' ', '|')})\\d{{2}}(?: ?\\d{{4}}){{{(n - 4) // 4}}}" + f"(?: ?\\d{{{n % 4}}})" * (n % 4 > 0) for n, c in IBAN_LENGTHS.items())
-# Other codes, and other lengths: the longest candidate.
+_KNOWN = "|".join(f"(?:{c.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + f"(?: ?[A-Z0-9]{{{n % 4}}})" * (n % 4 > 0) for n, c in IBAN_LENGTHS.items())
+# Other codes, and other lengths: the longest candidate of digits.
 IBAN = rf"\b(?=[A-Z]{{2}}\d{{2}})(?:(?:{_KNOWN})\b|[A-Z]{{2}}\d{{2}}(?: ?\d{{4}}){{2,7}}(?: ?\d{{1,3}})?\b)"
 DATE = r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b|\b\d{1,2}\.\d{1,2}\.\d{4}\b"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
@@ -103,13 +103,13 @@ def permuted_digits(d: Column, label: str, key: str) -> Column:
     return F.lpad(y.cast("string"), n, "0")
 
 
-def refill(m: Column, d: Column) -> Column:
-    """The match with its digits replaced, in order, by those of d."""
+def refill(m: Column, d: Column, replaced: str = "0-9") -> Column:
+    """The match with its characters of a class (digits) replaced, in order, by those of d."""
     state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(s: Column, c: Column) -> Column:
-        digit = c.between("0", "9")
-        return F.struct(F.concat(s["out"], F.when(digit, F.substr(d, s["at"] + 1, F.lit(1))).otherwise(c)).alias("out"), (s["at"] + digit.cast("int")).alias("at"))
+        hit = c.rlike(f"^[{replaced}]$")
+        return F.struct(F.concat(s["out"], F.when(hit, F.substr(d, s["at"] + 1, F.lit(1))).otherwise(c)).alias("out"), (s["at"] + hit.cast("int")).alias("at"))
 
     return F.aggregate(F.split(m, ""), state, step, lambda s: s["out"])
 
@@ -184,20 +184,47 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _mod97(d: Column) -> Column:
-    return F.aggregate(F.filter(F.split(d, ""), lambda c: c != ""), F.lit(0), lambda s, c: (s * 10 + c.cast("int")) % 97)
+    """The remainder by 97, with letters as 10 to 35."""
+
+    def step(s: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), (s * 10 + c.cast("int")) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.filter(F.split(d, ""), lambda c: c != ""), F.lit(0), step)
+
+
+def _permuted_letters(c: Column, key: str) -> Column:
+    """A string of letters for one of the same length, in parts of at most 8."""
+    alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+    def part(k: Column) -> Column:
+        p = F.substr(c, k + 1, F.lit(8))
+        n = F.length(p)
+        x = F.aggregate(F.split(p, ""), F.lit(0).cast("long"), lambda s, v: s * 26 + F.ascii(v) - 65)
+        y = feistel(x, F.pow(F.lit(26), F.ceil(n / 2)).cast("long"), F.pow(F.lit(26), F.floor(n / 2)).cast("long"), "iban-letters", key)
+        return F.transform(F.array(y), lambda v: F.array_join(F.transform(F.sequence(n - 1, F.lit(0), F.lit(-1)), lambda i: F.substr(alphabet, (F.floor(v / F.pow(F.lit(26), i)) % 26 + 1).cast("int"), F.lit(1))), ""))[0]
+
+    return F.when(F.length(c) > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.length(c) - 1, F.lit(8)), part), "")).otherwise("")
+
+
+def _permuted_account(d: Column, key: str) -> Column:
+    """Digits by halves of at most 15; the halves of fewer than 4 digits are one number."""
+    half = F.floor(F.length(d) / 2).cast("int")
+    halves = F.concat(permuted_digits(F.substr(d, F.lit(1), half), "iban-1", key), permuted_digits(F.substr(d, half + 1), "iban-2", key))
+    return F.when(F.length(d) >= 4, halves).when(F.length(d) >= 2, permuted_digits(d, "iban-1", key)).when(F.length(d) == 1, feistel(d.cast("long"), 10, 1, "iban-1", key).cast("string")).otherwise("")
 
 
 def _iban(m: Column, key: str) -> Column:
-    """Account digits are permuted by halves of at most 15 digits, and the check digits computed anew."""
+    """The account's digits and letters are permuted within their classes, and the check digits computed anew."""
     bare = F.regexp_replace(m, " ", "")
     country = F.substring(bare, 1, 2)
     code = F.concat(*[(F.ascii(F.substring(country, k, 1)) - 55).cast("string") for k in (1, 2)])
     account = F.substr(bare, F.lit(5))
-    half = F.floor(F.length(account) / 2).cast("int")
-    new = F.concat(permuted_digits(F.substr(account, F.lit(1), half), "iban-1", key), permuted_digits(F.substr(account, half + 1), "iban-2", key))
+    letters = F.regexp_replace(account, "[0-9]", "")
+    new = refill(account, _permuted_account(digits_of(account), key))
+    new = F.when(letters == "", new).otherwise(refill(new, _permuted_letters(letters, key), "A-Z"))
     out = F.transform(F.array(new), lambda v: F.concat(F.lpad((98 - _mod97(F.concat(v, code, F.lit("00")))).cast("string"), 2, "0"), v))[0]
     ok = (_mod97(F.concat(account, code, F.substring(bare, 3, 2))) == 1) & F.length(account).between(8, 30)
-    return F.when(ok, F.concat(country, refill(F.substr(m, F.lit(3)), out)))
+    return F.when(ok, F.concat(country, refill(F.substr(m, F.lit(3)), out, "A-Z0-9")))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -224,7 +251,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, out_co
     E-mail addresses, IBANs (modulo 97), dates from 1900 to 2099, IPv4 addresses, social
     security numbers, telephone numbers (7 to 15 digits) and card numbers (Luhn) are
     replaced if they pass their check; other text stays as it is, byte for byte.  An
-    IBAN has the length of its country; a telephone number ends before an address, a
+    IBAN has the length of its country, its account digits and letters; a telephone number ends before an address, a
     date, a card or a year that follows it (other groups of 2 to 4 digits right after a
     number that is not of +1 are taken as part of it, up to 15 digits).  Equal
     values get equal pseudonyms under the same key, in whatever document.  A null text

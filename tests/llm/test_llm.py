@@ -437,6 +437,26 @@ def test_pseudonyms_of_neighbours(spark):
     assert got["+49 170 5555 2024"][:7] != "+49 170" and got["+1 (826) 555-4081 22"] == got["+1 (826) 555-4081"] + " 22"
 
 
+def test_pseudonyms_of_ibans_with_letters(spark):
+    ibans = ["GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300", "FR14 2004 1010 0505 0001 3M02 606", "IT60X0542811101000000123456", "MT84MALT011000012345MTLCAST001S", "LC14BOSL123456789012345678901234"]
+    wrong = ["GB83 WEST 1234 5698 7654 32", "NL91ABNA0417164301"]
+    texts = [*ibans, *(f"pay {i} or {i.replace(' ', '')}." for i in ibans), *wrong]
+    got = [(r["new"], r["n_iban"]) for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), out_col="new").orderBy("doc_id").collect()]
+    for k, i in enumerate(ibans):
+        new, n = got[k]
+        bare = new.replace(" ", "")
+        form = lambda x: re.sub("[A-Z]", "A", re.sub("[0-9]", "0", x))
+        assert n == 1 and new[:2] == i[:2] and form(new) == form(i) and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+        assert re.sub("[0-9]", "", new[4:]) != re.sub("[0-9]", "", i[4:]) and re.sub("[A-Z]", "", new[4:]) != re.sub("[A-Z]", "", i[4:])
+        assert got[len(ibans) + k] == (f"pay {new} or {bare}.", 2)
+    assert got[-2:] == [(w, 0) for w in wrong]
+
+
+def test_letters_are_permuted(spark):
+    two = spark.range(676).select(F.concat(*[F.char(65 + x) for x in (F.col("id") / 26, F.col("id") % 26)]).alias("c"))
+    assert two.select(pii._permuted_letters(F.col("c"), "k").alias("y")).filter("y rlike '^[A-Z]{2}$'").distinct().count() == 676
+
+
 def test_permutations_are_permutations(spark):
     n = 271 * 270
     assert spark.range(n).select(pii.feistel(F.col("id"), 271, 270, "t", "k").alias("y")).filter(f"y >= 0 and y < {n}").distinct().count() == n
