@@ -43,12 +43,15 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Lines are compared without surrounding spaces, tabs and carriage returns; blank
     lines are never removed, and a null site counts as one site.  Returns, per row: the
     id, n_lines, n_removed and text (the lines that stay, in order; null for a null text,
-    which has no lines).  Rows that repeat an id get a row each; an empty table gives an
+    which has no lines).  Rows that repeat an id, or have a null id, get a row each; an empty table gives an
     empty result; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(site_col).cast("string"), F.lit(NONE)).alias("site"))
-    each = base.select("id", "tag", "site", F.posexplode(F.transform(lines_of(F.col("text")), _name)).alias("at", "line")).filter("line is not null")
+    # A null id meets no other in a join: the key stands for it.
+    name, none = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.col(id_col).isNull().alias("none")
+    on = ["name", "none", "tag"]
+    base = docs.select(F.col(id_col).alias("id"), name, none, F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(site_col).cast("string"), F.lit(NONE)).alias("site"))
+    each = base.select(*on, "site", F.posexplode(F.transform(lines_of(F.col("text")), _name)).alias("at", "line")).filter("line is not null")
     each = scratch.save(each, "lines")
     spread = scratch.save(widespread(each.select("line", "site"), sites), "spread")
     sure = spread.filter(F.col("spread") > sites * (1 + NEAR)).select("line")
@@ -57,16 +60,16 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     exact = each.join(F.broadcast(near) if small else near, "line").select("line", "site").distinct().groupBy("line").count().filter(F.col("count") >= sites).select("line")
     common = scratch.save(sure.unionByName(exact), "common")
     few = F.broadcast(common) if common.count() <= BROADCAST_ROWS else common
-    hits = each.join(few, "line").groupBy("id", "tag").agg(F.collect_set("at").alias("gone"))
+    hits = each.join(few, "line").groupBy(*on).agg(F.collect_set("at").alias("gone"))
     hits = scratch.save(hits, "hits")
-    keys = hits.select("id", "tag")
+    keys = hits.select(*on)
     lines = lines_of(F.col("text"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines")
-    cut = pick(base, keys, ["id", "tag"]).join(hits, ["id", "tag"])
+    cut = pick(base, keys, on).join(hits, on)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
     cut = cut.select("id", n, F.size("gone").alias("n_removed"), kept.alias("text"))
     few = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-    rest = base.join(few, ["id", "tag"], "left_anti").select("id", n, F.lit(0).alias("n_removed"), "text")
+    rest = base.join(few, on, "left_anti").select("id", n, F.lit(0).alias("n_removed"), "text")
     return cut.unionByName(rest).withColumnRenamed("id", id_col)
 
 

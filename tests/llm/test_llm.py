@@ -161,6 +161,14 @@ def test_boilerplate_lines(spark, odd, none):
     assert line_dedup.remove_boilerplate(odd).count() == len(ODD) and line_dedup.remove_boilerplate(none).count() == 0
 
 
+def test_boilerplate_lines_of_null_ids(spark):
+    rows = [(i if i % 3 else None, f"own {i}\nshared", f"s{i}") for i in range(10)] + [("", "other", "s1"), (None, "other\nshared", "s2"), (None, None, "s3")]
+    rows = [(None if i is None else str(i), t, s) for i, t, s in rows]
+    got = line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id string, text string, source string")).collect()
+    want = [(i, t and t.replace("\nshared", ""), int("shared" in (t or ""))) for i, t, _ in rows]
+    assert Counter((r["doc_id"], r["text"], r["n_removed"]) for r in got) == Counter(want)
+
+
 # Packing
 
 
