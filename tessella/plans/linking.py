@@ -23,7 +23,7 @@ def _names(spark, sf_dir):
 
 @query(f"WITH {_NAMES}, w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS name FROM documents) SELECT doc_id, name FROM w JOIN nm USING (name)")
 def mention_join(spark, sf_dir):
-    """Which text mentions which name as a whole token: an equi-join on tokens instead of a search for every pair."""
+    """Which text mentions which name as a whole token: an equi-join on tokens instead of a search for every pair.  Names of under 8 characters are left out, as in the SQL."""
     w = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"))).alias("name"))
     return w.filter(F.length("name") >= 8).join(_names(spark, sf_dir), "name")
 
