@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that the kernels take at once (a longer document is taken alone).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -44,7 +44,7 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        m = max(n, 1 << 21)
+        m = max(n, 1 << 20)
         up, down = np.full(m, _MUL), np.full(m, _MULT_INV)
         up[0] = down[0] = 1
         _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
@@ -152,7 +152,7 @@ def segment_sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def super_minhash(sets: np.ndarray, count: np.ndarray, m: int, seed: int = 0, chunk: int = 200_000) -> np.ndarray:
+def super_minhash(sets: np.ndarray, count: np.ndarray, m: int, seed: int = 0, chunk: int = 100_000, cells: int = 1 << 23) -> np.ndarray:
     """SuperMinHash signatures, one row of ``m`` 64-bit values for each non-empty set.
 
     Element ``d`` walks through the slots in the order of its own random
@@ -161,16 +161,29 @@ def super_minhash(sets: np.ndarray, count: np.ndarray, m: int, seed: int = 0, ch
     step ``j`` together, and a set stops as soon as each of its slots holds a
     value: a slot filled at rank ``j`` cannot be lowered by any later rank.  The
     permutations come from a Fisher-Yates shuffle driven by the element's hash.
+
+    Sets are taken in the order of their size, so that those of one call stop after
+    like numbers of steps.  Only sets of fewer than ``m`` elements are likely to need
+    whole permutations: their calls hold at most ``cells`` numbers of permutations
+    (16 MB), the others' at most ``chunk`` elements, or one set.
     """
-    count = count[count > 0]
-    n = len(count)
-    out = np.empty((n, m), np.uint64)
-    at = np.concatenate(([0], np.cumsum(count)))
-    doc = 0
-    while doc < n:
-        end = min(max(int(np.searchsorted(at, at[doc] + chunk, "right")) - 1, doc + 1), n)
-        _walk(sets[at[doc] : at[end]], count[doc:end], m, seed, out[doc:end])
-        doc = end
+    begin = np.concatenate(([0], np.cumsum(count)))[:-1]
+    some = count > 0
+    begin, count = begin[some], count[some]
+    out = np.empty((len(count), m), np.uint64)
+    order = np.argsort(count, kind="stable")
+    upto = np.concatenate(([0], np.cumsum(count[order])))
+    k = 0
+    while k < len(order):
+        most = chunk if count[order[k]] >= m else min(chunk, max(cells // m, 1))
+        end = min(max(int(np.searchsorted(upto, upto[k] + most, "right")) - 1, k + 1), len(order))
+        mine = order[k:end]
+        n = count[mine]
+        at = np.repeat(begin[mine] - (upto[k:end] - upto[k]), n) + np.arange(upto[end] - upto[k])
+        got = np.empty((len(mine), m), np.uint64)
+        _walk(sets[at], n, m, seed, got)
+        out[mine] = got
+        k = end
     return out
 
 
@@ -190,14 +203,15 @@ def _walk(elements: np.ndarray, count: np.ndarray, m: int, seed: int, out: np.nd
     for j in range(m):
         if j:
             live = (out == empty).any(axis=1)[owner]
-            if not live.all():
+            if not live.any():
+                return
+            # A full set cannot change any more: it goes when enough others go with it.
+            if live.mean() < 0.7:
                 owner, state = owner[live], state[live]
                 if perm is None:
                     picks, moved = [x[live] for x in picks], [x[live] for x in moved]
                 else:
                     perm = perm[live]
-            if not len(owner):
-                return
         if j == _SWAPS:
             perm = np.tile(np.arange(m, dtype=np.int16), (len(owner), 1))
             rows = np.arange(len(owner))

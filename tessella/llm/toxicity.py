@@ -235,8 +235,12 @@ def _doc_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in K.slices(off):
             _, _, count, hashes, owner = terms(letters_only(buf[off[a] : off[b]]), off[a : b + 1] - off[a])
             doc = np.repeat(np.arange(a, b), count)
-            both = np.unique(np.column_stack((np.concatenate([doc[o] for o in owner]).astype(np.int64), np.concatenate(hashes).view(np.int64))), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 1]), pa.array(label[both[:, 0]].astype(np.int32))], ["term", "toxic"])
+            doc, term = np.concatenate([doc[o] for o in owner]), np.concatenate(hashes)
+            order = np.lexsort((term, doc))
+            doc, term = doc[order], term[order]
+            first = np.ones(len(doc), bool)
+            first[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(term[first].view(np.int64)), pa.array(label[doc[first]].astype(np.int32))], ["term", "toxic"])
 
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> Lexicon:
