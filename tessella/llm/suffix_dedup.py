@@ -38,7 +38,9 @@ from tessella.llm.common import Scratch, arrow_batches, documents, pick
 GRAM = 192
 #: Bytes of a shard that are sorted at once, and runs of one anchor in one shard.
 SHARD_BYTES = 2_000_000
-RUNS = 1000
+RUNS = 250
+#: Bytes of runs that a task should sort.
+TASK_BYTES = 8_000_000
 #: Hash ranges in which the shards of one anchor send their fingerprints (times the root of their number).
 RANGES = 16
 
@@ -206,12 +208,15 @@ def _intervals(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 SPANS = "id long, tag long, first long, last long"
+#: A shard gives spans or, of an anchor that was dealt to several shards, fingerprints too.
+FOUND = SPANS + ", anchor long, zone long, packed binary"
 
 
-def _shards(length: int, merge: bool):
-    """Spans of repeated starts of the shards in a partition, or (merge) packed fingerprints of anchors dealt to several."""
+def _shards(length: int):
+    """Spans of repeated starts of the shards in a partition; and packed fingerprints of the strings that occur once
+    or more in the shard, if its anchor was dealt to several."""
 
-    def solve(rows: list[tuple], out: list) -> None:
+    def solve(rows: list[tuple], spans: list, prints: list) -> None:
         kinds: dict[bytes, int] = {}
         owner: list[list[int]] = []
         for k, row in enumerate(rows):
@@ -221,18 +226,19 @@ def _shards(length: int, merge: bool):
             owner[x].append(k)
         texts = list(kinds)
         many = np.array([len(x) > 1 for x in owner])
-        if len(texts) == 1 and not many[0] and len(texts[0]) == length and rows[0][2] == 1:
+        parts = rows[0][2]
+        if len(texts) == 1 and not many[0] and len(texts[0]) == length and parts == 1:
             return
         place, run, twice, group, text = repeated_in_shard(texts, length)
         twice = twice | many[run]
         begin = np.searchsorted(run, np.arange(len(texts)))
-        if not merge:
-            for x, members in enumerate(owner):
-                mine = np.flatnonzero(twice[begin[x] : begin[x] + len(texts[x]) - length + 1])
-                _, first, last = _intervals(np.zeros(len(mine), np.int64), mine)
-                for k in members:
-                    s = rows[k][4]
-                    out.extend((rows[k][3][0], rows[k][3][1], s + f, s + e) for f, e in zip(first.tolist(), last.tolist(), strict=True))
+        for x, members in enumerate(owner):
+            mine = np.flatnonzero(twice[begin[x] : begin[x] + len(texts[x]) - length + 1])
+            _, first, last = _intervals(np.zeros(len(mine), np.int64), mine)
+            for k in members:
+                s = rows[k][4]
+                spans.extend((rows[k][3][0], rows[k][3][1], s + f, s + e) for f, e in zip(first.tolist(), last.tolist(), strict=True))
+        if parts == 1:
             return
         # One of each string, marked if repeated here; single ones say where they are.
         _, one = np.unique(group, return_index=True)
@@ -240,31 +246,34 @@ def _shards(length: int, merge: bool):
         k = np.array([owner[x][0] for x in run[one]])
         start = np.array([r[4] for r in rows])[k] + one - begin[run[one]]
         ids, tags = (np.array([r[3][j] for r in rows], np.int64)[k] for j in (0, 1))
-        zones = RANGES * math.isqrt(rows[0][2])
+        zones = RANGES * math.isqrt(parts)
         zone = ((a >> np.uint64(32)) * np.uint64(zones) >> np.uint64(32)).astype(np.int64)
         packed = np.column_stack((a.view(np.int64), b.view(np.int64), ids, tags, start, twice[one].astype(np.int64)))
         order = np.lexsort((b, a))
         for z in range(zones):
             mine = order[zone[order] == z]
             if len(mine):
-                out.append((rows[0][0], z, packed[mine].tobytes()))
+                prints.append((rows[0][0], z, packed[mine].tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         group, size = None, 0
 
         def flush() -> pa.RecordBatch:
-            out: list = []
+            spans: list = []
+            prints: list = []
             if held:
-                solve(held, out)
-            if merge:
-                return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["anchor", "zone", "packed"])
-            return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(4)], ["id", "tag", "first", "last"])
+                solve(held, spans, prints)
+            n, m = len(spans), len(prints)
+            columns = [pa.array([*(x[j] for x in spans), *[None] * m], pa.int64()) for j in range(4)]
+            columns += [pa.array([*[None] * n, *(x[j] for x in prints)], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, ["id", "tag", "first", "last", "anchor", "zone", "packed"])
 
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(6)]
-            for anchor, part, parts, doc, tag, first, body in zip(*columns[:2], *columns[2:6], batch.column(6), strict=True):
-                if group is not None and group != (anchor, part) and (merge or size >= SHARD_BYTES):
+            for anchor, part, parts, doc, tag, first, body in zip(*columns, batch.column(6), strict=True):
+                # Small anchors are sorted together; a part of a large one is a shard of its own.
+                if held and group != (anchor, part) and (size >= SHARD_BYTES or parts > 1 or held[0][2] > 1):
                     yield flush()
                     held, size = [], 0
                 group = (anchor, part)
@@ -393,7 +402,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per row: the id, n_bytes, n_removed, spans (maximal, first and end), kept_sha256 (of
     the bytes that stay, joined) and, with ``with_kept``, those bytes (kept).  Rows that
     repeat an id and text count as different documents and get the same result; null
-    ids are treated like others; an empty table gives an empty result; other columns
+    ids are treated like others (and so is the id -2**63, which stands for null and is
+    returned as null); an empty table gives an empty result; other columns
     are ignored.
     """
     spark: SparkSession = docs.sparkSession
@@ -411,12 +421,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of_doc = scratch.save(wanted.groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", "part", "parts", "first", "last")).alias("runs")), "wanted")
     pieces = pick(base, of_doc.select("id", "tag"), ["id", "tag"]).join(of_doc, ["id", "tag"]).select("id", "tag", "text", "runs")
     dealt = pieces.mapInArrow(_pieces(length), "anchor long, part long, parts long, id long, tag long, first long, body binary")
-    dealt = dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    spans = scratch.save(dealt.mapInArrow(_shards(length, False), SPANS), "spans")
-    if shared.filter("parts > 1").limit(1).count():
-        hot = pieces.withColumn("runs", F.expr("filter(runs, r -> r.parts > 1)")).filter("size(runs) > 0")
-        hot = hot.mapInArrow(_pieces(length), dealt.schema).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-        packed = hot.mapInArrow(_shards(length, True), "anchor long, zone long, packed binary").repartition("anchor", "zone").sortWithinPartitions("anchor", "zone")
+    # Sorting a byte costs far more than moving it: the tasks are counted by the bytes, not left to be merged by size.
+    amount = of_doc.select(F.inline("runs")).agg(F.sum(F.expr(f"last - first + {length}")).alias("bytes"), F.max("parts").alias("parts")).first()
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil((amount["bytes"] or 0) / TASK_BYTES))
+    dealt = dealt.repartition(tasks, "anchor", "part").sortWithinPartitions("anchor", "part")
+    found = scratch.save(dealt.mapInArrow(_shards(length), FOUND), "found")
+    spans = found.filter("packed is null").select("id", "tag", "first", "last")
+    if (amount["parts"] or 1) > 1:
+        packed = found.filter("packed is not null").select("anchor", "zone", "packed").repartition(tasks, "anchor", "zone").sortWithinPartitions("anchor", "zone")
         spans = spans.unionByName(scratch.save(packed.mapInArrow(_merge, SPANS), "merged"))
     of_doc = scratch.save(spans.groupBy("id", "tag").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "document-spans")
     cut = pick(base, of_doc.select("id", "tag"), ["id", "tag"]).join(of_doc, ["id", "tag"]).select("id", "tag", "text", "spans").dropDuplicates(["id", "tag"])
@@ -434,4 +446,4 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 400-byte strings of all documents."""
     out = repeated_spans(documents(spark, sf_dir))
-    return out.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

@@ -268,6 +268,27 @@ def test_repeated_spans_equal_brute_force(spark, data, runs):
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in got), key=repr) == brute_spans([(i, (t or "").encode()) for i, t in rows], 40)
 
 
+@pytest.mark.parametrize("runs", [suffix_dedup.RUNS, 2])
+def test_repeated_spans_of_the_query_equal_brute_force(spark, data, runs):
+    """Strings of 400 bytes, anchors of 192: passages just below, at and above the length, and text of the tables."""
+    rng = np.random.default_rng(7)
+    passage = "".join(rng.choice(list("abcdé "), 900))
+    noise = lambda n: "".join(rng.choice(list("xyzuvw "), n))
+    rows = [(i, noise(rng.integers(0, 300)) + passage[a : a + n] + noise(rng.integers(0, 300))) for i, (a, n) in enumerate(zip(rng.integers(0, 450, 50), rng.integers(250, 450, 50), strict=True))]
+    sized = "q".join(f"{i:05d}" for i in range(200)).encode()
+    rows += [(100 + k, sized[:n].decode() + noise(50 + k)) for k, n in enumerate((399, 399, 400, 401))] + [(110, "ab" * 400), (111, None), (112, ""), (113, noise(2000)), (113, passage)]
+    rows += [(1000 + r["doc_id"], r["text"]) for r in docs_of(spark, data).filter("n_chars < 4000").limit(60).collect()]
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), runs=runs).collect()
+    want = brute_spans([(i, (t or "").encode()) for i, t in rows], 400)
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in got), key=repr) == want
+    assert sum(w[2] > 0 for w in want) > 30 and sum(w[2] == 0 for w in want) > 10
+
+
+def test_repeated_spans_columns(spark, data):
+    got = suffix_dedup.op9_suffix_dedup(spark, data)
+    assert got.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+
+
 def test_repeated_spans_of_odd_rows(odd, none):
     got = suffix_dedup.repeated_spans(odd, with_kept=True).collect()
     assert len(got) == len(ODD) and suffix_dedup.repeated_spans(none).count() == 0
