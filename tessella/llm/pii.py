@@ -13,6 +13,7 @@ E-mail addresses are no numbers: they are replaced by a keyed hash in their form
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,11 +22,12 @@ from pyspark.sql import functions as F
 from tessella.llm.common import documents
 
 ROUNDS = 8
-KEY = "tessella"
 KINDS = ("email", "iban", "date", "ip", "ssn", "phone", "card")
 
 # The patterns of candidates; what they find is checked before it is replaced.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# A name begins where no character of a name stands before it and is taken whole, so that each place is read once; a domain
+# has at most 127 labels, which also bounds the matcher's stack.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}"
 # Lengths of the IBANs of a country as registered; what follows one is another value.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -245,9 +247,11 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, out_col: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out_col: str | None = None) -> DataFrame:
     """The documents with personal data in the text replaced, and a column n_<kind> for each of KINDS.
 
+    ``key`` is secret: who has it can undo the permutations.
+
     E-mail addresses, IBANs (modulo 97), dates from 1900 to 2099, IPv4 addresses, social
     security numbers, telephone numbers (7 to 15 digits) and card numbers (Luhn) are
     replaced if they pass their check; other text stays as it is, byte for byte.  An
@@ -259,22 +263,24 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, out_co
     they are, but for columns with the names of the counts, which are replaced.
     """
     text = F.col(text_col).cast("string")
+    held = f"found_{uuid.uuid4().hex}"
     marked = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
     found = F.when(marked, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    kinds = F.transform("__found", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    fixed = F.transform("__found", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("new")))
-    rows = docs.withColumn("__found", found).withColumn("__found", kinds).withColumn("__found", fixed)
+    kinds = F.transform(held, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    fixed = F.transform(held, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("new")))
+    rows = docs.withColumn(held, found).withColumn(held, kinds).withColumn(held, fixed)
     parts = F.split(text, ANY, -1)
-    joined = F.concat_ws("", F.zip_with(parts, "__found", lambda p, x: F.concat(F.coalesce(p, F.lit("")), F.coalesce(x["new"], x["m"], F.lit("")))))
-    new = F.when(F.size("__found") > 0, joined).otherwise(text)
+    joined = F.concat_ws("", F.zip_with(parts, held, lambda p, x: F.concat(F.coalesce(p, F.lit("")), F.coalesce(x["new"], x["m"], F.lit("")))))
+    new = F.when(F.size(held) > 0, joined).otherwise(text)
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("__found", lambda x: (x["kind"] == kind) & x["new"].isNotNull()))
+        return F.size(F.filter(held, lambda x: (x["kind"] == kind) & x["new"].isNotNull()))
 
     counts = {f"n_{k}": count(k) for k in KINDS}
-    return rows.withColumns({**counts, out_col or text_col: new}).drop("__found")
+    return rows.withColumns({**counts, out_col or text_col: new}).drop(held)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with pseudonyms for personal data."""
-    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+    """All documents with pseudonyms for personal data; the key is the session's, or one for synthetic data."""
+    key = spark.conf.get("spark.tessella.pii.key", "synthetic data")
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key)
