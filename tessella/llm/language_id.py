@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import kernels as K
-from tessella.llm.common import Scratch, arrow_batches, crc_fold, documents
+from tessella.llm.common import BROADCAST_ROWS, Scratch, arrow_batches, crc_fold, documents, fresh
 
-#: Training texts at most; they are chosen by a hash of the id.
+#: Training texts (or a few more), shared out evenly over the languages; they are chosen by a hash of the id.
 SAMPLE = 20_000
 ORDERS = (1, 2, 3, 4)
 DIM = 1 << 15
@@ -171,14 +171,20 @@ def _apply_margins(sample: DataFrame, model: Model) -> tuple[list[str], np.ndarr
 
 
 def fit(train: DataFrame, scratch: Scratch, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> Model | None:
-    """A model from the rows of ``train`` (at most ``sample`` of them, by a hash of the id); None without rows."""
+    """A model from the rows of ``train`` (some ``sample`` of them, of each language alike, by a hash of the id); None without rows."""
     rows = train.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter("lang is not null and text is not null")
-    n = rows.count()
-    if n == 0:
+    # As many texts of every language as of the others, where it has so many: rare ones are learned too.
+    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = per.count()
+    if languages == 0:
         return None
-    share = int((1 << 20) * min(1.0, sample / n))
-    chosen = scratch.save(rows.filter(F.expr(f"pmod(xxhash64(id), {1 << 20}) < {share}")), "language-sample")
+    least = max(1, sample // languages)
+    # Some 5 standard deviations more than the least number, so that a small share does not miss it.
+    share = per.select("lang", F.least(F.lit(1.0), (least + 5 * F.sqrt(F.lit(least))) / F.col("n")).alias("share"))
+    known = F.broadcast(share) if languages <= BROADCAST_ROWS else share
+    chosen = rows.join(known, "lang").filter(F.expr(f"pmod(xxhash64(id), {1 << 20}) < share * {1 << 20}"))
+    chosen = scratch.save(chosen.select("id", "text", "lang"), "language-sample")
     counts = _counts(chosen)
     if not counts:
         return None
@@ -233,7 +239,7 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     arrow_batches(spark)
     scratch = Scratch(spark)
     model = fit(train, scratch, id_col, text_col, lang_col, sample)
-    base = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias("__text"))
+    base = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias(fresh("text")))
     names = base.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

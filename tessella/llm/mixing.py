@@ -9,14 +9,22 @@ only on the id and a seed.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import BROADCAST_ROWS, Scratch, documents
+from tessella.llm.common import BROADCAST_ROWS, Scratch, documents, fresh
 
 MARGINS = ("source", "lang", "topic")
 #: Target shares are the present shares raised to these powers: below 1, large parts give way to small ones.
 POWERS = {"source": 0.8, "lang": 0.8, "topic": 0.9}
+#: Raking ends when no weight changes by more than this share within a round, when STALLED rounds have not lowered the
+#: change by a tenth (the targets contradict each other), or after so many rounds.
+TOLERANCE = 1e-12
+STALLED = 3
+MOST_ROUNDS = 60
+#: Rounds that the SQL form takes; the tables' margins are met to the tolerance within them.
 ROUNDS = 8
 SEED = "mix-1"
 NONE = "(none)"
@@ -50,12 +58,14 @@ def draw(id_col: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / 2.0**52
 
 
-def rake(cells: DataFrame, scratch: Scratch, margins=MARGINS, targets: dict[str, DataFrame] | None = None, powers=POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """Cells (the margins, tokens) with weight: tokens raked to the target shares of every margin.
+def rake(cells: DataFrame, scratch: Scratch, margins=MARGINS, targets: dict[str, DataFrame] | None = None, powers=POWERS, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """Cells (the margins, tokens) with weight, tokens raked to the target shares of every margin; and the error left.
 
     ``targets`` holds tables of a margin's value and its ``share``; for others the share
     is the present one raised to a power.  Values without a target, or with tokens but
-    no share, get weight 0.
+    no share, get weight 0.  The error is the largest share by which the last round
+    still changed a margin: near 0 if the targets agree, else it stays (targets that
+    contradict each other, or that the present cells cannot meet).
     """
     cells = cells.filter("tokens > 0")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -68,19 +78,30 @@ def rake(cells: DataFrame, scratch: Scratch, margins=MARGINS, targets: dict[str,
         whole = goal.agg(F.sum("goal").alias("whole"))
         goals[m] = scratch.save(goal.join(F.broadcast(whole)).select(m, (F.col("goal") / F.col("whole") * float(total)).alias("goal")), f"goal-{m}")
     weighted = cells.withColumn("weight", F.col("tokens").cast("double"))
+    errors: list[float] = []
     for k in range(rounds):
+        weighted = weighted.withColumn("gap", F.lit(0.0))
         for m in margins:
             sums = weighted.groupBy(m).agg(F.sum("weight").alias("held"))
             factor = sums.join(goals[m], m, "left").select(m, F.coalesce(F.when(F.col("held") > 0, F.col("goal") / F.col("held")), F.lit(0.0)).alias("factor"))
-            weighted = weighted.join(factor, m).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+            weighted = weighted.join(factor, m).withColumns({"gap": F.when(F.col("weight") > 0, F.greatest("gap", F.abs(F.col("factor") - 1))).otherwise(F.col("gap")), "weight": F.col("weight") * F.col("factor")}).drop("factor")
         weighted = scratch.save(weighted, f"round-{k}")
         scratch.drop(f"round-{k - 1}")
-    return weighted
+        errors.append(weighted.agg(F.max("gap")).first()[0] or 0.0)
+        weighted = weighted.drop("gap")
+        if errors[-1] <= tolerance or len(errors) > STALLED and errors[-1] > 0.9 * errors[-1 - STALLED]:
+            break
+    return weighted, errors[-1] if errors else 0.0
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic=topic_of, targets: dict[str, DataFrame] | None = None, powers=POWERS, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic=topic_of, targets: dict[str, DataFrame] | None = None, powers=POWERS, rounds: int = MOST_ROUNDS, seed: str = SEED, strict: bool = False) -> DataFrame:
     """The documents with topic, tokens, probability and sampled.
 
+    ``topic`` is the name of a column that holds topics (of a classifier, or given), or
+    a function of the text's column; the default reads simple signs in the text.
+    Targets that cannot all be met are an error if ``strict``; else a warning names what
+    is left, and the last margin is met.
+
     A null source or language is a value of its own, ``(none)``; a null text has no
     tokens and the topic prose.  Documents without tokens count in no cell and are never
     sampled (probability 0).  Repeated rows are drawn alike; null ids are drawn as one id.
@@ -89,10 +110,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.drop("topic", "tokens", "probability", "sampled", "cell_source", "cell_lang").withColumns({"topic": topic(text), "tokens": tokens_of(text), "cell_source": F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)), "cell_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE))})
+    of_topic = F.coalesce(F.col(topic).cast("string"), F.lit(NONE)) if isinstance(topic, str) else topic(text)
+    docs = docs.withColumn(held := fresh("topic"), of_topic)
+    of_topic = F.col(held)
+    rows = docs.drop("topic", "tokens", "probability", "sampled", "cell_source", "cell_lang").withColumns({"topic": of_topic, "tokens": tokens_of(text), "cell_source": F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)), "cell_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE))})
     cells = rows.groupBy(F.col("cell_source").alias("source"), F.col("cell_lang").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"))
     cells = scratch.save(cells, "cells")
-    weighted = rake(cells, scratch, targets=targets, powers=powers, rounds=rounds)
+    weighted, error = rake(cells, scratch, targets=targets, powers=powers, rounds=rounds)
+    if error > 1e-6:
+        said = f"the target weights cannot all be met: margins still change by {error:.3g} of their size"
+        if strict:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
     ratio = F.col("weight") / F.col("tokens")
     most = weighted.agg(F.max(ratio)).first()[0] or 1.0
     chance = weighted.select(F.col("source").alias("cell_source"), F.col("lang").alias("cell_lang"), "topic", (ratio / most).alias("probability"))
@@ -100,7 +129,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         chance = F.broadcast(chance)
     out = rows.join(chance, ["cell_source", "cell_lang", "topic"], "left")
     p = F.when(F.col("tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)
-    kept = [c for c in docs.columns if c not in ("topic", "tokens", "probability", "sampled", "cell_source", "cell_lang")]
+    kept = [c for c in docs.columns if c not in (held, "topic", "tokens", "probability", "sampled", "cell_source", "cell_lang")]
     return out.select(*kept, "topic", "tokens", p.alias("probability"), (draw(F.col(id_col), seed) < p).alias("sampled"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from tessella.llm.common import BROADCAST_ROWS, Scratch
+from tessella.llm.common import BROADCAST_ROWS, Scratch, fresh
 
 
 def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -16,15 +16,17 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", tex
     of them stay, one row of each normalised text stays.  Rows with a null id stay.
     """
     scratch = Scratch(docs.sparkSession)
-    marks = scratch.save(decisions.select(F.col(id_col).alias("__id"), "kept").filter("__id is not null").groupBy("__id").agg(F.max("kept").alias("some"), F.min("kept").alias("every")), "decisions")
-    gone = marks.filter("not every").select("__id", "some")
+    key, some, body = fresh("id"), fresh("some"), fresh("text")
+    marks = decisions.select(F.col(id_col).alias(key), "kept").filter(F.col(key).isNotNull()).groupBy(key).agg(F.max("kept").alias(some), F.min("kept").alias("every"))
+    marks = scratch.save(marks, "decisions")
+    gone = marks.filter("not every").select(key, some)
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    mixed = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
-    out = mixed.filter("__id is null").select(*docs.columns)
-    if not marks.filter("some and not every").isEmpty():
-        part = mixed.filter("__id is not null and some").withColumn("__text", exact_dedup.normalised(F.col(text_col)))
-        out = out.unionByName(part.dropDuplicates(["__id", "__text"]).select(*docs.columns))
+    mixed = docs.join(gone, F.col(id_col) == F.col(key), "left")
+    out = mixed.filter(F.col(key).isNull()).select(*docs.columns)
+    if not marks.filter(F.col(some) & ~F.col("every")).isEmpty():
+        part = mixed.filter(F.col(key).isNotNull() & F.col(some)).withColumn(body, exact_dedup.normalised(F.col(text_col)))
+        out = out.unionByName(part.dropDuplicates([key, body]).select(*docs.columns))
     return out
 
 

@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import kernels as K
-from tessella.llm.common import Scratch, arrow_batches, crc_fold, documents
+from tessella.llm.common import Scratch, arrow_batches, crc_fold, documents, fresh
 from tessella.llm.language_id import letters_only
 
 #: Labelled rows at most; they are chosen by a hash of the id.
 SAMPLE = 20_000
 LEXICON = 3000
+#: Toxic texts that a term of the lexicon is in, at least, however many labels there are.
+LEAST = 3
 PREFIXES = (4, 5, 6, 7)
 NEAR = 5
 TREES, DEPTH, RATE, BINS = 80, 3, 0.2, 32
@@ -244,15 +246,19 @@ def _doc_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> Lexicon:
-    """Terms of toxic texts: used by at least three of them, and at a far higher rate than by others."""
+    """Terms of toxic texts: used by at least ``LEAST`` of them, and at a far higher rate than by others.
+
+    The surest come first: those whose rate in toxic texts exceeds that in others by the most standard errors.
+    """
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return Lexicon()
     counts = rows.select("text", "toxic").mapInArrow(_doc_terms, "term long, toxic int").groupBy("term").agg(F.sum("toxic").alias("b"), F.sum(1 - F.col("toxic")).alias("a"))
     odds = F.log((F.col("b") + 0.5) / (n1 + 1)) - F.log((F.col("a") + 0.5) / (n0 + 1))
-    least = max(3, n1 // 100)
-    top = counts.filter(F.col("b") >= least).withColumn("odds", odds).filter("odds > 2").orderBy(F.desc("b"), "term").limit(size).toArrow().to_pydict()
+    # The standard error of log odds is about the root of 1 / b + 1 / a.
+    sure = F.col("odds") / F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("a") + 0.5))
+    top = counts.filter(F.col("b") >= LEAST).withColumn("odds", odds).filter("odds > 2").withColumn("sure", sure).filter("sure > 2").orderBy(F.desc("sure"), F.desc("b"), "term").limit(size).toArrow().to_pydict()
     keys = np.array(top["term"], np.int64).view(np.uint64)
     order = np.argsort(keys)
     return Lexicon(keys[order], np.array(top["odds"], float)[order])
@@ -316,7 +322,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # At most about 2 * sample labels of 12 bytes are sent to every executor.
     train = scratch.save(texts.join(F.broadcast(marks), "id"), "labelled")
     model = fit(train, scratch, sample)
-    base = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias("__text"))
+    base = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias(fresh("text")))
     names = base.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -153,6 +153,23 @@ def test_mixing(odd, none, spark, data):
     assert abs(mean - seen) < 4 * 200**0.5 and seen == mixing.mix(docs).filter("sampled").count()
 
 
+def test_raking_stops_at_the_tolerance_and_reports_contradictions(spark):
+    rows = [(i, "word " * (5 + i % 7), "en" if i % 2 else "de", f"s{i % 3}", "x" if i % 5 else "y") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    agree = {"lang": spark.createDataFrame([("en", 0.3), ("de", 0.7)], "lang string, share double"), "topic": spark.createDataFrame([("x", 0.5), ("y", 0.5)], "topic string, share double")}
+    got = mixing.mix(docs, targets=agree, topic="topic", strict=True)
+    for c, goals in (("lang", {"en": 0.3, "de": 0.7}), ("topic", {"x": 0.5, "y": 0.5})):
+        held = {r[c]: r["w"] for r in got.groupBy(c).agg(F.sum(F.col("tokens") * F.col("probability")).alias("w")).collect()}
+        assert {k: v / sum(held.values()) for k, v in held.items()} == pytest.approx(goals, rel=1e-9)
+    # The language fixes the source here, but the targets want other shares of it.
+    docs = docs.withColumn("source", F.col("lang"))
+    against = agree | {"source": spark.createDataFrame([("en", 0.9), ("de", 0.1)], "source string, share double")}
+    with pytest.raises(ValueError, match="cannot all be met"):
+        mixing.mix(docs, targets=against, topic="topic", rounds=5, strict=True)
+    with pytest.warns(UserWarning, match="cannot all be met"):
+        assert mixing.mix(docs, targets=against, topic="topic", rounds=5).count() == 60
+
+
 def test_boilerplate_lines(spark, odd, none):
     rows = [(i, f"own {i}\n  shared by ten \nshared by nine\n\n", f"s{i}") for i in range(9)] + [(9, "shared by ten\r\nlast", "s9"), (10, None, "s1"), (11, "", None), (12, "shared by ten", "s1")]
     got = {r["doc_id"]: r for r in line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
@@ -599,6 +616,32 @@ def test_stages_on_odd_rows(spark, odd, none, data):
         assert stage(spark, none.select(columns), data).count() == 0
 
 
+def test_stages_with_clashing_names(spark, odd, data):
+    """Columns named like those that stages and operators make."""
+    names = ["__id", "__text", "id", "text2", "kept", "some", "every", "score2", "label", "key", "body", "tag", "row", "found", "held"]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").withColumns({n: F.lit(n) for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, data)
+        assert got.count() > 0 and (name == "packing" or got.columns == docs.columns)
+        if name != "packing":
+            assert got.select(*names).distinct().collect() == [tuple(names)]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+    from tessella.llm.common import shared_folder
+
+    with pytest.raises(ValueError, match="share"):
+        shared_folder(Session)
+
+
 def test_names_and_sql(spark, data):
     from oracle import connect, rows
 
