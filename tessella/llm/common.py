@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A table of at most so many rows of a few longs (some 16 MB) may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows of one key that may meet in a task of a join.
+HOT_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -71,6 +73,22 @@ def pick(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(F.broadcast(keys) if small else keys, on)
 
 
+def salted_join(rows: DataFrame, table: DataFrame, on: list[str], held: str, total: int) -> DataFrame:
+    """rows joined with ``table`` (one row a key), whose column ``held`` counts the rows of its key, of ``total``.
+
+    A key of more than HOT_ROWS rows is dealt to parts of so many (by a hash of
+    the row, which a repeated task finds again), and its row of the table goes to each.  Of such keys there are few: more than total / BROADCAST_ROWS
+    rows are asked of them, so that the list that tells them apart can be broadcast.
+    """
+    part, parts = fresh("part"), fresh("parts")
+    least = max(HOT_ROWS, total // BROADCAST_ROWS)
+    split = table.withColumn(parts, F.expr(f"1 + ({held} - 1) div {least}"))
+    hot = F.broadcast(split.filter(F.col(parts) > 1).select(*on, parts))
+    dealt = rows.join(hot, on, "left").withColumn(part, F.when(F.col(parts).isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col(parts))).otherwise(F.lit(0).cast("long"))).drop(parts)
+    each = split.withColumn(part, F.explode(F.expr(f"sequence(0L, {parts} - 1)"))).drop(parts)
+    return dealt.join(each, [*on, part]).drop(part)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

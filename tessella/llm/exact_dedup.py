@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import BROADCAST_ROWS, Scratch, documents
+from tessella.llm.common import BROADCAST_ROWS, Scratch, documents, salted_join
 
 BLOCK_BYTES = 4096
 
@@ -45,12 +45,14 @@ def identities(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = B
     rows = scratch.save(hashed.withColumn("row", F.monotonically_increasing_id()), "rows")
 
     each = base.select(F.explode(_blocks(block_bytes)).alias("block")).select(block_hash("block").alias("hash"), "block")
-    named = scratch.save(_named(each.select("hash", "block").distinct(), ["hash", "block"]).select("hash", "name"), "blocks")
+    held = each.groupBy("hash", "block").agg(F.count(F.lit(1)).alias("held"))
+    named = scratch.save(_named(held, ["hash", "block"]).select("hash", "name", "held"), "blocks")
+    total = rows.agg(F.sum(F.size("hashes"))).first()[0] or 0
     shared = named.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
 
     placed = rows.select("row", F.size("hashes").alias("blocks"), F.posexplode("hashes").alias("at", "hash"))
     if (clashes := shared.count()) == 0:
-        level = placed.join(named, "hash").select("row", "blocks", "at", "name")
+        level = salted_join(placed, named, ["hash"], "held", total).select("row", "blocks", "at", "name")
     else:
         few = F.broadcast(shared) if clashes <= BROADCAST_ROWS else shared
         # Row numbers are matched by hashes and sha: the same row is read again for its contents.
@@ -58,7 +60,7 @@ def identities(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = B
         contents = again.join(few, "hash").select("sha", "at", "hash", "block").distinct()
         by_block = _named(contents.select("hash", "block").distinct(), ["hash", "block"]).select("hash", "block", (-1 - F.col("name")).alias("name"))
         own = contents.join(scratch.save(by_block, "shared"), ["hash", "block"]).select("sha", "at", "name")
-        sure = placed.join(named.join(shared, "hash", "left_anti"), "hash").select("row", "blocks", "at", "name")
+        sure = salted_join(placed, named.join(shared, "hash", "left_anti"), ["hash"], "held", total).select("row", "blocks", "at", "name")
         rest = placed.join(shared, "hash").join(rows.select("row", "sha"), "row").join(own, ["sha", "at"]).select("row", "blocks", "at", "name")
         level = sure.unionByName(rest)
 
@@ -73,8 +75,9 @@ def identities(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = B
         half = F.expr("at div 2").alias("at")
         pairs = live.groupBy("row", "left", half).agg(F.max(F.expr("if(at % 2 = 0, name, null)")).alias("a"), F.max(F.expr("if(at % 2 = 1, name, null)")).alias("b"))
         pairs = scratch.save(pairs.select("row", F.expr("(left + 1) div 2").alias("left"), "at", "a", F.coalesce("b", F.lit(-1 << 62)).alias("b")), f"pairs-{step}")
-        names = scratch.save(_named(pairs.select("a", "b").distinct(), ["a", "b"]), f"names-{step}")
-        level = scratch.save(pairs.join(names, ["a", "b"]).select("row", "left", "at", "name"), f"level-{step}")
+        held = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("held"))
+        names = scratch.save(_named(held, ["a", "b"]), f"names-{step}")
+        level = scratch.save(salted_join(pairs, names, ["a", "b"], "held", total).select("row", "left", "at", "name"), f"level-{step}")
         done = done.unionByName(level.filter("left = 1").select("row", "name"))
         live = level.filter("left > 1")
     return rows.select("row", "id", "sha", F.size("hashes").alias("blocks")).join(done, "row")
@@ -90,10 +93,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of them.  Null ids come after all others.  An empty table gives an empty result;
     other columns are ignored.
     """
-    of = identities(docs, id_col, text_col, block_bytes, block_hash)
+    scratch = Scratch(docs.sparkSession)
+    of = scratch.save(identities(docs, id_col, text_col, block_bytes, block_hash, scratch), "identities")
     of = of.withColumn("rank", F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     groups = of.groupBy("blocks", "name").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("group_size"))
-    out = of.join(groups, ["blocks", "name"])
+    out = salted_join(of, groups, ["blocks", "name"], "group_size", of.count())
     return out.select(F.col("id").alias(id_col), F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 

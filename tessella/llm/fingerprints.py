@@ -21,15 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import documents
+from tessella.llm.common import BROADCAST_ROWS, documents
 
 SAMPLES = 64
-#: Characters of text that a range of ids should hold, and ranges at most.
+#: Characters of text that a range of ids should hold; beyond the first SPREAD ranges they may hold LARGE_CHARS.
 RANGE_CHARS = 2_000_000
-MAX_RANGES = 20_000
+LARGE_CHARS = 128_000_000
+SPREAD = 2000
 EMPTY = "-"
 #: Samples that one row draws together, and levels of the Gamma quantiles (a power of two, 12 bits).
-BLOCK = 8
+BLOCK = 16
 LEVELS = 4096
 
 
@@ -71,40 +72,44 @@ def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
     return F.when((F.col(a) == EMPTY) | (F.col(b) == EMPTY), (F.col(a) == F.col(b)).cast("double")).otherwise(share)
 
 
-def _bounds(docs: DataFrame, id_col: str) -> list:
-    """Ids that begin the ranges, the least id first: quantiles of the ids, as many as the texts ask for."""
-    totals = docs.agg(F.count(id_col).alias("n"), F.sum(F.length("text")).alias("chars"), F.min(id_col).alias("least")).first()
-    if not totals["n"]:
-        return []
-    ranges = max(1, min(MAX_RANGES, totals["n"], (totals["chars"] or 0) // RANGE_CHARS))
-    inner = []
-    if ranges > 1:
-        shares = [k / ranges for k in range(1, ranges)]
-        inner = docs.agg(F.percentile_approx(id_col, shares, 10_000).alias("q")).first()["q"]
-    return sorted({totals["least"], *inner})
-
-
-def dealt(docs: DataFrame, id_col: str) -> DataFrame:
-    """id, text, range and follows: each document in its range of ids, and each range's first also after the range before."""
-    bounds = _bounds(docs, id_col)
-    if not bounds:  # no ids at all
-        return docs.select(F.col(id_col).alias("id"), "text", F.lit(-1).alias("range"), F.lit(False).alias("follows")).repartition("range")
-    n = len(bounds)
-    # Two-level search: a coarse list of every 128th bound, then the bounds of that part.
-    step = 128
-    coarse = F.array(*[F.lit(b) for b in bounds[::step]])
-    fine = F.array(*[F.array(*[F.lit(b) for b in bounds[k : k + step]]) for k in range(0, n, step)])
-    at = F.size(F.filter(coarse, lambda b: b <= F.col("id"))) - 1
-    known = docs.filter(F.col(id_col).isNotNull())
-    of = known.select(F.col(id_col).alias("id"), "text").withColumn("at", at)
-    of = of.withColumn("range", F.col("at") * step + F.size(F.filter(F.element_at(fine, F.col("at") + 1), lambda b: b <= F.col("id"))) - 1)
-    first = F.array_contains(F.element_at(fine, F.col("at") + 1), F.col("id"))
-    places = F.when(first, F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("follows")), F.struct(F.expr(f"pmod(range - 1, {n})").alias("range"), F.lit(True).alias("follows"))))
-    places = places.otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("follows"))))
-    parts = max(1, min(n, 4 * n // 5 + 1))
-    ordered = of.select("id", "text", F.inline(places))
-    alone = docs.filter(F.col(id_col).isNull()).select(F.col(id_col).alias("id"), "text", F.expr(f"cast(-1 - pmod(xxhash64(text), {n}) as int)").alias("range"), F.lit(False).alias("follows"))
-    return ordered.unionByName(alone).repartition(parts, "range")
+def _ranges(docs: DataFrame) -> int:
+    """How many ranges the texts ask for: as many as may be broadcast (8 bytes each) at most; then they grow."""
+    totals = docs.agg(F.count("id").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    chars = totals["chars"] or 0
+    return max(1, min(totals["n"], chars // RANGE_CHARS, SPREAD + chars // LARGE_CHARS, BROADCAST_ROWS))
+
+
+def _range_of(id_col: Column, bounds: Column) -> Column:
+    """The last place (from 0) in the ascending array ``bounds`` with a value of at most the id, by halving."""
+    steps = 20  # 2 ** 20 exceeds BROADCAST_ROWS
+    begin = F.struct(F.lit(0).alias("low"), F.size(bounds).alias("high"))
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        up = F.get(bounds, middle) <= id_col
+        return F.struct(F.when(up, F.greatest(middle, s["low"])).otherwise(s["low"]).alias("low"), F.when(up, s["high"]).otherwise(middle).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, step, lambda s: s["low"])
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """id, text, range and follows: each document in its range of ids, and each range's first also after the range before.
+
+    The ranges begin at quantiles of the ids: at most BROADCAST_ROWS numbers, which the
+    plan holds as one literal.
+    """
+    n = _ranges(docs)
+    inner = F.percentile_approx("id", [k / n for k in range(1, n)], max(10_000, 4 * n)) if n > 1 else F.array().cast("array<bigint>")
+    found = docs.agg(F.concat(F.array(F.min("id")), inner).alias("bounds")).first()["bounds"] or []
+    # Without any id there is no row to look up: one bound will do.
+    bounds = F.split(F.lit(",".join(map(str, sorted({x for x in found if x is not None}) or [0]))), ",").cast("array<bigint>")
+    known = docs.filter(F.col("id").isNotNull()).withColumn("range", _range_of(F.col("id"), bounds))
+    own = F.struct(F.col("range"), F.lit(False).alias("follows"))
+    before = F.struct(F.pmod(F.col("range") - 1, F.size(bounds)).alias("range"), F.lit(True).alias("follows"))
+    first = F.get(bounds, F.col("range")) == F.col("id")
+    ordered = known.select("id", "text", F.inline(F.when(first, F.array(own, before)).otherwise(F.array(own))))
+    alone = docs.filter(F.col("id").isNull()).select("id", "text", F.expr(f"cast(-1 - pmod(xxhash64(text), {n}) as int)").alias("range"), F.lit(False).alias("follows"))
+    return ordered.unionByName(alone).repartition(n, "range")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -123,38 +128,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark: SparkSession = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     order = Window.partitionBy("range").orderBy("follows", "id", "text")
-    rows = dealt(base, "id").withColumn("row", F.row_number().over(order)).withColumn("next", F.when(F.col("range") >= 0, F.lead("text").over(order)))
+    rows = dealt(base).withColumn("row", F.row_number().over(order)).withColumn("next", F.when(F.col("range") >= 0, F.lead("text").over(order)))
     half = F.expr("cast(length(text) div 2 as int)")
     edited = F.when(~F.col("follows"), F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), F.substring(F.col("next"), F.lit(1), half)))
     rows = rows.select("range", "row", "follows", "id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
 
-    # What each row must keep travels through the aggregations as numbers: the sha256 as four of 64 bits.
-    sha = [F.conv(F.substring(F.sha2("edited", 256), 16 * k + 1, 16), 16, -10).cast("long").alias(f"sha{k}") for k in range(4)]
-    carried = ["id", "n_chars", "follows", *[f"sha{k}" for k in range(4)]]
-    keep = [F.min(c).alias(c) for c in carried]
+    # Only a row's two numbers travel through the aggregations; its columns are joined to its fingerprints in the end.
     texts = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))
-    each = rows.select("range", "row", "id", "n_chars", "follows", *sha, F.inline(texts)).filter("side = 0 or body is not null")
-    words = each.select("range", "row", "side", *carried, F.explode_outer(words_of(F.col("body"))).alias("word"))
-    words = words.select("range", "row", "side", *carried, F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term"))
-    weighted = words.groupBy("range", "row", "side", "term").agg(F.count("term").alias("n"), *keep)
-    blocks = weighted.withColumn("lw", F.when(F.col("n") > 0, F.ln(F.col("n").cast("double")))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(samples // BLOCK - 1))))
-    seeded = blocks.select("range", "row", "side", "block", *carried, "lw", F.when(F.col("lw").isNotNull(), F.xxhash64("term", "block")).alias("seed"))
+    each = rows.select("range", "row", F.inline(texts)).filter("side = 0 or body is not null")
+    words = each.select("range", "row", "side", F.explode(words_of(F.col("body"))).alias("word"))
+    weighted = words.select("range", "row", "side", F.xxhash64("word").alias("term")).groupBy("range", "row", "side", "term").agg(F.count(F.lit(1)).alias("n"))
+    blocks = weighted.select("range", "row", "side", "term", F.ln(F.col("n").cast("double")).alias("lw"), F.explode(F.sequence(F.lit(0), F.lit(-(-samples // BLOCK) - 1))).alias("block"))
+    seeded = blocks.select("range", "row", "side", "block", "lw", F.xxhash64("term", "block").alias("seed"))
     table = gamma_table(spark)
-    drawn = seeded.groupBy("range", "row", "side", "block").agg(*[F.min(sample("seed", "lw", j, table)).alias(f"s{j}") for j in range(BLOCK)], *keep)
-    places = F.concat(*[F.lpad(F.hex(F.xxhash64(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for j in range(BLOCK)])
-    prints = drawn.select("range", "row", "side", "block", *carried, F.when(F.col("s0").isNotNull(), places).alias("print"))
-    both = prints.groupBy("range", "row").agg(F.array_sort(F.collect_list(F.struct("side", "block", "print"))).alias("all"), *keep)
+    drawn = seeded.groupBy("range", "row", "side", "block").agg(*[F.min(sample("seed", "lw", j, table)).alias(f"s{j}") for j in range(min(BLOCK, samples))])
+    places = F.concat(*[F.lpad(F.hex(F.xxhash64(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for j in range(min(BLOCK, samples))])
+    prints = drawn.select("range", "row", "side", "block", places.alias("print"))
+    both = prints.groupBy("range", "row").agg(F.array_sort(F.collect_list(F.struct("side", "block", "print"))).alias("all"))
 
     def joined(side: int) -> Column:
         found = F.concat_ws("", F.transform(F.filter("all", lambda x: x["side"] == side), lambda x: x["print"]))
-        return F.when(found == "", EMPTY).otherwise(found)
+        return F.when(F.coalesce(found, F.lit("")) == "", EMPTY).otherwise(found)
 
-    has_edited = F.col("sha0").isNotNull()
-    sha256 = F.lower(F.concat(*[F.lpad(F.hex(f"sha{k}"), 16, "0") for k in range(4)]))
-    both = both.select("range", "row", "id", "n_chars", "follows", F.when(has_edited, sha256).alias("edited_sha256"), joined(0).alias("fingerprint"), F.when(has_edited, joined(1)).alias("edited_fingerprint"))
+    carried = rows.select("range", "row", "follows", "id", "n_chars", F.lower(F.sha2("edited", 256)).alias("edited_sha256"))
+    out = carried.join(both.select("range", "row", joined(0).alias("fingerprint"), joined(1).alias("edited_fingerprint")), ["range", "row"], "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(EMPTY)) for c in ("fingerprint", "edited_fingerprint")}).withColumn("edited_fingerprint", F.when(F.col("edited_sha256").isNotNull(), F.col("edited_fingerprint")))
     after = F.lead("fingerprint").over(Window.partitionBy("range").orderBy("row"))
-    both = both.withColumn("next_fingerprint", F.when(F.col("range") >= 0, after)).filter("not follows")
-    return both.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint", samples).alias("near_edited"), likeness("fingerprint", "next_fingerprint", samples).alias("near_next"))
+    out = out.withColumn("next_fingerprint", F.when(F.col("range") >= 0, after)).filter("not follows")
+    return out.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint", samples).alias("near_edited"), likeness("fingerprint", "next_fingerprint", samples).alias("near_next"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -658,3 +658,13 @@ def test_kernels_on_slices():
     assert off.tolist() == [0, 3, 3, 3, 4] and [x for x in kernels.slices(off, 3)] == [(0, 3), (3, 4)]
     h, n = kernels.word_hashes(buf, off)
     assert n.tolist() == [2, 0, 0, 1] and len(set(h.tolist())) == 3
+
+
+def test_joins_of_hot_keys_are_split(spark, monkeypatch):
+    from tessella.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.range(1000).select(F.when(F.col("id") < 700, 7).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("v"))
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("held"))
+    got = common.salted_join(rows, table, ["k"], "held", 1000)
+    assert sorted(got.collect()) == sorted(rows.join(table, "k").collect())
