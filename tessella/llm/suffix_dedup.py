@@ -38,7 +38,7 @@ from tessella.llm.common import Scratch, arrow_batches, documents, pick
 GRAM = 192
 #: Bytes of a shard that are sorted at once, and runs of one anchor in one shard.
 SHARD_BYTES = 2_000_000
-RUNS = 250
+RUNS = 1000
 #: Bytes of runs that a task should sort.
 TASK_BYTES = 8_000_000
 #: Hash ranges in which the shards of one anchor send their fingerprints (times the root of their number).
