@@ -15,15 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAMPING, ROUNDS = 0.85, 30
-#: Directed edges up to which a ranking is iterated within one task; above, every round is a join.
-SMALL = 500_000
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to the folder of spark.checkpoint.dir and read again."""
     spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
@@ -42,10 +42,12 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame | None = None, rounds: int = ROUNDS, damping: float = DAMPING, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame | None = None, rounds: int = ROUNDS, damping: float = DAMPING, every: int = 5, small: int = 0) -> DataFrame:
     """node, rank after a fixed number of rounds; restart on the seeds (column node), or everywhere.
 
     Weights are normalised by source; what dangling nodes hold goes to the restart.
+    Every round is a join and an aggregation.  A caller that knows its graphs to be tiny
+    may have those of at most ``small`` directed edges ranked within one task.
     """
     both = cut(undirected(clean(edges)))
     total = both.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -57,7 +59,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, rounds: int = ROU
         return nodes.select("node", F.lit(0.0).alias("rank")).filter("false")
     base = start.withColumn("restart", F.lit(1.0 / n))
     base = cut(nodes.join(base, "node", "full").select("node", F.coalesce("restart", F.lit(0.0)).alias("restart")))
-    if walk.count() <= SMALL:
+    if small and walk.count() <= small:
         return _small_ranks(walk, base, rounds, damping)
     ranks = base.select("node", F.col("restart").alias("rank"))
     for k in range(1, rounds + 1):
@@ -103,15 +105,26 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         labels = nxt.select("node", "label")
         if nxt.filter("moved").isEmpty():
             break
+    else:
+        raise RuntimeError(f"components did not settle within {most} rounds")
     return labels.select("node", F.col("label").alias("component"))
 
 
+def penalty(relation: Column, layer: Column) -> Column:
+    """What a path pays for an edge besides its strength: 1 for mere co-occurrence, else by layer."""
+    return F.when(relation == "co_occurs", 1.0).when(layer == "temporal", 0.1).when(layer == "semantic", 0.2).otherwise(0.0)
+
+
 def strongest_path(edges: DataFrame, source: str, hops: int = 8) -> DataFrame:
-    """node, cost, hops of the cheapest path of at most ``hops`` edges; cost -ln(max(weight, 0.02)) per edge.
+    """node, cost, hops of the cheapest path of at most ``hops`` edges; cost -ln(max(weight, 0.02)) per edge,
+    and its ``penalty`` if the edges have that column.
 
     Bounded Bellman-Ford: each round relaxes all edges once.
     """
-    costs = cut(undirected(edges).select("src", "dst", (-F.ln(F.least(F.greatest("weight", F.lit(0.02)), F.lit(1.0)))).alias("cost")).groupBy("src", "dst").agg(F.min("cost").alias("cost")))
+    if "penalty" not in edges.columns:
+        edges = edges.withColumn("penalty", F.lit(0.0))
+    both = edges.select("src", "dst", "weight", "penalty").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "penalty"))
+    costs = cut(both.select("src", "dst", (F.col("penalty") - F.ln(F.least(F.greatest("weight", F.lit(0.02)), F.lit(1.0)))).alias("cost")).groupBy("src", "dst").agg(F.min("cost").alias("cost")))
     best = edges.sparkSession.range(1).select(F.lit(source).alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"))
     for k in range(1, hops + 1):
         step = best.select(F.col("node").alias("src"), F.col("cost").alias("had")).join(costs, "src").select(F.col("dst").alias("node"), (F.col("had") + F.col("cost")).alias("cost"), F.lit(k).alias("hops"))

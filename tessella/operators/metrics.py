@@ -1,4 +1,4 @@
-"""Retrieval quality over ranked results (query_id, id, position) and gold (query_id, id)."""
+"""Retrieval quality over ranked results (query_id, id, position) and gold: pairs (query_id, id), or groups."""
 
 from __future__ import annotations
 
@@ -13,9 +13,23 @@ def marked(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     return ranked.join(hits, ["query_id", "id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0))).join(n, "query_id")
 
 
+def marked_by_group(ranked: DataFrame, queries: DataFrame, rows: DataFrame, group: str) -> DataFrame:
+    """The same where all other rows (id, group) of a query's group are gold, without making those pairs:
+    the relevant rows are counted by group, and only ranked rows are looked up."""
+    size = rows.groupBy(group).agg(F.count(F.lit(1)).alias("held"))
+    own = queries.select(F.col("query_id").alias("id"), F.col(group).alias("wanted"))
+    itself = own.join(rows.select("id", group), "id").filter(F.col("wanted") == F.col(group)).select(F.col("id").alias("query_id"), F.lit(1).alias("itself"))
+    n = queries.join(size, group).join(itself, "query_id", "left").select("query_id", F.col(group).alias("wanted"), (F.col("held") - F.coalesce("itself", F.lit(0))).alias("relevant")).filter("relevant > 0")
+    hits = ranked.join(rows.select("id", group), "id").join(n, "query_id")
+    return hits.withColumn("hit", (F.col(group) == F.col("wanted")).cast("int"))
+
+
 def at_k(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """recall, hit, MRR, nDCG, precision and F1 at k for each query with gold; one shuffle for all."""
-    m = marked(ranked.filter(F.col("position") <= k), gold)
+    return summed(marked(ranked.filter(F.col("position") <= k), gold), k)
+
+
+def summed(m: DataFrame, k: int) -> DataFrame:
     gain = F.sum(F.col("hit") / F.log2(F.col("position") + 1.0))
     g = m.groupBy("query_id", "relevant").agg(F.sum("hit").alias("hits"), F.min(F.when(F.col("hit") == 1, F.col("position"))).alias("first"), gain.alias("dcg"), F.count(F.lit(1)).alias("shown"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scoring
 from tessella.functions import text as T
+from tessella.operators.graph import cut
 
-#: Query vectors of at most so many numbers are sent to every task at once; more go in blocks.
-QUERY_BLOCK = 1 << 20
+#: Vectors that a block holds, of queries and of what they are compared with.
+QUERY_BLOCK = 16_384
 
 
 def unit(v: Column) -> Column:
@@ -35,67 +36,58 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id",
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
-def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id") -> DataFrame:
-    """The k rows most similar to each query (a row is not its own neighbour).
+def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", block: int = QUERY_BLOCK) -> DataFrame:
+    """The k rows most similar to each query (a row is not its own neighbour); zero vectors do not count.
 
-    The queries are collected in blocks of bounded size; each task multiplies its
-    vectors with a block and keeps k candidates per query, so that what is shuffled is
-    k rows per task and query, not a row per pair.
+    Queries and vectors are dealt to blocks of about ``block`` rows by a hash, and each
+    pair of blocks is one group of matrix work that gives k rows a query.  Nothing is
+    collected; a vector travels once for each block of queries, and no pair does.
     """
-    rows = queries.select(F.col(query_id), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).toArrow()
-    ids = np.asarray(rows.column(0))
-    matrix = np.array(rows.column(1).to_pylist(), float).reshape(len(ids), -1)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True) if len(ids) else np.ones((0, 1))
-    keep = norms[:, 0] > 0
-    ids, matrix = ids[keep], (matrix / np.maximum(norms, 1e-300))[keep]
-    step = max(1, QUERY_BLOCK // max(1, matrix.shape[1] if matrix.size else 1))
-    kind = f"{query_id} long, {id_col} long, score double"
-
-    def search(block_ids: np.ndarray, block: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_id = np.full((len(block), 0), 0, np.int64)
-            best = np.full((len(block), 0), 0.0)
-            for batch in batches:
-                own = np.asarray(batch.column(0))
-                v = batch.column(1)
-                width = len(v.values) // max(len(v), 1)
-                x = np.asarray(v.flatten(), float).reshape(len(own), width) if len(own) else np.zeros((0, block.shape[1]))
-                norm = np.linalg.norm(x, axis=1)
-                own, x, norm = own[norm > 0], x[norm > 0], norm[norm > 0]
-                s = block @ (x / norm[:, None]).T
-                s[block_ids[:, None] == own[None, :]] = -np.inf
-                best, best_id = np.concatenate((best, s), axis=1), np.concatenate((best_id, np.broadcast_to(own, s.shape)), axis=1)
-                order = np.lexsort((best_id, -best), axis=1)[:, :k]
-                best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
+    width = F.transform(vector_col, lambda x: x.cast("double")).alias("v")
+    mine = queries.select(F.col(query_id).cast("long").alias("id"), width, F.lit(True).alias("asks")).filter("v is not null")
+    theirs = vectors.select(F.col(id_col).cast("long").alias("id"), width, F.lit(False).alias("asks")).filter("v is not null")
+    a, b = (max(1, -(-df.count() // block)) for df in (mine, theirs))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = mine.withColumn("a", F.expr(f"cast(pmod(xxhash64(id), {a}) as int)")).withColumn("b", spread(b))
+    theirs = theirs.withColumn("b", F.expr(f"cast(pmod(xxhash64(id), {b}) as int)")).withColumn("a", spread(a))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
+        norm = np.linalg.norm(x, axis=1)
+        ids, asks = pdf["id"].to_numpy(), pdf["asks"].to_numpy(bool)
+        q, d = np.flatnonzero(asks & (norm > 0)), np.flatnonzero(~asks & (norm > 0))
+        d = d[np.argsort(ids[d], kind="stable")]  # among equal scores the least id comes first
+        right = (x[d] / norm[d, None]).T
+        out: list[tuple[np.ndarray, ...]] = []
+        for at in range(0, len(q) if len(d) else 0, 512):
+            some = q[at : at + 512]
+            s = (x[some] / norm[some, None]) @ right
+            s[ids[some][:, None] == ids[d][None, :]] = -np.inf
+            order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(s, order, 1)
             good = np.isfinite(best)
-            at = np.nonzero(good)
-            yield pa.RecordBatch.from_arrays([pa.array(block_ids[at[0]]), pa.array(best_id[at]), pa.array(best[at])], [query_id, id_col, "score"])
-
-        return run
-
-    out = None
-    source = vectors.select(F.col(id_col).cast("long"), vector_col).filter(F.col(vector_col).isNotNull())
-    for at in range(0, len(ids), step):
-        part = source.mapInArrow(search(ids[at : at + step].astype(np.int64), matrix[at : at + step]), kind)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], kind + ", position int")
+            out.append((np.repeat(ids[some], good.sum(axis=1)), ids[d][order[good]], best[good]))
+        cat = lambda i, kind: np.concatenate([o[i] for o in out]) if out else np.zeros(0, kind)
+        return pd.DataFrame({query_id: cat(0, np.int64), id_col: cat(1, np.int64), "score": cat(2, float)})
+
+    found = mine.unionByName(theirs).groupBy("a", "b").applyInPandas(search, f"{query_id} long, {id_col} long, score double")
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
-    return out.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+    return found.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
 
 def bm25(docs: DataFrame, terms: list[str], id_col: str, text_col: str, k: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 of prefix terms over all rows; statistics cover the whole table.
 
-    Term counts are taken within each row, so that no postings are shuffled; one pass
-    gives the statistics, a second the scores.
+    One pass over the texts writes each row's length and term counts, numbers only; the
+    statistics and the scores are read from those.  Terms are counted by patterns, which
+    compile into the scan, and only where the text holds the term at all.
     """
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^\\p{L}\\p{N}]+", " "), " "), lambda t: t != "")
-
-    def times(term: str) -> Column:
-        return F.size(F.filter("words", lambda t: t.startswith(term)))
-
-    rows = docs.select(id_col, words.alias("words")).select(id_col, F.size("words").alias("dl"), *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(id_col, low.alias("low")).select(
+        id_col, F.regexp_count("low", F.lit("[\\p{L}\\p{N}]+")).alias("dl"),
+        *[F.when(F.contains("low", F.lit(t)), F.regexp_count("low", F.lit(f"(?<![\\p{{L}}\\p{{N}}]){re.escape(t)}"))).otherwise(0).alias(f"tf{i}") for i, t in enumerate(terms)],
+    )
+    rows = cut(rows)
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
@@ -104,7 +96,7 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str, text_col: str, k: int |
         idf = max(float(np.log((n - df + 0.5) / (df + 0.5))), 1e-6)
         tf = F.col(f"tf{i}")
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl))
-    hits = rows.select(id_col, score.alias("score"), *[f"tf{i}" for i in range(len(terms))]).filter(" or ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").select(id_col, "score")
+    hits = rows.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").select(id_col, score.alias("score"))
     return hits.orderBy(F.desc("score"), id_col).limit(k) if k else hits
 
 
@@ -173,8 +165,6 @@ def near_counts(vectors: DataFrame, threshold: float, block: int = 4096, id_col:
     many groups as there are blocks, and comes out of each as one count.  The work is
     that of all pairs, which exactness takes, but the pairs never leave the task.
     """
-    import pandas as pd
-
     n = vectors.count()
     blocks = max(1, -(-n // block))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).filter("v is not null")

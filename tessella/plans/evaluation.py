@@ -18,8 +18,7 @@ def scores(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     ranked = R.batch_knn(e, q, 10).select("query_id", F.col("vec_id").alias("id"), "position")
-    gold = q.select("query_id", "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").filter("query_id <> id").select("query_id", "id")
-    return M.at_k(ranked, gold, 10)
+    return M.summed(M.marked_by_group(ranked, q.select("query_id", "label"), e.select(F.col("vec_id").alias("id"), "label"), "label"), 10)
 
 
 @query(f"WITH {_RANKED} SELECT query_id, round(hits / relevant::DOUBLE, 9) AS recall, (hits > 0)::INTEGER AS hit FROM m")

@@ -57,45 +57,98 @@ def tombstone_antijoin(spark, sf_dir):
     return Y.without_tombstones(m, t).select("id", "title")
 
 
-_CHAIN = "p AS (SELECT event_id, user_id, ts, sha256(event_id::VARCHAR || chr(31) || event_type || chr(31) || props) AS own FROM events), c AS (SELECT event_id, user_id, own, row_number() OVER w AS sequence, coalesce(lag(own) OVER w, 'genesis') AS before FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), h AS (SELECT *, sha256(before || chr(31) || own || chr(31) || sequence::VARCHAR) AS receipt_hash FROM c)"
+_CHAIN = "p AS (SELECT event_id, user_id, sha256(event_id::VARCHAR || chr(31) || event_type || chr(31) || props) AS own, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence FROM events), h AS (SELECT event_id, user_id, own, sequence, NULL::VARCHAR AS prev_hash, sha256('genesis' || chr(31) || own || chr(31) || '1') AS receipt_hash FROM p WHERE sequence = 1 UNION ALL SELECT p.event_id, p.user_id, p.own, p.sequence, h.receipt_hash, sha256(h.receipt_hash || chr(31) || p.own || chr(31) || p.sequence::VARCHAR) FROM h JOIN p ON p.user_id = h.user_id AND p.sequence = h.sequence + 1)"
+
+
+def _payload():
+    return R.payload_hash(F.col("event_id").cast("string"), F.col("event_type"), F.col("props"))
 
 
 def _chain(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
-    return R.chain(ev, ["user_id"], ["event_id"], R.payload_hash(F.col("event_id").cast("string"), F.col("event_type"), F.col("props")))
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "props")
+    return R.chain(ev, ["user_id"], ["event_id"], _payload())
 
 
-@query(f"WITH {_CHAIN} SELECT event_id, sequence, receipt_hash, lag(receipt_hash) OVER (PARTITION BY user_id ORDER BY event_id) AS prev_hash FROM h")
+@query(f"WITH RECURSIVE {_CHAIN} SELECT event_id, sequence, receipt_hash, prev_hash FROM h")
 def receipt_chain(spark, sf_dir):
+    """Every event's receipt in the chain of its user: each hash holds the one before."""
     return _chain(spark, sf_dir).select("event_id", "sequence", "receipt_hash", "prev_hash")
 
 
+@query(f"WITH RECURSIVE {_CHAIN} SELECT user_id, max_by(receipt_hash, sequence) AS head, count(*) AS receipts FROM h GROUP BY user_id")
+def receipt_heads(spark, sf_dir):
+    """Anchors: the head and the length of every chain."""
+    return R.heads(_chain(spark, sf_dir), ["user_id"])
+
+
+@query("SELECT user_id, CASE WHEN user_id % 5 = 0 AND count(*) = 1 THEN 'missing' WHEN user_id % 5 = 0 THEN 'truncated' WHEN user_id % 7 = 0 THEN 'forked' WHEN user_id % 11 = 0 AND count(*) > 1 THEN 'extended' WHEN user_id % 11 = 0 THEN 'unanchored' ELSE 'ok' END AS status, count(*) - (user_id % 5 = 0)::INT AS receipts FROM events GROUP BY user_id")
+def receipt_anchor_check(spark, sf_dir):
+    """Chains that were tampered with after they were anchored: the last receipt taken away, the first one's contents changed and
+    all hashes made anew, or receipts added."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    first = ev.groupBy("user_id").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    ev = ev.join(first, "user_id")
+    u, last = F.col("user_id"), F.col("event_id") == F.col("last")
+    chain = lambda rows: R.chain(rows, ["user_id"], ["event_id"], _payload())
+    anchors = R.heads(chain(ev.filter(~((u % 11 == 0) & (u % 5 != 0) & (u % 7 != 0) & last))), ["user_id"])
+    forged = F.when((u % 7 == 0) & (F.col("event_id") == F.col("first")), F.concat("props", F.lit("!"))).otherwise(F.col("props"))
+    now = chain(ev.filter(~((u % 5 == 0) & last)).withColumn("props", forged))
+    return R.check_anchors(now, anchors, ["user_id"])
+
+
+@query("SELECT event_id, user_id, sequence, event_type, CASE WHEN event_type = 'error' THEN NULL ELSE own END AS own FROM (SELECT event_id, user_id, event_type, sha256(event_id::VARCHAR || chr(31) || event_type || chr(31) || props) AS own, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence FROM events) WHERE n <= 5")
+def receipt_list(spark, sf_dir):
+    """The five newest receipts of every chain as the public sees them: no payload, and no digest of what failed."""
+    from pyspark.sql import Window
+
+    r = _chain(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("sequence")))).filter("n <= 5")
+    return r.select("event_id", "user_id", "sequence", "event_type", F.when(F.col("event_type") != "error", F.col("own")).alias("own"))
+
+
 @query("WITH g AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_id % 500 = 7) AS lost FROM events GROUP BY 1), k AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events), r AS (SELECT *, lag(s) OVER (PARTITION BY user_id ORDER BY event_id) AS last FROM k WHERE event_id % 500 <> 7) SELECT user_id, count(*) AS receipts, count(*) FILTER (WHERE s <> coalesce(last, 0) + 1) AS gaps, count(*) FILTER (WHERE s <> coalesce(last, 0) + 1) AS broken FROM r GROUP BY user_id")
 def receipt_chain_verify(spark, sf_dir):
     """Chains from which some receipts were taken: the gaps and the links that they break."""
     return R.verify(_chain(spark, sf_dir).filter("event_id % 500 <> 7"), ["user_id"])
 
 
-_SAV = "s AS (SELECT event_id, user_id, ts, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, floor(value)::BIGINT AS emitted FROM events), t AS (SELECT *, coalesce(k, 0) * 10 AS baseline FROM s)"
+_SAV = """t AS (SELECT event_id, user_id, ts, event_type AS operation, ['estimate', 'regex', 'model'][(event_id % 3 + 1)::INT] AS token_counter, 'agent_' || (user_id % 4)::VARCHAR AS agent, event_type = 'error' AS failed,
+  floor(value)::BIGINT - CASE WHEN event_id % 50 = 3 THEN 1000000 ELSE 0 END AS emitted, CASE WHEN event_id % 20 <> 7 THEN coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) * 10 END AS baseline FROM events),
+v AS (SELECT *, CASE WHEN failed THEN 'failed' WHEN baseline IS NULL OR emitted IS NULL THEN 'missing' WHEN baseline < 0 OR emitted < 0 THEN 'negative' ELSE '' END AS bad FROM t)"""
+_SUMS = "count(*) AS receipts, count(*) FILTER (WHERE bad = '') AS valid, count(*) FILTER (WHERE bad = 'failed') AS invalid_failed, count(*) FILTER (WHERE bad = 'missing') AS invalid_missing, count(*) FILTER (WHERE bad = 'negative') AS invalid_negative, coalesce(sum(baseline) FILTER (WHERE bad = ''), 0)::BIGINT AS baseline, coalesce(sum(emitted) FILTER (WHERE bad = ''), 0)::BIGINT AS emitted, coalesce(sum(greatest(baseline - emitted, 0)) FILTER (WHERE bad = ''), 0)::BIGINT AS saved, count(*) FILTER (WHERE bad = '' AND emitted > baseline) AS grown, round(CASE WHEN coalesce(sum(baseline) FILTER (WHERE bad = ''), 0) = 0 THEN 0 ELSE sum(greatest(baseline - emitted, 0)) FILTER (WHERE bad = '')::DOUBLE / sum(baseline) FILTER (WHERE bad = '') END, 9) AS ratio"
 
 
 def _usage(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", "user_id", "ts", "event_type", F.floor("value").alias("emitted"), (F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)) * 10).alias("baseline"))
+    """Deliveries, made from the events: some lack a baseline, some have a negative count, errors failed."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    return e.select(
+        "event_id", "user_id", "ts", F.col("event_type").alias("operation"), F.element_at(F.array(*map(F.lit, ("estimate", "regex", "model"))), (i % 3 + 1).cast("int")).alias("token_counter"),
+        F.concat(F.lit("agent_"), (F.col("user_id") % 4).cast("string")).alias("agent"), (F.col("event_type") == "error").alias("failed"),
+        (F.floor("value") - F.when(i % 50 == 3, 1000000).otherwise(0)).alias("emitted"), F.when(i % 20 != 7, F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)) * 10).alias("baseline"),
+    )
 
 
-@query(f"WITH {_SAV} SELECT event_type AS operation, count(*) AS receipts, sum(baseline)::BIGINT AS baseline, sum(emitted)::BIGINT AS emitted, sum(greatest(baseline - emitted, 0))::BIGINT AS saved, round(CASE WHEN sum(baseline) = 0 THEN 0 ELSE sum(greatest(baseline - emitted, 0))::DOUBLE / sum(baseline) END, 9) AS ratio FROM t WHERE event_type <> 'error' GROUP BY 1")
+@query(f"WITH {_SAV} SELECT token_counter, operation, {_SUMS} FROM v GROUP BY ALL")
 def context_savings(spark, sf_dir):
-    u = _usage(spark, sf_dir).filter("event_type <> 'error'")
-    saved = F.sum(F.greatest(F.col("baseline") - F.col("emitted"), F.lit(0)))
-    g = u.groupBy(F.col("event_type").alias("operation")).agg(F.count(F.lit(1)).alias("receipts"), F.sum("baseline").alias("baseline"), F.sum("emitted").alias("emitted"), saved.alias("saved"))
-    return g.withColumn("ratio", F.round(F.when(F.col("baseline") == 0, 0.0).otherwise(F.col("saved") / F.col("baseline")), 9))
+    """Savings by token counter and operation; what cannot count is counted by its reason."""
+    return R.savings(_usage(spark, sf_dir), "token_counter", "operation")
 
 
-@query(f"WITH {_SAV} SELECT CAST(ts AS DATE)::VARCHAR AS day, event_type AS operation, count(*) AS receipts, sum(greatest(baseline - emitted, 0))::BIGINT AS saved FROM t GROUP BY ALL")
+@query(f"WITH {_SAV} SELECT CAST(ts AS DATE)::VARCHAR AS day, token_counter, {_SUMS} FROM v GROUP BY ALL")
 def savings_by_day(spark, sf_dir):
-    u = _usage(spark, sf_dir)
-    return u.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("operation")).agg(F.count(F.lit(1)).alias("receipts"), F.sum(F.greatest(F.col("baseline") - F.col("emitted"), F.lit(0))).alias("saved"))
+    return R.savings(_usage(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "day", "token_counter")
+
+
+@query(f"WITH {_SAV} SELECT agent, token_counter, {_SUMS} FROM v GROUP BY ALL")
+def savings_by_agent(spark, sf_dir):
+    return R.savings(_usage(spark, sf_dir), "agent", "token_counter")
+
+
+@query(f"WITH {_SAV}, w AS (SELECT v.*, n_name AS workspace, 'repo_' || (user_id % 3)::VARCHAR AS repo FROM v JOIN nation ON n_nationkey = user_id % 25) SELECT workspace, repo, token_counter, {_SUMS} FROM w GROUP BY ALL")
+def savings_by_workspace(spark, sf_dir):
+    """By workspace and repository, which are looked up by the user."""
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("workspace"))
+    u = _usage(spark, sf_dir).withColumn("key", F.col("user_id") % 25).join(names, "key").withColumn("repo", F.concat(F.lit("repo_"), (F.col("user_id") % 3).cast("string")))
+    return R.savings(u, "workspace", "repo", "token_counter")
 
 
 @query("WITH c AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'adaptive_context' WHEN 1 THEN 'recall' WHEN 2 THEN 'grounded_recall' WHEN 3 THEN 'proactive_context' ELSE 'remember' END AS op, CASE WHEN event_id % 2 = 0 THEN 'recall_context' ELSE '' END AS intent, CASE event_id % 4 WHEN 0 THEN 'retrieval' WHEN 1 THEN 'history_fallback' WHEN 2 THEN 'history_bypass' ELSE 'low_confidence_abstain' END AS mode FROM events), b AS (SELECT *, CASE WHEN op = 'adaptive_context' AND mode = 'retrieval' THEN 'history_retrieval' WHEN op = 'adaptive_context' THEN mode WHEN (op = 'recall' AND intent = 'recall_context') OR op IN ('grounded_recall', 'proactive_context') THEN 'packed_context' ELSE 'unclassified' END AS basis FROM c) SELECT basis, CASE WHEN basis = 'history_retrieval' THEN 'high' WHEN basis IN ('history_fallback', 'packed_context') THEN 'medium' WHEN basis IN ('history_bypass', 'low_confidence_abstain') THEN 'none' ELSE 'unknown' END AS confidence, basis IN ('history_retrieval', 'history_fallback', 'packed_context') AS eligible, count(*) AS n FROM b GROUP BY ALL")

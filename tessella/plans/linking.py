@@ -42,10 +42,8 @@ def entity_blocking(spark, sf_dir):
 def seed_entities(spark, sf_dir):
     """Entities that a query names as a whole phrase."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    name = p.agg(F.min("p_name")).first()[0] or ""
-    text = f" find the parts named {name} please"
-    inside = F.contains(F.lit(text), F.concat(F.lit(" "), F.col("p_name"), F.lit(" ")))
-    return p.filter(inside)
+    asked = p.agg(F.concat(F.lit(" find the parts named "), F.coalesce(F.min("p_name"), F.lit("")), F.lit(" please")).alias("q")).select("q").scalar()
+    return p.filter(F.contains(asked, F.concat(F.lit(" "), F.col("p_name"), F.lit(" "))))
 
 
 @query(f"WITH {MEM_SQL} SELECT m.repo_id AS entity, count(*) AS memories, round(sum(confidence), 6) AS score FROM mem m WHERE {visible_sql()} GROUP BY 1")
@@ -146,7 +144,7 @@ def layer_routing(spark, sf_dir):
     return q.select("conv_id", "turn", "role", "layer", F.when(F.col("layer").isNull(), 1.0).when(F.col("layer") == "causal", P.PREFERRED).otherwise(P.FALLBACK).alias("causal_weight"))
 
 
-@query(f"WITH c AS (SELECT conv_id, turn, role, {_Q} AS q FROM conversations) SELECT conv_id, turn, role, least(3, 1 + (len(regexp_extract_all(q, '{_re(P.QUOTED)}', 1)) + len(regexp_extract_all(q, '{_re(P.IDENTIFIER)}', 0)) > 0)::INT + regexp_matches(q, '{_re(P.RELATION_CUE)}')::INT + (regexp_matches(q, '{_re(P.SESSION)}') OR regexp_matches(q, '{_re(P.PROCEDURAL)}') OR regexp_matches(q, '{_re(P.CHANGE)}'))::INT)::INTEGER AS routes, CASE WHEN regexp_matches(q, '{_re(P.SESSION)}') THEN 'current_session' WHEN regexp_matches(q, '{_re(P.PROCEDURAL)}') THEN 'procedural' WHEN regexp_matches(q, '{_re(P.CHANGE)}') THEN 'temporal' END AS intent FROM c")
+@query(f"WITH c AS (SELECT conv_id, turn, role, {_Q} AS q FROM conversations) SELECT conv_id, turn, role, least(3, 1 + (len(regexp_extract_all(q, '{_re(P.QUOTED)}', 0)) + len(regexp_extract_all(q, '{_re(P.IDENTIFIER)}', 0)) > 0)::INT + regexp_matches(q, '{_re(P.RELATION_CUE)}')::INT + (regexp_matches(q, '{_re(P.SESSION)}') OR regexp_matches(q, '{_re(P.PROCEDURAL)}') OR regexp_matches(q, '{_re(P.CHANGE)}'))::INT)::INTEGER AS routes, CASE WHEN regexp_matches(q, '{_re(P.SESSION)}') THEN 'current_session' WHEN regexp_matches(q, '{_re(P.PROCEDURAL)}') THEN 'procedural' WHEN regexp_matches(q, '{_re(P.CHANGE)}') THEN 'temporal' END AS intent FROM c")
 def query_plan(spark, sf_dir):
     """Routes and intent of every query's plan."""
     return _queries(spark, sf_dir).select("conv_id", "turn", "role", F.size(P.routes(F.col("q"))).alias("routes"), P.intent(F.col("q")).alias("intent"))

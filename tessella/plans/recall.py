@@ -10,6 +10,7 @@ from tessella.functions import text as T
 from tessella.model import BOOSTS, DAY, EVENT_KINDS, MEM_SQL, NOW, WEIGHTS, memories, table
 from tessella.operators import planning as P
 from tessella.operators import retrieval as R
+from tessella.operators.graph import cut
 from tessella.operators.temporal import visible, visible_sql
 from tessella.plans.base import query
 
@@ -110,7 +111,7 @@ _ARMS = f"{MEM_SQL}, {COS_SQL}, {R.bm25_sql(TERMS, 200)}, arms AS (SELECT vec_id
 def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = R.knn(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 200).select(F.col("vec_id").alias("doc_id"), F.lit("vector").alias("arm"), F.round("score", 9).alias("score"))
     b = R.bm25(table(spark, sf_dir, "documents"), TERMS, "doc_id", "text", 200).select("doc_id", F.lit("lexical").alias("arm"), F.round("score", 9).alias("score"))
-    return v.unionByName(b)
+    return cut(v.unionByName(b))  # 400 rows that what follows reads more than once
 
 
 @query(f"WITH {_ARMS}, r AS (SELECT doc_id, row_number() OVER (PARTITION BY arm ORDER BY score DESC, doc_id) AS rank FROM arms) SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, count(*) AS arms FROM r GROUP BY doc_id")

@@ -1,5 +1,6 @@
 """Hand-computed cases."""
 
+import hashlib
 import math
 
 import pytest
@@ -78,9 +79,9 @@ def test_graph(spark):
     assert {r["node"]: r["component"] for r in graph.components(e.filter("src <> 'x'")).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d"}
     ranks = {r["node"]: r["rank"] for r in graph.pagerank(e, spark.createDataFrame([("a",)], "node string")).collect()}
     assert sum(ranks.values()) == pytest.approx(1.0) and ranks["d"] == 0.0 and ranks["b"] > ranks["c"]
-    graph.SMALL, keep = 0, graph.SMALL
-    assert {r["node"]: r["rank"] for r in graph.pagerank(e, spark.createDataFrame([("a",)], "node string")).collect()} == pytest.approx(ranks)
-    graph.SMALL = keep
+    assert {r["node"]: r["rank"] for r in graph.pagerank(e, spark.createDataFrame([("a",)], "node string"), small=100).collect()} == pytest.approx(ranks)
+    with pytest.raises(RuntimeError, match="settle"):
+        graph.components(edges(spark, [(str(k), str(k + 1), 1.0) for k in range(60)]), most=2)
     path = {r["node"]: r["cost"] for r in graph.strongest_path(edges(spark, [("a", "b", 0.5), ("b", "c", 0.5), ("a", "c", 0.1)]), "a").collect()}
     assert path["c"] == pytest.approx(-math.log(0.25))
     assert {r["node"]: r["depth"] for r in graph.bfs(e, "a").collect()} == {"a": 0, "b": 1, "c": 2}
@@ -100,11 +101,27 @@ def test_merge_is_order_free(spark):
 
 
 def test_receipts(spark):
-    df = spark.createDataFrame([(1, i, f"p{i}") for i in range(5)], "k long, i long, p string")
-    c = receipts.chain(df, ["k"], ["i"], receipts.payload_hash(F.col("p")))
-    assert receipts.verify(c, ["k"]).first()[1:] == (5, 0, 0)
-    changed = c.withColumn("own", F.when(F.col("i") == 2, "no").otherwise(F.col("own")))
-    assert receipts.verify(changed, ["k"]).first()["broken"] == 2
+    df = spark.createDataFrame([("a", i, f"p{i}") for i in range(8)] + [("b", 0, "x"), (None, 3, "n")], "k string, i int, p string")
+    make = lambda rows: receipts.chain(rows, ["k"], ["i"], receipts.payload_hash(F.col("p")))
+    c = make(df).cache()
+    assert {r["k"]: r[1:] for r in receipts.verify(c, ["k"]).collect()} == {"a": (8, 0, 0), "b": (1, 0, 0), None: (1, 0, 0)}
+    own = [hashlib.sha256(f"p{i}".encode()).hexdigest() for i in range(8)]
+    head = None
+    for i in range(8):  # the chain again, in plain Python
+        head = hashlib.sha256(f"{head or 'genesis'}\x1f{own[i]}\x1f{i + 1}".encode()).hexdigest()
+    assert c.filter("k = 'a' and sequence = 8").first()["receipt_hash"] == head
+    # Forged contents under an old hash break their link; made anew, they change every hash after them and the head.
+    forged = c.withColumn("p", F.when((F.col("k") == "a") & (F.col("i") == 2), "forged").otherwise(F.col("p")))
+    assert receipts.links(forged, ["k"], receipts.payload_hash(F.col("p"))).filter("broken").select("i").collect() == [(2,)]
+    anew = make(forged.select("k", "i", "p")).cache()
+    assert c.join(anew.select(F.col("k").alias("k2"), F.col("i").alias("i2"), F.col("receipt_hash").alias("h2")), F.expr("k = k2 and i = i2 and receipt_hash = h2")).filter("k = 'a'").count() == 2
+    anchors = receipts.heads(c, ["k"]).filter("k is not null")
+    status = lambda rows: {r["k"]: r["status"] for r in receipts.check_anchors(rows, anchors, ["k"]).filter("k is not null").collect()}
+    assert status(c) == {"a": "ok", "b": "ok"} and status(anew) == {"a": "forked", "b": "ok"}
+    assert status(c.filter("k = 'a' and i < 6")) == {"a": "truncated", "b": "missing"}
+    more = make(df.unionByName(spark.createDataFrame([("a", 9, "more"), ("c", 0, "new")], df.schema)))
+    assert status(more) == {"a": "extended", "b": "ok", "c": "unanchored"}
+    assert receipts.verify(c.filter("i <> 4"), ["k"]).filter("k = 'a'").first()[1:] == (7, 1, 1) and make(df.filter("false")).count() == 0
 
 
 def test_resolution(spark):
