@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
@@ -12,41 +12,64 @@ from tessella.operators import graph as G
 RELATED, DUPLICATE, SUBJECT, STRONG, JOINT, MARGIN = 0.15, 0.85, 0.40, 0.55, 0.45, 0.05
 
 
-def candidates(new: DataFrame, old: DataFrame, heavy: int = 0) -> DataFrame:
-    """Pairs (new_id, old_id) that share a token, with their Jaccard overlap, by an inverted index.
+def similar(new: DataFrame, old: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (new_id, old_id) of token sets (id, tokens) with a Jaccard overlap of at least ``threshold`` > 0; exact.
 
-    Token sets become rows; only pairs with a common token meet.  ``heavy`` drops tokens
-    of more than so many rows; 0, the default, drops none and is exact.
+    Tokens are ordered from rare to frequent.  Two sets that reach the threshold share one
+    of the first n - ceil(threshold * n) + 1 tokens of each, so that only those are
+    indexed: frequent tokens fall behind.  Sizes that cannot reach it do not meet; the
+    others are compared on their whole sets.
     """
-    n = new.select(F.col("id").alias("new_id"), F.size("tokens").alias("nn"), F.explode("tokens").alias("token"))
-    o = old.select(F.col("id").alias("old_id"), F.size("tokens").alias("no"), F.explode("tokens").alias("token"))
-    if heavy:
-        o = o.join(o.groupBy("token").count().filter(F.col("count") <= heavy).select("token"), "token")
-    both = n.join(o, "token").filter("new_id <> old_id").groupBy("new_id", "old_id", "nn", "no").agg(F.count(F.lit(1)).alias("shared"))
-    return both.select("new_id", "old_id", (F.col("shared") / (F.col("nn") + F.col("no") - F.col("shared"))).alias("overlap"))
+    each = lambda df: df.select("id", F.explode("tokens").alias("token"))
+    seen = each(old) if new is old else each(old).unionByName(each(new))
+    rarity = seen.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefix(df: DataFrame, key: str) -> DataFrame:
+        t = df.select(F.col("id").alias(key), F.size("tokens").alias(f"{key}_n"), F.explode("tokens").alias("token")).join(rarity, "token")
+        t = t.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("df", "token")))
+        return t.filter(F.col("place") <= F.col(f"{key}_n") - F.ceil(threshold * F.col(f"{key}_n") - 1e-9) + 1).select(key, f"{key}_n", "token")
+
+    fits = F.least("new_id_n", "old_id_n") >= threshold * F.greatest("new_id_n", "old_id_n") - 1e-9
+    met = prefix(new, "new_id").join(prefix(old, "old_id"), "token").filter((F.col("new_id") != F.col("old_id")) & fits).select("new_id", "old_id").distinct()
+    whole = met.join(new.select(F.col("id").alias("new_id"), F.col("tokens").alias("x")), "new_id").join(old.select(F.col("id").alias("old_id"), F.col("tokens").alias("y")), "old_id")
+    return whole.select("new_id", "old_id", T.jaccard(F.col("x"), F.col("y")).alias("overlap")).filter(F.col("overlap") >= threshold)
 
 
 def decide(pairs: DataFrame) -> DataFrame:
-    """The operation for each new row from its best neighbour (overlap, similarity, id), and its rival.
+    """The operation for each new row from its neighbours.
 
-    Expects new_id, old_id, overlap, sim, same_key, same_text.  Keyed claims decide first:
-    equal text is NOOP, another text INVALIDATE.
+    Expects new_id, keyed (the new row names its claim), old_id, old_from, overlap, sim,
+    same_key, same_text (as normalised claims) and same_words (but for case and white
+    space).  Neighbours of the same claim come before all others, which count from a
+    similarity of RELATED on; of those the best has the most overlap, similarity and
+    latest time.  The target is null for ADD, and for RELATE between several.
     """
-    order = F.struct(F.col("same_key").cast("int").alias("k"), "overlap", "sim", (-F.col("old_rank")).alias("r"), "old_id", "same_text")
-    best = pairs.groupBy("new_id").agg(F.max(order).alias("b"), F.slice(F.sort_array(F.collect_list("overlap"), False), 1, 2).alias("top"))
-    b, rival = F.col("b"), F.coalesce(F.get("top", F.lit(1)), F.lit(0.0))
+    of = Window.partitionBy("new_id")
+    p = pairs.withColumn("claim", F.max(F.col("same_key").cast("int")).over(of)).filter((F.col("claim") == F.col("same_key").cast("int")) & (F.col("same_key") | (F.col("sim") >= RELATED)))
+    order = of.orderBy(F.desc("overlap"), F.desc("sim"), F.desc_nulls_last("old_from"), "old_id")
+    p = p.withColumns({"n": F.row_number().over(order), "best": F.max("overlap").over(of)})
+    strong = (F.col("overlap") >= STRONG) & (F.col("sim") >= JOINT)
+    rival = (F.col("n") > 1) & strong & (F.col("best") - F.col("overlap") <= MARGIN + 1e-9)
+    top = p.groupBy("new_id").agg(F.max(F.when(F.col("n") == 1, F.struct("overlap", "sim", "same_key", "same_text", "same_words", "keyed", "old_id"))).alias("b"), F.bool_or(rival).alias("unsure"))
+    b = F.col("b")
+    unsure = F.col("unsure") & ~b["keyed"] & (b["overlap"] >= STRONG) & (b["overlap"] < DUPLICATE) & (b["sim"] >= JOINT) & ~b["same_key"]
     op = (
-        F.when((b["k"] == 1) & b["same_text"], "NOOP").when(b["k"] == 1, "INVALIDATE").when(b["overlap"] >= DUPLICATE, "NOOP")
-        .when((b["overlap"] >= STRONG) & (b["sim"] >= JOINT), F.when(b["overlap"] - rival < MARGIN, "RELATE").otherwise("INVALIDATE"))
+        F.when(b["same_key"], F.when(b["same_text"], "NOOP").otherwise("INVALIDATE"))
+        .when(b["overlap"] >= DUPLICATE, F.when(~b["keyed"], "NOOP").when(b["same_words"], "INVALIDATE").otherwise("RELATE"))
+        .when(unsure, "RELATE").when(~b["keyed"] & (b["overlap"] >= STRONG) & (b["sim"] >= JOINT), "INVALIDATE")
         .when(b["overlap"] >= SUBJECT, "RELATE").otherwise("ADD")
     )
-    return best.select("new_id", op.alias("op"), F.when(op != "ADD", b["old_id"]).alias("target"), b["overlap"].alias("overlap"))
+    return top.select("new_id", op.alias("op"), F.when((op != "ADD") & ~unsure, b["old_id"]).alias("target"), b["overlap"].alias("overlap"))
 
 
-NEGATIVE = r"(?i)\b(?:not|never|no longer|cannot|without|isn't|aren't|doesn't|don't|won't)\b"
-POSITIVE = r"(?i)\b(?:uses?|is|are|enabled?|supports?|requires?|must|always)\b"
-TEMPORAL = r"(?i)\b(?:now|currently|no longer|anymore|previously|migrated|replaced|switched|deprecated)\b"
-NUMBER = r"\d+(?:\.\d+)?"
+# Cue patterns of conflicts, and what a statement looks like (subject, negation, predicate, object).
+TEMPORAL = r"(?i)\b(now|currently|as of|from now on|no longer|instead|replaced|switched|migrated|deprecated|supersedes|superseded)\b"
+NEGATIVE = r"(?i)\b(no longer|does not|doesn't|do not|don't|never|without|disabled?|disallowed|den(?:y|ies|ied)|forbidden|blocked|deprecated|removed|unsupported)\b"
+POSITIVE = r"(?i)\b(uses?|requires?|supports?|allows?|enabled?|must|should|stores?|runs on|prefers?)\b"
+NUMBER = r"(?i)\b\d+(?:\.\d+)?\s*(?:ms|s|sec|secs|seconds|m|min|mins|minutes|h|hours|rpm|rps|requests?|%|percent|mb|gb)?\b"
+STATEMENT = r"(?i)\b([A-Za-z0-9][A-Za-z0-9_.#/+ -]{1,80}?)\s+(does not|doesn't|do not|don't|no longer\s+)?(uses?|requires?|supports?|stores?|runs on|defaults? to|prefers?|rate limit(?: is)?|timeout(?: is)?|version(?: is)?|is|are)\s+([^.;\n]{1,120})"
+OBJECT_END = r"(?i)\b(?:for|because|after|before|with|when|while|during|if)\b"
+SAME_SUBJECT, SAME_OBJECT, REFINED = 0.24, 0.55, 0.72
 
 
 def polarity(text: Column) -> Column:
@@ -55,24 +78,54 @@ def polarity(text: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))))
+    """The distinct numbers with their units, without spaces."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda x: F.lower(F.regexp_replace(x, "\\s+", "")))))
+
+
+def statements(text: Column) -> Column:
+    """What a text states, at most eight times: subject and object as token sets, predicate, and whether it is negated."""
+    part = lambda k: F.regexp_extract_all(text, F.lit(STATEMENT), F.lit(k))
+    rows = F.arrays_zip(part(1).alias("s"), part(2).alias("n"), part(3).alias("p"), part(4).alias("o"))
+    made = F.transform(
+        rows,
+        lambda r: F.struct(
+            T.tokens(r["s"]).alias("subject"), (r["n"] != "").alias("negated"),
+            F.regexp_replace(F.trim(F.regexp_replace(F.lower(r["p"]), "\\s+", " ")), "s+$", "").alias("predicate"), T.tokens(F.get(F.split(r["o"], OBJECT_END), F.lit(0))).alias("object"),
+        ),
+    )
+    return F.slice(F.filter(made, lambda a: (F.size(a["subject"]) > 0) & (F.size(a["object"]) > 0)), 1, 8)
+
 
+def contradicts(a: Column, b: Column) -> Column:
+    """Whether any statement says of the same subject, with the same predicate, something else or the opposite."""
 
-def conflicts(pairs: DataFrame, floor: float = 0.24, duplicate: float = 0.82) -> DataFrame:
+    def against(x: Column, y: Column) -> Column:
+        both = F.size(F.array_intersect(x["object"], y["object"]))
+        other = (both / F.greatest(F.lit(1), F.least(F.size(x["object"]), F.size(y["object"]))) < 0.8) & (T.jaccard(x["object"], y["object"]) < SAME_OBJECT)
+        return (x["predicate"] == y["predicate"]) & (T.jaccard(x["subject"], y["subject"]) >= 0.5) & ((x["negated"] != y["negated"]) | other)
+
+    return F.exists(a, lambda x: F.exists(b, lambda y: against(x, y)))
+
+
+def conflicts(pairs: DataFrame, floor: float = SAME_SUBJECT, duplicate: float = 0.82) -> DataFrame:
     """The worst issue of each pair (a newer, b older; texts and token sets on both sides)."""
     a, b = F.col("a_tokens"), F.col("b_tokens")
+    pairs = pairs.withColumns({"a_said": statements(F.col("a_text")), "b_said": statements(F.col("b_text"))})
     over = T.jaccard(a, b)
     late = F.col("a_text").rlike(TEMPORAL)
     same = over >= floor
     numeric = same & (F.size(numbers(F.col("a_text"))) > 0) & (F.size(numbers(F.col("b_text"))) > 0) & (numbers(F.col("a_text")) != numbers(F.col("b_text")))
     polar = same & (polarity(F.col("a_text")) * polarity(F.col("b_text")) == -1)
+    stated = contradicts(F.col("a_said"), F.col("b_said"))
     inside = F.size(F.array_intersect(a, b)) / F.greatest(F.size(b), F.lit(1))
-    refined = (over < duplicate) & (F.size(a) > F.size(b) + 2) & (inside >= 0.8)
+    refined = (over < duplicate) & (F.size(a) > F.size(b) + 2) & (inside >= REFINED)
+    against = F.struct(F.lit(0.0).alias("severity"), F.when(late, 4).otherwise(3).alias("rank"), F.when(late, "obsolete").otherwise("contradiction").alias("kind"))
     issues = F.array(
         F.when(over >= duplicate, F.struct((0.25 + F.least(F.lit(0.15), over - duplicate)).alias("severity"), F.lit(1).alias("rank"), F.lit("duplicate").alias("kind"))),
-        F.when(polar, F.struct(F.when(late, 0.88).otherwise(0.78).alias("severity"), F.when(late, 4).otherwise(3).alias("rank"), F.when(late, "obsolete").otherwise("contradiction").alias("kind"))),
-        F.when(numeric, F.struct(F.when(late, 0.86).otherwise(0.74).alias("severity"), F.when(late, 4).otherwise(3).alias("rank"), F.when(late, "obsolete").otherwise("contradiction").alias("kind"))),
-        F.when(refined & ~polar & ~numeric, F.struct(F.lit(0.42).alias("severity"), F.lit(2).alias("rank"), F.lit("refinement").alias("kind"))),
+        F.when(stated, against.withField("severity", F.when(late, 0.9).otherwise(0.82) + 0.12 * over)),
+        F.when(polar, against.withField("severity", F.when(late, 0.88).otherwise(0.78))),
+        F.when(numeric, against.withField("severity", F.when(late, 0.86).otherwise(0.74))),
+        F.when(refined & ~polar & ~numeric & ~stated, F.struct(F.lit(0.42).alias("severity"), F.lit(2).alias("rank"), F.lit("refinement").alias("kind"))),
     )
     worst = F.array_max(F.filter(issues, lambda x: x.isNotNull()))
     return pairs.select("a_id", "b_id", worst.alias("w")).filter("w is not null").select("a_id", "b_id", F.col("w.kind").alias("kind"), F.round("w.severity", 4).alias("severity"))
@@ -80,14 +133,12 @@ def conflicts(pairs: DataFrame, floor: float = 0.24, duplicate: float = 0.82) ->
 
 def clusters(rows: DataFrame, threshold: float) -> DataFrame:
     """id, cluster: components of rows whose token sets overlap by the threshold or more."""
-    near = candidates(rows, rows).filter(F.col("overlap") >= threshold)
+    near = similar(rows, rows, threshold)
     return G.components(near.select(F.col("new_id").alias("src"), F.col("old_id").alias("dst"))).withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
 
 
 def common_tokens(rows: DataFrame, most: int = 5) -> DataFrame:
     """Tokens of at least max(2, half of the cluster + 1) members, the most frequent first."""
-    from pyspark.sql import Window
-
     size = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     t = rows.select("cluster", F.explode("tokens").alias("token")).groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("k")).join(size, "cluster")
     t = t.filter(F.col("k") >= F.greatest(F.lit(2), F.expr("n div 2 + 1")))

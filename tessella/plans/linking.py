@@ -35,7 +35,7 @@ _PART = f"nm2 AS (SELECT min(p_partkey) AS id, p_name FROM part GROUP BY p_name)
 def entity_blocking(spark, sf_dir):
     """Entities whose names overlap by 0.3 or more, blocked by shared tokens; equal names count once, by their least id."""
     p = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id")).select("id", T.tokens(F.col("p_name")).alias("tokens"))
-    return M.candidates(p, p).filter("new_id < old_id and overlap >= 0.3").withColumn("overlap", F.round("overlap", 9))
+    return M.similar(p, p, 0.3).filter("new_id < old_id").withColumn("overlap", F.round("overlap", 9))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(' find the parts named ' || (SELECT min(p_name) FROM part) || ' please', '\\b' || regexp_replace(p_name, '([^\\w\\s])', '\\\\\\1', 'g') || '\\b')")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scoring as S
@@ -12,52 +13,99 @@ from tessella.operators.temporal import visible, visible_sql
 from tessella.plans.base import query
 from tessella.plans.recall import RET_SQL
 
-_CONV = f"cv AS (SELECT 'c' || conv_id::VARCHAR || '_' || turn::VARCHAR || '_' || role AS id, conv_id, turn, text, {T.tokens_sql('text')} AS t FROM conversations WHERE role <> 'system')"
-
-
-def _turns(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter("role <> 'system'")
-    return c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit("_"), F.col("role")).alias("id"), "conv_id", "turn", "text", T.tokens(F.col("text")).alias("tokens"))
-
-
-_PAIRS = f"{_CONV}, pr AS (SELECT a.id AS new_id, b.id AS old_id, a.conv_id = b.conv_id AND false AS same_key, b.turn AS old_turn, {T.jaccard_sql('a.t', 'b.t')} AS overlap FROM cv a JOIN cv b ON a.conv_id = b.conv_id AND a.turn > b.turn)"
+# Incoming rows, made from the benchmark's texts: copies, longer and shorter ones, others; every second item is a named claim.
+_VARIANTS = "CASE v WHEN 0 THEN text WHEN 1 THEN text || ' extra words here now' WHEN 2 THEN substr(text, 1, CAST(floor(length(text) * 0.8) AS INT)) WHEN 3 THEN substr(text, 1, CAST(floor(length(text) * 0.55) AS INT)) WHEN 4 THEN 'something else entirely' WHEN 5 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 6 THEN substr(text, 1, CAST(floor(length(text) * 0.7) AS INT)) ELSE text END"
+_KEYED = "CASE WHEN v IN (5, 6) AND item_id % 2 = 0 THEN 'k' || CAST(item_id AS STRING) WHEN v = 7 THEN 'new' || CAST(item_id AS STRING) END"
+_WORDS = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+_CLAIM = "lower(trim(regexp_replace(regexp_replace({}, '(^|\\s)\\p{{P}}|\\p{{P}}(\\s|$)', ' ', 'g'), '\\s+', ' ', 'g')))"
+_PAIRS = f"""nw AS (SELECT 'n' || item_id::VARCHAR || '_' || v::VARCHAR AS id, {_KEYED} AS k, {_VARIANTS} AS text FROM benchmark, (SELECT unnest(range(8)) AS v)),
+od AS (SELECT 'o' || item_id::VARCHAR AS id, CASE WHEN item_id % 2 = 0 THEN 'k' || item_id::VARCHAR END AS k, text, item_id::DOUBLE AS old_from FROM benchmark UNION ALL SELECT 'r' || item_id::VARCHAR, NULL, text || ' rival', item_id + 0.5 FROM benchmark WHERE item_id % 5 = 0),
+a AS (SELECT *, {T.tokens_sql('text')} AS t, {_WORDS.format('text')} AS w FROM nw), b AS (SELECT *, {T.tokens_sql('text')} AS t, {_WORDS.format('text')} AS w FROM od),
+pq AS (SELECT a.id AS new_id, a.k IS NOT NULL AS keyed, b.id AS old_id, b.old_from, {T.jaccard_sql('a.t', 'b.t')} AS overlap, CASE WHEN len(a.t) * len(b.t) = 0 THEN 0 ELSE len(list_intersect(a.t, b.t)) / sqrt(len(a.t) * len(b.t)) END AS sim, coalesce(a.k = b.k, false) AS same_key, a.w = b.w AS same_words FROM a, b),
+pr AS (SELECT * FROM pq WHERE same_key OR overlap >= 0.4),
+pc AS (SELECT *, max(same_key::INT) OVER (PARTITION BY new_id) AS claim FROM pr), ps AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY overlap DESC, sim DESC, old_from DESC NULLS LAST, old_id) AS n, max(overlap) OVER (PARTITION BY new_id) AS best FROM pc WHERE claim = same_key::INT AND (same_key OR sim >= 0.15)),
+un AS (SELECT new_id, bool_or(n > 1 AND overlap >= 0.55 AND sim >= 0.45 AND best - overlap <= 0.05 + 1e-9) AS unsure FROM ps GROUP BY new_id),
+dc AS (SELECT new_id, old_id, overlap, unsure AND NOT keyed AND overlap >= 0.55 AND overlap < 0.85 AND sim >= 0.45 AND NOT same_key AS unsure, CASE WHEN same_key THEN CASE WHEN same_words THEN 'NOOP' ELSE 'INVALIDATE' END WHEN overlap >= 0.85 THEN CASE WHEN NOT keyed THEN 'NOOP' WHEN same_words THEN 'INVALIDATE' ELSE 'RELATE' END
+  WHEN unsure AND NOT keyed AND overlap >= 0.55 AND sim >= 0.45 THEN 'RELATE' WHEN NOT keyed AND overlap >= 0.55 AND sim >= 0.45 THEN 'INVALIDATE' WHEN overlap >= 0.4 THEN 'RELATE' ELSE 'ADD' END AS op FROM ps JOIN un USING (new_id) WHERE n = 1)"""
+
+
+def _incoming(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    new = b.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(F.expr("concat('n', item_id, '_', v)").alias("id"), F.expr(_KEYED).alias("k"), F.expr(_VARIANTS).alias("text"))
+    old = b.select(F.expr("concat('o', item_id)").alias("id"), F.expr("CASE WHEN item_id % 2 = 0 THEN concat('k', item_id) END").alias("k"), "text", F.col("item_id").cast("double").alias("old_from"))
+    old = old.unionByName(b.filter("item_id % 5 = 0").select(F.expr("concat('r', item_id)").alias("id"), F.lit(None).cast("string").alias("k"), F.concat("text", F.lit(" rival")).alias("text"), (F.col("item_id") + 0.5).alias("old_from")))
+    words = F.lower(F.trim(F.regexp_replace("text", "\\s+", " ")))
+    return (df.withColumns({"tokens": T.tokens(F.col("text")), "w": words}) for df in (new, old))
+
+
+def _decisions(spark, sf_dir):
+    """Incoming rows and what to do with each: neighbours are rows of the same claim, and those that overlap."""
+    new, old = _incoming(spark, sf_dir)
+    pairs = M.similar(new, old, M.SUBJECT).select("new_id", "old_id")
+    claims = new.select(F.col("id").alias("new_id"), "k").join(old.select(F.col("id").alias("old_id"), "k"), "k").select("new_id", "old_id")
+    a = new.select(F.col("id").alias("new_id"), F.col("k").alias("ak"), F.col("tokens").alias("x"), F.col("w").alias("aw"))
+    b = old.select(F.col("id").alias("old_id"), "old_from", F.col("k").alias("bk"), F.col("tokens").alias("y"), F.col("w").alias("bw"))
+    p = pairs.unionByName(claims).distinct().join(a, "new_id").join(b, "old_id")
+    cosine = F.when(F.size("x") * F.size("y") == 0, 0.0).otherwise(F.size(F.array_intersect("x", "y")) / F.sqrt((F.size("x") * F.size("y")).cast("double")))
+    same = F.col("aw") == F.col("bw")
+    p = p.select("new_id", F.col("ak").isNotNull().alias("keyed"), "old_id", "old_from", T.jaccard(F.col("x"), F.col("y")).alias("overlap"), cosine.alias("sim"), F.coalesce(F.col("ak") == F.col("bk"), F.lit(False)).alias("same_key"), same.alias("same_text"), same.alias("same_words"))
+    made = new.select(F.col("id").alias("new_id")).join(M.decide(p), "new_id", "left")
+    return new, old, made.withColumn("op", F.coalesce("op", F.lit("ADD")))
+
+
+@query(f"WITH {_PAIRS.replace('AS STRING', 'AS VARCHAR')} SELECT a.id AS new_id, coalesce(op, 'ADD') AS op, CASE WHEN op <> 'ADD' AND NOT unsure THEN old_id END AS target, round(overlap, 9) AS overlap FROM a LEFT JOIN dc ON a.id = new_id")
+def resolve_decisions(spark, sf_dir):
+    """What to do with each incoming row: add, leave, supersede or relate; the cosine of the token sets is the similarity."""
+    return _decisions(spark, sf_dir)[2].withColumn("overlap", F.round("overlap", 9))
 
 
-@query(f"WITH {_PAIRS}, bst AS (SELECT new_id, old_id, overlap, row_number() OVER (PARTITION BY new_id ORDER BY overlap DESC, old_turn, old_id DESC) AS n, lead(overlap) OVER (PARTITION BY new_id ORDER BY overlap DESC, old_turn, old_id DESC) AS rival FROM pr) SELECT new_id, CASE WHEN overlap >= 0.85 THEN 'NOOP' WHEN overlap >= 0.55 THEN CASE WHEN overlap - coalesce(rival, 0) < 0.05 THEN 'RELATE' ELSE 'INVALIDATE' END WHEN overlap >= 0.4 THEN 'RELATE' ELSE 'ADD' END AS op, CASE WHEN overlap >= 0.4 THEN old_id END AS target, round(overlap, 9) AS overlap FROM bst WHERE n = 1")
-def resolve_decisions(spark, sf_dir):
-    """What to do with each turn, seen against the earlier turns of its conversation (similarity taken as full)."""
-    t = _turns(spark, sf_dir)
-    a = t.select(F.col("id").alias("new_id"), "conv_id", F.col("turn").alias("t1"), F.col("tokens").alias("x"))
-    b = t.select(F.col("id").alias("old_id"), "conv_id", F.col("turn").alias("t2"), F.col("tokens").alias("y"))
-    p = a.join(b, "conv_id").filter("t1 > t2").select("new_id", "old_id", T.jaccard(F.col("x"), F.col("y")).alias("overlap"), F.lit(1.0).alias("sim"), F.lit(False).alias("same_key"), F.lit(False).alias("same_text"), F.col("t2").alias("old_rank"))
-    return M.decide(p).withColumn("overlap", F.round("overlap", 9))
+@query(f"WITH {_PAIRS.replace('AS STRING', 'AS VARCHAR')}, gone AS (SELECT old_id, min(new_id) AS by_id FROM dc WHERE op = 'INVALIDATE' GROUP BY old_id) SELECT od.id, od.old_from AS valid_from, CASE WHEN gone.old_id IS NOT NULL THEN 1000.0::DOUBLE END AS valid_to, by_id AS superseded_by FROM od LEFT JOIN gone ON od.id = old_id UNION ALL SELECT a.id, 1000.0::DOUBLE, NULL, NULL FROM a LEFT JOIN dc ON a.id = new_id WHERE coalesce(op, 'ADD') <> 'NOOP'")
+def resolve_store(spark, sf_dir):
+    """The table after the decisions, as of time 1000: superseded rows are closed and linked to their (first) successor, the rest is appended."""
+    new, old, made = _decisions(spark, sf_dir)
+    made = made.select("new_id", "op", "target")
+    gone = made.filter("op = 'INVALIDATE'").groupBy("target").agg(F.min("new_id").alias("superseded_by"))
+    closed = old.join(gone, F.col("id") == F.col("target"), "left").select("id", F.col("old_from").alias("valid_from"), F.when(F.col("target").isNotNull(), 1000.0).alias("valid_to"), "superseded_by")
+    fresh = made.filter("op <> 'NOOP'").select(F.col("new_id").alias("id"), F.lit(1000.0).alias("valid_from"), F.lit(None).cast("double").alias("valid_to"), F.lit(None).cast("string").alias("superseded_by"))
+    return closed.unionByName(fresh)
 
 
 @query("WITH o AS (SELECT o_custkey, o_orderpriority, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS was FROM orders) SELECT o_orderkey, CASE WHEN was IS NULL THEN 'ADD' WHEN was = o_orderstatus THEN 'NOOP' ELSE 'INVALIDATE' END AS op FROM o")
 def resolve_keyed_claims(spark, sf_dir):
     """Keyed claims folded in the order of their time: equal text is NOOP, another INVALIDATE."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderdate", "o_orderkey")
     o = table(spark, sf_dir, "orders").withColumn("was", F.lag("o_orderstatus").over(w))
     return o.select("o_orderkey", F.when(F.col("was").isNull(), "ADD").when(F.col("was") == F.col("o_orderstatus"), "NOOP").otherwise("INVALIDATE").alias("op"))
 
 
-_NUM = "list_sort(list_distinct(regexp_extract_all({}, '\\d+(?:\\.\\d+)?')))"
-_POL = "CASE WHEN regexp_matches({0}, '" + M.NEGATIVE.replace("'", "''") + "') THEN -1 WHEN regexp_matches({0}, '" + M.POSITIVE.replace("'", "''") + "') THEN 1 ELSE 0 END"
-_LATE = "regexp_matches(a.text, '" + M.TEMPORAL + "')"
+_q = lambda x: x.replace("'", "''")
+_NUM = "list_sort(list_distinct(list_transform(regexp_extract_all({}, '" + _q(M.NUMBER) + "'), lambda x: lower(regexp_replace(x, '\\s+', '', 'g')))))"
+_POL = "CASE WHEN regexp_matches({0}, '" + _q(M.NEGATIVE) + "') THEN -1 WHEN regexp_matches({0}, '" + _q(M.POSITIVE) + "') THEN 1 ELSE 0 END"
+_LATE = "regexp_matches(a.text, '" + _q(M.TEMPORAL) + "')"
+_PART = lambda x, k: f"regexp_extract_all({x}, '{_q(M.STATEMENT)}', {k})"
 
 
-_NEWER = "CASE item_id % 4 WHEN 0 THEN text || ' now 42' WHEN 1 THEN text WHEN 2 THEN text || ' it is not so' ELSE 'many more words with further detail appear here ' || substr(text, 1, 60) END"
-_OLDER = "CASE item_id % 4 WHEN 0 THEN text || ' 41' WHEN 2 THEN text || ' it always is' WHEN 3 THEN substr(text, 1, 60) ELSE text END"
+def _said(x: str) -> str:
+    end = f"string_split_regex(z[4], '{_q(M.OBJECT_END)}')[1]"
+    predicate = "regexp_replace(trim(regexp_replace(lower(z[3]), '\\s+', ' ', 'g')), 's+$', '')"
+    made = f"{{'s': {T.tokens_sql('z[1]')}, 'n': z[2] <> '', 'p': {predicate}, 'o': {T.tokens_sql(end)}}}"
+    return f"list_slice(list_filter(list_transform(list_zip({', '.join(_PART(x, k) for k in range(1, 5))}), lambda z: {made}), lambda z: len(z.s) > 0 AND len(z.o) > 0), 1, 8)"
+
+
+_AGAINST = f"len(list_filter(a.said, lambda x: len(list_filter(b.said, lambda y: x.p = y.p AND {T.jaccard_sql('x.s', 'y.s')} >= 0.5 AND (x.n <> y.n OR (len(list_intersect(x.o, y.o)) / greatest(1, least(len(x.o), len(y.o)))::DOUBLE < 0.8 AND {T.jaccard_sql('x.o', 'y.o')} < 0.55)))) > 0)) > 0"
+
+
+_NEWER = "CASE item_id % 6 WHEN 0 THEN text || ' now 42 ms' WHEN 1 THEN text WHEN 2 THEN text || ' and is not allowed: it is disabled' WHEN 3 THEN 'many more words with further detail appear here ' || text WHEN 4 THEN text || '. the cache service uses redis cluster; for speed' ELSE text || ' the limit is now 30 mb' END"
+_OLDER = "CASE item_id % 6 WHEN 0 THEN text || ' 41 ms' WHEN 2 THEN text || ' and it must be so' WHEN 3 THEN substr(text, 1, CAST(floor(length(text) * 0.5) AS INT)) WHEN 4 THEN text || '. the cache service uses postgres tables when slow' WHEN 5 THEN 'other words' ELSE text END"
 
 
 @query(
-    f"""WITH c AS (SELECT item_id, {_NEWER} AS x, {_OLDER} AS y FROM benchmark), a AS (SELECT item_id, x AS text, {T.tokens_sql('x')} AS t FROM c), b AS (SELECT item_id, y AS text, {T.tokens_sql('y')} AS t FROM c),
-p AS (SELECT a.item_id AS a_id, b.item_id AS b_id, {T.jaccard_sql('a.t', 'b.t')} AS ov, {_LATE} AS late, len(a.t) AS na, len(b.t) AS nb, len(list_intersect(a.t, b.t)) AS k,
+    f"""WITH c AS (SELECT item_id, {_NEWER} AS x, {_OLDER} AS y FROM benchmark), a AS (SELECT item_id, x AS text, {T.tokens_sql('x')} AS t, {_said('x')} AS said FROM c), b AS (SELECT item_id, y AS text, {T.tokens_sql('y')} AS t, {_said('y')} AS said FROM c),
+p AS (SELECT a.item_id AS a_id, b.item_id AS b_id, {T.jaccard_sql('a.t', 'b.t')} AS ov, {_LATE} AS late, len(a.t) AS na, len(b.t) AS nb, len(list_intersect(a.t, b.t)) AS k, {_AGAINST} AS ast,
   {_POL.format('a.text')} * {_POL.format('b.text')} = -1 AS opp, len({_NUM.format('a.text')}) > 0 AND len({_NUM.format('b.text')}) > 0 AND {_NUM.format('a.text')} <> {_NUM.format('b.text')} AS num FROM a JOIN b ON a.item_id = b.item_id),
-i AS (SELECT *, CASE WHEN ov >= 0.82 THEN 0.25::DOUBLE + least(0.15::DOUBLE, ov - 0.82::DOUBLE) END AS s1, CASE WHEN ov >= 0.24 AND opp THEN CASE WHEN late THEN 0.88 ELSE 0.78 END END::DOUBLE AS s2, CASE WHEN ov >= 0.24 AND num THEN CASE WHEN late THEN 0.86 ELSE 0.74 END END::DOUBLE AS s3, CASE WHEN ov < 0.82 AND na > nb + 2 AND k::DOUBLE / greatest(nb, 1) >= 0.8 AND NOT (ov >= 0.24 AND (opp OR num)) THEN 0.42::DOUBLE END AS s4 FROM p)
-SELECT a_id, b_id, CASE WHEN s2 IS NOT NULL OR s3 IS NOT NULL THEN CASE WHEN late THEN 'obsolete' ELSE 'contradiction' END WHEN s4 IS NOT NULL THEN 'refinement' ELSE 'duplicate' END AS kind, round(greatest(coalesce(s1, 0), coalesce(s2, 0), coalesce(s3, 0), coalesce(s4, 0)), 4) AS severity FROM i WHERE s1 IS NOT NULL OR s2 IS NOT NULL OR s3 IS NOT NULL OR s4 IS NOT NULL"""
+i AS (SELECT *, CASE WHEN ov >= 0.82 THEN 0.25::DOUBLE + least(0.15::DOUBLE, ov - 0.82::DOUBLE) END AS s1, CASE WHEN ov >= 0.24 AND opp THEN CASE WHEN late THEN 0.88 ELSE 0.78 END END::DOUBLE AS s2, CASE WHEN ov >= 0.24 AND num THEN CASE WHEN late THEN 0.86 ELSE 0.74 END END::DOUBLE AS s3, CASE WHEN ast THEN CASE WHEN late THEN 0.9::DOUBLE ELSE 0.82::DOUBLE END + 0.12::DOUBLE * ov END AS s5,
+  CASE WHEN ov < 0.82 AND na > nb + 2 AND k::DOUBLE / greatest(nb, 1) >= 0.72 AND NOT (ov >= 0.24 AND (opp OR num)) AND NOT ast THEN 0.42::DOUBLE END AS s4 FROM p)
+SELECT a_id, b_id, CASE WHEN s2 IS NOT NULL OR s3 IS NOT NULL OR s5 IS NOT NULL THEN CASE WHEN late THEN 'obsolete' ELSE 'contradiction' END WHEN s4 IS NOT NULL THEN 'refinement' ELSE 'duplicate' END AS kind, round(greatest(coalesce(s1, 0), coalesce(s2, 0), coalesce(s3, 0), coalesce(s4, 0), coalesce(s5, 0)), 4) AS severity FROM i WHERE s1 IS NOT NULL OR s2 IS NOT NULL OR s3 IS NOT NULL OR s4 IS NOT NULL OR s5 IS NOT NULL"""
 )
 def conflict_pairs(spark, sf_dir):
     """Contradictions, refinements and duplicates between two states of every text (both derived from it)."""
@@ -65,14 +113,12 @@ def conflict_pairs(spark, sf_dir):
     return M.conflicts(c.select(F.col("item_id").alias("a_id"), F.col("item_id").alias("b_id"), "a_text", "b_text", T.tokens(F.col("a_text")).alias("a_tokens"), T.tokens(F.col("b_text")).alias("b_tokens")))
 
 
-@query(f"WITH b AS (SELECT item_id, {T.tokens_sql('text')} AS t FROM benchmark), p AS (SELECT x.item_id AS new_id, y.item_id AS old_id, {T.jaccard_sql('x.t', 'y.t')} AS overlap FROM b x JOIN b y ON x.item_id <> y.item_id) SELECT new_id, old_id, round(overlap, 9) AS overlap FROM p QUALIFY overlap > 0 AND row_number() OVER (PARTITION BY new_id ORDER BY overlap DESC, old_id) <= 3")
+@query(f"WITH {_PAIRS.split('pq AS')[0].rstrip().rstrip(',').replace('AS STRING', 'AS VARCHAR')}, p AS (SELECT x.id AS new_id, y.id AS old_id, {T.jaccard_sql('x.t', 'y.t')} AS overlap FROM a x, b y) SELECT new_id, old_id, round(overlap, 9) AS overlap FROM p QUALIFY overlap >= 0.15 AND row_number() OVER (PARTITION BY new_id ORDER BY overlap DESC, old_id) <= 3")
 def evolve_links(spark, sf_dir):
-    """The three most related rows of every row."""
-    from pyspark.sql import Window
-
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), T.tokens(F.col("text")).alias("tokens"))
+    """The three most related rows, from an overlap of 0.15 on, of every incoming row."""
+    new, old = _incoming(spark, sf_dir)
     w = Window.partitionBy("new_id").orderBy(F.desc("overlap"), "old_id")
-    return M.candidates(b, b).withColumn("n", F.row_number().over(w)).filter("n <= 3").select("new_id", "old_id", F.round("overlap", 9).alias("overlap"))
+    return M.similar(new, old, M.RELATED).withColumn("n", F.row_number().over(w)).filter("n <= 3").select("new_id", "old_id", F.round("overlap", 9).alias("overlap"))
 
 
 _CL = f"WITH RECURSIVE b AS (SELECT item_id, {T.tokens_sql('text')} AS t FROM benchmark), e AS (SELECT x.item_id AS src, y.item_id AS dst FROM b x JOIN b y ON x.item_id <> y.item_id WHERE {T.jaccard_sql('x.t', 'y.t')} >= 0.03), r AS (SELECT src AS id, src AS reach FROM e UNION SELECT r.id, e.dst FROM r JOIN e ON r.reach = e.src), cl AS (SELECT id, min(reach) AS cluster FROM r GROUP BY id)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.operators import maintain as M
 from tessella.model import table
 from tessella.operators import chunking as C
 from tessella.plans.base import query
@@ -37,12 +38,10 @@ def fts_terms(spark, sf_dir):
 
 @query(f"WITH b AS (SELECT item_id, {T.tokens_sql('text')} AS t FROM benchmark) SELECT x.item_id AS a, y.item_id AS b, round({T.jaccard_sql('x.t', 'y.t')}, 9) AS jaccard FROM b x JOIN b y ON x.item_id < y.item_id WHERE {T.jaccard_sql('x.t', 'y.t')} >= 0.05")
 def jaccard_pairs(spark, sf_dir):
-    """Pairs of token sets with a similarity of 0.05 or more, by an inverted index: only pairs with a common token meet."""
+    """Pairs of token sets with a similarity of 0.05 or more, by an index of each set's rarest tokens."""
     b = table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t"))
-    e = b.select("item_id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    x, y = e.select(F.col("item_id").alias("a"), F.col("n").alias("na"), "token"), e.select(F.col("item_id").alias("b"), F.col("n").alias("nb"), "token")
-    both = x.join(y, "token").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
-    return both.select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard")).filter("jaccard >= 0.05").withColumn("jaccard", F.round("jaccard", 9))
+    p = b.select(F.col("item_id").alias("id"), F.col("t").alias("tokens"))
+    return M.similar(p, p, 0.05).filter("new_id < old_id").select(F.col("new_id").alias("a"), F.col("old_id").alias("b"), F.round("overlap", 9).alias("jaccard"))
 
 
 @query("SELECT page_id, sha256(t) AS digest, length(t) AS n_chars FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '(?is)<template\\b.*?</template\\s*>', ' ', 'g'), '(?is)<noscript\\b.*?</noscript\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM pages)")

@@ -126,7 +126,7 @@ def test_receipts(spark):
 
 def test_resolution(spark):
     rows = [("n1", "o1", 0.9, 1.0, False, False, 1), ("n2", "o1", 0.6, 1.0, False, False, 1), ("n2", "o2", 0.58, 1.0, False, False, 2), ("n3", "o1", 0.1, 1.0, True, True, 1), ("n4", "o1", 0.2, 1.0, False, False, 1)]
-    df = spark.createDataFrame(rows, "new_id string, old_id string, overlap double, sim double, same_key boolean, same_text boolean, old_rank long")
+    df = spark.createDataFrame(rows, "new_id string, old_id string, overlap double, sim double, same_key boolean, same_text boolean, old_from long").withColumns({"keyed": F.col("same_key"), "same_words": F.col("same_text")})
     assert {r["new_id"]: r["op"] for r in maintain.decide(df).collect()} == {"n1": "NOOP", "n2": "RELATE", "n3": "NOOP", "n4": "ADD"}
 
 
