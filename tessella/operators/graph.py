@@ -166,6 +166,15 @@ def scaled(edges: DataFrame, raw: str) -> DataFrame:
     return edges.join(F.broadcast(q)).withColumn("strength", value).drop("q")  # one row
 
 
+def soft_mass(nodes: DataFrame, parts) -> DataFrame:
+    """node, mass: the weighted sum of evidence columns (name, weight), each 1 - exp(-ln(1 + x) / ln(1 + p95)) with the
+    95th percentile of its positive values; without any, or for values of 0 and less, 0."""
+    q = nodes.agg(*[F.percentile(F.when(F.col(c) > 0, F.col(c).cast("double")), F.lit(0.95)).alias(f"{c}_p95") for c, _ in parts])
+    all_ = nodes.join(F.broadcast(q))  # one row
+    mass = sum((w * F.when((F.col(c) > 0) & (F.col(f"{c}_p95") > 0), 1 - F.exp(-F.log1p(F.col(c).cast("double")) / F.log1p(F.col(f"{c}_p95")))).otherwise(0.0) for c, w in parts), F.lit(0.0))
+    return all_.select("node", mass.alias("mass"))
+
+
 def _sequential(pdf: pd.DataFrame, louvain: bool, sweeps: int) -> dict:
     """Moves in sorted order, each seeing those before it: Louvain's gain or weighted label propagation."""
     near: dict = {}
