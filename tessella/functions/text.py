@@ -63,6 +63,35 @@ def lexical_support(query: Column, content: Column) -> Column:
     return F.when((F.size(q) == 0) | ((F.size(q) >= 2) & (hit < 2)), 0.0).otherwise(F.greatest(jaccard(q, c), hit / (F.size(q) + 1)))
 
 
+def related_count(query: Column, content: Column) -> Column:
+    """How many query terms the content holds, as they are or with a common beginning of 5 to 7 characters."""
+
+    def same(q: Column, t: Column) -> Column:
+        n = F.greatest(F.lit(5), F.least(F.lit(7), F.length(q), F.length(t)))
+        return (q == t) | ((F.least(F.length(q), F.length(t)) >= 5) & (F.substr(q, F.lit(1), n) == F.substr(t, F.lit(1), n)))
+
+    return F.size(F.filter(query, lambda q: F.exists(content, lambda t: same(q, t))))
+
+
+def overlapping(text: Column, size: int, overlap: int) -> Column:
+    """Pieces of ``size`` characters, each beginning ``overlap`` before the end of the last; a short text is one piece."""
+    step = size - overlap
+    last = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / step)) - 1
+    return F.transform(F.sequence(F.lit(0), last.cast("int")), lambda k: F.substr(text, k * step + 1, F.lit(size)))
+
+
+def fitting_sentences(text: Column, budget: int) -> Column:
+    """The first sentences (up to their final marks) whose estimated tokens together stay within the budget."""
+    sentences = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[^.!?]+[.!?]*"), F.lit(0))
+    none = F.struct(F.array().cast("array<string>").alias("held"), F.lit(0).alias("spent"))
+
+    def step(s: Column, x: Column) -> Column:
+        spent = s["spent"] + estimate_tokens(x)
+        return F.when(spent <= budget, F.struct(F.array_append(s["held"], x).alias("held"), spent.alias("spent"))).otherwise(F.struct(s["held"].alias("held"), spent.alias("spent")))
+
+    return F.aggregate(sentences, none, step, lambda s: s["held"])
+
+
 def claim_text(value: Column) -> Column:
     """A claim without punctuation at word boundaries, white space collapsed, in lower case."""
     bare = F.regexp_replace(F.coalesce(value, F.lit("")), "(?<=^|\\s)\\p{P}|\\p{P}(?=\\s|$)", " ")

@@ -36,3 +36,31 @@ def without_tombstones(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
     wide = tombstones.filter("repo_id is null").select("id").distinct()
     own = tombstones.filter("repo_id is not null").select("id", "repo_id").distinct()
     return rows.join(wide, "id", "left_anti").join(own, ["id", "repo_id"], "left_anti")
+
+
+#: Seconds by which another device's clock may be ahead.
+SKEW = 2 * 86400
+
+
+def admitted(rows: DataFrame, now: float) -> DataFrame:
+    """Rows of a peer with rejected (the reason, or null) and their properties within bounds (null where rejected).
+
+    A row needs an id and content.  A version clock beyond the skew is rejected, as it
+    would win for ever; times of record are clamped to it instead.
+    """
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    reason = F.when(empty("id"), "id").when(empty("content"), "content").when(F.col("clock_ms") > (now + SKEW) * 1000, "clock")
+    r = rows.withColumn("rejected", reason)
+    ok = F.col("rejected").isNull()
+    known = F.when(F.col("sensitivity").isin("normal", "sensitive", "secret"), F.col("sensitivity")).otherwise("normal")
+    return r.withColumns({
+        "sensitivity": F.when(ok, known), "importance": F.when(ok, F.least(F.greatest("importance", F.lit(0.0)), F.lit(1.0))),
+        "ingested_at": F.when(ok, F.least("ingested_at", F.lit(now + SKEW))),
+    })
+
+
+def same_clock(versions: DataFrame) -> DataFrame:
+    """Versions (id, clock, state) of one clock with several states: live for the greatest state, pending for the others."""
+    held = versions.groupBy("id", "clock").agg(F.max("state").alias("winner"), F.min("state").alias("other")).filter("winner <> other").drop("other")
+    v = versions.join(held, ["id", "clock"])
+    return v.select("id", "clock", "state", (F.col("state") == F.col("winner")).alias("live"), (F.col("state") != F.col("winner")).alias("pending"))
