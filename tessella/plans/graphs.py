@@ -62,17 +62,17 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PATH = ["pc AS MATERIALIZED (SELECT src, dst, -ln(least(greatest(weight / (SELECT max(weight) FROM ed), 0.02::DOUBLE), 1.0::DOUBLE)) AS cost FROM un)", "b0 AS (SELECT 'Brand#11' AS node, 0.0::DOUBLE AS cost)"]
-for _k in range(1, 5):
+for _k in range(1, 9):
     _PATH.append(f"b{_k} AS MATERIALIZED (SELECT node, min(cost) AS cost FROM (SELECT * FROM b{_k - 1} UNION ALL SELECT dst, b.cost + pc.cost FROM b{_k - 1} b JOIN pc ON b.node = pc.src) GROUP BY node)")
 
 
-@query(f"WITH {EDGE_SQL}, {', '.join(_PATH)} SELECT node, round(cost, 9) AS cost FROM b4")
+@query(f"WITH {EDGE_SQL}, {', '.join(_PATH)} SELECT node, round(cost, 9) AS cost FROM b8")
 def strongest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The strongest paths of at most four edges from a brand."""
+    """The strongest paths of at most eight edges from a brand."""
     e = G.cut(edges(spark, sf_dir))
     top = e.agg(F.max("weight").alias("top"))
     e = e.join(F.broadcast(top)).select("src", "dst", (F.col("weight") / F.col("top")).alias("weight"))  # one row
-    return G.strongest_path(e, "Brand#11", 4).select("node", F.round("cost", 9).alias("cost"))
+    return G.strongest_path(e, "Brand#11").select("node", F.round("cost", 9).alias("cost"))
 
 
 @query("WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey::VARCHAR AS src, 's' || l_suppkey::VARCHAR AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION SELECT DISTINCT 's' || l_suppkey::VARCHAR, 'p' || l_partkey::VARCHAR FROM lineitem), f AS (SELECT 'c1' AS node, 0 AS depth UNION SELECT e.dst, f.depth + 1 FROM f JOIN e ON f.node = e.src) SELECT node, min(depth)::INTEGER AS depth FROM f GROUP BY node")
@@ -162,23 +162,10 @@ def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.communities(edges(spark, sf_dir), "labels", 30)
 
 
-@query("WITH f AS (SELECT l_suppkey, count(DISTINCT l_orderkey) AS files, count(*) AS symbols, count(DISTINCT l_partkey) AS inbound, count(*) FILTER (l_returnflag = 'R') AS memories, count(DISTINCT l_linestatus) AS communities FROM lineitem GROUP BY l_suppkey), r AS (SELECT l_suppkey, least(100, 5 * files + 2 * symbols + 3 * inbound + 2 * memories + 5 * communities) AS risk FROM (SELECT l_suppkey, files // 100 AS files, symbols // 100 AS symbols, inbound // 100 AS inbound, memories // 100 AS memories, communities FROM f)) SELECT l_suppkey, risk::BIGINT AS risk, CASE WHEN risk >= 75 THEN 'critical' WHEN risk >= 50 THEN 'high' WHEN risk >= 25 THEN 'medium' ELSE 'low' END AS level FROM r".replace("FILTER (l_ret", "FILTER (WHERE l_ret"))
+@query("WITH f AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS f, count(*) AS s, count(DISTINCT l_partkey) AS i, count(*) FILTER (l_returnflag = 'R') AS m, count(DISTINCT l_linestatus) AS c FROM lineitem GROUP BY l_orderkey), r AS (SELECT l_orderkey, least(100, 5 * f + 2 * s + 3 * i + 2 * m + 5 * c) AS risk FROM f) SELECT l_orderkey, risk, CASE WHEN risk >= 75 THEN 'critical' WHEN risk >= 50 THEN 'high' WHEN risk >= 25 THEN 'medium' ELSE 'low' END AS level FROM r")
 def impact_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Risk of touching a node from what depends on it."""
+    """Risk of touching a node: files, symbols, inbound edges, memories and communities that depend on it."""
     li = table(spark, sf_dir, "lineitem")
-    f = li.groupBy("l_suppkey").agg(F.countDistinct("l_orderkey").alias("f"), F.count(F.lit(1)).alias("s"), F.countDistinct("l_partkey").alias("i"), F.count_if(F.col("l_returnflag") == "R").alias("m"), F.countDistinct("l_linestatus").alias("c"))
-    risk = F.least(F.lit(100), F.expr("5 * (f div 100) + 2 * (s div 100) + 3 * (i div 100) + 2 * (m div 100) + 5 * c"))
-    return f.select("l_suppkey", risk.alias("risk")).withColumn("level", F.when(F.col("risk") >= 75, "critical").when(F.col("risk") >= 50, "high").when(F.col("risk") >= 25, "medium").otherwise("low"))
-
-
-@query("WITH e AS (SELECT l_suppkey AS node, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT node, n, percent_rank() OVER (ORDER BY n) AS pr FROM e) SELECT node, round(0.45::DOUBLE * pr + 0.15::DOUBLE, 9) AS mass, round(1.5::DOUBLE + 2 * pow(1 + 15 * pr * pr, 2.0::DOUBLE / 3), 6) AS radius FROM r")
-def node_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mass and radius of a node from the percentile of its degree.
-
-    The percentile comes from the distribution of degrees, one row for each degree, so
-    that no window takes all nodes.
-    """
-    e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    dist = e.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
-    below = dist.select("n", (F.coalesce(F.sum("k").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / F.greatest(F.sum("k").over(Window.partitionBy()) - 1, F.lit(1))).alias("pr"))
-    return e.join(below, "n").select("node", F.round(0.45 * F.col("pr") + 0.15, 9).alias("mass"), F.round(1.5 + 2 * F.pow(1 + 15 * F.col("pr") * F.col("pr"), F.lit(2.0 / 3)), 6).alias("radius"))
+    f = li.groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("f"), F.count(F.lit(1)).alias("s"), F.countDistinct("l_partkey").alias("i"), F.count_if(F.col("l_returnflag") == "R").alias("m"), F.countDistinct("l_linestatus").alias("c"))
+    risk = F.least(F.lit(100), F.expr("5 * f + 2 * s + 3 * i + 2 * m + 5 * c"))
+    return f.select("l_orderkey", risk.alias("risk")).withColumn("level", F.when(F.col("risk") >= 75, "critical").when(F.col("risk") >= 50, "high").when(F.col("risk") >= 25, "medium").otherwise("low"))

@@ -13,19 +13,19 @@ from tessella.operators import retrieval as R
 from tessella.operators.temporal import visible, visible_sql
 from tessella.plans.base import query
 
-_NAMES = "nm AS (SELECT DISTINCT t AS name FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS t FROM benchmark) WHERE length(t) >= 8)"
+_NAMES = "nm AS (SELECT DISTINCT t AS name FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS t FROM benchmark) WHERE length(t) >= 3)"
 
 
 def _names(spark, sf_dir):
     t = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+")).alias("name"))
-    return t.filter(F.length("name") >= 8).distinct()
+    return t.filter(F.length("name") >= 3).distinct()
 
 
 @query(f"WITH {_NAMES}, w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS name FROM documents) SELECT doc_id, name FROM w JOIN nm USING (name)")
 def mention_join(spark, sf_dir):
-    """Which text mentions which name as a whole token: an equi-join on tokens instead of a search for every pair.  Names of under 8 characters are left out, as in the SQL."""
+    """Which text mentions which name as a whole token: an equi-join on tokens instead of a search for every pair.  Names of under three characters say nothing."""
     w = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"))).alias("name"))
-    return w.filter(F.length("name") >= 8).join(_names(spark, sf_dir), "name")
+    return w.filter(F.length("name") >= 3).join(_names(spark, sf_dir), "name")
 
 
 _PART = f"nm2 AS (SELECT min(p_partkey) AS id, p_name FROM part GROUP BY p_name), pt AS (SELECT id, {T.tokens_sql('p_name')} AS t FROM nm2)"
@@ -88,16 +88,18 @@ def consolidation_evidence(spark, sf_dir):
 _A, _B = ["licensed", "version"], ["pathetic", "worthless", "then"]
 
 
-@query(f"WITH {R.bm25_sql(_A, 100).replace('bm AS', 'bma AS').replace('w AS (', 'wa AS (', 1).replace('FROM w)', 'FROM wa)').replace('f AS (SELECT', 'fa AS (SELECT', 1).replace('FROM f)', 'FROM fa)').replace(', s AS (', ', sa AS (').replace('FROM f, s', 'FROM fa, sa')}, {R.bm25_sql(_B, 100)}, u AS (SELECT doc_id, 1 AS priority, round(score, 9) AS score FROM bma UNION ALL SELECT doc_id, 2, round(score, 9) FROM bm), n AS (SELECT *, min(score) OVER (PARTITION BY priority) AS lo, max(score) OVER (PARTITION BY priority) AS hi, row_number() OVER (PARTITION BY priority ORDER BY score DESC, doc_id) AS rank FROM u) SELECT doc_id, round(max(CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo) END / priority), 6) AS best, round(sum(1.0::DOUBLE / priority / (60 + rank)), 9) AS rrf FROM n GROUP BY doc_id")
+@query(f"WITH {R.bm25_sql(_A, 100).replace('bm AS', 'bma AS').replace('w AS (', 'wa AS (', 1).replace('FROM w)', 'FROM wa)').replace('f AS (SELECT', 'fa AS (SELECT', 1).replace('FROM f)', 'FROM fa)').replace(', s AS (', ', sa AS (').replace('FROM f, s', 'FROM fa, sa')}, {R.bm25_sql(_B, 100)}, u AS (SELECT doc_id, 1 AS priority, round(score, 9) AS score FROM bma UNION ALL SELECT doc_id, 2, round(score, 9) FROM bm), n AS (SELECT *, min(score) OVER (PARTITION BY priority) AS lo, max(score) OVER (PARTITION BY priority) AS hi, row_number() OVER (PARTITION BY priority ORDER BY score DESC, doc_id) AS rank FROM u) SELECT doc_id, round(max((CASE WHEN hi - lo < 1e-12 THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END * CASE priority WHEN 2 THEN 3 ELSE 1 END + CASE priority WHEN 2 THEN 1.5::DOUBLE ELSE 0 END) / priority), 6) AS best, round(sum(1.0::DOUBLE / priority / (60 + rank)), 9) AS rrf FROM n GROUP BY doc_id")
 def multi_query_fusion(spark, sf_dir):
-    """Two sub-queries fused with weights 1 / priority: the best normalised score and the rank fusion."""
+    """Two sub-queries fused with weights 1 / priority: the best normalised score, after the second's scale and bonus, and the rank fusion."""
+    second = F.col("priority") == 2
+    scale, bonus = F.when(second, 3.0).otherwise(1.0), F.when(second, 1.5).otherwise(0.0)
     docs = table(spark, sf_dir, "documents")
     u = None
     for priority, terms in ((1, _A), (2, _B)):
         x = R.bm25(docs, terms, "doc_id", "text", 100).select("doc_id", F.lit(priority).alias("priority"), F.round("score", 9).alias("score"))
         u = x if u is None else u.unionByName(x)
     n = R.normalised(u, "score", "priority").withColumn("rank", F.row_number().over(Window.partitionBy("priority").orderBy(F.desc("score"), "doc_id")))
-    return n.groupBy("doc_id").agg(F.round(F.max(F.col("norm") / F.col("priority")), 6).alias("best"), F.round(F.sum(1.0 / F.col("priority") / (60 + F.col("rank"))), 9).alias("rrf"))
+    return n.groupBy("doc_id").agg(F.round(F.max((F.col("norm") * scale + bonus) / F.col("priority")), 6).alias("best"), F.round(F.sum(1.0 / F.col("priority") / (60 + F.col("rank"))), 9).alias("rrf"))
 
 
 @query("WITH m AS (SELECT doc_id, ['working', 'episodic', 'semantic', 'procedural'][(doc_id % 4 + 1)::INT] AS mtype, source, contains(lower(text), 'licensed') AS topic, least(1.0::DOUBLE, length(text) / 2000.0::DOUBLE) AS detail FROM documents) SELECT doc_id, round(0.2::DOUBLE * (0.62::DOUBLE * topic::INT * 0.8::DOUBLE + 0.18::DOUBLE * CASE mtype WHEN 'semantic' THEN 0.5::DOUBLE WHEN 'working' THEN -0.25::DOUBLE ELSE 0 END + 0.12::DOUBLE * CASE source WHEN 'src1' THEN 0.4::DOUBLE ELSE 0 END + 0.08::DOUBLE * (1 - 2 * abs(0.5::DOUBLE - detail))), 9) AS preference FROM m")
@@ -159,12 +161,15 @@ def layer_infer(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(P.layer_of(r).alias("layer")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH c AS (SELECT conv_id, sum(length(text)) AS whole, count(*) AS turns FROM conversations GROUP BY 1) SELECT conv_id, ceil(whole / greatest(turns, 1)::DOUBLE)::BIGINT AS break_even, CASE WHEN whole <= 300 THEN 'history_bypass' WHEN turns >= 6 THEN 'retrieval' WHEN whole <= 1500 THEN 'history_fallback' ELSE 'low_confidence_abstain' END AS mode FROM c")
+@query(f"WITH t AS (SELECT conv_id, {T.estimate_tokens_sql('text')} AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS p FROM conversations), c AS (SELECT conv_id, sum(n) AS whole, sum(n) FILTER (WHERE p <= 3) AS packed, count(*) AS turns FROM t GROUP BY 1) SELECT conv_id, CASE WHEN whole > packed THEN ceil(whole::DOUBLE / (whole - packed))::BIGINT ELSE -1 END AS break_even, CASE WHEN whole <= 75 THEN 'history_bypass' WHEN turns >= 6 THEN 'retrieval' WHEN whole <= 375 THEN 'history_fallback' ELSE 'low_confidence_abstain' END AS mode FROM c")
 def adaptive_context(spark, sf_dir):
-    """Whether to send a history whole, retrieve from it, fall back or abstain, and the break-even count."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("whole"), F.count(F.lit(1)).alias("turns"))
-    mode = F.when(F.col("whole") <= 300, "history_bypass").when(F.col("turns") >= 6, "retrieval").when(F.col("whole") <= 1500, "history_fallback").otherwise("low_confidence_abstain")
-    return c.select("conv_id", F.ceil(F.col("whole") / F.greatest("turns", F.lit(1))).cast("long").alias("break_even"), mode.alias("mode"))
+    """Whether to send a history whole, retrieve from it, fall back or abstain; and after how many queries the tokens of
+    reading it once are saved, if each sends the last three turns instead of all (-1: never)."""
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role", "text")
+    t = table(spark, sf_dir, "conversations").select("conv_id", T.estimate_tokens(F.col("text")).alias("n"), F.row_number().over(w).alias("p"))
+    c = t.groupBy("conv_id").agg(F.sum("n").alias("whole"), F.sum(F.when(F.col("p") <= 3, F.col("n"))).alias("packed"), F.count(F.lit(1)).alias("turns"))
+    mode = F.when(F.col("whole") <= 75, "history_bypass").when(F.col("turns") >= 6, "retrieval").when(F.col("whole") <= 375, "history_fallback").otherwise("low_confidence_abstain")
+    return c.select("conv_id", F.when(F.col("whole") > F.col("packed"), F.ceil(F.col("whole") / (F.col("whole") - F.col("packed"))).cast("long")).otherwise(-1).alias("break_even"), mode.alias("mode"))
 
 
 @query("WITH k AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), l AS (SELECT a.vec_id AS id, b.vec_id AS other FROM k a JOIN k b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.35) SELECT id AS vec_id, count(*) AS links FROM l GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import scoring as S
 from tessella.functions import text as T
 from tessella.model import DAY, MEM_SQL, NOW, memories, table
+from tessella.operators import graph as G
 from tessella.operators import maintain as M
 from tessella.operators.temporal import visible, visible_sql
 from tessella.plans.base import query
@@ -174,10 +175,15 @@ def import_diff(spark, sf_dir):
     return M.import_diff(a, b)
 
 
-@query(f"WITH {MEM_SQL} SELECT id, least(coalesce(valid_to, {NOW}::DOUBLE), {NOW}::DOUBLE) AS valid_to FROM mem WHERE subject_key IN ('subject_1', 'subject_2')")
+@query(f"WITH {MEM_SQL}, g AS (SELECT DISTINCT subject_key FROM mem JOIN labels USING (doc_id) WHERE toxic = 1 AND quality = 0) SELECT id, CASE WHEN subject_key IN (SELECT subject_key FROM g) THEN least(coalesce(valid_to, {NOW}::DOUBLE), {NOW}::DOUBLE) ELSE valid_to END AS valid_to, subject_key IN (SELECT subject_key FROM g) AS closed FROM mem")
 def close_validity(spark, sf_dir):
-    m = memories(spark, sf_dir, content=False).filter(F.col("subject_key").isin("subject_1", "subject_2"))
-    return m.select("id", F.least(F.coalesce("valid_to", F.lit(NOW)), F.lit(NOW)).alias("valid_to"))
+    """All rows after closing the subjects that a table names: an end that is already earlier stays."""
+    m = memories(spark, sf_dir, content=False)
+    gone = table(spark, sf_dir, "labels").filter("toxic = 1 and quality = 0").select("doc_id").distinct()
+    subjects = m.join(gone, "doc_id", "left_semi").select("subject_key").distinct().withColumn("hit", F.lit(True))
+    j = m.join(subjects, "subject_key", "left")
+    hit = F.coalesce("hit", F.lit(False))
+    return j.select("id", F.when(hit, F.least(F.coalesce("valid_to", F.lit(NOW)), F.lit(NOW))).otherwise(F.col("valid_to")).alias("valid_to"), hit.alias("closed"))
 
 
 @query(f"WITH {MEM_SQL} SELECT id, 1 + greatest(0, floor(({NOW}::DOUBLE - valid_from) / 86400 / 30))::BIGINT AS version, stability FROM mem WHERE trusted AND NOT pinned")
@@ -194,7 +200,30 @@ def secure_erase(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(gone, "doc_id", "left_anti").distinct()
 
 
-@query(f"WITH {MEM_SQL} SELECT id, CASE WHEN pinned THEN 'keep' WHEN {RET_SQL} < 0.1 THEN 'prune' ELSE 'keep' END AS action FROM mem")
+@query(f"WITH {MEM_SQL}, r AS (SELECT id, round({RET_SQL}, 9) AS retention FROM mem WHERE NOT pinned) SELECT id, retention FROM r WHERE retention < 0.1 ORDER BY retention, id LIMIT 500")
 def prune(spark, sf_dir):
-    m = memories(spark, sf_dir, content=False)
-    return m.select("id", F.when(~F.col("pinned") & (S.retention(F.col("last_access"), F.col("stability")) < 0.1), "prune").otherwise("keep").alias("action"))
+    """The 500 least retained rows below the floor, without pinned ones."""
+    m = memories(spark, sf_dir, content=False).filter("not pinned")
+    r = m.select("id", F.round(S.retention(F.col("last_access"), F.col("stability")), 9).alias("retention")).filter("retention < 0.1")
+    return r.orderBy("retention", "id").limit(500)
+
+
+_UNION = f"""RECURSIVE {_PAIRS.split('pq AS')[0].rstrip().rstrip(',').replace('AS STRING', 'AS VARCHAR')}, ed AS (SELECT id AS src, 'key:' || k AS dst FROM a WHERE k IS NOT NULL UNION ALL SELECT id, 'entity:' || CAST(substr(string_split(id, '_')[1], 2)::INT // 10 AS VARCHAR) FROM a WHERE string_split(id, '_')[2] = '4' UNION ALL SELECT x.id, y.id FROM a x JOIN a y ON x.id < y.id WHERE {T.jaccard_sql('x.t', 'y.t')} >= 0.7),
+un AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed), rc AS (SELECT src AS id, src AS reach FROM un UNION SELECT rc.id, un.dst FROM rc JOIN un ON rc.reach = un.src), cl AS (SELECT id, min(reach) AS cluster FROM rc WHERE id LIKE 'n%' GROUP BY id)"""
+
+
+@query(f"WITH {_UNION}, m AS (SELECT cluster, id, string_split(id, '_')[2] = '0' AS done FROM cl) SELECT cluster, count(*) AS members, count(*) FILTER (WHERE NOT done) AS pending, count(*) || ' notes: ' || string_agg(CASE WHEN NOT done THEN id END, ', ' ORDER BY id) AS digest FROM m GROUP BY cluster HAVING count(*) FILTER (WHERE NOT done) >= 2")
+def consolidation_digests(spark, sf_dir):
+    """Clusters of rows that share a claim, an entity or most of their words, with two or more members that no digest has yet."""
+    new, _ = _incoming(spark, sf_dir)
+    new = G.cut(new)
+    variant = F.element_at(F.split("id", "_"), 2)
+    keys = new.filter("k is not null").select(F.col("id").alias("src"), F.concat(F.lit("key:"), "k").alias("dst"))
+    entities = new.filter(variant == "4").select(F.col("id").alias("src"), F.concat(F.lit("entity:"), F.expr("cast(cast(substr(split(id, '_')[0], 2) as int) div 10 as string)")).alias("dst"))
+    alike = M.similar(new, new, 0.7).filter("new_id < old_id").select(F.col("new_id").alias("src"), F.col("old_id").alias("dst"))
+    of = G.components(keys.unionByName(entities).unionByName(alike)).filter("node like 'n%'")
+    # A component's least node may be a claim or an entity: both sort before the rows.
+    m = of.select(F.col("component").alias("cluster"), F.col("node").alias("id"), (F.element_at(F.split("node", "_"), 2) == "0").alias("done"))
+    waiting = F.when(~F.col("done"), F.col("id"))
+    g = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.count(waiting).alias("pending"), F.array_sort(F.collect_list(waiting)).alias("ids"))
+    return g.filter("pending >= 2").select("cluster", "members", "pending", F.concat(F.col("members").cast("string"), F.lit(" notes: "), F.array_join("ids", ", ")).alias("digest"))
