@@ -133,26 +133,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited = F.when(~F.col("follows"), F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), F.substring(F.col("next"), F.lit(1), half)))
     rows = rows.select("range", "row", "follows", "id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
 
-    # Only a row's two numbers travel through the aggregations; its columns are joined to its fingerprints in the end.
-    texts = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))
-    each = rows.select("range", "row", F.inline(texts)).filter("side = 0 or body is not null")
-    words = each.select("range", "row", "side", F.explode(words_of(F.col("body"))).alias("word"))
-    weighted = words.select("range", "row", "side", F.xxhash64("word").alias("term")).groupBy("range", "row", "side", "term").agg(F.count(F.lit(1)).alias("n"))
-    blocks = weighted.select("range", "row", "side", "term", F.ln(F.col("n").cast("double")).alias("lw"), F.explode(F.sequence(F.lit(0), F.lit(-(-samples // BLOCK) - 1))).alias("block"))
-    seeded = blocks.select("range", "row", "side", "block", "lw", F.xxhash64("term", "block").alias("seed"))
+    # A row goes through the aggregations as its two sides and, by itself, as a note of its columns: the many terms carry numbers only.
+    note = F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("n_chars").cast("string"), F.col("follows").cast("string"), F.coalesce(F.sha2("edited", 256), F.lit("")))
+    side = lambda k, body, info: F.struct(F.lit(k).alias("side"), body.alias("body"), info.alias("note"))
+    none = F.lit(None).cast("string")
+    each = rows.select("range", "row", F.inline(F.array(side(0, F.col("text"), none), side(1, F.col("edited"), none), side(2, none, note)))).filter("body is not null or side = 2")
+    is_note = F.col("side") == 2
+    words = each.select("range", "row", "side", "note", F.explode(F.when(is_note, F.array(F.lit(""))).otherwise(words_of(F.col("body")))).alias("word"))
+    terms = words.select("range", "row", "side", "note", F.when(~is_note, F.xxhash64("word")).alias("term"))
+    weighted = terms.groupBy("range", "row", "side", "note", "term").agg(F.count(F.lit(1)).alias("n"))
+    draws = F.when(is_note, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(-(-samples // BLOCK) - 1)))
+    blocks = weighted.select("range", "row", "side", "note", "term", F.ln(F.col("n").cast("double")).alias("lw"), F.explode(draws).alias("block"))
+    seeded = blocks.select("range", "row", "side", "note", "block", "lw", F.xxhash64("term", "block").alias("seed"))
     table = gamma_table(spark)
-    drawn = seeded.groupBy("range", "row", "side", "block").agg(*[F.min(sample("seed", "lw", j, table)).alias(f"s{j}") for j in range(min(BLOCK, samples))])
+    drawn = seeded.groupBy("range", "row", "side", "note", "block").agg(*[F.min(sample("seed", "lw", j, table)).alias(f"s{j}") for j in range(min(BLOCK, samples))])
     places = F.concat(*[F.lpad(F.hex(F.xxhash64(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for j in range(min(BLOCK, samples))])
-    prints = drawn.select("range", "row", "side", "block", places.alias("print"))
+    prints = drawn.select("range", "row", "side", "block", F.coalesce("note", places).alias("print"))
     both = prints.groupBy("range", "row").agg(F.array_sort(F.collect_list(F.struct("side", "block", "print"))).alias("all"))
 
-    def joined(side: int) -> Column:
-        found = F.concat_ws("", F.transform(F.filter("all", lambda x: x["side"] == side), lambda x: x["print"]))
-        return F.when(F.coalesce(found, F.lit("")) == "", EMPTY).otherwise(found)
+    def joined(k: int) -> Column:
+        return F.array_join(F.transform(F.filter("all", lambda x: x["side"] == k), lambda x: x["print"]), "")
 
-    carried = rows.select("range", "row", "follows", "id", "n_chars", F.lower(F.sha2("edited", 256)).alias("edited_sha256"))
-    out = carried.join(both.select("range", "row", joined(0).alias("fingerprint"), joined(1).alias("edited_fingerprint")), ["range", "row"], "left")
-    out = out.withColumns({c: F.coalesce(c, F.lit(EMPTY)) for c in ("fingerprint", "edited_fingerprint")}).withColumn("edited_fingerprint", F.when(F.col("edited_sha256").isNotNull(), F.col("edited_fingerprint")))
+    found = lambda k: F.when(joined(k) == "", EMPTY).otherwise(joined(k))
+    out = both.select("range", "row", F.split(joined(2), "\\|").alias("noted"), found(0).alias("fingerprint"), found(1).alias("edited_fingerprint"))
+    said = lambda k: F.nullif(F.get("noted", F.lit(k)), F.lit(""))
+    out = out.select("range", "row", said(0).cast("long").alias("id"), said(1).cast("long").alias("n_chars"), said(2).cast("boolean").alias("follows"), F.lower(said(3)).alias("edited_sha256"), "fingerprint", F.when(said(3).isNotNull(), F.col("edited_fingerprint")).alias("edited_fingerprint"))
     after = F.lead("fingerprint").over(Window.partitionBy("range").orderBy("row"))
     out = out.withColumn("next_fingerprint", F.when(F.col("range") >= 0, after)).filter("not follows")
     return out.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint", samples).alias("near_edited"), likeness("fingerprint", "next_fingerprint", samples).alias("near_next"))
