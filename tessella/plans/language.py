@@ -20,7 +20,7 @@ def name_signatures(spark, sf_dir):
     return n.select("p_partkey", N.folded("name").alias("normalized"), N.token_set(F.col("name")).alias("tokens"), N.compact(F.col("name")).alias("compact"), N.punctuation(F.col("name")).alias("punctuation"))
 
 
-@query("WITH n AS (SELECT DISTINCT lower(array_to_string(string_split(text, ' ')[3:5], ' ')) AS name FROM benchmark), m AS (SELECT name FROM n WHERE regexp_matches(name, '[\\p{L}\\p{N}_]')) SELECT doc_id, name FROM documents, m WHERE contains(lower(text), name) AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])' || regexp_replace(name, '([^\\p{L}\\p{N}\\s])', '\\\\\\1', 'g') || '($|[^\\p{L}\\p{N}_])')")
+@query("WITH n AS (SELECT DISTINCT lower(array_to_string(string_split(text, ' ')[3:5], ' ')) AS name FROM benchmark), m AS (SELECT name FROM n WHERE regexp_matches(name, '[\\p{L}\\p{N}_]')), d AS (SELECT doc_id, lower(text) AS low FROM documents), c AS MATERIALIZED (SELECT doc_id, low, name FROM d, m WHERE contains(low, name)) SELECT doc_id, name FROM c WHERE regexp_matches(low, '(^|[^\\p{L}\\p{N}_])' || regexp_replace(name, '([^\\p{L}\\p{N}\\s])', '\\\\\\1', 'g') || '($|[^\\p{L}\\p{N}_])')")
 def phrase_mentions(spark, sf_dir):
     """Which document holds which phrase (three words of each benchmark text) as whole words."""
     names = table(spark, sf_dir, "benchmark").select(F.lower(F.array_join(F.slice(F.split("text", " "), 3, 3), " ")).alias("name"))
