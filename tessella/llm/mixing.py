@@ -24,7 +24,7 @@ POWERS = {"source": 0.8, "lang": 0.8, "topic": 0.9}
 TOLERANCE = 1e-12
 STALLED = 3
 MOST_ROUNDS = 60
-#: Rounds that the SQL form takes; the tables' margins are met to the tolerance within them.
+#: Rounds that the SQL form takes, and the query at most.
 ROUNDS = 8
 SEED = "mix-1"
 NONE = "(none)"
@@ -134,8 +134,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with their sampling probabilities and draws."""
-    out = mix(documents(spark, sf_dir))
+    """All documents with their sampling probabilities and draws, after at most the rounds of the SQL form."""
+    out = mix(documents(spark, sf_dir), rounds=ROUNDS)
     return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 9).alias("probability"), "sampled")
 
 
