@@ -95,7 +95,7 @@ class Lexicon:
 
 
 def features(buf: np.ndarray, off: np.ndarray, lex: Lexicon) -> np.ndarray:
-    """One row of FEATURES for each text; an empty text has zeros."""
+    """One row of FEATURES for each text; an empty text has zeros, but 1 as its rate of other bytes."""
     n = len(off) - 1
     size = np.diff(off).astype(float)
     low = letters_only(buf)
@@ -125,6 +125,11 @@ def features(buf: np.ndarray, off: np.ndarray, lex: Lexicon) -> np.ndarray:
     again = np.zeros(len(buf), bool)
     if len(buf) > 3:
         again[3:] = (low[3:] == low[2:-1]) & (low[3:] == low[1:-2]) & (low[3:] == low[:-3]) & _LETTER[low[3:]]
+    # Neither reaches into the text before or after.
+    begin, end = off[:-1][size > 0], off[1:][size > 0]
+    inner[begin] = inner[end - 1] = False
+    for k in range(3):
+        again[np.minimum(begin + k, end - 1)] = False
     # Words after undoing common substitutions: hits that the plain reading misses.
     plain = letters_only(_LEET[buf])
     hidden = np.zeros(n)

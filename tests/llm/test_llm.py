@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -668,3 +669,67 @@ def test_joins_of_hot_keys_are_split(spark, monkeypatch):
     table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("held"))
     got = common.salted_join(rows, table, ["k"], "held", 1000)
     assert sorted(got.collect()) == sorted(rows.join(table, "k").collect())
+
+
+def test_margins_and_decoding_equal_plain_python():
+    """Byte n-grams, their buckets, bit margins and loss-weighted decoding again, one step at a time."""
+    rng = np.random.default_rng(2)
+    code = language_id.codewords(3)
+    bits = code.shape[1]
+    weights = {n: rng.normal(size=(language_id.DIM + 1, bits)).astype(np.float32) for n in language_id.ORDERS}
+    for w in weights.values():
+        w[language_id.DIM] = 0
+    model = language_id.Model(["a", "b", "c"], code, weights, rng.uniform(0.5, 2, bits), rng.normal(size=bits), rng.uniform(0.1, 1, bits))
+    texts = ["", "A", "Éa  b!", "The quick, brown fox 12 times", "ÀÉ ß  ñ", "x" * 50, "  ", "日本 語 and Latin", "a b\nc\td"]
+    raw = [t.encode() for t in texts]
+    off = np.concatenate(([0], np.cumsum([len(b) for b in raw])))
+    got = model.margins(np.frombuffer(b"".join(raw), np.uint8), off)
+    for k, b in enumerate(raw):
+        clean = bytearray(0x20 if c < 128 and not chr(c).isalpha() else ord(chr(c).lower()) if c < 128 else c for c in b)
+        for i in range(1, len(b)):
+            if b[i - 1] == 0xC3 and 0x80 <= b[i] <= 0x9E and b[i] != 0x97:
+                clean[i] += 32
+        want = np.zeros(bits)
+        for n in language_id.ORDERS:
+            hits = []
+            for i in range(len(clean) - n + 1):
+                g = bytes(clean[i : i + n])
+                if b"  " in g or g == b" ":
+                    continue
+                v = int.from_bytes(g, "little")
+                mixed = ((v * 0x9E3779B1) ^ (v >> 15)) & 0xFFFFFFFF
+                hits.append(weights[n][((mixed * 0x85EBCA6B) & 0xFFFFFFFF) >> 17])
+            want += np.sum(hits, axis=0) / len(hits) if hits else 0
+        assert np.allclose(got[k], want, atol=1e-4)
+    best, score, lead = model.decode(got)
+    for k, z in enumerate(got):
+        loss = [sum(model.trust[j] * math.log1p(math.exp(-(z[j] * model.scale[j] + model.shift[j]) * code[c, j])) for j in range(bits)) for c in range(3)]
+        p = np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum()
+        assert best[k] == int(np.argmin(loss)) and score[k] == pytest.approx(p.max()) and lead[k] == pytest.approx(np.sort(p)[-1] - np.sort(p)[-2])
+
+
+def test_features_equal_plain_python():
+    """The dense features that a plain reading of the text gives as well."""
+    lexicon = toxicity.Lexicon(toxicity.hash_words("foo bar"), np.array([1.0, 3.0]))
+    lexicon.weights = np.array([2.0 if k == toxicity.hash_words("foo")[0] else 3.0 for k in lexicon.keys])
+    texts = ["", "You are an IDIOT foo!!", "plain words only", "bar bar foo, stupid?", "sooooo BAD i d i o t", "1d10t you and id!ot", "a@b 77 ---"]
+    raw = [t.encode() for t in texts]
+    off = np.concatenate(([0], np.cumsum([len(b) for b in raw])))
+    x = toxicity.features(np.frombuffer(b"".join(raw), np.uint8), off, lexicon)
+    names = {n: i for i, n in enumerate(toxicity.FEATURES)}
+    assert not x[0, :-1].any() and x[0, -1] == 1 and x.shape == (len(texts), len(toxicity.FEATURES))
+    fixed, second = set(toxicity.INSULTS.split()), set(toxicity.SECOND_PERSON.split())
+    for t, row in zip(texts[1:], x[1:], strict=True):
+        low = re.findall(r"[a-z]+", t.lower())
+        weight = [{"foo": 2.0, "bar": 3.0}.get(w, 0.0) for w in low]
+        bad = [v > 0 or w in fixed for v, w in zip(weight, low, strict=True)]
+        near = sum(b and any(w in second for w in low[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i, b in enumerate(bad))
+        letters = len(re.findall(r"[A-Za-z]", t))
+        want = {
+            "log_bytes": math.log1p(len(t)), "log_words": math.log1p(len(low)), "lexicon_hits": sum(v > 0 for v in weight), "lexicon_weight": sum(weight), "strongest": max(weight, default=0.0),
+            "fixed_hits": sum(w in fixed for w in low), "near_you": near, "you_density": sum(w in second for w in low) / max(len(low), 1), "capital_letters": len(re.findall("[A-Z]", t)) / max(letters, 1),
+            "exclaim_rate": len(re.findall("[!?]", t)) / len(t), "single_letters": sum(len(w) == 1 for w in low) / max(len(low), 1), "repeated_letters": sum(len(m[0]) - 3 for m in re.finditer(r"([a-z])\1{3,}", t.lower())) / len(t),
+            "inner_symbols": len(re.findall(r"(?<=[A-Za-z])[*#$%&@!0134578+_^~](?=[A-Za-z])", t)) / max(len(low), 1),
+        }
+        assert {n: row[names[n]] for n in want} == pytest.approx(want)
+    assert x[5, names["hidden_hits"]] == 2  # both spellings of the fixed word
