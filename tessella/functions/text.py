@@ -92,6 +92,41 @@ def fitting_sentences(text: Column, budget: int) -> Column:
     return F.aggregate(sentences, none, step, lambda s: s["held"])
 
 
+# Words that limit or turn round what a sentence says.
+QUALIFIERS = "cannot except if must never no not only unless until when without".split()
+
+
+def excerpt(text: Column, terms: Column, budget: int) -> Column:
+    """The sentences of a text that answer terms best, in their order, within a budget of regex tokens.
+
+    Sentences that qualify go first, as leaving one out could turn the meaning round; only
+    if all of them fit, others fill the rest, those with most terms before others.  A mark
+    stands for what is left out, and if no sentence fits, the first words of the best do.
+    """
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), "(?<=[.!?])[\"')\\]]*\\s+|\\n+"), lambda s: F.trim(s) != "")
+    words = lambda s: F.array_distinct(F.split(F.lower(s), "[^\\p{L}\\p{N}_]+"))
+    limits = F.array(*map(F.lit, QUALIFIERS))
+
+    def rated(s: Column, i: Column) -> Column:
+        odd = F.size(F.array_intersect(words(s), limits))
+        return F.struct((odd == 0).cast("int").alias("plain"), (-F.size(F.array_intersect(words(s), terms))).alias("hits"), (-odd).alias("odd"), i.alias("place"), F.trim(s).alias("s"), regex_tokens(s).alias("n"))
+
+    ranked = F.array_sort(F.transform(parts, rated))
+    n = F.size(parts)
+    mark = lambda held: F.when(F.size(held) < n, 3).otherwise(0)  # noqa: E731  tokens of [...]
+
+    def admit(st: Column, x: Column) -> Column:
+        more = F.array_append(st["held"], F.struct(x["place"].alias("place"), x["s"].alias("s")))
+        fits = (st["spent"] + x["n"] + mark(more) <= budget) & ((x["plain"] == 0) | st["whole"])
+        return F.struct(F.when(fits, more).otherwise(st["held"]).alias("held"), (st["spent"] + F.when(fits, x["n"]).otherwise(0)).alias("spent"), (st["whole"] & (fits | (x["plain"] == 1))).alias("whole"))
+
+    begin = F.struct(F.array().cast("array<struct<place: int, s: string>>").alias("held"), F.lit(0).alias("spent"), F.lit(True).alias("whole"))
+    chosen = F.aggregate(ranked, begin, admit, lambda st: F.array_sort(st["held"]))
+    joined = F.array_join(F.transform(chosen, lambda x: x["s"]), " ")
+    cut = F.array_join(F.slice(F.split(F.get(ranked, F.lit(0))["s"], "\\s+"), 1, budget), " ")
+    return F.when(n == 0, "").when(F.size(chosen) == 0, cut).otherwise(F.concat(joined, F.when(F.size(chosen) < n, " […]").otherwise("")))
+
+
 def claim_text(value: Column) -> Column:
     """A claim without punctuation at word boundaries, white space collapsed, in lower case."""
     bare = F.regexp_replace(F.coalesce(value, F.lit("")), "(?<=^|\\s)\\p{P}|\\p{P}(?=\\s|$)", " ")

@@ -65,3 +65,10 @@ def sentence_fit(spark, sf_dir):
     """The first whole sentences of every text within 60 estimated tokens; texts whose first sentence is longer are left out."""
     d = table(spark, sf_dir, "documents").select("doc_id", T.fitting_sentences(F.col("text"), 60).alias("s"))
     return d.filter("size(s) > 0").select("doc_id", F.size("s").alias("sentences"), F.sha2(F.array_join("s", ""), 256).alias("digest"))
+
+
+@query()
+def context_excerpts(spark, sf_dir):
+    """What each document says to a query in 40 tokens; limits and negations stay with what they limit."""
+    terms = F.array(*map(F.lit, ("licensed", "version", "worthless", "things")))
+    return table(spark, sf_dir, "documents").select("doc_id", T.excerpt(F.col("text"), terms, 40).alias("excerpt"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.operators import arms, chunking, graph, maintain, naming, planning, sync
+from tessella.operators import arms, chunking, graph, maintain, naming, planning, plugins, sync
 
 
 def test_entities_do_not_overlap():
@@ -119,3 +119,28 @@ def test_admission_and_equal_clocks(spark):
 def test_routes(spark):
     df = spark.createDataFrame([("why does 'load it' fail",), ("plain words",), ("how to run MAX_SIZE",)], "q string")
     assert [r[0] for r in df.select(planning.routes(F.col("q"))).collect()] == [["original", "exact", "relation"], ["original"], ["original", "exact", "intent"]]
+
+
+def test_excerpts_keep_qualifiers(spark):
+    text = "The key opens the door. It is old. Never use it when the alarm is on. Doors are red. Keys are kept in a box."
+    terms = F.array(F.lit("key"), F.lit("door"))
+    get = lambda t, n: spark.createDataFrame([(t,)], "t string").select(T.excerpt(F.col("t"), terms, n)).first()[0]
+    assert get(text, 100) == text
+    assert get(text, 20) == "The key opens the door. Never use it when the alarm is on. […]"
+    assert get(text, 13) == "Never use it when the alarm is on. […]"
+    assert get(text, 5) == "Never use it when the" and get("", 5) == get(None, 5) == ""
+
+
+def test_plug_points_fail_open(spark):
+    pool = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 0.5), ("c", "z", 0.0)], "id string, content string, score double")
+    scores = lambda df: {r["id"]: r["score"] for r in df.collect()}
+    plain = {"a": 1.0, "b": 0.5, "c": 0.0}
+    assert scores(plugins.reranked(pool)) == plain
+    assert scores(plugins.reranked(pool, lambda p: p.select("id", (F.col("id") == "c").cast("double").alias("score")))) == pytest.approx({"a": 0.7, "b": 0.35, "c": 0.3})
+    assert scores(plugins.reranked(pool, lambda p: p.filter("id <> 'b'").select("id", F.lit(2.0).alias("score")))) == pytest.approx({"a": 1.0, "b": 0.5, "c": 0.3})
+    with pytest.warns(UserWarning, match="lacks"):
+        assert scores(plugins.reranked(pool, lambda p: p)) == plain
+    with pytest.warns(UserWarning, match="failed"):
+        assert scores(plugins.reranked(pool, lambda p: p.select("nothing"))) == plain
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    assert len(plugins.embedded(docs).first()["embedding"]) == 256
