@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL, for ``__spark_entry__``."""
 
+from tessella.llm.divergence import OP13_SQL, op13_source_divergence
 from tessella.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tessella.llm.fingerprints import op7_fingerprints
 from tessella.llm.language_id import op1_language_id
@@ -22,10 +23,12 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pii": op10_pii,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
     "op3_mixing": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
