@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL, for ``__spark_entry__``."""
 
+from tessella.llm.decontamination import OP12_SQL, op12_decontamination
 from tessella.llm.divergence import OP13_SQL, op13_source_divergence
 from tessella.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tessella.llm.fingerprints import op7_fingerprints
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pii": op10_pii,
+    "op12_decontamination": op12_decontamination,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -30,5 +32,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
     "op3_mixing": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
+    "op12_decontamination": OP12_SQL,
     "op13_source_divergence": OP13_SQL,
 }

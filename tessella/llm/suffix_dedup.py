@@ -90,15 +90,15 @@ def words8(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """The places of the text in the order of the suffixes that start there.
+def sorted_suffixes(key: np.ndarray, known: int, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The places in the order of the suffixes that start there, and which places of that order begin a group of equal ones.
 
-    Larsson-Sadakane: places are ranked by 8 bytes; then groups of equal rank, and
-    only these, are sorted by the rank of the place as many bytes further on, which
-    doubles the bytes that are compared, until no two ranks are equal.
+    Larsson-Sadakane: places are ranked by their key, which holds the next ``known``
+    letters; then groups of equal rank, and only these, are sorted by the rank of the
+    place as many letters further on, which doubles the letters that are compared, until
+    no two ranks are equal (or ``depth`` letters are compared).
     """
-    n = len(text)
-    key = words8(text)
+    n = len(key)
     sa = np.argsort(key)
     key = key[sa]
     new = np.ones(n, bool)
@@ -107,14 +107,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     rank = np.zeros(n, np.int64)
     rank[sa] = group
     at = np.arange(n)
-    known = 8
-    while True:
+    while depth is None or known < depth:
         # Places in groups of one keep their rank: only the tied ones of the last round can still be tied.
         tied = ~new[at]
         tied[:-1] |= tied[1:] & (at[1:] == at[:-1] + 1)
         at = at[tied]
         if not len(at):
-            return sa
+            break
         places = sa[at]
         ahead = places + known
         further = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
@@ -127,6 +126,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         group[at] = np.maximum.accumulate(np.where(new[at], at, 0))
         rank[sa[at]] = group[at]
         known *= 2
+    return sa, new
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """The suffix array of bytes, ranked by 8 bytes first."""
+    return sorted_suffixes(words8(text), 8)[0]
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
