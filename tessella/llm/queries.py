@@ -10,6 +10,7 @@ from tessella.llm.mixing import OP3_SQL, op3_mixing
 from tessella.llm.near_dedup import op8_near_dedup
 from tessella.llm.packing import op5_packing
 from tessella.llm.pii import op10_pii
+from tessella.llm.spelling import op11_spelling
 from tessella.llm.suffix_dedup import op9_suffix_dedup
 from tessella.llm.toxicity import op6_toxicity
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pii": op10_pii,
+    "op11_spelling": op11_spelling,
     "op12_decontamination": op12_decontamination,
     "op13_source_divergence": op13_source_divergence,
 }

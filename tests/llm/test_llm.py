@@ -647,7 +647,7 @@ def test_names_and_sql(spark, data):
     from oracle import connect, rows
 
     names = [n for n in entry.queries() if re.fullmatch(r"op\d+_\w+", n)]
-    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     for n in names:
         if n in entry.oracle_sql():
             got, want = entry.queries()[n](spark, data).toPandas(), connect(data).execute(entry.oracle_sql()[n]).df()
