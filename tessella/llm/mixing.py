@@ -24,8 +24,6 @@ POWERS = {"source": 0.8, "lang": 0.8, "topic": 0.9}
 TOLERANCE = 1e-12
 STALLED = 3
 MOST_ROUNDS = 60
-#: Rounds that the SQL form takes, and the query at most.
-ROUNDS = 8
 SEED = "mix-1"
 NONE = "(none)"
 # Signs of a topic, the first that is found; else prose.
@@ -134,8 +132,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with their sampling probabilities and draws, after at most the rounds of the SQL form."""
-    out = mix(documents(spark, sf_dir), rounds=ROUNDS)
+    """All documents with their sampling probabilities and draws, raked until no margin changes."""
+    out = mix(documents(spark, sf_dir))
     return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 9).alias("probability"), "sampled")
 
 
@@ -153,7 +151,8 @@ def _sql() -> str:
     last = "w0"
     steps.append("w0 AS (SELECT *, tokens::DOUBLE AS w FROM c)")
     k = 0
-    for _ in range(ROUNDS):
+    # All rounds, as SQL here does not stop: once the margins are met, a further round changes nothing.
+    for _ in range(MOST_ROUNDS):
         for c in names.values():
             k += 1
             steps.append(f"w{k} AS MATERIALIZED (SELECT s, l, topic, tokens, w * goal / held AS w FROM {last} JOIN goal_{c} USING ({c}) JOIN (SELECT {c}, sum(w) AS held FROM {last} GROUP BY {c}) USING ({c}))")
