@@ -6,31 +6,65 @@ folder, so that lineage stays short and a lost executor costs only its tasks.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAMPING, ROUNDS = 0.85, 30
+#: From so many nodes on the steps of a walk are kept partitioned.
+MANY_NODES = 500_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the folder of spark.checkpoint.dir and read again."""
-    spark: SparkSession = df.sparkSession
+def _folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may have ended before the interpreter
+        pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the folder of spark.checkpoint.dir and read again; deleted when the interpreter ends."""
+    spark: SparkSession = df.sparkSession
+    path = f"{_folder(spark)}/graph-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Cuts:
+    """Written tables of the rounds of one operator, deleted when it is done: its result must not read them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, f"{_folder(spark)}/rounds-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Cuts:
+        return self
+
+    def __exit__(self, *_) -> None:
+        _delete(self.spark, self.path)
+
+    def save(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.path}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
+
+
 def clean(edges: DataFrame) -> DataFrame:
     """Finite positive weights within [1e-6, 1e6]; no loops; parallel edges summed."""
     w = F.col("weight")
@@ -42,48 +76,43 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame | None = None, rounds: int = ROUNDS, damping: float = DAMPING, every: int = 5, small: int = 0) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame | None = None, rounds: int = ROUNDS, damping: float = DAMPING, every: int = 5) -> DataFrame:
     """node, rank after a fixed number of rounds; restart on the seeds (column node), or everywhere.
 
-    Weights are normalised by source; what dangling nodes hold goes to the restart.
-    Every round is a join and an aggregation.  A caller that knows its graphs to be tiny
-    may have those of at most ``small`` directed edges ranked within one task.
+    Weights are normalised by source; what dangling nodes hold goes to the restart.  A
+    round shuffles the flows alone, summed up before, with the restart among them: the
+    ranks of few nodes go to every task, where the steps of the walk are read (as Spark finds
+    in the size of the last round); of more than MANY_NODES, the steps lie partitioned by their source and stay there
+    (in memory or on disk, and recomputed from a written table if an executor is lost).
     """
-    both = cut(undirected(clean(edges)))
-    total = both.groupBy("src").agg(F.sum("weight").alias("total"))
-    walk = cut(both.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    nodes = both.select(F.col("src").alias("node")).distinct()
-    start = nodes if seeds is None else seeds.select("node").distinct()
-    n = start.count()
-    if not n:
-        return nodes.select("node", F.lit(0.0).alias("rank")).filter("false")
-    base = start.withColumn("restart", F.lit(1.0 / n))
-    base = cut(nodes.join(base, "node", "full").select("node", F.coalesce("restart", F.lit(0.0)).alias("restart")))
-    if small and walk.count() <= small:
-        return _small_ranks(walk, base, rounds, damping)
-    ranks = base.select("node", F.col("restart").alias("rank"))
-    for k in range(1, rounds + 1):
-        flow = ranks.join(walk, ranks["node"] == walk["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        # Every node of an undirected graph has an edge: only isolated seeds dangle, and keep what they hold.
-        nxt = base.join(flow, base["node"] == flow["dst"], "left").select("node", ((1 - damping) * F.col("restart") + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"))
-        ranks = cut(nxt) if k % every == 0 or k == rounds else nxt
-    return ranks
-
-
-def _small_ranks(walk: DataFrame, base: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """The same rounds over a graph of bounded size, as sparse products in one task."""
-
-    def solve(steps: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        at = pd.Series(np.arange(len(start)), index=start["node"])
-        src, dst, share = at[steps["src"]].to_numpy(), at[steps["dst"]].to_numpy(), steps["share"].to_numpy()
-        restart = start["restart"].to_numpy()
-        rank = restart.copy()
-        for _ in range(rounds):
-            rank = (1 - damping) * restart + damping * np.bincount(dst, rank[src] * share, len(start))
-        return pd.DataFrame({"node": start["node"], "rank": rank})
-
-    one = lambda df: df.groupBy(F.lit(0).alias("all"))
-    return one(walk).cogroup(one(base)).applyInPandas(solve, "node string, rank double")
+    spark = edges.sparkSession
+    with Cuts(spark) as cuts:
+        both = cuts.save(undirected(clean(edges)))
+        total = both.groupBy("src").agg(F.sum("weight").alias("total"))
+        walk = cuts.save(both.join(total, "src").selectExpr("src", "dst", f"{damping}D * weight / total as share"))
+        nodes = cuts.save(total.select(F.col("src").alias("node")))
+        small = nodes.count() <= MANY_NODES
+        if not small:
+            walk = walk.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").persist(StorageLevel.MEMORY_AND_DISK)
+        start = nodes if seeds is None else cuts.save(seeds.select("node").distinct())
+        n = start.count()
+        if not n:
+            return edges.select(F.col("src").alias("node"), F.lit(0.0).alias("rank")).filter("false")
+        # Every node of an undirected graph has an edge: only isolated seeds dangle, and what they hold is known without a walk.
+        alone = 0 if seeds is None else start.join(nodes, "node", "left_anti").count()
+        dangling = alone / n
+        ranks = start.select("node", F.lit(1.0 / n).alias("rank"))
+        for k in range(1, rounds + 1):
+            again = (1 - damping) + damping * dangling
+            flows = walk.join(ranks.withColumnRenamed("node", "src"), "src").selectExpr("dst as node", "rank * share as rank")
+            ranks = flows.union(start.selectExpr("node", f"{again / n!r}D as rank")).groupBy("node").agg(F.sum("rank").alias("rank"))
+            dangling = alone / n * again
+            if k % every == 0 and k < rounds:
+                ranks = cuts.save(ranks)
+        out = cut(ranks if seeds is None else nodes.join(ranks, "node", "full").select("node", F.coalesce("rank", F.lit(0.0)).alias("rank")))
+        if not small:
+            walk.unpersist()
+    return out
 
 
 def one_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:

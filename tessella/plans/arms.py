@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.model import table
+from tessella.model import LAYERS, table
 from tessella.operators import arms as A
 from tessella.operators import graph as G
 from tessella.plans.base import ORACLE_SQL, query
-from tessella.plans.graphs import EDGE_SQL, edges, ppr
+from tessella.plans.graphs import EDGE_SQL, edges
 
 _INC = "inc AS (SELECT l_orderkey AS id, 'supplier_' || l_suppkey::VARCHAR AS node, max(0.3::DOUBLE + l_discount::DOUBLE * 5) AS confidence FROM lineitem GROUP BY ALL)"
 
@@ -29,15 +29,68 @@ def graph_arm_1hop(spark, sf_dir):
     return A.one_hop_arm(edges(spark, sf_dir), _seeds(spark, "Brand#11"), incidence(spark, sf_dir), 50).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_INC}, rk AS ({ORACLE_SQL['ppr']}) SELECT id, round(sum(rank * confidence), 9) AS score FROM inc JOIN rk USING (node) GROUP BY id HAVING sum(rank * confidence) > 0 ORDER BY round(sum(rank * confidence), 12) DESC, id LIMIT 50")
+#: A question that names an entity and symbols; the layer of its intent counts more, others less.
+QUESTION = "which Brand#11 small ring has the licensed version of worthless things"
+MULTIPLIERS = {"causal": 4.0, "semantic": 0.25}
+_MULT = "CASE layer " + " ".join(f"WHEN '{n}' THEN {v}::DOUBLE" for n, v in MULTIPLIERS.items()) + " ELSE 1.0::DOUBLE END"
+_LAYER = "['temporal', 'entity', 'causal', 'semantic'][({0} % 4 + 1)::INT]"
+
+
+def layer(n):
+    return F.element_at(F.array(*map(F.lit, LAYERS)), (n % 4 + 1).cast("int"))
+
+
+def relations(spark, sf_dir):
+    """Brands and suppliers as entities, each edge in a layer."""
+    n = F.substring("dst", 10, 20).cast("long")
+    return edges(spark, sf_dir).select(F.concat_ws("|", "src", "dst").alias("id"), "src", "dst", "weight", layer(n).alias("layer"))
+
+
+def follow_ups(spark, sf_dir):
+    """Links from an order to the customer's next one."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b"))
+    return o.filter("b is not null").select("a", "b", layer(F.col("a")).alias("layer"))
+
+
+def entities(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("node"), F.col("p_brand").alias("name")).distinct()
+
+
+def walk_sql(universe: str, k: int) -> str:
+    """CTEs of the joint walk over the memories of ``universe`` (id, tm); the last, gw, has id and score."""
+    rounds = ["f0 AS (SELECT * FROM rel WHERE false)"]
+    for i in range(1, 6):
+        had = " UNION ALL ".join(f"SELECT * FROM f{j}" for j in range(i))
+        rounds.append(f"n{i} AS (SELECT node FROM sd UNION SELECT src FROM ({had}) UNION SELECT dst FROM ({had})), f{i} AS MATERIALIZED (SELECT * FROM rel WHERE (src IN (SELECT node FROM n{i}) OR dst IN (SELECT node FROM n{i})) AND id NOT IN (SELECT id FROM ({had})) ORDER BY id LIMIT (SELECT greatest(0, {A.EDGE_CAP} - count(*)) FROM ({had})))")
+    near = " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(1, 6))
+    ranks = ["k0 AS (SELECT 'ent::' || node AS node, 1.0::DOUBLE / (SELECT count(*) FROM sd) AS rank FROM sd)"]
+    for i in range(1, 31):
+        ranks.append(f"k{i} AS MATERIALIZED (SELECT node, sum(rank) AS rank FROM (SELECT dst AS node, 0.85::DOUBLE * rank * share AS rank FROM k{i - 1} JOIN gs ON node = src UNION ALL SELECT node, 0.15::DOUBLE * rank FROM k0) GROUP BY node)")
+    return f"""{EDGE_SQL}, {_INC}, rel AS (SELECT src || '|' || dst AS id, src, dst, weight, {_LAYER.format('substr(dst, 10)::BIGINT')} AS layer FROM ed),
+sd AS (SELECT DISTINCT p_brand AS node FROM part WHERE regexp_matches('{QUESTION.lower()}', '(^|[^a-z0-9_])' || lower(p_brand) || '([^a-z0-9_]|$)')), {', '.join(rounds)},
+nr AS MATERIALIZED ({near}), rc AS (SELECT node FROM sd UNION SELECT src FROM nr UNION SELECT dst FROM nr), un_ AS ({universe}),
+hi AS MATERIALIZED (SELECT * FROM inc WHERE node IN (SELECT node FROM rc) AND id IN (SELECT id FROM un_) ORDER BY confidence DESC, id, node LIMIT {A.INCIDENCE_CAP}),
+fo AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders),
+lk AS MATERIALIZED (SELECT a, b, {_LAYER.format('a')} AS layer FROM fo WHERE b IS NOT NULL AND a IN (SELECT id FROM un_) AND b IN (SELECT id FROM un_)),
+tl AS (SELECT DISTINCT a, b FROM lk WHERE a IN (SELECT id FROM hi) OR b IN (SELECT id FROM hi) ORDER BY a, b LIMIT {A.LINK_CAP}),
+nw AS (SELECT id FROM un_ ORDER BY tm DESC, id DESC LIMIT {A.MEMORY_CAP}), uv AS (SELECT id FROM hi UNION SELECT a FROM tl UNION SELECT b FROM tl UNION SELECT id FROM nw),
+al AS (SELECT * FROM lk WHERE a IN (SELECT id FROM uv) AND b IN (SELECT id FROM uv) ORDER BY a, b, layer LIMIT {A.LINK_CAP}),
+gr AS (SELECT 'ent::' || src AS src, 'ent::' || dst AS dst, weight * {_MULT} AS weight FROM nr UNION ALL SELECT 'mem::' || id::VARCHAR, 'ent::' || node, max(confidence) FROM hi GROUP BY id, node UNION ALL SELECT 'mem::' || a::VARCHAR, 'mem::' || b::VARCHAR, {_MULT} FROM al),
+gu AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT src, dst, weight FROM gr UNION ALL SELECT dst, src, weight FROM gr) GROUP BY ALL), gs AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM gu), {', '.join(ranks)},
+gw AS (SELECT substr(node, 6)::BIGINT AS id, rank AS score FROM k30 WHERE node LIKE 'mem::%' AND rank > 0 ORDER BY round(rank, 12) DESC, id LIMIT {k})"""
+
+
+@query(f"WITH {walk_sql('SELECT o_orderkey AS id, o_orderdate AS tm FROM orders', 50)} SELECT id, round(score, 9) AS score FROM gw")
 def graph_arm_ppr(spark, sf_dir):
-    """The 50 orders with the most personalised rank of their suppliers, by confidence."""
-    return A.ranked_arm(ppr(spark, sf_dir), incidence(spark, sf_dir), 50).withColumn("score", F.round("score", 9))
+    """The 50 orders that a walk from the brand of a question visits most, over suppliers, orders, and a customer's orders one after the other."""
+    recent = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))
+    inc = incidence(spark, sf_dir).join(recent.select("id"), "id", "left_semi")
+    arm = A.joint_walk_arm(relations(spark, sf_dir), inc, follow_ups(spark, sf_dir), recent, A.seeds_in(entities(spark, sf_dir), QUESTION), 50, MULTIPLIERS)
+    return arm.withColumn("score", F.round("score", 9))
 
 
-IDENTIFIERS = ("small ring", "red", "widget")
 _CALLS = "calls AS (SELECT DISTINCT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem QUALIFY dst IS NOT NULL)"
-_FOUND = " UNION ALL ".join(f"SELECT p_partkey AS symbol, CASE WHEN p_name = '{w}' THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END / row_number() OVER (ORDER BY (p_name = '{w}') DESC, p_partkey) AS strength FROM (SELECT * FROM part WHERE contains(p_name, '{w}') ORDER BY (p_name = '{w}') DESC, p_partkey LIMIT 20)" for w in IDENTIFIERS)
 
 
 def calls(spark, sf_dir):
@@ -47,18 +100,31 @@ def calls(spark, sf_dir):
     return li.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).filter("dst is not null").distinct()
 
 
-@query(
-    f"""WITH {_CALLS}, fd AS ({_FOUND}), ow AS (SELECT symbol, max(strength) AS strength FROM fd GROUP BY symbol), bo AS (SELECT src, dst FROM calls UNION SELECT dst, src FROM calls),
-st AS (SELECT symbol, max(strength) AS strength FROM (SELECT * FROM ow UNION ALL SELECT dst, strength * 0.55::DOUBLE FROM bo JOIN ow ON src = symbol) GROUP BY symbol),
-ln AS (SELECT l_partkey AS symbol, l_orderkey AS id, max(0.3::DOUBLE + l_discount::DOUBLE * 5) AS confidence FROM lineitem GROUP BY ALL), pl AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY confidence DESC, id) AS place FROM ln JOIN st USING (symbol))
-SELECT id, round(max(strength * confidence / place), 6) AS score FROM pl WHERE place <= 10 GROUP BY id ORDER BY round(max(strength * confidence / place), 9) DESC, id LIMIT 50"""
-)
-def code_arm(spark, sf_dir):
-    """The 50 orders that the parts named in a query, and the parts called next to them, lead to."""
+def code_sql(universe: str, k: int) -> str:
+    """CTEs of the code arm over the memories of ``universe`` (id); the last, cw, has id and score."""
+    words = [w.lower() for w in A.identifiers_in(QUESTION)]
+    per = max(2, min(12, k // len(words)))
+    found = " UNION ALL ".join(f"SELECT symbol, CASE WHEN exact THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END / n AS strength FROM (SELECT symbol, lower(name) = '{w}' OR lower(fqname) = '{w}' AS exact, row_number() OVER (ORDER BY name, symbol) AS n FROM sy WHERE contains(lower(name), '{w}') OR contains(lower(fqname), '{w}')) WHERE n <= {per}" for w in words)
+    return f"""{_CALLS}, sy AS (SELECT p_partkey AS symbol, p_name AS name, p_brand || '.' || p_name AS fqname FROM part), ow AS MATERIALIZED (SELECT symbol, max(strength) AS strength FROM ({found}) GROUP BY symbol),
+ne AS MATERIALIZED (SELECT src, dst FROM calls WHERE src IN (SELECT symbol FROM ow) OR dst IN (SELECT symbol FROM ow) ORDER BY src, dst LIMIT {max(100, min(2000, 20 * k))}),
+st AS (SELECT symbol, max(strength) AS strength FROM (SELECT * FROM ow UNION ALL SELECT dst, strength * 0.55::DOUBLE FROM ne JOIN ow ON src = symbol UNION ALL SELECT src, strength * 0.55::DOUBLE FROM ne JOIN ow ON dst = symbol) GROUP BY symbol ORDER BY strength DESC, symbol LIMIT {max(10, min(100, 2 * k))}),
+ln AS (SELECT l_partkey AS symbol, l_orderkey AS id, least(1.0::DOUBLE, max(0.3::DOUBLE + l_discount::DOUBLE * 5)) AS confidence FROM lineitem WHERE l_orderkey IN (SELECT id FROM ({universe})) GROUP BY ALL), pl AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY confidence DESC, id) AS place FROM ln JOIN st USING (symbol)),
+cw AS (SELECT id, max(strength * confidence / place) AS score FROM pl WHERE place <= {max(2, min(10, k))} GROUP BY id ORDER BY round(max(strength * confidence / place), 9) DESC, id LIMIT {k})"""
+
+
+def symbols(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"), F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("fqname"))
+
+
+def symbol_links(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    links = li.groupBy(F.col("l_partkey").alias("symbol"), F.col("l_orderkey").alias("id")).agg(F.max(0.3 + F.col("l_discount").cast("double") * 5).alias("confidence"))
-    symbols = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"), F.col("p_name").alias("name"))
-    return A.code_arm(symbols, calls(spark, sf_dir), links, list(IDENTIFIERS), 50).withColumn("score", F.round("score", 6))
+    return li.groupBy(F.col("l_partkey").alias("symbol"), F.col("l_orderkey").alias("id")).agg(F.max(0.3 + F.col("l_discount").cast("double") * 5).alias("confidence"))
+
+
+@query(f"WITH {code_sql('SELECT l_orderkey AS id FROM lineitem', 50)} SELECT id, round(score, 6) AS score FROM cw")
+def code_arm(spark, sf_dir):
+    """The 50 orders that the parts named in a question, and the parts called next to them, lead to."""
+    return A.code_arm(symbols(spark, sf_dir), calls(spark, sf_dir), symbol_links(spark, sf_dir), QUESTION, 50).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_CALLS}, hot AS (SELECT p_partkey, p_type FROM part WHERE p_size = 1) SELECT h.p_partkey AS symbol, f.p_type AS file, count(DISTINCT c.src) AS callers FROM hot h JOIN calls c ON c.dst = h.p_partkey JOIN part f ON f.p_partkey = c.src WHERE f.p_type <> h.p_type GROUP BY ALL")

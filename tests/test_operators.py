@@ -79,7 +79,9 @@ def test_graph(spark):
     assert {r["node"]: r["component"] for r in graph.components(e.filter("src <> 'x'")).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d"}
     ranks = {r["node"]: r["rank"] for r in graph.pagerank(e, spark.createDataFrame([("a",)], "node string")).collect()}
     assert sum(ranks.values()) == pytest.approx(1.0) and ranks["d"] == 0.0 and ranks["b"] > ranks["c"]
-    assert {r["node"]: r["rank"] for r in graph.pagerank(e, spark.createDataFrame([("a",)], "node string"), small=100).collect()} == pytest.approx(ranks)
+    far = {r["node"]: r["rank"] for r in graph.pagerank(e, spark.createDataFrame([("a",), ("alone",)], "node string")).collect()}
+    assert sum(far.values()) == pytest.approx(1) and far["alone"] == pytest.approx(sum(v for k, v in far.items() if k != "alone"))  # what dangles goes back to the seeds
+    assert graph.pagerank(e, spark.createDataFrame([], "node string")).count() == 0
     with pytest.raises(RuntimeError, match="settle"):
         graph.components(edges(spark, [(str(k), str(k + 1), 1.0) for k in range(60)]), most=2)
     path = {r["node"]: r["cost"] for r in graph.strongest_path(edges(spark, [("a", "b", 0.5), ("b", "c", 0.5), ("a", "c", 0.1)]), "a").collect()}
