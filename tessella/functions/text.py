@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +58,20 @@ def search_terms(query: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(terms, lambda t: F.array_distinct(F.array(t, stem(t))))))
 
 
+def expanded(query: str) -> list[str]:
+    """``search_terms`` of a query that is known when the plan is made: its lower-case terms, each with its inflection variant."""
+    endings = (("ies", 5, 3, "y"), ("ions", 6, 4, ""), ("ion", 5, 3, ""), ("ised", 6, 1, ""), ("ized", 6, 1, ""), ("ates", 6, 2, ""))
+    out: dict[str, None] = {}
+    for term in re.findall(r"[^\W_]+", query.lower()):
+        out[term] = None
+        ending = next((e for e in endings if len(term) > e[1] and term.endswith(e[0])), None)
+        if ending:
+            out[term[: -ending[2]] + ending[3]] = None
+        elif len(term) > 4 and term.endswith("s") and not term.endswith("ss"):
+            out[term[:-1]] = None
+    return list(out)
+
+
 def lexical_support(query: Column, content: Column) -> Column:
     """Evidence of stemmed token sets; one shared word of several is none."""
     q, c = (F.array_distinct(F.transform(x, stem)) for x in (query, content))

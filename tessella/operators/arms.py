@@ -130,7 +130,8 @@ def joint_walk_arm(edges: DataFrame, incidence: DataFrame, links: DataFrame, rec
     link, and the newest ones (recent: id, at).  An edge or link counts as much more as
     its layer's multiplier says; incidences do not.  Weights that are no positive finite
     number are absent.  Bounds and their orders are fixed, so that the same graph always
-    gives the same walk; without a seed there is no row.
+    gives the same walk, over at most EDGE_CAP + INCIDENCE_CAP + LINK_CAP edges; without a
+    seed there is no row.  edges and links are read several times: give them as tables.
     """
     of = F.lit(1.0)
     for layer, value in (multipliers or {}).items():
@@ -151,6 +152,7 @@ def joint_walk_arm(edges: DataFrame, incidence: DataFrame, links: DataFrame, rec
     graph = near.select(entity("src").alias("src"), entity("dst").alias("dst"), (F.col("weight") * of).alias("weight"))
     graph = graph.unionByName(held.groupBy("id", "node").agg(F.max("confidence").alias("weight")).select(memory("id").alias("src"), entity("node").alias("dst"), "weight"))
     graph = graph.unionByName(among.select(memory("a").alias("src"), memory("b").alias("dst"), of.alias("weight")))
-    ranks = G.pagerank(graph, seeds.select(entity("node").alias("node"))).filter(F.col("node").startswith("mem::") & (F.col("rank") > 0))
+    one = F.lit(0).alias("query")
+    ranks = G.bounded_walks(graph.select(one, "*"), seeds.select(one, entity("node").alias("node"))).filter(F.col("node").startswith("mem::"))
     kind = incidence.schema["id"].dataType
     return ranks.select(F.substring("node", 6, 1 << 20).cast(kind).alias("id"), F.col("rank").alias("score")).orderBy(F.desc(F.round("score", 12)), "id").limit(k)

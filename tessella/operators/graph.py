@@ -10,6 +10,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,6 +116,36 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, rounds: int = ROU
     return out
 
 
+def bounded_walks(graph: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    """query, node, rank for graphs that are bounded by their making: (query, src, dst, weight) with seeds (query, node).
+
+    The ranks are those of ``pagerank``, of every query at once.  A query's graph must be
+    of a fixed size at most (some 10,000 edges, as the caps of a walk give it): it is one
+    group, so that the queries are what is spread over the cluster.  A query without a
+    seed has no rows.
+    """
+    rows = graph.select("query", "src", "dst", "weight").unionByName(seeds.select("query", F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("weight")))
+
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        edges, asked = pdf[pdf["dst"].notna()], pdf.loc[pdf["dst"].isna(), "src"].unique()
+        w = edges["weight"].to_numpy(float)
+        good = np.isfinite(w) & (w > 0) & (edges["src"] != edges["dst"]).to_numpy()
+        edges, w = edges[good], np.clip(w[good], 1e-6, 1e6)
+        names, at = np.unique(np.concatenate((edges["src"], edges["dst"], asked)).astype(object), return_inverse=True)
+        a, b, s = np.split(at, (len(w), 2 * len(w)))
+        src, dst, weight, n = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((w, w)), len(names)
+        held = np.bincount(src, weight, n)
+        share, restart = weight / held[src], np.bincount(s, minlength=n) / max(len(s), 1)
+        rank = restart
+        for _ in range(rounds if len(s) else 0):
+            flow = np.bincount(dst, rank[src] * share, n) + rank[held == 0].sum() * restart
+            rank = (1 - damping) * restart + damping * flow
+        keep = rank > 0
+        return pd.DataFrame({"query": [key[0]] * int(keep.sum()), "node": names[keep], "rank": rank[keep]})
+
+    return rows.groupBy("query").applyInPandas(walk, f"query {graph.schema['query'].dataType.simpleString()}, node string, rank double")
+
+
 def one_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """The seeds and their neighbours with the weight that reaches them."""
     both = undirected(clean(edges))

@@ -75,18 +75,23 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
     return found.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
 
+def _begins(term: str):
+    return lambda word: F.startswith(word, F.lit(term))
+
+
 def bm25(docs: DataFrame, terms: list[str], id_col: str, text_col: str, k: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 of prefix terms over all rows; statistics cover the whole table.
 
     One pass over the texts writes each row's length and term counts, numbers only; the
-    statistics and the scores are read from those.  Terms are counted by patterns, which
-    compile into the scan, and only where the text holds the term at all.
+    statistics and the scores are read from those.  All terms are found by one pattern
+    that takes the longest that begins a word: the others that begin it are beginnings
+    of that one.
     """
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(id_col, low.alias("low")).select(
-        id_col, F.regexp_count("low", F.lit("[\\p{L}\\p{N}]+")).alias("dl"),
-        *[F.when(F.contains("low", F.lit(t)), F.regexp_count("low", F.lit(f"(?<![\\p{{L}}\\p{{N}}]){re.escape(t)}"))).otherwise(0).alias(f"tf{i}") for i, t in enumerate(terms)],
-    )
+    any_term = "|".join(re.escape(t) for t in sorted(set(terms), key=lambda t: (-len(t), t)))
+    found = F.regexp_extract_all("low", F.lit(f"(?<![\\p{{L}}\\p{{N}}])(?:{any_term})"), F.lit(0)) if terms else F.array().cast("array<string>")
+    rows = docs.select(id_col, low.alias("low")).select(id_col, F.regexp_count("low", F.lit("[\\p{L}\\p{N}]+")).alias("dl"), found.alias("found"))
+    rows = rows.select(id_col, "dl", *[F.size(F.filter("found", _begins(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
     rows = cut(rows)
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)

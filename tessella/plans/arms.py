@@ -86,7 +86,7 @@ def graph_arm_ppr(spark, sf_dir):
     """The 50 orders that a walk from the brand of a question visits most, over suppliers, orders, and a customer's orders one after the other."""
     recent = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))
     inc = incidence(spark, sf_dir).join(recent.select("id"), "id", "left_semi")
-    arm = A.joint_walk_arm(relations(spark, sf_dir), inc, follow_ups(spark, sf_dir), recent, A.seeds_in(entities(spark, sf_dir), QUESTION), 50, MULTIPLIERS)
+    arm = A.joint_walk_arm(G.cut(relations(spark, sf_dir)), inc, G.cut(follow_ups(spark, sf_dir)), recent, A.seeds_in(entities(spark, sf_dir), QUESTION), 50, MULTIPLIERS)
     return arm.withColumn("score", F.round("score", 9))
 
 
@@ -124,7 +124,7 @@ def symbol_links(spark, sf_dir):
 @query(f"WITH {code_sql('SELECT l_orderkey AS id FROM lineitem', 50)} SELECT id, round(score, 6) AS score FROM cw")
 def code_arm(spark, sf_dir):
     """The 50 orders that the parts named in a question, and the parts called next to them, lead to."""
-    return A.code_arm(symbols(spark, sf_dir), calls(spark, sf_dir), symbol_links(spark, sf_dir), QUESTION, 50).withColumn("score", F.round("score", 6))
+    return A.code_arm(symbols(spark, sf_dir), G.cut(calls(spark, sf_dir)), symbol_links(spark, sf_dir), QUESTION, 50).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_CALLS}, hot AS (SELECT p_partkey, p_type FROM part WHERE p_size = 1) SELECT h.p_partkey AS symbol, f.p_type AS file, count(DISTINCT c.src) AS callers FROM hot h JOIN calls c ON c.dst = h.p_partkey JOIN part f ON f.p_partkey = c.src WHERE f.p_type <> h.p_type GROUP BY ALL")

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tessella.functions import scoring as S
 from tessella.functions import text as T
 from tessella.model import BOOSTS, DAY, EVENT_KINDS, MEM_SQL, NOW, WEIGHTS, memories, table
+from tessella.operators import arms as A
 from tessella.operators import planning as P
 from tessella.operators import retrieval as R
 from tessella.operators.graph import cut
 from tessella.operators.temporal import visible, visible_sql
+from tessella.plans.arms import MULTIPLIERS, QUESTION, calls, code_sql, entities, follow_ups, incidence, relations, symbol_links, symbols, walk_sql
 from tessella.plans.base import query
 
 QUERY = "licensed version of worthless things"
@@ -124,32 +126,57 @@ def minmax_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.normalised(_arms(spark, sf_dir), "score", "arm").select("doc_id", "arm", F.round("norm", 6).alias("norm"))
 
 
-_HYBRID = f"""{_ARMS}, nn AS (SELECT doc_id, arm, score, min(score) OVER (PARTITION BY arm) AS lo, max(score) OVER (PARTITION BY arm) AS hi, row_number() OVER (PARTITION BY arm ORDER BY score DESC, doc_id) AS rank FROM arms),
-pv AS (SELECT doc_id, max(CASE WHEN arm = 'vector' THEN CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo) END END) AS sem, max(CASE WHEN arm = 'lexical' THEN CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo) END END) AS lex, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM nn GROUP BY doc_id),
-hy AS (SELECT id, mtype, content, {w_sql('r')} * {RET_SQL} + {w_sql('s')} * coalesce(sem, 0) + {w_sql('l')} * coalesce(lex, 0) + {w_sql('i')} * importance * confidence - {w_sql('x')} * {STALE_SQL} + 0.5::DOUBLE * rrf AS score FROM mem JOIN pv USING (doc_id) WHERE trusted AND {visible_sql()})"""
+# The question of the hybrid search, and the terms that the lexical arm makes of it (with their inflections).
+TERMS_ASKED = T.expanded(QUESTION)
+#: Score that a digest of other memories has on top; digests here are every 23rd memory.
+CONSOLIDATED = 0.05
+_SCOPE = "SELECT doc_id AS id, ingested_at AS tm FROM mem"
+_FOUR = f"""{MEM_SQL}, {COS_SQL}, {R.bm25_sql(TERMS_ASKED, 200).replace('f AS (SELECT', 'fq AS (SELECT', 1).replace('FROM f, s', 'FROM fq, s').replace('FROM f)', 'FROM fq)')}, {walk_sql(_SCOPE, 200)}, {code_sql('SELECT doc_id AS id FROM mem', 200)},
+arms AS (SELECT vec_id AS doc_id, 'vector' AS arm, round(score, 9) AS score FROM (SELECT * FROM cs ORDER BY round(score, 9) DESC, vec_id LIMIT 200) UNION ALL SELECT doc_id, 'lexical', round(score, 9) FROM bm UNION ALL SELECT id, 'graph', round(score, 9) FROM gw UNION ALL SELECT id, 'code', round(score, 9) FROM cw)"""
+_NORM = lambda arm: f"max(CASE WHEN arm = '{arm}' THEN CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo) END END)"
+_HYBRID = f"""{_FOUR}, nn AS (SELECT doc_id, arm, score, min(score) OVER (PARTITION BY arm) AS lo, max(score) OVER (PARTITION BY arm) AS hi, row_number() OVER (PARTITION BY arm ORDER BY score DESC, doc_id) AS rank FROM arms),
+pv AS (SELECT doc_id, {_NORM('vector')} AS sem, {_NORM('lexical')} AS lex, {_NORM('graph')} AS gra, {_NORM('code')} AS cod, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM nn GROUP BY doc_id),
+hy AS (SELECT id, mtype, content, coalesce(sem, 0) AS semantic, coalesce(lex, 0) AS lexical, coalesce(gra, 0) AS graph, coalesce(cod, 0) AS code,
+  {w_sql('r')} * {RET_SQL} + {w_sql('s')} * greatest(coalesce(sem, 0), coalesce(cod, 0)) + {w_sql('l')} * coalesce(lex, 0) + {w_sql('g')} * coalesce(gra, 0) + {w_sql('i')} * importance * confidence - {w_sql('x')} * {STALE_SQL} + 0.5::DOUBLE * rrf
+  + CASE WHEN doc_id % 23 = 0 THEN {CONSOLIDATED}::DOUBLE ELSE 0 END AS score FROM mem JOIN pv USING (doc_id) WHERE trusted AND {visible_sql()})"""
+
+
+def _four_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, arm, score: 200 candidates of vectors, terms, the joint walk and the code arm, which share nothing but the question."""
+    docs = table(spark, sf_dir, "documents")
+    v = R.knn(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 200).select(F.col("vec_id").alias("doc_id"), F.lit("vector").alias("arm"), "score")
+    b = R.bm25(docs, TERMS_ASKED, "doc_id", "text", 200).select("doc_id", F.lit("lexical").alias("arm"), "score")
+    recent = memories(spark, sf_dir, content=False).select(F.col("doc_id").alias("id"), F.col("ingested_at").alias("at"))
+    mine = recent.select("id")
+    links = follow_ups(spark, sf_dir)
+    links = links.join(mine.withColumnRenamed("id", "a"), "a", "left_semi").join(mine.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b", "layer")
+    graph = A.joint_walk_arm(cut(relations(spark, sf_dir)), incidence(spark, sf_dir).join(mine, "id", "left_semi"), cut(links), recent, A.seeds_in(entities(spark, sf_dir), QUESTION), 200, MULTIPLIERS)
+    code = A.code_arm(symbols(spark, sf_dir), cut(calls(spark, sf_dir)), symbol_links(spark, sf_dir).join(mine, "id", "left_semi"), QUESTION, 200)
+    arms = v.unionByName(b).unionByName(graph.select(F.col("id").alias("doc_id"), F.lit("graph").alias("arm"), "score")).unionByName(code.select(F.col("id").alias("doc_id"), F.lit("code").alias("arm"), "score"))
+    return cut(arms.withColumn("score", F.round("score", 9)))  # 800 rows that what follows reads more than once
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All eligible candidates of the arms with their final score: one plan from scan to score."""
-    arms = _arms(spark, sf_dir)
-    ranked = R.normalised(arms, "score", "arm").withColumn("rank", F.row_number().over(Window.partitionBy("arm").orderBy(F.desc("score"), "doc_id")))
-    of = lambda a: F.max(F.when(F.col("arm") == a, F.col("norm")))
-    fused = ranked.groupBy("doc_id").agg(of("vector").alias("sem"), of("lexical").alias("lex"), F.sum(1.0 / (60 + F.col("rank"))).alias("rrf"))
-    m = memories(spark, sf_dir).filter(F.col("trusted") & visible()).join(fused, "doc_id")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    """All eligible candidates of the four arms with their parts and final score; code counts where it says more than the vector."""
+    ranked = R.normalised(_four_arms(spark, sf_dir), "score", "arm").withColumn("rank", F.row_number().over(Window.partitionBy("arm").orderBy(F.desc("score"), "doc_id")))
+    of = lambda a: F.coalesce(F.max(F.when(F.col("arm") == a, F.col("norm"))), F.lit(0.0))
+    fused = ranked.groupBy("doc_id").agg(of("vector").alias("semantic"), of("lexical").alias("lexical"), of("graph").alias("graph"), of("code").alias("code"), F.sum(1.0 / (60 + F.col("rank"))).alias("rrf"))
+    m = memories(spark, sf_dir).filter(F.col("trusted") & visible()).join(F.broadcast(fused), "doc_id")  # at most 800 rows
     stale = S.staleness(F.col("valid_to"), F.col("valid_to_recorded_at"))
-    score = S.final_score(S.retention(F.col("last_access"), F.col("stability")), zero("sem"), zero("lex"), F.lit(0.0), F.col("importance"), F.col("confidence"), stale) + 0.5 * F.col("rrf")
-    return m.select("id", "mtype", "content", score.alias("score"))
+    score = S.final_score(S.retention(F.col("last_access"), F.col("stability")), F.greatest("semantic", "code"), F.col("lexical"), F.col("graph"), F.col("importance"), F.col("confidence"), stale)
+    score = score + 0.5 * F.col("rrf") + F.when(F.col("doc_id") % 23 == 0, CONSOLIDATED).otherwise(0.0)
+    return m.select("id", "mtype", "content", "semantic", "lexical", "graph", "code", score.alias("score"))
 
 
-@query(f"WITH {_HYBRID} SELECT id, mtype, round(score, 6) AS score FROM hy")
+@query(f"WITH {_HYBRID} SELECT id, mtype, round(semantic, 6) AS semantic, round(lexical, 6) AS lexical, round(graph, 6) AS graph, round(code, 6) AS code, round(score, 6) AS score FROM hy")
 def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid(spark, sf_dir).select("id", "mtype", F.round("score", 6).alias("score"))
+    """Every candidate with what each arm says of it and the final score."""
+    return hybrid(spark, sf_dir).select("id", "mtype", *(F.round(c, 6).alias(c) for c in ("semantic", "lexical", "graph", "code", "score")))
 
 
 @query(f"WITH {_HYBRID}, c AS (SELECT id, mtype, round(score, 6) AS score FROM hy), n AS (SELECT *, row_number() OVER (PARTITION BY mtype ORDER BY score DESC, id) AS n FROM c) SELECT id, mtype, score FROM n WHERE n <= CASE mtype WHEN 'working' THEN 2 WHEN 'episodic' THEN 3 ELSE 1000000 END ORDER BY score DESC, id LIMIT 12")
 def mtype_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.type_limits(hybrid_score(spark, sf_dir), {"working": 2, "episodic": 3}, 12)
+    return R.type_limits(hybrid_score(spark, sf_dir).select("id", "mtype", "score"), {"working": 2, "episodic": 3}, 12)
 
 
 @query(f"WITH {_HYBRID}, p AS (SELECT id, content, round(score, 6) AS score FROM hy ORDER BY round(score, 6) DESC, id LIMIT 40), j AS (SELECT id, score, {T.jaccard_sql(T.tokens_sql('content'), T.tokens_sql(repr(QUERY)))} AS rr FROM p), n AS (SELECT *, min(score) OVER () lo, max(score) OVER () hi, min(rr) OVER () rlo, max(rr) OVER () rhi FROM j) SELECT id, round(0.7::DOUBLE * CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo) END + 0.3::DOUBLE * CASE WHEN rhi - rlo < 1e-12 THEN 1.0 ELSE (rr - rlo) / (rhi - rlo) END, 6) AS score FROM n")
