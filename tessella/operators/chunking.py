@@ -106,32 +106,3 @@ def embed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim:
             yield pd.DataFrame({id_col: frame[id_col], "embedding": [hash_embedding(t or "", dim).astype("float32") for t in frame[text_col]]})
 
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} long, embedding array<float>")
-
-
-def pack_group(frame: pd.DataFrame, budget: int) -> pd.DataFrame:
-    """Greedy packing: each step takes the fitting row of the best .7 score + .25 novelty + .05 / sqrt(tokens)."""
-    words = [set(re.findall(r"\w+", t.lower())) for t in frame["text"]]
-    tokens, score, ids = frame["tokens"].tolist(), frame["score"].tolist(), frame["id"].tolist()
-    left, seen, out = list(range(len(ids))), set(), []
-    while left:
-        best = None
-        for k in left:
-            if tokens[k] > budget:
-                continue
-            novel = len(words[k] - seen) / len(words[k]) if words[k] else 0.0
-            worth = 0.7 * score[k] + 0.25 * novel + 0.05 / math.sqrt(max(tokens[k], 1))
-            if best is None or (-worth, ids[k]) < best[:2]:
-                best = (-worth, ids[k], k)
-        if best is None:
-            break
-        k = best[2]
-        out.append((frame["query_id"].iloc[0], ids[k], len(out) + 1, tokens[k]))
-        budget -= tokens[k]
-        seen |= words[k]
-        left.remove(k)
-    return pd.DataFrame(out, columns=["query_id", "id", "position", "tokens"])
-
-
-def pack_context(candidates: DataFrame, budget: int) -> DataFrame:
-    """Context under a hard token budget for each query; candidates (query_id, id, text, score, tokens) are a top-k."""
-    return candidates.groupBy("query_id").applyInPandas(lambda f: pack_group(f, budget), "query_id string, id string, position int, tokens int")

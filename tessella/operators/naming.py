@@ -36,16 +36,21 @@ def phrase_mentions(docs: DataFrame, names: DataFrame, id_col: str, text_col: st
     """(id, name) for every name that a text holds between characters that are no word's.
 
     A name is looked up by its longest word, so that only texts with that word are
-    searched for the whole phrase; names without a letter or digit are left out.
+    searched for the whole phrase; names without a letter or digit are left out.  Words
+    meet names without the texts; each text then meets its candidates once, and is
+    searched where it is.  Rows that repeat an id, and null ids, are rows of their own.
     """
     split = lambda c: F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}_]+"), lambda t: t != "")
     keys = names.select("name").distinct().withColumn("words", split(F.col("name"))).filter("size(words) > 0")
     keys = keys.select("name", F.array_max(F.transform("words", lambda t: F.struct(F.length(t).alias("n"), t.alias("word"))))["word"].alias("word"))
-    rows = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("low"))
-    rows = rows.select("id", "low", F.explode(F.array_distinct(split(F.col("low")))).alias("word"))
-    quoted = F.concat(F.lit("(?<![\\p{L}\\p{N}_])"), F.regexp_replace(F.lower("name"), r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit("(?![\\p{L}\\p{N}_])"))
-    few = rows.join(keys, "word")
-    return few.filter(F.regexp_like("low", quoted)).select(F.col("id").alias(id_col), "name")
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("low"), F.xxhash64(id_col, text_col).alias("key"))
+    held = rows.select("key", F.explode(F.array_distinct(split(F.col("low")))).alias("word")).join(keys, "word").groupBy("key").agg(F.collect_set("name").alias("names"))
+
+    def there(name: Column) -> Column:
+        quoted = F.concat(F.lit("(?<![\\p{L}\\p{N}_])"), F.regexp_replace(F.lower(name), r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit("(?![\\p{L}\\p{N}_])"))
+        return F.contains("low", F.lower(name)) & F.regexp_like("low", quoted)
+
+    return rows.join(held, "key").select(F.col("id").alias(id_col), F.explode(F.filter("names", there)).alias("name"))
 
 
 def escaped(text: str, mark: str = "!") -> str:

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import maintain as M
-from tessella.model import table
+from tessella.model import memories, table
 from tessella.operators import chunking as C
+from tessella.operators import packing as PK
+from tessella.operators import retrieval as R
 from tessella.operators import safety as SAFETY
 from tessella.plans.base import query
+from tessella.plans.arms import QUESTION
 from tessella.plans.recall import hybrid
 
 
@@ -133,10 +136,23 @@ def feature_hash_embed(spark, sf_dir):
 
 @query()
 def context_pack(spark, sf_dir):
-    """The best 40 candidates packed under a budget of 1,500 tokens."""
+    """The best 40 candidates of the hybrid search, packed for the question under a budget of 1,500 tokens."""
     top = hybrid(spark, sf_dir).orderBy(F.desc(F.round("score", 6)), "id").limit(40)
-    c = top.select(F.lit("q").alias("query_id"), "id", F.col("content").alias("text"), "score", T.estimate_tokens(F.col("content")).alias("tokens"))
-    return C.pack_context(c, 1500)
+    arm = F.when((F.col("graph") > 0) & (F.col("graph") >= F.greatest("semantic", "lexical")), "graph").when(F.col("code") > 0, "code").otherwise("vector")
+    of = memories(spark, sf_dir, content=False).select("id", "subject_key", F.array(F.concat(F.lit("mem_"), F.lpad((F.col("doc_id") + 97).cast("string"), 8, "0"))).alias("supersedes"), F.col("repo_id").alias("title"))
+    c = top.join(of, "id").select(F.lit("q").alias("query_id"), "id", "content", "score", arm.alias("arm"), "subject_key", "supersedes", "title")
+    return PK.pack_context(c, spark.range(1).select(F.lit("q").alias("query_id"), F.lit(QUESTION).alias("query")), 1500)
+
+
+@query()
+def context_pack_batch(spark, sf_dir):
+    """The 20 documents nearest to every hundredth vector, packed for a benchmark text as the question; every query is packed on its own."""
+    e = table(spark, sf_dir, "embeddings")
+    near = R.batch_knn(e, e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 20)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"), F.col("source").alias("title"), F.concat(F.lit("subject_"), (F.col("doc_id") % 97).cast("string")).alias("subject_key"))
+    c = near.join(docs, "vec_id").select("query_id", F.col("vec_id").alias("id"), "score", "content", "title", "subject_key")
+    asked = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 100).alias("query_id"), F.col("text").alias("query"))
+    return PK.pack_context(c, asked, 300)
 
 
 @query("WITH e AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '@[a-z0-9.]+', 0))) AS name FROM documents) SELECT lower(name) AS entity, count(*) AS mentions, min(doc_id) AS first_doc FROM e GROUP BY 1 HAVING count(*) >= 3")

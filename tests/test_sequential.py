@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.operators import arms, chunking, graph, grounding, maintain, naming, planning, plugins, safety, sync
+from tessella.operators import arms, chunking, graph, grounding, maintain, naming, packing, planning, plugins, safety, sync
 
 
 def test_entities_do_not_overlap():
@@ -29,10 +29,47 @@ def test_hash_embedding(spark):
     assert np.allclose(got[0]["embedding"], a, atol=1e-6) and not any(got[1]["embedding"])
 
 
+def packed(spark, rows, query, budget, **how):
+    names = "query_id string, id string, content string, score double, arm string, title string, summary string, subject_key string, claim_kind string, supersedes array<string>"
+    got = packing.pack_context(spark.createDataFrame([(*r, *[None] * (10 - len(r))) for r in rows], names), spark.createDataFrame([("q", query)], "query_id string, query string"), budget, **how).collect()
+    return got[0] if got else None
+
+
 def test_packing_skips_what_does_not_fit_and_prefers_news(spark):
-    rows = [("q", "a", "one two", 0.9, 10), ("q", "b", "one two", 0.89, 10), ("q", "c", "three four", 0.8, 10), ("q", "d", "five", 1.0, 50)]
-    got = chunking.pack_context(spark.createDataFrame(rows, "query_id string, id string, text string, score double, tokens int"), 25).orderBy("position").collect()
-    assert [r["id"] for r in got] == ["a", "c"]  # d never fits; b says nothing new
+    rows = [("q", "a", "one two", 0.9), ("q", "b", "one two again", 0.89), ("q", "c", "three four", 0.8), ("q", "d", "five must not " + "word " * 40 + "unless", 1.0)]
+    got = packed(spark, rows, "one two three four", 13)
+    assert [(x["id"], x["excerpt"], x["tokens"], x["truncated"], x["reason"]) for x in got["packed"]] == [("a", "one two", 2, False, "full"), ("c", "three four", 2, False, "full")]
+    assert got["context"] == "[1]\none two\n\n[2]\nthree four" and got["context_tokens"] == 10  # no room is left after a third header
+    assert (got["source_tokens"], got["saved_tokens"], got["packed_count"], got["omitted_count"]) == (51, 41, 2, 2)
+    more = packed(spark, rows, "one two three four", 15)["packed"]
+    assert [(x["id"], x["excerpt"], x["truncated"]) for x in more[2:]] == [("b", "one two", True)]  # d would lose its limits
+    assert packed(spark, rows, "one", 0)["packed"] == [] and packed(spark, [], "one", 10) is None
+
+
+def test_packing_takes_one_of_a_family(spark):
+    rows = [("q", "a", "alpha", 0.5, None, None, None, "s", "k"), ("q", "b", "beta", 0.6, None, None, None, "s", "k"), ("q", "c", "gamma", 0.7, None, None, None, "s", "other"), ("q", "d", "delta", 0.4, None, None, None, None, None, ["b", "gone"]), ("q", "e", "epsilon", 0.3, None, None, None, None, None, ["gone"]), ("q", "f", "zeta", float("nan"))]
+    got = packed(spark, rows, "x", 100)
+    assert [x["id"] for x in got["packed"]] == ["c", "b", "f"] and got["omitted_count"] == 3  # a, b, d, e by claim, by what they replace, and by what both replace
+    assert packing.families([{"x"}, {"y"}, {"y", "z"}, {"z", "x"}, {"w"}]) == [0, 0, 0, 0, 4]
+
+
+def test_packing_excerpts(spark):
+    long = "The key is red. Keys are kept in the safe unless it is open. " + "Nothing else matters here. " * 10
+    one = lambda **how: packed(spark, [("q", "a", *[how.get(k) for k in ("content", "score", "arm", "title", "summary")])], how["query"], how["budget"])["packed"][0]
+    base = {"content": long, "score": 1.0, "query": "where are keys kept", "budget": 20}
+    assert one(**base)["excerpt"] == "Keys are kept in the safe unless it is open. […]" and one(**base)["reason"] == "relevant_sentence_excerpt"
+    assert one(**base | {"arm": "graph"})["reason"] == "bridge_excerpt" and one(**base | {"arm": "code", "budget": 200})["reason"] == "bridge_evidence"
+    assert one(**base | {"summary": "keys: in the safe unless open"})["reason"] == "summary" and one(**base | {"summary": "keys: in the safe"})["reason"] == "relevant_sentence_excerpt"
+    assert packing.fitted("one two three, four", 3, packing.regex_count) == "one two three" and packing.fitted("do not go there", 1, packing.regex_count) == ""
+    assert packing.fitted("abcdefghij", 4, len) == "abcd" and packing.fitted("go, not there", 100, len) == "go, not there"
+    chars = packed(spark, [("q", "a", "abcdefghij", 1.0)], "x", 8, count=len)
+    assert chars["context"] == "[1]\nabcd" and chars["context_tokens"] == 8
+
+
+def test_packing_bridges(spark):
+    rows = [("q", "a", "alpha", 0.5, "vector"), ("q", "b", "beta", 0.4, "graph")]
+    assert [x["id"] for x in packed(spark, rows, "which", 100)["packed"]] == ["a", "b"] and [x["id"] for x in packed(spark, rows, "what calls it", 100)["packed"]] == ["b", "a"]
+    assert [x["id"] for x in packed(spark, rows, "pkg.mod.run()", 100)["packed"]] == ["b", "a"]
 
 
 def test_label_propagation_by_hand(spark):
