@@ -11,6 +11,7 @@ from tessella.model import DAY, MEM_SQL, NOW, memories, table
 from tessella.operators import graph as G
 from tessella.operators import maintain as M
 from tessella.operators.temporal import visible, visible_sql
+from tessella.operators import naming as N
 from tessella.plans.base import query
 from tessella.plans.recall import RET_SQL
 
@@ -157,8 +158,25 @@ def safety_inheritance(spark, sf_dir):
     return m.groupBy("subject_key").agg(F.bool_and("trusted").alias("trusted"), F.bool_or("pinned").alias("pinned"), F.max("stability").alias("stability"), F.round(F.min("confidence"), 9).alias("confidence"))
 
 
-@query("WITH e AS (SELECT p_partkey AS id, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS n FROM part) SELECT id, min(id) OVER (PARTITION BY n) AS canonical_id, count(*) OVER (PARTITION BY n) AS members FROM e")
+# Spellings of part names: as they are, in one word, in capitals with more spaces, in another order, and two that only marks tell apart.
+_SPELT = "CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '') WHEN 2 THEN '  ' || replace(upper(p_name), ' ', '   ') WHEN 3 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) WHEN 4 THEN p_name || ' C++' ELSE p_name || ' C#' END"
+_TOKENS = "list_sort(list_distinct(list_filter(string_split_regex(n, '[^a-z0-9]+'), lambda t: length(t) >= 2)))"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT p_partkey AS id, p_brand AS w, p_type AS y, lower(trim(regexp_replace({_SPELT}, '\\s+', ' ', 'g'))) AS n FROM part),
+x AS (SELECT w, y, n, min(id) AS node, replace(n, ' ', '') AS c, regexp_replace(n, '[a-z0-9 ]+', '', 'g') AS m, {_TOKENS} AS t FROM e GROUP BY ALL),
+l AS (SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.w = b.w AND a.y = b.y AND (a.c = b.c OR (a.m = b.m AND len(list_intersect(a.t, b.t)) >= 0.6::DOUBLE * greatest(len(a.t), len(b.t)) AND len(list_intersect(a.t, b.t)) > 0))),
+r AS (SELECT node, node AS reach FROM x UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a), g AS (SELECT node, min(reach) AS grp FROM r GROUP BY node),
+p AS (SELECT e.id, x.node, g.grp FROM e JOIN x USING (w, y, n) JOIN g USING (node)), s AS (SELECT grp, min(id) AS canonical_id, count(*) AS members, count(DISTINCT node) AS nodes FROM p GROUP BY grp)
+SELECT id, canonical_id, CASE WHEN members = 1 THEN 'identity' WHEN nodes = 1 THEN 'exact_normalized' ELSE 'closure' END AS method, members FROM p JOIN s USING (grp)""")
 def entity_canonicalize(spark, sf_dir):
+    """One id for all spellings of a name within a brand and type."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("workspace"), F.col("p_type").alias("etype"), F.expr(_SPELT).alias("name"), F.lit(None).cast("long").alias("canonical_id"))
+    return N.canonical_entities(p)
+
+
+@query("WITH e AS (SELECT p_partkey AS id, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS n FROM part) SELECT id, min(id) OVER (PARTITION BY n) AS canonical_id, count(*) OVER (PARTITION BY n) AS members FROM e")
+def entity_exact_names(spark, sf_dir):
     return M.canonical_names(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
 
 

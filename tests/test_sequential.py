@@ -250,3 +250,16 @@ def test_answers_are_runs_of_their_sources(spark):
     assert sorted(got) == sorted(answers) and {i for i, r in got.items() if r["supported"]} == {0, 7, 13, 15}
     assert (got[2]["clauses"], got[2]["supported_clauses"]) == (3, 2) and (got[9]["clauses"], got[4]["supported_clauses"]) == (0, 1)
     assert not any(r["supported"] for r in grounding.bounded(spark.createDataFrame(list(answers.items()), "id int, text string"), spark.createDataFrame([], "id int, n int, content string")).collect())
+
+
+def test_spellings_close_to_one_entity(spark):
+    rows = [
+        ("a", "w", "t", "Open AI", None), ("b", "w", "t", "OpenAI", None), ("c", "w", "t", "ＯＰＥＮ  ai", None), ("d", "w", "u", "OpenAI", None), ("e", "v", "t", "OpenAI", None),
+        ("f", "w", "t", "C++", None), ("g", "w", "t", "C#", None), ("h", "w", "t", "acme data platform", None), ("i", "w", "t", "Acme Platform", None), ("j", "w", "t", "platform acme", None), ("k", "w", "t", "acme! platform", None),
+        ("l", "w", "t", None, None), ("m", "w", "t", None, None), ("n", "w", "t", "alone", "zz"), ("o", "w", "t", "by hand", "p"), ("p", "w", "t", "hand", "q"), ("q", "w", "t", "of hands", None), ("r", None, None, "", None), ("s", None, None, " ", None),
+    ]
+    got = {r["id"]: (r["canonical_id"], r["method"], r["members"]) for r in naming.canonical_entities(spark.createDataFrame(rows, "id string, workspace string, etype string, name string, canonical_id string")).collect()}
+    assert len(got) == len(rows) and {got[x] for x in "abc"} == {("a", "closure", 3)} and got["d"] == ("d", "identity", 1) == ("d", *got["e"][1:])
+    assert got["f"][0] == "f" and got["g"][0] == "g" and {got[x][0] for x in "hij"} == {"h"} and got["k"][0] == "k"
+    assert got["l"][0] == "l" and got["m"][0] == "m" and got["n"][0] == "zz" and {got[x][0] for x in "opq"} == {"q"} and got["s"] == ("r", "exact_normalized", 2)
+    assert naming.canonical_entities(spark.createDataFrame([], "id string, workspace string, etype string, name string, canonical_id string")).count() == 0
