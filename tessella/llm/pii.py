@@ -55,6 +55,8 @@ _STOP = rf"(?!{IP}|{DATE}|{SSN}|{CARD}|(?<=\+\d{{1,3}}[ .(-]{_marks(8, 14)} )(?:
 _SIZE = rf"(?!\d)(?<=\+{_marks(7, 15)})(?<=\+(?:\d{{1,3}}(?=[ .(-])|(?!\d{{1,3}}[ .(-])){_marks(7, 15)})"
 _BEGIN, _GROUP = r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?", r"\d{2,4}"
 _ABROAD = rf"\+1[ .-]?\(?\d{{3}}\)?[ .-]?\d{{3}}[ .-]?\d{{4}}(?!\d)|{_BEGIN}(?:[ .-]?{_STOP}{_GROUP}){{2,4}}{_SIZE}|{_BEGIN}(?:[ .-]?{_GROUP}){{2,4}}{_SIZE}"
+# Country codes of telephone numbers, of which none begins another: those of one and two digits, else three.
+COUNTRY = r"1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 PHONE = rf"{_ABROAD}|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}\b|\b\d{{3}}[.-]\d{{3}}[.-]\d{{4}}\b"
 ANY = "|".join((EMAIL, IBAN, DATE, IP, SSN, PHONE, CARD))
 
@@ -171,11 +173,11 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays; the other digits are permuted."""
-    head = F.regexp_extract(m, "^(\\+\\d{1,3}(?=[ .(-]))?", 0)
+    """The country code stays; the national digits are permuted alone, so that a number is the same one however it is written."""
+    head = F.regexp_extract(m, rf"^(\+(?:{COUNTRY}))?", 0)
     rest = F.substr(m, F.length(head) + 1)
     d = digits_of(rest)
-    return F.when(F.length(d).between(7, 15), F.concat(head, refill(rest, permuted_digits(d, "phone", key))))
+    return F.when(F.length(d).between(4, 15) & F.length(digits_of(m)).between(7, 18), F.concat(head, refill(rest, permuted_digits(d, "phone", key))))
 
 
 def _card(m: Column, key: str) -> Column:
@@ -258,7 +260,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out_col: str
     IBAN has the length of its country, its account digits and letters; a telephone number ends before an address, a
     date, a card or a year that follows it (other groups of 2 to 4 digits right after a
     number that is not of +1 are taken as part of it, up to 15 digits).  Equal
-    values get equal pseudonyms under the same key, in whatever document.  A null text
+    values get equal pseudonyms under the same key, in whatever document; a telephone number
+    with a country code is the same value whatever separates its digits.  A null text
     stays null, with counts of 0.  Rows, repeated ones too, and other columns stay as
     they are, but for columns with the names of the counts, which are replaced.
     """

@@ -486,6 +486,15 @@ def test_pseudonyms_of_neighbours(spark):
     assert got["+49 170 5555 2024"][:7] != "+49 170" and got["+1 (826) 555-4081 22"] == got["+1 (826) 555-4081"] + " 22"
 
 
+def test_telephone_numbers_link_in_all_their_forms(spark):
+    forms = [["+49 151 12345678", "+4915112345678", "+49-151-1234-5678"], ["+1 826 555 4081", "+18265554081", "+1 (826) 555-4081"], ["+353 1 234 5678", "+35312345678"], ["+7 495 123-45-67", "+74951234567"]]
+    texts = [f for same in forms for f in same]
+    got = {r["text"]: r["new"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY, out_col="new").collect()}
+    for same, code in zip(forms, ("+49", "+1", "+353", "+7"), strict=True):
+        new = {re.sub(r"[^+\d]", "", got[f]) for f in same}
+        assert len(new) == 1 and next(iter(new)).startswith(code) and all(re.sub(r"\d", "0", got[f]) == re.sub(r"\d", "0", f) and got[f] != f for f in same)
+
+
 def test_pseudonyms_of_ibans_with_letters(spark):
     ibans = ["GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300", "FR14 2004 1010 0505 0001 3M02 606", "IT60X0542811101000000123456", "MT84MALT011000012345MTLCAST001S", "LC14BOSL123456789012345678901234"]
     wrong = ["GB83 WEST 1234 5698 7654 32", "NL91ABNA0417164301"]
@@ -544,7 +553,7 @@ def test_every_kind_equals_a_second_implementation(spark):
         ok = lambda v: v // 1_000_000 not in (0, 666) and v // 1_000_000 < 900 and v // 10_000 % 100 and v % 10_000
         assert got[m] == filled(m, f"{walked(int(m.replace('-', '')), 100_000, 10_000, 'ssn', ok):09d}")
     for m in phones:
-        head = re.match(r"(\+\d{1,3}(?=[ .(-]))?", m)[0]
+        head = re.match(r"(\+(1|44|49))?", m)[0]
         rest = m[len(head) :]
         assert got[m] == head + filled(rest, digits(re.sub(r"\D", "", rest), "phone"))
     for m in ibans:
