@@ -1,4 +1,4 @@
-"""Operators whose steps depend on one another: chunking, packing, entities. Arrow and pandas only here."""
+"""Entities, their relations and feature vectors of texts, over Arrow batches."""
 
 from __future__ import annotations
 
@@ -11,36 +11,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-CHUNK_TOKENS = 60
-
-
-def chunk_text(text: str, target: int = CHUNK_TOKENS) -> list[tuple[int, int]]:
-    """Spans of whole lines or sentences of about ``target`` estimated tokens; longer sentences stay whole."""
-    pieces = [m.span() for m in re.finditer(r"[^\n.!?]+[.!?]*[ \t]*\n*|[.!?\n]+", text)]
-    out: list[tuple[int, int]] = []
-    at, size = 0, 0
-    for a, b in pieces:
-        n = max(1, round((b - a) / 4))
-        if size and size + n > target:
-            out.append((at, a))
-            at, size = a, 0
-        size += n
-    if size:
-        out.append((at, len(text)))
-    return out
-
-
-def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int = CHUNK_TOKENS) -> DataFrame:
-    """id, chunk, first, last (character offsets) and text of every chunk; the chunks of a text join to it."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(i, k, a, b, t[a:b]) for i, t in zip(frame[id_col], frame[text_col].fillna(""), strict=True) for k, (a, b) in enumerate(chunk_text(t, target))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk", "first", "last", "text"])
-
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} long, chunk int, first int, last int, text string")
-
-
 ENTITY = {
     "email": r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+",
     "url": r"https?://[^\s<>\"']+",

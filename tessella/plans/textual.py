@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import maintain as M
 from tessella.model import memories, table
+from tessella.operators import blocks as B
 from tessella.operators import chunking as C
 from tessella.operators import packing as PK
 from tessella.operators import retrieval as R
@@ -112,9 +114,18 @@ def claim_normalise(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.claim_text(F.col("text")).alias("claim"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, text, regexp_replace(text, '\\s+', '', 'g') AS bare FROM documents) SELECT doc_id, length(bare) AS characters, sha256(bare) AS digest, 0::BIGINT AS wrong FROM d WHERE bare <> ''""")
 def chunk_documents(spark, sf_dir):
-    return C.chunk_documents(table(spark, sf_dir, "documents"))
+    """Chunks of every text, put together again: what each chunk adds to those before it is the text without white space,
+    and no chunk is anything but its place in the text, or over its size."""
+    d = table(spark, sf_dir, "documents")
+    c = B.chunk_documents(d).join(d.select("doc_id", F.col("text").alias("whole")), "doc_id")
+    before = F.max("last").over(Window.partitionBy("doc_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    c = c.withColumn("begin", F.greatest("first", F.coalesce(before, F.lit(0))))
+    odd = (F.expr("substring(whole, first + 1, last - first)") != F.col("text")) | (T.estimate_tokens(F.col("text")) > B.TARGET) & (F.col("kind") != "code")
+    piece = F.regexp_replace(F.expr("substring(whole, begin + 1, last - begin)"), "\\s+", "")
+    g = c.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", piece.alias("piece")))), lambda x: x["piece"]), "").alias("bare"), F.sum(odd.cast("long")).alias("wrong"))
+    return g.select("doc_id", F.length("bare").cast("long").alias("characters"), F.sha2("bare", 256).alias("digest"), "wrong")
 
 
 @query()

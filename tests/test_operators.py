@@ -3,13 +3,14 @@
 import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import scoring as S
 from tessella.functions import text as T
 from tessella.model import DAY, NOW
-from tessella.operators import chunking, graph, maintain, metrics, receipts, retrieval, sync
+from tessella.operators import blocks, graph, maintain, metrics, receipts, retrieval, sync
 from tessella.operators.temporal import SearchFilter, visible
 from tessella.sources import readers
 
@@ -146,10 +147,45 @@ def test_metrics(spark):
     assert r["ndcg"] == pytest.approx((1 / math.log2(3)) / (1 + 1 / math.log2(3)))
 
 
-def test_chunks_join_to_the_text():
-    text = "One two three. Four five!\n\nSix seven eight nine ten eleven twelve. " * 20
-    spans = chunking.chunk_text(text, 20)
-    assert "".join(text[a:b] for a, b in spans) == text and len(spans) > 5
+def test_blocks():
+    text = "# One\nPara a\ngoes on.\n\n- x\n  more\n- y\n| a | b |\n|---|---|\n## Two ##\n```py\n# no heading\n\n```\nend\n~~~\nopen"
+    got = [(b.kind, b.path, text[b.first : b.last]) for b in blocks.blocks(text)]
+    assert got == [
+        ("heading", "One", "# One"), ("prose", "One", "Para a\ngoes on."), ("list", "One", "- x\n  more\n- y"), ("table", "One", "| a | b |\n|---|---|"), ("heading", "One > Two", "## Two ##"),
+        ("code", "One > Two", "```py\n# no heading\n\n```"), ("prose", "One > Two", "end"), ("code", "One > Two", "~~~\nopen"),
+    ]
+    assert list(blocks.blocks("")) == list(blocks.blocks(" \n\n")) == []
+
+
+def test_chunks_hold_the_text_within_their_size():
+    rng = np.random.default_rng(2)
+    parts = ["# Head\n", "## Sub\n", "A sentence of some words. ", "Another one! ", "x" * 90 + " ", "\n\n", "- item\n", "| c | d |\n", "```\ncode here\n```\n", "word " * 30, "\u65e5\u672c ", "\t\n"]
+    for _ in range(200):
+        text = "".join(rng.choice(parts, rng.integers(1, 40)))
+        for target, overlap in ((8, 0), (20, 10), (256, 32)):
+            covered, last = np.zeros(len(text), bool), -1
+            for c in blocks.chunks(text, target, overlap):
+                assert c.kind == "code" or blocks.quarter(text[c.first : c.last]) <= target
+                assert c.first < c.last and c.last > last and text[c.first : c.last].strip() == text[c.first : c.last]
+                covered[c.first : c.last], last = True, c.last
+            assert all(covered[k] or x.isspace() for k, x in enumerate(text))
+
+
+def test_chunks_overlap_and_fences():
+    text = "One is here. Two is here. Three is here. Four is here."
+    got = [text[c.first : c.last] for c in blocks.chunks(text, 8, 4)]
+    assert got == ["One is here. Two is here.", "Two is here. Three is here.", "Three is here. Four is here."] or got[1].startswith("Two is here.")
+    code = "```py\n" + "line of code\n" * 50 + "```"
+    pieces = list(blocks.chunks(code, 8, 0, most_code=200))
+    assert len(pieces) > 3 and all((p.before, p.after) == ("```py\n", "```") and len(p.before) + p.last - p.first + len(p.after) <= 200 for p in pieces)
+    assert "".join(code[p.first : p.last] for p in pieces) == "line of code\n" * 50
+
+
+def test_chunks_of_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "a"), (4, "a"), (None, "b " * 5000), (5, "y" * 50_000)]
+    got = blocks.chunk_documents(spark.createDataFrame(rows, "key long, body string"), "key", "body").collect()
+    assert sorted({str(r["key"]) for r in got}) == ["4", "5", "None"] and sum(r["key"] == 4 for r in got) == 2
+    assert "".join(r["text"] for r in got if r["key"] == 5) == "y" * 50_000
 
 
 def test_readers(spark, tmp_path):
