@@ -159,3 +159,39 @@ def import_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     d = both.withColumn("state", state)
     gone = d.filter("state = 'missing'").groupBy(F.col("was").alias("now")).agg(F.min("key").alias("old_key"))
     return d.join(gone, "now", "left").select("key", F.when((F.col("state") == "new") & F.col("old_key").isNotNull(), "renamed").otherwise(F.col("state")).alias("state"))
+
+
+# How wide scopes are, and how strict labels; a label that is not known is stricter than all.
+SCOPE_RANK = {"session": 0, "repo": 1, "workspace": 2, "user": 3}
+SENSITIVITY_RANK = {"normal": 0, "sensitive": 1, "secret": 2}
+
+
+def _rank(ranks: dict[str, int], of: str, other: int | None = None) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(v) for kv in ranks.items() for v in kv])[F.col(of)], F.lit(other))
+
+
+def promoted(rows: DataFrame, asked: DataFrame, live: Column, now: float) -> DataFrame:
+    """What becomes of rows that are asked (id, target) to be widened to a scope: id, state, scope, valid_to, promoted_from, sensitivity, pinned, stability.
+
+    A row is refused (state not_approved, not_live, not_wider, no_repo) if it is not
+    trusted, not live, already as wide (user scope is never a target), or has no
+    repository to go to; it then stays as it is.  Else it is closed as of now, and a
+    successor takes over.  Rows of one text that go to the same place share one successor
+    that names them all, in order; no protection is lost: the strictest sensitivity
+    (labels that are not known are strictest), any pin, and the greatest stability.
+    Each id may be asked for once; ids without a row are ignored.
+    """
+    mine = rows.join(asked, "id").withColumn("live", live)
+    state = (
+        F.when(~F.coalesce("trusted", F.lit(False)), "not_approved").when(~F.coalesce("live", F.lit(False)), "not_live")
+        .when(F.coalesce((F.col("target") == "user") | (_rank(SCOPE_RANK, "target") <= _rank(SCOPE_RANK, "scope")), F.lit(True)), "not_wider")
+        .when((F.col("target") == "repo") & F.col("repo_id").isNull(), "no_repo").otherwise("promoted")
+    )
+    none = F.lit(None).cast("array<string>").alias("promoted_from"), F.lit(None).cast("string").alias("sensitivity")
+    told = mine.withColumn("state", state)
+    kept = told.select("id", F.when(F.col("state") == "promoted", "closed").otherwise(F.col("state")).alias("state"), "scope", F.when(F.col("state") == "promoted", F.lit(now)).otherwise(F.col("valid_to")).alias("valid_to"), *none, "pinned", "stability")
+    place = ["workspace_id", F.when(F.col("target") == "repo", F.col("repo_id")).alias("to_repo"), "target", F.md5(F.coalesce("content", F.lit("")).cast("binary")).alias("body")]
+    strict = F.max(F.struct(_rank(SENSITIVITY_RANK, "sensitivity", len(SENSITIVITY_RANK)).alias("rank"), "sensitivity"))
+    new = told.filter("state = 'promoted'").groupBy(*place).agg(F.array_sort(F.collect_list("id")).alias("promoted_from"), strict.alias("s"), F.bool_or("pinned").alias("pinned"), F.max("stability").alias("stability"))
+    new = new.select(F.concat_ws("_", F.col("promoted_from")[0], "target").alias("id"), F.lit("successor").alias("state"), F.col("target").alias("scope"), F.lit(None).cast("double").alias("valid_to"), "promoted_from", F.col("s.sensitivity").alias("sensitivity"), "pinned", "stability")
+    return kept.unionByName(new)

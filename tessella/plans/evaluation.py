@@ -83,23 +83,13 @@ def handoff_strategies(spark, sf_dir):
 
 
 REPLICATES = 200
-# The cumulative chances of 0 to 5 draws of a Poisson distribution with mean 1.
-_DRAWS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
-_U = "('0x' || substr(md5(event_id::VARCHAR || ':' || r::VARCHAR), 1, 13))::BIGINT / pow(2, 52)"
+_ONE = f"(xor(x, x >> 16) * {M.MIX[2]}) % 4294967296"
 
 
-@query(f"WITH x AS (SELECT event_id, event_type, value - 5 AS gain FROM events), s AS (SELECT event_type, gain, r, {_U} AS u FROM x, (SELECT unnest(range(1, {REPLICATES} + 1)) AS r)), w AS (SELECT *, {' + '.join(f'(u >= {c}::DOUBLE)::INT' for c in _DRAWS)} AS w FROM s), m AS (SELECT event_type, r, sum(w * gain) / sum(w) AS mean FROM w GROUP BY ALL HAVING sum(w) > 0), e AS (SELECT event_type, avg(gain) AS mean FROM x GROUP BY 1) SELECT event_type, round(any_value(e.mean), 6) AS mean, round(quantile_cont(m.mean, 0.025), 6) AS low, round(quantile_cont(m.mean, 0.975), 6) AS high FROM m JOIN e USING (event_type) GROUP BY event_type")
+@query(f"WITH x AS (SELECT event_id, event_type, value - 5 AS gain FROM events), h0 AS (SELECT event_type, gain, r, (event_id * {M.MIX[0]} + r * {M.MIX[1]}) % 4294967296 AS x FROM x, (SELECT unnest(range(1, {REPLICATES} + 1)) AS r)), h1 AS (SELECT event_type, gain, r, {_ONE} AS x FROM h0), h2 AS (SELECT event_type, gain, r, {_ONE} AS x FROM h1), s AS (SELECT event_type, gain, r, xor(x, x >> 16) / 4294967296.0::DOUBLE AS u FROM h2), w AS (SELECT *, {' + '.join(f'(u >= {c}::DOUBLE)::INT' for c in M.DRAWS)} AS w FROM s), m AS (SELECT event_type, r, sum(w * gain) / sum(w) AS mean FROM w GROUP BY ALL HAVING sum(w) > 0), e AS (SELECT event_type, avg(gain) AS mean FROM x GROUP BY 1) SELECT event_type, round(any_value(e.mean), 6) AS mean, round(quantile_cont(m.mean, 0.025), 6) AS low, round(quantile_cont(m.mean, 0.975), 6) AS high FROM m JOIN e USING (event_type) GROUP BY event_type")
 def bootstrap_ci(spark, sf_dir):
-    """Mean paired gain of every stratum with its 95 percent interval over 200 bootstrap replicates.
-
-    A row's weight in a replicate is a Poisson draw from a hash of both, so that replicates
-    are sums: nothing is resampled or collected, and every run draws the same.
-    """
+    """Mean paired gain of every stratum with its 95 percent interval over 200 bootstrap replicates."""
     x = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("value") - 5).alias("gain"))
-    digits = F.substring(F.md5(F.concat_ws(":", F.col("event_id").cast("string"), F.col("r").cast("string")).cast("binary")), 1, 13)
-    u = F.conv(digits, 16, 10).cast("double") / 2.0**52
-    s = x.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(REPLICATES)))).withColumn("u", u)
-    w = s.withColumn("w", sum(((F.col("u") >= c).cast("int") for c in _DRAWS), F.lit(0)))
-    m = w.groupBy("event_type", "r").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("gain")).alias("total")).filter("n > 0").withColumn("m", F.col("total") / F.col("n"))
-    ci = m.groupBy("event_type").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    m = M.bootstrap_sums(x, "event_id", "event_type", "gain", REPLICATES).filter("n > 0").withColumn("m", F.col("total") / F.col("n"))
+    ci = m.groupBy(F.col("stratum").alias("event_type")).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return x.groupBy("event_type").agg(F.round(F.avg("gain"), 6).alias("mean")).join(ci, "event_type").select("event_type", "mean", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))

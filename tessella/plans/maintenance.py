@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scoring as S
 from tessella.functions import text as T
-from tessella.model import DAY, MEM_SQL, NOW, memories, table
+from tessella.model import MEM_SQL, NOW, memories, table
 from tessella.operators import graph as G
 from tessella.operators import maintain as M
 from tessella.operators.temporal import visible, visible_sql
@@ -204,11 +204,23 @@ def close_validity(spark, sf_dir):
     return j.select("id", F.when(hit, F.least(F.coalesce("valid_to", F.lit(NOW)), F.lit(NOW))).otherwise(F.col("valid_to")).alias("valid_to"), hit.alias("closed"))
 
 
-@query(f"WITH {MEM_SQL} SELECT id, 1 + greatest(0, floor(({NOW}::DOUBLE - valid_from) / 86400 / 30))::BIGINT AS version, stability FROM mem WHERE trusted AND NOT pinned")
-def correct_promote(spark, sf_dir):
-    """Successor versions of governed rows."""
-    m = memories(spark, sf_dir, content=False).filter("trusted and not pinned")
-    return m.select("id", (1 + F.greatest(F.lit(0), F.floor((F.lit(NOW) - F.col("valid_from")) / DAY / 30))).cast("long").alias("version"), "stability")
+# Promotions asked for: a third of the rows to a repository, another to a workspace, in an order of arrival.
+_ASKED = "CASE doc_id % 3 WHEN 0 THEN 'repo' WHEN 1 THEN 'workspace' END"
+_RANKED = "CASE {0} WHEN 'session' THEN 0 WHEN 'repo' THEN 1 WHEN 'workspace' THEN 2 WHEN 'user' THEN 3 END"
+
+
+@query(f"""WITH {MEM_SQL}, m AS (SELECT *, ['normal', 'sensitive', 'secret', 'odd'][(doc_id // 3 % 4 + 1)::INT] AS sensitivity, md5(coalesce(content, '')) AS body FROM mem), a AS (SELECT *, {_ASKED} AS target FROM m WHERE {_ASKED} IS NOT NULL),
+s AS (SELECT *, CASE WHEN NOT trusted THEN 'not_approved' WHEN NOT ({visible_sql()}) THEN 'not_live' WHEN {_RANKED.format('target')} <= {_RANKED.format('scope')} THEN 'not_wider' WHEN target = 'repo' AND repo_id IS NULL THEN 'no_repo' ELSE 'promoted' END AS state FROM a),
+p AS (SELECT s.*, CASE WHEN target = 'repo' THEN repo_id END AS to_repo FROM s WHERE state = 'promoted'),
+g AS (SELECT workspace_id, to_repo, target, body, min(id) AS first, count(*) AS members, bool_or(pinned) AS pinned, max(stability) AS stability, max(CASE sensitivity WHEN 'normal' THEN 0 WHEN 'sensitive' THEN 1 WHEN 'secret' THEN 2 ELSE 3 END) AS rank FROM p GROUP BY ALL)
+SELECT id, state, scope, valid_to, NULL::VARCHAR AS promoted_from, NULL::VARCHAR AS sensitivity, pinned, stability FROM s WHERE state <> 'promoted'
+UNION ALL SELECT id, 'closed', scope, {NOW}::DOUBLE, NULL, NULL, pinned, stability FROM p
+UNION ALL SELECT g.first || '_' || g.target, 'successor', g.target, NULL, (SELECT string_agg(p.id, ',' ORDER BY p.id) FROM p WHERE p.workspace_id IS NOT DISTINCT FROM g.workspace_id AND p.to_repo IS NOT DISTINCT FROM g.to_repo AND p.target = g.target AND p.body = g.body), ['normal', 'sensitive', 'secret', 'odd'][g.rank + 1], g.pinned, g.stability FROM g""")
+def promote_rows(spark, sf_dir):
+    """Rows that are widened to a repository or workspace: refused, or closed with a successor that inherits the strictest of each property."""
+    m = memories(spark, sf_dir).withColumn("sensitivity", F.element_at(F.array(*map(F.lit, ("normal", "sensitive", "secret", "odd"))), (F.expr("doc_id div 3") % 4 + 1).cast("int")))
+    asked = m.select("id", F.expr(_ASKED).alias("target")).filter("target is not null")
+    return M.promoted(m, asked, visible(), NOW).select("id", "state", "scope", "valid_to", F.array_join("promoted_from", ",").alias("promoted_from"), "sensitivity", "pinned", "stability")
 
 
 @query("SELECT DISTINCT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
