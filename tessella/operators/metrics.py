@@ -73,7 +73,7 @@ def bootstrap_sums(rows: DataFrame, id_col: str, stratum: str, value: str, repli
                     sums = np.stack((weight[at].sum(axis=0), part["value"].to_numpy(float)[at] @ weight[at]))
                     held[key] = held[key] + sums if key in held else sums
         for key, (n, total) in held.items():
-            yield pd.DataFrame({"stratum": [key] * replicates, "replicate": number.astype(np.int32), "n": n, "total": total})
+            yield pd.DataFrame({"stratum": pd.Series([None if pd.isna(key) else key] * replicates, dtype=object), "replicate": number.astype(np.int32), "n": n, "total": total})
 
     kind = rows.schema[stratum].dataType.simpleString()
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(stratum).alias("stratum"), F.col(value).cast("double").alias("value")).filter("id is not null and value is not null")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.model import DAY, MEM_SQL, NOW, memories, table
 from tessella.operators import sync as Y
+from tessella.operators.graph import cut
 from tessella.plans.base import query
 from tessella.plans.ledger import _MERGED, _side_sql, replicas
 
@@ -54,6 +55,31 @@ def sync_counters(spark, sf_dir):
     return r.groupBy("peer").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("rejected").isNull()).alias("applied"), F.count_if(F.col("rejected").isNotNull()).alias("rejected"), F.max("doc_id").alias("cursor"))
 
 
+_PEER = f"""x AS (SELECT * REPLACE (CASE WHEN id % 12 = 1 THEN lpad((id * 2)::VARCHAR, 12, '0') ELSE hlc END AS hlc, least(importance, 1)::DOUBLE AS importance) FROM ({_side_sql(True)})), y AS (SELECT * REPLACE (importance::DOUBLE AS importance) FROM ({_side_sql(False)})),
+t AS (SELECT DISTINCT doc_id AS id FROM labels WHERE toxic = 1), ok AS (SELECT * FROM x WHERE id % 7 <> 2 AND id NOT IN (SELECT id FROM t)), all_ AS (SELECT *, sha256(title || chr(31) || content || chr(31) || importance::VARCHAR) AS h FROM (SELECT * FROM y UNION ALL SELECT * FROM ok)),
+v AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hlc IS NOT NULL DESC, coalesce(hlc, '') DESC, ingested_at DESC, h DESC) AS n FROM all_), w AS (SELECT *, max(h) OVER (PARTITION BY id, hlc) AS top FROM all_ WHERE hlc IS NOT NULL)"""
+
+
+def bundle_and_state(spark, sf_dir):
+    """One side as a replica; the other as rows of three peers, every twelfth with the clock of the first side's version, and a seventh without content."""
+    a, b = replicas(spark, sf_dir)
+    text = lambda df: df.withColumns({"id": F.col("id").cast("string"), "importance": F.col("importance").cast("double"), "supersedes": F.lit(None).cast("string"), "review_state": F.lit(None).cast("string")})
+    n = F.col("id").cast("long")
+    clock = F.when(n % 12 == 1, F.lpad((n * 2).cast("string"), 12, "0")).otherwise(F.col("hlc"))
+    b = text(b).withColumns({"hlc": clock, "content": F.when(n % 7 == 2, "").otherwise(F.col("content")), "peer": (n % 3).cast("string"), "seq": n, "repo_id": F.lit("1"), "sensitivity": F.lit("normal"), "clock_ms": F.lit(0.0)})
+    return text(a), b
+
+
+@query(f"WITH {_PEER} SELECT id::VARCHAR AS id, title, content, NULL::VARCHAR AS supersedes, NULL::VARCHAR AS review_state FROM v WHERE n = 1 UNION ALL SELECT DISTINCT 'conflict_' || substr(sha256(id::VARCHAR || chr(31) || hlc || chr(31) || h), 1, 24), title, content, id::VARCHAR, 'pending' FROM w WHERE h <> top")
+def sync_apply(spark, sf_dir):
+    """A bundle taken in, and then once more without its cursors, which changes nothing: equal clocks leave a pending successor."""
+    state, bundle = bundle_and_state(spark, sf_dir)
+    gone = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("id"), F.lit(None).cast("string").alias("repo_id")).distinct()
+    none = bundle.select("peer", "seq").filter("false")
+    first = Y.apply_bundle(state, bundle, none, gone, NOW)
+    return Y.apply_bundle(cut(first.state), bundle, none, gone, NOW).state.select("id", "title", "content", "supersedes", "review_state")
+
+
 # Governed changes of memory rows.
 
 _SENS = "['normal', 'sensitive', 'secret'][(doc_id % 3 + 1)::INT]"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.operators import arms, chunking, graph, grounding, maintain, naming, packing, planning, plugins, safety, sync
+from tessella.operators import arms, chunking, graph, grounding, maintain, metrics, naming, packing, planning, plugins, safety, sync
 
 
 def test_entities_do_not_overlap():
@@ -263,3 +263,51 @@ def test_spellings_close_to_one_entity(spark):
     assert got["f"][0] == "f" and got["g"][0] == "g" and {got[x][0] for x in "hij"} == {"h"} and got["k"][0] == "k"
     assert got["l"][0] == "l" and got["m"][0] == "m" and got["n"][0] == "zz" and {got[x][0] for x in "opq"} == {"q"} and got["s"] == ("r", "exact_normalized", 2)
     assert naming.canonical_entities(spark.createDataFrame([], "id string, workspace string, etype string, name string, canonical_id string")).count() == 0
+
+
+def test_bundles_apply_once(spark):
+    names = "id string, title string, content string, importance double, hlc string, ingested_at double, valid_to double, valid_to_recorded_at double, expired_at double, stability double, access_count long, last_access double, pinned_at double, unpinned_at double, supersedes string, review_state string"
+    row = lambda i, text, hlc, **more: tuple({"id": i, "title": "t", "content": text, "importance": 0.5, "hlc": hlc, "ingested_at": 1.0, "stability": 1.0, "access_count": 1, **more}.get(n.split()[0]) for n in names.split(", "))
+    state = spark.createDataFrame([row("a", "old", "01"), row("b", "mine", "05"), row("c", "stays", None, pinned_at=3.0)], names)
+    sent = [(*row("a", "new", "02", access_count=9), "p", 1), (*row("b", "yours", "05"), "p", 2), (*row("d", "gone", "01"), "q", 1), (*row("e", "", "01"), "q", 2), (*row("f", "fresh", None), "q", 3), (*row("b", "third", "05"), "q", 4)]
+    bundle = spark.createDataFrame(sent, names + ", peer string, seq long").selectExpr("*", "'1' as repo_id", "'odd' as sensitivity", "0.0D as clock_ms")
+    stones = spark.createDataFrame([("d", "1")], "id string, repo_id string")
+    none = spark.createDataFrame([], "peer string, seq long")
+    one = sync.apply_bundle(state, bundle, none, stones, 1000.0)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    got = {r["id"]: r for r in one.state.collect()}
+    lost = [r for r in got.values() if r["supersedes"]]
+    assert (got["a"]["content"], got["a"]["access_count"]) == ("new", 9) and "d" not in got and "e" not in got and got["f"]["content"] == "fresh" and got["c"]["pinned_at"] == 3.0
+    assert len(lost) == 2 and {r["supersedes"] for r in lost} == {"b"} and {r["review_state"] for r in lost} == {"pending"} and {got["b"]["content"], *(r["content"] for r in lost)} == {"mine", "yours", "third"}
+    assert {(r["peer"], r["seq"]) for r in one.cursors.collect()} == {("p", 2), ("q", 4)} and [tuple(r) for r in one.rejected.collect()] == [("q", 2, "e", "content")]
+    for cursors in (one.cursors, none):
+        again = sync.apply_bundle(one.state, bundle, cursors, stones, 1000.0)
+        assert rows(again.state) == rows(one.state)
+    halves = sync.apply_bundle(sync.apply_bundle(state, bundle.filter("peer = 'q'"), none, stones, 1000.0).state, bundle.filter("peer = 'p'"), none, stones, 1000.0)
+    assert rows(halves.state) == rows(one.state)
+
+
+def test_promotion_inherits_the_strictest(spark):
+    rows = [("a", "w", "r", "session", "same", True, False, 2.0, "normal"), ("b", "w", "r", "session", "same", True, True, 1.0, "odd"), ("c", "w", None, "session", "x", True, False, 1.0, "secret"), ("d", "w", "r", "workspace", "y", True, False, 1.0, "secret"), ("e", "w", "r", "session", "z", False, False, 1.0, "normal"), ("f", "w", "r", "repo", "v", True, False, 1.0, "secret")]
+    m = spark.createDataFrame(rows, "id string, workspace_id string, repo_id string, scope string, content string, trusted boolean, pinned boolean, stability double, sensitivity string").withColumn("valid_to", F.lit(None).cast("double"))
+    asked = spark.createDataFrame([("a", "repo"), ("b", "repo"), ("c", "repo"), ("d", "repo"), ("e", "repo"), ("f", "user"), ("zz", "repo")], "id string, target string")
+    got = {r["id"]: r for r in maintain.promoted(m, asked, F.lit(True), 9.0).collect()}
+    assert {i: r["state"] for i, r in got.items()} == {"a": "closed", "b": "closed", "c": "no_repo", "d": "not_wider", "e": "not_approved", "f": "not_wider", "a_repo": "successor"}
+    assert tuple(got["a_repo"])[4:] == (["a", "b"], "odd", True, 2.0) and got["a"]["valid_to"] == 9.0
+
+
+def test_bootstrap_sums_are_the_draws_of_each_row(spark):
+    rows = [(i, None if i % 5 == 0 else "xy"[i % 2], float(i)) for i in range(40)] + [(None, "x", 1.0), (7, "x", None)]
+    got = {(r["stratum"], r["replicate"]): (r["n"], r["total"]) for r in metrics.bootstrap_sums(spark.createDataFrame(rows, "id long, kind string, v double"), "id", "kind", "v", 30).collect()}
+    assert len(got) == 90
+    for kind in ("x", None):
+        for r in (1, 30):
+            n = total = 0
+            for i, k, v in rows:
+                if k == kind and i is not None and v is not None:
+                    x = (i * metrics.MIX[0] + r * metrics.MIX[1]) % 2**32
+                    for _ in range(2):
+                        x = ((x ^ (x >> 16)) * metrics.MIX[2]) % 2**32
+                    w = sum((x ^ (x >> 16)) / 2**32 >= c for c in metrics.DRAWS)
+                    n, total = n + w, total + w * v
+            assert got[kind, r] == (n, pytest.approx(total))
