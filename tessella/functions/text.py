@@ -8,9 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Stop words of the token sets.
-STOPWORDS = (
-    "the a an to of in on for and or is are was were we our with by it that this did do as at be has have from into now will all"
-).split()
+STOPWORDS = ["the", "a", "an", "to", "of", "in", "on", "for", "and", "or", "is", "are", "was", "were", "we", "our", "with", "by", "it", "that", "this", "did", "do", "as", "at", "be", "has", "have", "from", "into", "now", "will", "all"]
 
 
 def tokens(text: Column) -> Column:
@@ -109,7 +107,7 @@ def fitting_sentences(text: Column, budget: int) -> Column:
 
 
 # Words that limit or turn round what a sentence says.
-QUALIFIERS = "cannot except if must never no not only unless until when without".split()
+QUALIFIERS = ["cannot", "except", "if", "must", "never", "no", "not", "only", "unless", "until", "when", "without"]
 
 
 def excerpt(text: Column, terms: Column, budget: int) -> Column:

@@ -39,11 +39,17 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below that of spark.checkpoint.dir, deleted when the interpreter ends."""
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to the folder of spark.checkpoint.dir and read again; deleted when the interpreter ends."""
     spark: SparkSession = df.sparkSession
-    path = f"{_folder(spark)}/graph-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    path = own_folder(spark, "graph")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

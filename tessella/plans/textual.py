@@ -10,9 +10,11 @@ from tessella.operators import maintain as M
 from tessella.model import memories, table
 from tessella.operators import blocks as B
 from tessella.operators import chunking as C
+from tessella.operators import jobs as J
 from tessella.operators import packing as PK
 from tessella.operators import retrieval as R
 from tessella.operators import safety as SAFETY
+from tessella.operators.graph import own_folder
 from tessella.plans.base import query
 from tessella.plans.arms import QUESTION
 from tessella.plans.recall import hybrid
@@ -103,6 +105,18 @@ def quarantine_metadata(spark, sf_dir):
     return d.select("doc_id", v["trusted"].alias("trusted"), v["quarantined"].alias("quarantined"), v["review_state"].alias("review_state"), v["quarantine_policy"].alias("policy"), "reasons", SAFETY.prompt_eligible(v).alias("prompt_eligible"))
 
 
+@query(f"WITH p AS (SELECT doc_id, {_PLANTED} AS text FROM documents), s AS (SELECT doc_id, {_SIG_SQL} FROM p), r AS (SELECT doc_id, {_REASONS} AS reasons FROM s) SELECT doc_id, reasons FROM r WHERE len(reasons) > 0")
+def poisoning_rescan(spark, sf_dir):
+    """All texts scanned again in batches of ids by a job that is stopped after two batches, and goes on where it was."""
+    p = table(spark, sf_dir, "documents").select("doc_id", F.expr(_PLANTED).alias("text"))
+    scan = lambda rows: SAFETY.assessed(rows, "text").filter("size(reasons) > 0").select("doc_id", "reasons")
+    folder = own_folder(spark, "rescan")
+    n = max(1, -(-p.count() // 4))
+    J.run(p, "doc_id", scan, folder, size=n, stop_after=2)
+    J.run(p, "doc_id", scan, folder, size=n)
+    return J.results(spark, folder)
+
+
 @query("SELECT item_id, list_count(list_filter(range(1, greatest(length(substr(text, 1, 512)) - 1, 1)), lambda i: true))::INTEGER AS trigrams, sha256(substr(lower(substr(text, 1, 512)), 1, 3)) AS first FROM benchmark")
 def trigram_counts(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", T.trigrams(F.col("text")).alias("t"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.operators import arms, chunking, graph, grounding, maintain, metrics, naming, packing, planning, plugins, safety, sync
+from tessella.operators import arms, chunking, graph, grounding, jobs, maintain, metrics, naming, packing, planning, plugins, safety, sync
 
 
 def test_entities_do_not_overlap():
@@ -311,3 +311,24 @@ def test_bootstrap_sums_are_the_draws_of_each_row(spark):
                     w = sum((x ^ (x >> 16)) / 2**32 >= c for c in metrics.DRAWS)
                     n, total = n + w, total + w * v
             assert got[kind, r] == (n, pytest.approx(total))
+
+
+def test_a_stopped_job_goes_on(spark, tmp_path):
+    folder, seen = f"file://{tmp_path}/job", []
+
+    def job(rows):
+        seen.append(sorted(r["id"] for r in rows.collect()))
+        return rows.filter("id % 2 = 0")
+
+    rows = spark.range(1, 101).select("id")
+    first = jobs.run(rows, "id", job, folder, size=30, stop_after=2)
+    assert first.done == 2 and first.left == 2 and jobs.results(spark, folder).count() < 50
+    with pytest.raises(ZeroDivisionError):
+        jobs.run(rows, "id", lambda r: 1 / 0, folder)
+    assert jobs.run(rows, "id", job, folder) == (4, 0, 100) and sorted(x for part in seen for x in part) == list(range(1, 101))
+    assert jobs.run(rows, "id", job, folder) == (4, 0, 100) and len(seen) == 4
+    assert jobs.run(spark.range(1, 121).select("id"), "id", job, folder) == (5, 0, 120) and seen[-1] == list(range(101, 121))
+    assert sorted(r["id"] for r in jobs.results(spark, folder).collect()) == list(range(2, 121, 2))
+    assert jobs.run(rows.filter("false"), "id", job, f"{folder}-2") == (0, 0, None) and jobs.results(spark, f"{folder}-2") is None
+    with pytest.raises(ValueError):
+        jobs.run(rows.unionAll(spark.sql("select cast(null as bigint) as id")), "id", job, f"{folder}-3")
