@@ -155,12 +155,12 @@ q AS (SELECT quantile_cont(degree, 0.95) AS a, quantile_cont(rank, 0.95) AS b, q
 ms AS (SELECT node, 0.45::DOUBLE * (1 - exp(-ln(1 + degree) / ln(1 + a))) + 0.30::DOUBLE * (1 - exp(-ln(1 + rank) / ln(1 + b))) + 0.15::DOUBLE * (1 - exp(-ln(1 + support) / ln(1 + c))) + 0.10::DOUBLE * (1 - exp(-ln(1 + repos) / ln(1 + d))) AS mass FROM nd0, q)"""
 
 
-def masses(spark, sf_dir):
-    """node, mass: evidence of degree, rank, support and spread, each softly saturated at its 95th percentile."""
+def masses(spark, sf_dir, e=None):
+    """node, mass: evidence of degree, rank, support and spread, each softly saturated at its 95th percentile; of the edges e, if they are there already."""
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     ends = li.select(F.inline(F.array(*[F.struct(n.alias("node"), "l_orderkey", "l_linestatus") for n in (F.col("p_brand"), F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")))])))
     ev = ends.groupBy("node").agg(F.countDistinct("l_orderkey").alias("support"), F.countDistinct("l_linestatus").alias("repos"))
-    e = edges(spark, sf_dir)
+    e = e or G.cut(edges(spark, sf_dir))
     degree = G.undirected(e).groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("degree"))
     rank = G.pagerank(e, rounds=32).withColumn("rank", F.round("rank", 9))
     n = G.cut(degree.join(rank, "node").join(ev, "node"))
@@ -182,11 +182,11 @@ _LV = "lv AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}, {b})" for n, a,
 @query(f"WITH {_NODES}, {_LV}, rn AS (SELECT node, row_number() OVER (ORDER BY round(mass, 9) DESC, node) AS n FROM ms), sn AS (SELECT level, node, n, edges FROM rn JOIN lv ON n <= nodes), se AS (SELECT a.level, ed.src, ed.dst, a.edges, row_number() OVER (PARTITION BY a.level ORDER BY ed.weight DESC, ed.src, ed.dst) AS n FROM ed JOIN sn a ON a.node = ed.src JOIN sn b ON b.node = ed.dst AND b.level = a.level) SELECT level, 'node' AS kind, node AS id, n::INTEGER AS position FROM sn UNION ALL SELECT level, 'edge', src || '|' || dst, n::INTEGER FROM se WHERE n <= edges")
 def scene_selection(spark, sf_dir):
     """The heaviest nodes of each level and the strongest edges among them; only the nodes that a level can show are ranked."""
-    top = masses(spark, sf_dir).orderBy(F.desc(F.round("mass", 9)), "node").limit(max(n for _, n, _ in LEVELS))
+    e = G.cut(edges(spark, sf_dir))
+    top = masses(spark, sf_dir, e).orderBy(F.desc(F.round("mass", 9)), "node").limit(max(n for _, n, _ in LEVELS))
     ranked = top.withColumn("n", F.row_number().over(Window.orderBy(F.desc(F.round("mass", 9)), "node")))  # at most 150 rows
     levels = F.array(*[F.struct(F.lit(a).alias("level"), F.lit(b).alias("nodes"), F.lit(c).alias("edges")) for a, b, c in LEVELS])
     sn = G.cut(ranked.select("node", "n", F.inline(levels)).filter("n <= nodes"))
-    e = edges(spark, sf_dir)
     a = F.broadcast(sn.select(F.col("node").alias("src"), "level", "edges"))
     b = F.broadcast(sn.select(F.col("node").alias("dst"), "level"))
     se = e.join(a, "src").join(b, ["dst", "level"]).withColumn("n", F.row_number().over(Window.partitionBy("level").orderBy(F.desc("weight"), "src", "dst"))).filter("n <= edges")
@@ -201,9 +201,10 @@ _COM = "CASE WHEN {0} LIKE 'Brand#%' THEN substr({0}, 7, 1) ELSE (substr({0}, 10
 def community_summaries(spark, sf_dir):
     """Members, mass, anchor, and the strength within and across, of every community (given by brand and supplier numbers)."""
     of = lambda c: F.when(F.col(c).startswith("Brand#"), F.substring(c, 7, 1)).otherwise((F.substring(c, 10, 20).cast("int") % 5 + 1).cast("string"))
-    n = masses(spark, sf_dir).withColumn("community", of("node"))
+    links = G.cut(edges(spark, sf_dir))
+    n = masses(spark, sf_dir, links).withColumn("community", of("node"))
     g = n.groupBy("community").agg(F.count(F.lit(1)).alias("members"), F.round(F.sum(1 + 15 * F.col("mass") * F.col("mass")), 4).alias("mass"), F.max_by("node", F.struct(F.round("mass", 9), "node")).alias("anchor"))
-    e = edges(spark, sf_dir).select(of("src").alias("a"), of("dst").alias("b"), "weight")
+    e = links.select(of("src").alias("a"), of("dst").alias("b"), "weight")
     ends = e.select("weight", (F.col("a") == F.col("b")).alias("inside"), F.explode(F.array_distinct(F.array("a", "b"))).alias("community"))
     s = ends.groupBy("community").agg(F.sum(F.when(F.col("inside"), F.col("weight")).otherwise(0.0)).alias("internal"), F.sum(F.when(F.col("inside"), 0.0).otherwise(F.col("weight"))).alias("external"))
     return g.join(s, "community", "left").select("community", "members", "mass", "anchor", F.coalesce("internal", F.lit(0.0)).alias("internal"), F.coalesce("external", F.lit(0.0)).alias("external"))
