@@ -114,6 +114,8 @@ def frontier_edges(edges: DataFrame, seeds: DataFrame, most: int = EDGE_CAP) ->
         if not count:
             break
         held, n = new if held is None else held.unionByName(new), n + count
+        if n >= most:
+            break
         frontier = G.cut(new.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(F.broadcast(expanded), "node", "left_anti"))
         expanded = expanded.unionByName(frontier)
         if frontier.isEmpty():

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,17 +146,28 @@ hy AS (SELECT id, mtype, content, coalesce(sem, 0) AS semantic, coalesce(lex, 0)
 
 def _four_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, arm, score: 200 candidates of vectors, terms, the joint walk and the code arm, which share nothing but the question."""
-    docs = table(spark, sf_dir, "documents")
-    v = R.knn(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 200).select(F.col("vec_id").alias("doc_id"), F.lit("vector").alias("arm"), "score")
-    b = R.bm25(docs, TERMS_ASKED, "doc_id", "text", 200).select("doc_id", F.lit("lexical").alias("arm"), "score")
     recent = memories(spark, sf_dir, content=False).select(F.col("doc_id").alias("id"), F.col("ingested_at").alias("at"))
     mine = recent.select("id")
-    links = follow_ups(spark, sf_dir)
-    links = links.join(mine.withColumnRenamed("id", "a"), "a", "left_semi").join(mine.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b", "layer")
-    graph = A.joint_walk_arm(cut(relations(spark, sf_dir)), incidence(spark, sf_dir).join(mine, "id", "left_semi"), cut(links), recent, A.seeds_in(entities(spark, sf_dir), QUESTION), 200, MULTIPLIERS)
-    code = A.code_arm(symbols(spark, sf_dir), cut(calls(spark, sf_dir)), symbol_links(spark, sf_dir).join(mine, "id", "left_semi"), QUESTION, 200)
-    arms = v.unionByName(b).unionByName(graph.select(F.col("id").alias("doc_id"), F.lit("graph").alias("arm"), "score")).unionByName(code.select(F.col("id").alias("doc_id"), F.lit("code").alias("arm"), "score"))
-    return cut(arms.withColumn("score", F.round("score", 9)))  # 800 rows that what follows reads more than once
+
+    def vector() -> DataFrame:
+        return R.knn(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 200).withColumnRenamed("vec_id", "doc_id")
+
+    def lexical() -> DataFrame:
+        return R.bm25(table(spark, sf_dir, "documents"), TERMS_ASKED, "doc_id", "text", 200)
+
+    def graph() -> DataFrame:
+        links = follow_ups(spark, sf_dir)
+        links = links.join(mine.withColumnRenamed("id", "a"), "a", "left_semi").join(mine.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b", "layer")
+        held = incidence(spark, sf_dir).join(mine, "id", "left_semi")
+        return A.joint_walk_arm(cut(relations(spark, sf_dir)), held, cut(links), recent, A.seeds_in(entities(spark, sf_dir), QUESTION), 200, MULTIPLIERS).withColumnRenamed("id", "doc_id")
+
+    def code() -> DataFrame:
+        return A.code_arm(symbols(spark, sf_dir), cut(calls(spark, sf_dir)), symbol_links(spark, sf_dir).join(mine, "id", "left_semi"), QUESTION, 200).withColumnRenamed("id", "doc_id")
+
+    # The arms do not wait for one another: their jobs are handed to the cluster at once.
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(lambda arm: cut(arm().select("doc_id", F.lit(arm.__name__).alias("arm"), F.round("score", 9).alias("score"))), (vector, lexical, graph, code)))
+    return reduce(DataFrame.unionByName, found)  # 800 rows
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
