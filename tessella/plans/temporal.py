@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.model import BASE, DAY, MEM_SQL, NOW, memories, table
 from tessella.operators.temporal import SearchFilter, supersession, visible, visible_sql
+from tessella.operators import lifecycle as L
 from tessella.plans.base import query
 
 PAST = BASE + 20 * DAY
@@ -122,3 +123,31 @@ def get_or_create(spark, sf_dir):
     """The live row of each key: what an upsert keeps."""
     n = table(spark, sf_dir, "nation")
     return n.groupBy("n_regionkey").agg(F.min_by("n_name", "n_nationkey").alias("n_name"))
+
+
+_CALLS = """s AS (SELECT DISTINCT conv_id AS id, CASE conv_id % 5 WHEN 0 THEN 'summarized' WHEN 1 THEN 'archived' ELSE 'active' END AS status, CASE WHEN conv_id % 5 = 0 THEN 'kept 0' END AS summary FROM conversations),
+r AS (SELECT conv_id * 1000 + turn AS request, CASE WHEN conv_id % 7 = 3 THEN -conv_id - 1 ELSE conv_id END AS id, turn::DOUBLE AS at_, 'kept ' || (turn // 4)::VARCHAR AS summary FROM conversations WHERE role = 'assistant'),
+f AS (SELECT id, min(at_) AS at_, min_by(summary, at_) AS summary, min_by(request, at_) AS request FROM r GROUP BY id)"""
+
+
+@query(f"WITH {_CALLS} SELECT r.request, r.id, CASE WHEN s.id IS NULL THEN 'missing' WHEN s.status = 'active' AND f.request = r.request THEN 'ended' WHEN s.status = 'active' AND f.summary = r.summary THEN 'unchanged' WHEN s.status = 'summarized' AND s.summary = r.summary THEN 'unchanged' ELSE 'conflict' END AS result FROM r JOIN f USING (id) LEFT JOIN s ON s.id = r.id")
+def session_close(spark, sf_dir):
+    """What comes of every assistant turn as a request to close its conversation."""
+    c = table(spark, sf_dir, "conversations")
+    k, none = F.col("conv_id"), F.lit(None).cast("array<string>")
+    status = F.when(k % 5 == 0, "summarized").when(k % 5 == 1, "archived").otherwise("active")
+    s = c.select("conv_id").distinct().select(k.alias("id"), status.alias("status"), F.lit(None).cast("double").alias("ended_at"), F.when(k % 5 == 0, "kept 0").alias("summary"), none.alias("open_threads"), F.lit(None).cast("string").alias("outcome"))
+    said = F.concat(F.lit("kept "), F.expr("turn div 4").cast("string"))
+    r = c.filter("role = 'assistant'").select((k * 1000 + F.col("turn")).alias("request"), F.when(k % 7 == 3, -k - 1).otherwise(k).alias("id"), F.col("turn").cast("double").alias("at"), said.alias("summary"), none.alias("open_threads"), F.lit(None).cast("string").alias("outcome"))
+    return L.close_sessions(s, r).results
+
+
+@query("WITH e AS (SELECT n_name AS name, 'old_' || n_nationkey::VARCHAR AS id, 0.0::DOUBLE AS created_at, 'kept' AS settings FROM nation WHERE n_nationkey % 2 = 0), a AS (SELECT c_custkey AS request, CASE WHEN c_custkey % 3 = 0 THEN 'city ' || (c_custkey % 100)::VARCHAR ELSE n_name END AS name, (c_custkey % 17)::DOUBLE AS tm FROM customer JOIN nation ON c_nationkey = n_nationkey), f AS (SELECT name, min((tm, request)) AS m FROM a GROUP BY name) SELECT * FROM e UNION ALL SELECT f.name, 'ws_' || substr(sha256(f.name), 1, 20), a.tm, 'by ' || a.request::VARCHAR FROM f JOIN a ON a.request = f.m[2] WHERE f.name NOT IN (SELECT name FROM e)")
+def workspace_upsert(spark, sf_dir):
+    """Half of the nations as workspaces, and what customers ask for: a name that is there stays, of several requests the first makes it."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name"))
+    e = n.filter("n_nationkey % 2 = 0").select("name", F.concat(F.lit("old_"), F.col("n_nationkey").cast("string")).alias("id"), F.lit(0.0).alias("created_at"), F.lit("kept").alias("settings"))
+    c = F.col("c_custkey")
+    a = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    a = a.select(c.alias("request"), F.when(c % 3 == 0, F.concat(F.lit("city "), (c % 100).cast("string"))).otherwise(F.col("name")).alias("name"), (c % 17).cast("double").alias("at"), F.concat(F.lit("by "), c.cast("string")).alias("settings"))
+    return L.get_or_create(e, a)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.operators import arms, chunking, graph, grounding, jobs, maintain, metrics, naming, packing, planning, plugins, safety, sync
+from tessella.operators import arms, chunking, graph, grounding, jobs, lifecycle, maintain, metrics, naming, packing, planning, plugins, safety, sync
 
 
 def test_entities_do_not_overlap():
@@ -332,3 +332,21 @@ def test_a_stopped_job_goes_on(spark, tmp_path):
     assert jobs.run(rows.filter("false"), "id", job, f"{folder}-2") == (0, 0, None) and jobs.results(spark, f"{folder}-2") is None
     with pytest.raises(ValueError):
         jobs.run(rows.unionAll(spark.sql("select cast(null as bigint) as id")), "id", job, f"{folder}-3")
+
+
+def test_sessions_close_once(spark):
+    kind = "id string, status string, ended_at double, summary string, open_threads array<string>, outcome string"
+    sessions = spark.createDataFrame([("a", "active", None, None, None, None), ("b", "summarized", 1.0, "s", ["t"], None), ("c", "paused", None, None, None, None), ("d", "active", None, "draft", None, None)], kind)
+    asked = [(3, "a", 2.0, "late", None, None), (1, "a", 1.0, "first", ["x"], "ok"), (2, "a", 1.0, "first", ["x"], "ok"), (4, "b", 9.0, "s", ["t"], ""), (5, "b", 9.0, "s", [], ""), (6, "c", 1.0, "", None, None), (7, "zz", 1.0, "", None, None), (8, None, 1.0, "", None, None)]
+    got = lifecycle.close_sessions(sessions, spark.createDataFrame(asked, "request long, id string, at double, summary string, open_threads array<string>, outcome string"))
+    assert {r["request"]: r["result"] for r in got.results.collect()} == {1: "ended", 2: "unchanged", 3: "conflict", 4: "unchanged", 5: "conflict", 6: "conflict", 7: "missing", 8: "missing"}
+    after = {r["id"]: tuple(r)[1:] for r in got.sessions.collect()}
+    assert after == {"a": ("summarized", 1.0, "first", ["x"], "ok"), "b": ("summarized", 1.0, "s", ["t"], None), "c": ("paused", None, None, None, None), "d": ("active", None, "draft", None, None)}
+
+
+def test_workspaces_are_made_once(spark):
+    there = spark.createDataFrame([("x", "1", 0.0, "own")], "name string, id string, created_at double, settings string")
+    asked = spark.createDataFrame([(2, "y", 5.0, "two"), (1, "y", 5.0, "one"), (3, "x", 1.0, "new"), (4, None, 1.0, "none")], "request long, name string, at double, settings string")
+    once = lifecycle.get_or_create(there, asked)
+    rows = {r["name"]: (r["id"][:3], r["created_at"], r["settings"]) for r in once.collect()}
+    assert rows == {"x": ("1", 0.0, "own"), "y": ("ws_", 5.0, "one")} and sorted(lifecycle.get_or_create(once, asked).collect()) == sorted(once.collect())
