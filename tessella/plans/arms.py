@@ -10,6 +10,7 @@ from tessella.operators import arms as A
 from tessella.operators import graph as G
 from tessella.plans.base import ORACLE_SQL, query
 from tessella.plans.graphs import EDGE_SQL, edges
+from tessella.sources import code_export as X
 
 _INC = "inc AS (SELECT l_orderkey AS id, 'supplier_' || l_suppkey::VARCHAR AS node, max(0.3::DOUBLE + l_discount::DOUBLE * 5) AS confidence FROM lineitem GROUP BY ALL)"
 
@@ -147,6 +148,19 @@ def code_hotspots(spark, sf_dir):
     return d.orderBy(F.desc(F.col("fan_in") + F.col("fan_out")), "symbol").limit(20)
 
 
+@query(
+    f"""WITH {_CALLS}, sy AS (SELECT p_partkey AS symbol, p_name AS name, p_brand || '.' || p_name AS fqname, p_type AS file FROM part), o AS (SELECT src AS symbol, count(*) AS calls FROM calls GROUP BY 1), i AS (SELECT dst AS symbol, count(*) AS callers FROM calls GROUP BY 1)
+SELECT 'node' AS kind, symbol::VARCHAR AS key, to_json({{'symbol': symbol, 'name': name, 'fqname': fqname, 'file': file, 'calls': coalesce(calls, 0), 'callers': coalesce(callers, 0)}})::VARCHAR AS body FROM sy LEFT JOIN o USING (symbol) LEFT JOIN i USING (symbol)
+UNION ALL SELECT 'file', file, to_json({{'file': file, 'symbols': list(symbol ORDER BY symbol)}})::VARCHAR FROM sy GROUP BY file UNION ALL SELECT 'edge', src::VARCHAR || '|' || dst::VARCHAR, to_json({{'src': src, 'dst': dst}})::VARCHAR FROM calls
+UNION ALL SELECT 'memory_link', l_partkey::VARCHAR || '|' || l_orderkey::VARCHAR, to_json({{'symbol': l_partkey, 'id': l_orderkey, 'confidence': count(*)}})::VARCHAR FROM lineitem GROUP BY l_partkey, l_orderkey"""
+)
+def code_export(spark, sf_dir):
+    """The code graph as JSON lines: files with their symbols, symbols with their calls, edges, and links to orders."""
+    sy = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"), F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("fqname"), F.col("p_type").alias("file"))
+    links = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("symbol"), F.col("l_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("confidence"))
+    return X.lines(sy, G.cut(calls(spark, sf_dir)), links)
+
+
 # Nodes of the scene: weighted degree, rank, support and spread of every brand and supplier.
 _NODES = f"""{EDGE_SQL}, rk AS ({ORACLE_SQL['global_pagerank']}), ln AS (SELECT p_brand AS b, 'supplier_' || l_suppkey::VARCHAR AS s, l_orderkey, l_linestatus FROM lineitem JOIN part ON l_partkey = p_partkey),
 ev AS (SELECT node, count(DISTINCT l_orderkey) AS support, count(DISTINCT l_linestatus) AS repos FROM (SELECT b AS node, l_orderkey, l_linestatus FROM ln UNION ALL SELECT s, l_orderkey, l_linestatus FROM ln) GROUP BY node),

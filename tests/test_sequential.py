@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.sources import code_export
 from tessella.operators import arms, chunking, graph, grounding, jobs, lifecycle, maintain, metrics, naming, packing, planning, plugins, safety, sync
 
 
@@ -350,3 +351,16 @@ def test_workspaces_are_made_once(spark):
     once = lifecycle.get_or_create(there, asked)
     rows = {r["name"]: (r["id"][:3], r["created_at"], r["settings"]) for r in once.collect()}
     assert rows == {"x": ("1", 0.0, "own"), "y": ("ws_", 5.0, "one")} and sorted(lifecycle.get_or_create(once, asked).collect()) == sorted(once.collect())
+
+
+def test_code_graph_is_exported_whole(spark, tmp_path):
+    symbols = spark.createDataFrame([(1, "f", "m.f", "a.py"), (2, "g", None, "a.py"), (3, None, None, None)], "symbol long, name string, fqname string, file string")
+    edges = spark.createDataFrame([(1, 2), (2, 1), (1, 3)], "src long, dst long")
+    links = spark.createDataFrame([(1, "m1", 0.5)], "symbol long, id string, confidence double")
+    code_export.write(symbols, edges, links, f"file://{tmp_path}/out")
+    read = lambda kind: sorted(r["value"] for r in spark.read.text(f"file://{tmp_path}/out/kind={kind}").collect())
+    assert read("file") == ['{"file":"a.py","symbols":[1,2]}'] and read("edge") == ['{"src":1,"dst":2}', '{"src":1,"dst":3}', '{"src":2,"dst":1}'] and read("memory_link") == ['{"symbol":1,"id":"m1","confidence":0.5}']
+    assert read("node") == ['{"symbol":1,"name":"f","fqname":"m.f","file":"a.py","calls":2,"callers":1}', '{"symbol":2,"name":"g","file":"a.py","calls":1,"callers":1}', '{"symbol":3,"calls":0,"callers":1}']
+    text = code_export.report(symbols, edges, 2).first()["text"]
+    assert text.split("\n")[2:] == ["- Files: 1", "- Symbols: 3", "- Relationships: 3", "", "## Hotspots", "", "- `m.f`, degree 3", "- `g`, degree 2"]
+    assert "No connected" in code_export.report(symbols, edges.filter("false")).first()["text"]
