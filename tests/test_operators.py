@@ -147,6 +147,18 @@ def test_metrics(spark):
     assert r["ndcg"] == pytest.approx((1 / math.log2(3)) / (1 + 1 / math.log2(3)))
 
 
+def test_ranks_of_many_nodes_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    e = edges(spark, [(f"n{a}", f"n{b}", float(w)) for a, b, w in rng.integers(1, 40, (150, 3))])
+    seeds = spark.createDataFrame([("n1",), ("n2",)], "node string")
+    few = {r["node"]: r["rank"] for r in graph.pagerank(e, seeds, rounds=7).collect()}
+    monkeypatch.setattr(graph, "MANY_NODES", 0)
+    many = {r["node"]: r["rank"] for r in graph.pagerank(e, seeds, rounds=7).collect()}
+    assert many == pytest.approx(few) and sum(few.values()) == pytest.approx(1)
+    one = graph.bounded_walks(e.selectExpr("'q' as query", "*"), seeds.selectExpr("'q' as query", "node"), rounds=7)
+    assert {r["node"]: r["rank"] for r in one.collect()} == pytest.approx({k: v for k, v in few.items() if v > 0})
+
+
 def test_blocks():
     text = "# One\nPara a\ngoes on.\n\n- x\n  more\n- y\n| a | b |\n|---|---|\n## Two ##\n```py\n# no heading\n\n```\nend\n~~~\nopen"
     got = [(b.kind, b.path, text[b.first : b.last]) for b in blocks.blocks(text)]
