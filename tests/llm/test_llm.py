@@ -171,6 +171,20 @@ def test_raking_stops_at_the_tolerance_and_reports_contradictions(spark):
         assert mixing.mix(docs, targets=against, topic="topic", rounds=5).count() == 60
 
 
+def test_plans_of_raking_stay_small(spark, monkeypatch):
+    """A step reads the weights twice and joins once; a whole round in one plan reads them eight times, which filled the driver."""
+    seen, save = [], mixing.Scratch.save
+
+    def noted(self, df, name):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return save(self, df, name)
+
+    monkeypatch.setattr(mixing.Scratch, "save", noted)
+    rows = [(i, "word " * (5 + i % 7), "en" if i % 2 else "de", f"s{i % 3}") for i in range(60)]
+    mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), rounds=2).collect()
+    assert max(seen) <= 4 and len(seen) > 6
+
+
 def test_boilerplate_lines(spark, odd, none):
     rows = [(i, f"own {i}\n  shared by ten \nshared by nine\n\n", f"s{i}") for i in range(9)] + [(9, "shared by ten\r\nlast", "s9"), (10, None, "s1"), (11, "", None), (12, "shared by ten", "s1")]
     got = {r["doc_id"]: r for r in line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
