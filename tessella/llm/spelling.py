@@ -41,9 +41,11 @@ OCCURRENCES = 5
 TIMES = 5
 #: One in so many runs (by the crc32 of id and run) loses a code point.
 SLIPS = 199
-#: Words of a block whose pairs are verified as they are, and pairs that are verified at once.
+#: Words of a block whose pairs are verified as they are; pairs and words that are held, and letters of pairs that are verified, at once.
 BLOCK = 100
 PAIRS = 200_000
+WORDS = 20_000
+PAIR_LETTERS = 1_000_000
 #: Bytes of text that are counted at once, and the longest run whose checksum is put together from tables.
 COUNT_BYTES = 2_000_000
 TABLE_BYTES = 48
@@ -149,8 +151,11 @@ def _subdivided(rows: DataFrame) -> DataFrame:
     return _keyed(out.select("word", "n", "short", *(F.col(f"{c}_").alias(c) for c in ("side", "front", "back", "bar"))).filter("front < bar"))
 
 
-def _verified(letters: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, front: np.ndarray, bar: np.ndarray) -> np.ndarray:
-    """Which pairs differ by one edit and belong to their block: prefix and suffix in common together cover the shorter word."""
+def _verified(letters: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, bar: np.ndarray) -> np.ndarray:
+    """Which pairs differ by one edit and belong to their block: prefix and suffix in common together cover the shorter word.
+
+    ``letters`` and ``size`` are of what the words of a block do not share; ``bar`` counts from there.
+    """
     x, y = letters[a], letters[b]
     width = letters.shape[1]
     short, apart = np.minimum(size[a], size[b]), np.abs(size[a] - size[b])
@@ -163,59 +168,63 @@ def _verified(letters: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarra
     suffix = np.where(back.all(axis=1), width, (~back).argmax(axis=1))
     prefix = np.minimum(prefix, short)
     edit = np.where(apart == 0, prefix + suffix >= short - 1, (apart == 1) & (prefix + suffix >= short))
-    return edit & (prefix >= front) & (prefix < bar)
+    return edit & (prefix < bar)
 
 
 def near_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Scans sorted blocks (word, n, side, short, front, back, bar, key) and gives the near pairs of each, both ways round."""
     names = ["word", "n", "near", "near_n"]
     held: list[tuple] = []
-    block, mark, pairs = [], None, 0
+    block, mark, pairs, words, widest = [], None, 0, 0, 1
 
     def flush() -> pa.RecordBatch:
         word = np.array([r[0] for b in held for r in b], object)
         n = np.array([r[1] for b in held for r in b], np.int64)
-        size = np.array([len(w) for w in word], np.int64)
+        # What a block's words share at the front and the back is left out: one edit between them is one between the rest.
+        rest = [r[0][r[4] : len(r[0]) - r[5]] for b in held for r in b]
+        size = np.array([len(w) for w in rest], np.int64)
         letters = np.zeros((len(word), int(size.max(initial=1))), np.uint32)
-        for k, w in enumerate(word):
+        for k, w in enumerate(rest):
             letters[k, : size[k]] = np.frombuffer(w.encode("utf-32-le"), np.uint32)
-        left, right, front, bar, begin = [], [], [], [], 0
+        left, right, bar, begin = [], [], [], 0
         for b in held:
-            short = b[0][3]
+            short = b[0][3] - b[0][4] - b[0][5]
             own = np.flatnonzero(size[begin : begin + len(b)] == short) + begin
             more = np.flatnonzero(size[begin : begin + len(b)] != short) + begin
             i, j = np.triu_indices(len(own), 1)
             left += [own[i], np.repeat(own, len(more))]
             right += [own[j], np.tile(more, len(own))]
-            m = len(i) + len(own) * len(more)
-            front.append(np.full(m, b[0][4]))
-            bar.append(np.full(m, b[0][6]))
+            bar.append(np.full(len(i) + len(own) * len(more), b[0][6] - b[0][4]))
             begin += len(b)
-        left, right, front, bar = (np.concatenate(x) for x in (left, right, front, bar))
-        found = [np.zeros(0, np.int64)]
-        for k in range(0, len(left), PAIRS):
-            cut = slice(k, k + PAIRS)
-            found.append(k + np.flatnonzero(_verified(letters, size, left[cut], right[cut], front[cut], bar[cut])))
+        left, right, bar = (np.concatenate(x) for x in (left, right, bar))
+        found, step = [np.zeros(0, np.int64)], max(1, PAIR_LETTERS // letters.shape[1])
+        for k in range(0, len(left), step):
+            cut = slice(k, k + step)
+            found.append(k + np.flatnonzero(_verified(letters, size, left[cut], right[cut], bar[cut])))
         found = np.concatenate(found)
         a, b = np.concatenate((left[found], right[found])), np.concatenate((right[found], left[found]))
         return pa.RecordBatch.from_arrays([pa.array(word[a], pa.string()), pa.array(n[a]), pa.array(word[b], pa.string()), pa.array(n[b])], names)
 
-    def close() -> None:
-        nonlocal pairs
-        if len(block) > 1:
-            held.append(tuple(block))
-            pairs += len(block) ** 2 // 2
+    def close() -> Iterator[pa.RecordBatch]:
+        """Holds the block that ends.  Held words take as many letters as the widest of them, so a wide block does not join many others."""
+        nonlocal held, pairs, words, widest
+        if len(block) < 2:
+            return
+        own = block[0][3] - block[0][4] - block[0][5] + 1
+        more = words + len(block)
+        if held and (pairs > PAIRS or more > WORDS or more * max(widest, own) > PAIR_LETTERS):
+            yield flush()
+            held, pairs, words, widest = [], 0, 0, 1
+        held.append(tuple(block))
+        pairs, words, widest = pairs + len(block) ** 2 // 2, words + len(block), max(widest, own)
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if mark != (row[2], row[3], row[4], row[5], row[6], row[7]):
-                close()
-                if pairs > PAIRS:
-                    yield flush()
-                    held, pairs = [], 0
+                yield from close()
                 block, mark = [], (row[2], row[3], row[4], row[5], row[6], row[7])
             block.append(row)
-    close()
+    yield from close()
     if held:
         yield flush()
 

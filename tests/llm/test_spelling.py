@@ -87,6 +87,32 @@ def test_skewed_blocks(spark, block):
     assert len(got) == len({(r["word"], r["near"]) for r in got}) == sum(r[4] for r in plain(words))
 
 
+def test_memory_of_pairs_is_bounded():
+    """Blocks of long words, and one of very long ones among many of short ones: no array of all pairs or words by the widest."""
+    import tracemalloc
+
+    rows = []
+
+    def block(words, key):
+        short = min(map(len, words))
+        rows.extend((w, 5, "f", short, short // 2, 0, 1 << 30, key) for w in words)
+
+    for k in range(45):
+        block([f"{'q' * 30}{j:030d}" for j in range(100)], f"a{k:03d}")
+    for k in range(3000):
+        block([f"word{k:04d}x", f"word{k:04d}y"], f"b{k:04d}")
+    block(["é" * 20_000 + x for x in "xyz"], "c")
+    names = ["word", "n", "side", "short", "front", "back", "bar", "key"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    tracemalloc.start()
+    got = Counter(p for b in spelling.near_in_blocks(iter([batch])) for p in zip(b["word"].to_pylist(), b["near"].to_pylist(), strict=True))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = {(a, b) for words in ([f"{'q' * 30}{j:030d}" for j in range(100)],) for a in words for b in words if is_near(a, b)}
+    assert all(got[p] == 45 for p in near) and len(got) == len(near) + 6000 + 6
+    assert most < 100e6
+
+
 def test_short_words(spark):
     words = {"a": 1, "b": 5, "ab": 25, "ba": 3, "abc": 125, "": 7}
     frame = spark.createDataFrame(list(words.items()), "word string, n long")
