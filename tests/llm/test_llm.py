@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -344,6 +345,40 @@ def test_suffix_array_and_prefixes():
                 assert k == x
 
 
+def test_prefixes_of_several_runs():
+    """Runs that copy, overlap and end each other, and places of the text that belong to none."""
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n, length = int(rng.integers(4, 150)), int(rng.integers(1, 30))
+        t = rng.integers(1, 1 + rng.integers(1, 4), n).astype(np.uint8)
+        ends = np.sort(rng.choice(n, 4, replace=False))
+        first, last = ends[::2], ends[1::2]
+        b, sa = t.tobytes(), suffix_dedup.suffix_array(t)
+        place, before, shared = suffix_dedup.common_prefixes(t, sa, first, last, length)
+        assert place.tolist() == [i for f, e in zip(first, last, strict=True) for i in range(f, e + 1)]
+        of = dict(zip(sa[1:].tolist(), sa[:-1].tolist(), strict=True))
+        for i, j, k in zip(place.tolist(), before.tolist(), shared.tolist(), strict=True):
+            x = 0
+            while i in of and x < length and b[i + x : i + x + 1] == b[j + x : j + x + 1] != b"":
+                x += 1
+            assert j == of.get(i, i) and k == x
+
+
+def test_prefixes_of_a_long_run_cost_less_than_its_sort():
+    """A run is not walked place by place: that took many times as long as its suffix array."""
+    rng = np.random.default_rng(4)
+    half = rng.integers(97, 117, 200_000).astype(np.uint8)
+    text = np.concatenate((half, [10], half, [11])).astype(np.uint8)
+    at = time.process_time()
+    sa = suffix_dedup.suffix_array(text)
+    sort = time.process_time() - at
+    at = time.process_time()
+    place, before, shared = suffix_dedup.common_prefixes(text, sa, np.array([0, len(half) + 1]), np.array([len(half) - 400, 2 * len(half) - 399]), 400)
+    assert time.process_time() - at < 3 * sort
+    copied = abs(place - before) == len(half) + 1
+    assert copied.sum() == len(half) - 399 and (shared[copied] == 400).all() and (shared[~copied] < 20).all()
+
+
 # Fingerprints
 
 
