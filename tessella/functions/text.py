@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t)))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What ``then`` makes of a value that it uses several times: as a variable, which is not worked out again at each use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two token sets; 0 if either is empty."""
     both = F.size(F.array_intersect(a, b))
@@ -118,27 +124,31 @@ def excerpt(text: Column, terms: Column, budget: int) -> Column:
     stands for what is left out, and if no sentence fits, the first words of the best do.
     """
     parts = F.filter(F.split(F.coalesce(text, F.lit("")), "(?<=[.!?])[\"')\\]]*\\s+|\\n+"), lambda s: F.trim(s) != "")
-    words = lambda s: F.array_distinct(F.split(F.lower(s), "[^\\p{L}\\p{N}_]+"))
     limits = F.array(*map(F.lit, QUALIFIERS))
+    count = lambda words, of: F.size(F.array_intersect(words, of))  # noqa: E731  each word once
 
     def rated(s: Column, i: Column) -> Column:
-        odd = F.size(F.array_intersect(words(s), limits))
-        return F.struct((odd == 0).cast("int").alias("plain"), (-F.size(F.array_intersect(words(s), terms))).alias("hits"), (-odd).alias("odd"), i.alias("place"), F.trim(s).alias("s"), regex_tokens(s).alias("n"))
-
-    ranked = F.array_sort(F.transform(parts, rated))
-    n = F.size(parts)
-    mark = lambda held: F.when(F.size(held) < n, 3).otherwise(0)  # noqa: E731  tokens of [...]
-
-    def admit(st: Column, x: Column) -> Column:
-        more = F.array_append(st["held"], F.struct(x["place"].alias("place"), x["s"].alias("s")))
-        fits = (st["spent"] + x["n"] + mark(more) <= budget) & ((x["plain"] == 0) | st["whole"])
-        return F.struct(F.when(fits, more).otherwise(st["held"]).alias("held"), (st["spent"] + F.when(fits, x["n"]).otherwise(0)).alias("spent"), (st["whole"] & (fits | (x["plain"] == 1))).alias("whole"))
-
-    begin = F.struct(F.array().cast("array<struct<place: int, s: string>>").alias("held"), F.lit(0).alias("spent"), F.lit(True).alias("whole"))
-    chosen = F.aggregate(ranked, begin, admit, lambda st: F.array_sort(st["held"]))
-    joined = F.array_join(F.transform(chosen, lambda x: x["s"]), " ")
-    cut = F.array_join(F.slice(F.split(F.get(ranked, F.lit(0))["s"], "\\s+"), 1, budget), " ")
-    return F.when(n == 0, "").when(F.size(chosen) == 0, cut).otherwise(F.concat(joined, F.when(F.size(chosen) < n, " […]").otherwise("")))
+        counts = once(F.split(F.lower(s), "[^\\p{L}\\p{N}_]+"), lambda w: F.struct((-count(w, terms)).alias("hits"), count(w, limits).alias("odd")))
+        return once(counts, lambda c: F.struct((c["odd"] == 0).cast("int").alias("plain"), c["hits"].alias("hits"), (-c["odd"]).alias("odd"), i.alias("place"), F.trim(s).alias("s"), regex_tokens(s).alias("n")))
+
+    def chosen(ranked: Column, n: Column) -> Column:
+        def admit(st: Column, x: Column) -> Column:
+            mark = F.when(F.size(st["held"]) + 1 < n, 3).otherwise(0)  # tokens of [...]
+            fits = (st["spent"] + x["n"] + mark <= budget) & ((x["plain"] == 0) | st["whole"])
+            more = F.array_append(st["held"], F.struct(x["place"].alias("place"), x["s"].alias("s")))
+            with_it = F.struct(more.alias("held"), (st["spent"] + x["n"]).alias("spent"), st["whole"].alias("whole"))
+            return F.when(fits, with_it).otherwise(F.struct(st["held"].alias("held"), st["spent"].alias("spent"), (st["whole"] & (x["plain"] == 1)).alias("whole")))
+
+        begin = F.struct(F.array().cast("array<struct<place: int, s: string>>").alias("held"), F.lit(0).alias("spent"), F.lit(True).alias("whole"))
+        return F.aggregate(ranked, begin, admit, lambda st: F.sort_array(st["held"]))
+
+    def shown(ranked: Column, n: Column, held: Column) -> Column:
+        cut = F.array_join(F.slice(F.split(F.get(ranked, F.lit(0))["s"], "\\s+"), 1, budget), " ")
+        joined = F.array_join(F.transform(held, lambda x: x["s"]), " ")
+        return F.when(n == 0, "").when(F.size(held) == 0, cut).otherwise(F.concat(joined, F.when(F.size(held) < n, " […]").otherwise("")))
+
+    ranked = F.sort_array(F.transform(parts, rated))
+    return once(ranked, lambda r: once(F.size(r), lambda n: once(chosen(r, n), lambda held: shown(r, n, held))))
 
 
 def claim_text(value: Column) -> Column:

@@ -1,6 +1,7 @@
 """Operators that SQL cannot say, and exact ones against brute force, on cases worked out by hand."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -203,6 +204,15 @@ def test_excerpts_keep_qualifiers(spark):
     assert get(text, 5) == "Never use it when the" and get("", 5) == get(None, 5) == ""
 
 
+def test_excerpt_of_a_long_text_splits_it_once(spark):
+    """It was split again for every sentence that might be taken: minutes for one text of this length."""
+    text = " ".join(f"Sentence {i} says that it is plain and old." for i in range(3000)) + " Never turn the key. The door has a key."
+    d = spark.createDataFrame([(text,)], "t string").select(T.excerpt(F.col("t"), F.array(F.lit("key"), F.lit("door")), 20))
+    at = time.monotonic()
+    assert d.first()[0] == "Never turn the key. The door has a key. […]"
+    assert time.monotonic() - at < 20
+
+
 def test_plug_points_fail_open(spark):
     pool = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 0.5), ("c", "z", 0.0)], "id string, content string, score double")
     scores = lambda df: {r["id"]: r["score"] for r in df.collect()}
