@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tessella.functions.text import once
+
 POLICY = "deterministic-v3"
 
 # Patterns of payload signals.
@@ -146,11 +148,11 @@ def assessed(rows: DataFrame, text_col: str, title_col: str | None = None, stick
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     raw = F.concat(F.coalesce(F.col(title_col), F.lit("")), F.lit("\n"), text) if title_col else F.concat(F.lit("\n"), text)
-    found = rows.withColumn("__forms", canonical_forms(raw))
-    codes = F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in signals(F.col("__forms")).items()])))
+    shown = lambda forms: F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in signals(forms).items()])))
+    codes = once(canonical_forms(raw), shown)  # a filter by reasons would otherwise make the forms anew at each of its uses
     if sticky:
         codes = F.when(F.coalesce(F.col(sticky), F.lit(False)), F.array(F.lit("inherited_quarantine"))).otherwise(codes)
-    return found.withColumn("reasons", codes).drop("__forms")
+    return rows.withColumn("reasons", codes)
 
 
 def quarantined(rows: DataFrame, trusted: str = "trusted", review_state: str = "review_state") -> DataFrame:
