@@ -74,28 +74,43 @@ _JOINED, _PARTED = _Visible(""), _Visible(" ")
 _SKELETON = {ord(c): letter for letter, others in LOOKALIKES.items() for c in others}
 
 
-def segmented(letters: str, words: frozenset[str] = frozenset(SPACED_WORDS)) -> list[str] | None:
-    """The letters as words of the list, all of them, in as few as can be, the first as long as can be; None if it cannot be done.
+def _spelled(letters: str, words: frozenset[str]) -> list[tuple[int, int]]:
+    """Where words of the list are in letters: with as few letters left over as can be, then in as few words, each as long as can be.
 
-    From the end: the best way on from a place is one word and the best way on from its end.
+    From the end: the best way on from a place is a word and the best way on from its end, or a letter that is left over.
     """
     n = len(letters)
-    best: list[tuple | None] = [None] * n + [(0, (), None)]  # words, their negative lengths, end of the first
+    over = n + 1  # one letter left over counts more than any number of words
+    cost = [0] * (n + 1)
+    ends = lambda k: (e for e in range(min(n, k + LONGEST), k, -1) if letters[k:e] in words)
     for k in range(n - 1, -1, -1):
-        ways = [(best[e][0] + 1, (k - e, *best[e][1]), e) for e in range(k + 1, min(n, k + LONGEST) + 1) if best[e] and letters[k:e] in words]
-        best[k] = min(ways, default=None)
+        cost[k] = min((cost[e] + 1 for e in ends(k)), default=cost[k + 1] + over)
+        cost[k] = min(cost[k], cost[k + 1] + over)
     out, k = [], 0
     while k < n:
-        if not best[k]:
-            return None
-        out.append(letters[k : best[k][2]])
-        k = best[k][2]
+        e = next((e for e in ends(k) if cost[k] == cost[e] + 1), None)
+        if e:
+            out.append((k, e))
+        k = e or k + 1
     return out
 
 
-def _together(match: re.Match) -> str:
-    words = segmented("".join(match[0].split()))
-    return " ".join(words) if words else match[0]
+def segmented(letters: str, words: frozenset[str] = frozenset(SPACED_WORDS)) -> list[str] | None:
+    """The letters as words of the list, all of them, in as few as can be, the first as long as can be; None if it cannot be done."""
+    out = [letters[a:b] for a, b in _spelled(letters, words)]
+    return out if sum(map(len, out)) == len(letters) else None
+
+
+def _together(match: re.Match, words: frozenset[str] = frozenset(SPACED_WORDS)) -> str:
+    """The words of a run of letters put together; letters of none, as those of the text before it, stay apart."""
+    run = match[0]
+    letters = "".join(run.split())
+    at = [i for i, c in enumerate(run) if not c.isspace()]
+    out, done, last = [], 0, None
+    for a, b in _spelled(letters, words):
+        out += [" " if a == last else run[done : at[a]], letters[a:b]]
+        done, last = at[b - 1] + 1, b
+    return "".join(out) + run[done:]
 
 
 def canonical(text: str, visible: _Visible = _JOINED) -> str:
@@ -122,7 +137,8 @@ def canonical_forms(text: Column) -> Column:
 
     Most texts are plain: those go without Python, as they only need lower case and no controls.
     """
-    odd = text.rlike(r"[^\x00-\x7F]") | text.rlike(r"(?i)(?<![a-z0-9_])[a-z][ \t]+[a-z][ \t]+[a-z](?![a-z0-9_])")
+    gap = r"[\x00-\x20\x7f]+"  # as controls go or become spaces
+    odd = text.rlike(r"[^\x00-\x7F]") | text.rlike(f"(?i)(?<![a-z0-9_])[a-z]{gap}[a-z]{gap}[a-z](?![a-z0-9_])")
     plain = F.lower(F.regexp_replace(F.translate(text, "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f", " " * 9), r"[\x00-\x1f\x7f]", ""))
     forms = _canonical_forms(F.when(odd, text))
     return F.when(odd, forms).otherwise(F.struct(plain.alias("joined"), F.lit(None).cast("string").alias("parted")))
