@@ -70,10 +70,14 @@ def clock_advance(spark, sf_dir):
 
     Advancing one clock at a time is a running maximum and a running number, so that it needs no loop.
     """
-    ms = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) * 3600000")
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", ms.alias("ms"))
-    h = e.withColumn("physical", F.max("ms").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return h.select("event_id", "physical", (F.row_number().over(Window.partitionBy("user_id", "physical").orderBy("event_id")) - 1).cast("long").alias("counter"))
+    # In whole milliseconds first, as epoch_ms gives them: half a millisecond before an hour is that hour.  Zones play no part.
+    since = "ts - TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+    hours = F.expr(f"cast(cast({since} + if({since} < INTERVAL '0' SECOND, INTERVAL '-0.0005' SECOND, INTERVAL '0.0005' SECOND) as interval hour) as long)")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", (hours * 3600000).alias("ms"))
+    last = F.asc_nulls_last("event_id")
+    # Events of one number are taken by time, so that the result does not depend on how rows arrive.
+    h = e.withColumn("physical", F.max("ms").over(Window.partitionBy("user_id").orderBy(last, F.asc_nulls_last("ms")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return h.select("event_id", "physical", (F.row_number().over(Window.partitionBy("user_id", "physical").orderBy(last)) - 1).cast("long").alias("counter"))
 
 
 @query(f"WITH {MEM_SQL}, h AS (SELECT id, stability FROM mem WHERE contains(lower(content), 'licensed') ORDER BY id LIMIT 100) SELECT id, round(least(100, stability + (least(stability, 1) + 0.3::DOUBLE) * ln(2)), 9) AS stability FROM h")
